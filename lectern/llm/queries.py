@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from lectern.llm import fingerprints, mixing, url_filter
+from lectern.llm import fingerprints, language_id, mixing, quality_gam, sentencepiece_codec, url_filter
+from lectern.llm.common import crc32_mod4
+
+#: The model file that op5 encodes with; LECTERN_SENTENCEPIECE_MODEL names another.
+MODEL = os.environ.get("LECTERN_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark, d):
+    """The language of every text; learned from the rows that aren't held out."""
+    docs = _table(spark, d, "documents").select("doc_id", "text", "lang", (crc32_mod4("doc_id") == 2).alias("held_out"))
+    filters = language_id.learn(docs.where("NOT held_out"))
+    return language_id.identify(docs.drop("lang"), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_fingerprints(spark, d):
     """Fingerprints of every text and of its edited text."""
     made = fingerprints.fingerprint_documents(_table(spark, d, "documents"))
@@ -37,10 +50,28 @@ def op7_mixing(spark, d):
     return plan.orderBy(F.coalesce("position", late), "doc_id")
 
 
+def op5_sentencepiece(spark, d):
+    """Token ids of every text, whether they decode to it, and parity with the sentencepiece library on every fiftieth."""
+    content = Path(MODEL).read_bytes()
+    sentencepiece_codec.build(content)
+    made = sentencepiece_codec.encoded(_table(spark, d, "documents").select("doc_id", "text"), content)
+    return made.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", sentencepiece_codec.round_trip().alias("round_trip"), "parity")
+
+
+def op10_quality(spark, d):
+    """A quality score for every text; learned from the labels that aren't held out."""
+    docs = _table(spark, d, "documents").select("doc_id", "text", (crc32_mod4("doc_id") == 2).alias("held_out"))
+    model = quality_gam.learn(docs.where("NOT held_out"), _table(spark, d, "labels"))
+    return quality_gam.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_fingerprints": op3_fingerprints,
     "op4_url_filter": op4_url_filter,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_mixing": op7_mixing,
+    "op10_quality": op10_quality,
 }
 
 
