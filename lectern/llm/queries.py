@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from lectern.llm import fingerprints, language_id, mixing, quality_gam, sentencepiece_codec, url_filter
+from lectern.llm import fingerprints, language_id, mixing, quality_gam, sentencepiece_codec, suffix_dedup, url_filter
 from lectern.llm.common import crc32_mod4
 
 #: The model file that op5 encodes with; LECTERN_SENTENCEPIECE_MODEL names another.
@@ -58,6 +58,12 @@ def op5_sentencepiece(spark, d):
     return made.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", sentencepiece_codec.round_trip().alias("round_trip"), "parity")
 
 
+def op8_suffix_dedup(spark, d):
+    """What every document keeps when 400-byte strings that stand elsewhere go."""
+    made = suffix_dedup.remove_repeats(_table(spark, d, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality(spark, d):
     """A quality score for every text; learned from the labels that aren't held out."""
     docs = _table(spark, d, "documents").select("doc_id", "text", (crc32_mod4("doc_id") == 2).alias("held_out"))
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_mixing": op7_mixing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_quality": op10_quality,
 }
 
