@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from lectern.llm import fingerprints, language_id, mixing, quality_gam, sentencepiece_codec, suffix_dedup, url_filter
+from lectern.llm import fingerprints, language_id, mixing, pivot_index, quality_gam, sentencepiece_codec, suffix_dedup, url_filter
 from lectern.llm.common import crc32_mod4
 
 #: The model file that op5 encodes with; LECTERN_SENTENCEPIECE_MODEL names another.
@@ -26,6 +26,11 @@ def op1_language_id(spark, d):
     return language_id.identify(docs.drop("lang"), filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_embedding_dedup(spark, d):
+    """Links and components of all vectors."""
+    return pivot_index.near_duplicates(_table(spark, d, "embeddings"))
+
+
 def op3_fingerprints(spark, d):
     """Fingerprints of every text and of its edited text."""
     made = fingerprints.fingerprint_documents(_table(spark, d, "documents"))
@@ -73,6 +78,7 @@ def op10_quality(spark, d):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_url_filter": op4_url_filter,
     "op5_sentencepiece": op5_sentencepiece,
