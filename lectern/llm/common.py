@@ -134,7 +134,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    for _ in range(rounds):
+    before = _digest(now)
+    for _ in range(rounds if before[0] else 0):
         # Large star: every larger neighbour of u is linked to the smallest of u's neighbourhood.
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -144,11 +145,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = _salted(large, low)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        after = stored(small.where("u <> v").distinct())
-        done = _same(now, after)
-        now = after
-        if done:
+        now = stored(small.where("u <> v").distinct())
+        after = _digest(now)
+        if after == before:
             break
+        before = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
@@ -161,8 +162,6 @@ def _salted(pairs: DataFrame, low: DataFrame, parts: int = 32) -> DataFrame:
     ).select("u", "v", "m")
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    def digest(df):
-        return df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
-
-    return digest(a) == digest(b)
+def _digest(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from lectern.llm import fingerprints, language_id, mixing, pivot_index, quality_gam, sentencepiece_codec, suffix_dedup, url_filter
+from lectern.llm import fingerprints, language_id, mixing, order_minhash, passages, pivot_index, quality_gam, sentencepiece_codec, suffix_dedup, url_filter
 from lectern.llm.common import crc32_mod4
 
 #: The model file that op5 encodes with; LECTERN_SENTENCEPIECE_MODEL names another.
@@ -48,6 +48,11 @@ def op4_url_filter(spark, d):
     return url_filter.judge_pages(_table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+def op6_passages(spark, d):
+    """Every repeated passage and the place that it repeats."""
+    return passages.repeated_passages(_table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark, d):
     """What the mix takes of every document, range-sorted by training position; what it leaves comes after."""
     plan = mixing.plan_mix(_table(spark, d, "documents").select("doc_id", "text", "source")).drop("text", "source")
@@ -69,6 +74,11 @@ def op8_suffix_dedup(spark, d):
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_order_minhash(spark, d):
+    """Class and verified links of every document."""
+    return order_minhash.near_duplicates(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept", "n_links")
+
+
 def op10_quality(spark, d):
     """A quality score for every text; learned from the labels that aren't held out."""
     docs = _table(spark, d, "documents").select("doc_id", "text", (crc32_mod4("doc_id") == 2).alias("held_out"))
@@ -82,8 +92,10 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_url_filter": op4_url_filter,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_passages": op6_passages,
     "op7_mixing": op7_mixing,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_order_minhash": op9_order_minhash,
     "op10_quality": op10_quality,
 }
 
