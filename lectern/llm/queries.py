@@ -19,6 +19,11 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def model_bytes() -> bytes:
+    """Content of the SentencePiece model file, read once on the driver; tasks get it by broadcast."""
+    return Path(MODEL).read_bytes()
+
+
 def op1_language_id(spark, d):
     """The language of every text; learned from the rows that aren't held out."""
     docs = _table(spark, d, "documents").select("doc_id", "text", "lang", (crc32_mod4("doc_id") == 2).alias("held_out"))
@@ -62,7 +67,7 @@ def op7_mixing(spark, d):
 
 def op5_sentencepiece(spark, d):
     """Token ids of every text, whether they decode to it, and parity with the sentencepiece library on every fiftieth."""
-    content = Path(MODEL).read_bytes()
+    content = model_bytes()
     sentencepiece_codec.build(content)
     made = sentencepiece_codec.encoded(_table(spark, d, "documents").select("doc_id", "text"), content)
     return made.select("doc_id", F.size("token_ids").alias("n_tokens"), "token_ids", sentencepiece_codec.round_trip().alias("round_trip"), "parity")
