@@ -62,7 +62,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     digits = max(1, min(6, math.ceil(math.log(max(docs.count(), 1) / 1500 + 1, 16))))
     rows = docs.withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
     rows = rows.withColumn("_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("_part", F.substring("_md5", 1, digits))
+    rows = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_part", F.substring("_md5", 1, digits))
     rows = rows.withColumn("_source", F.when(F.col("source").isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), "source")))
     parts = rows.groupBy("_source", "_part").agg(F.sum("size").alias("_sum"))
     whole = Window.partitionBy("_source")
@@ -73,7 +73,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     sources = _targets(rows.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, share, most)
     # One row per source: each part row carries its source's target on.
     parts = parts.join(sources, "_source")
-    inside = Window.partitionBy("_source", "_part").orderBy("_md5", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_source", "_part").orderBy("_md5", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.join(parts, ["_source", "_part"])
         .withColumn("_at", F.col("_before") + F.sum("size").over(inside) - F.col("size"))
@@ -83,7 +83,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
         .withColumn("taken", F.col("_first") + F.col("_second"))
         .withColumn("position", _position("_first", "_at", schedules, len(weights)))
         .withColumn("position_again", _position("_second", "_at + source_size", schedules, len(weights)))
-        .drop("_source", "_part", "_md5", "_before", "_at", "_goal", "_first", "_second", "_slot")
+        .drop("_source", "_part", "_md5", "_before", "_at", "_goal", "_first", "_second", "_slot", "_tie")
     )
 
 
