@@ -232,12 +232,16 @@ def _pairs(sketches: DataFrame, lo: int, hi: int, central: int, similar: float)
                 right.append(j[fits])
             at_a, at_b = np.concatenate(left), np.concatenate(right)
             if len(at_a):
-                low, high = np.minimum(at_a, at_b), np.maximum(at_a, at_b)
-                both = np.unique(np.stack((low, high)), axis=1)
-                yield from pa.table([keys.take(pa.array(both[0])), keys.take(pa.array(both[1]))], ["a", "b"]).to_batches(50_000)
-
-    found = dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj").mapInArrow(choose, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                both = np.unique(np.stack((np.minimum(at_a, at_b), np.maximum(at_a, at_b))), axis=1)
+                firsts = np.flatnonzero(np.concatenate(([True], both[0][1:] != both[0][:-1])))
+                offsets = pa.array(np.append(firsts, both.shape[1]).astype(np.int32))
+                partners = pa.ListArray.from_arrays(offsets, keys.take(pa.array(both[1])).combine_chunks())
+                yield from pa.table([keys.take(pa.array(both[0][firsts])), partners], ["a", "bs"]).to_batches(20_000)
+
+    listed = dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key").mapInArrow(choose, "a binary, bs array<binary>")
+    # A text meets the same partners in many lists: they are made one before pairs are formed.
+    found = listed.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
+    return found  # rows of a list stand in the order of their keys: a < b
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> DataFrame:
