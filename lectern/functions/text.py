@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # -- fixed values that results depend on ---------------------------------------------
 LIGATURES = {
@@ -34,7 +35,7 @@ MOST_CHUNK, MOST_SENTENCE, LEAST_CHUNK = 300, 500, 40
 BREAK = "\u0001"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not DDL: no session exists yet when this is imported
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

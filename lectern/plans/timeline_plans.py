@@ -31,7 +31,7 @@ def axis(spark, d):
 
 
 def chunk_starts(spark, d):
-    w = Window.partitionBy("section").orderBy("chunk", "part").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("section").orderBy("chunk", "part", "duration_ms").rowsBetween(Window.unboundedPreceding, 0)
     return _chunks(spark, d).select("section", "chunk", "part", (F.sum("duration_ms").over(w) - F.col("duration_ms")).alias("start_ms"), "duration_ms")
 
 
@@ -163,7 +163,7 @@ tl AS (SELECT book, section, status, len_ms, ready, CAST(sum(len_ms) OVER w AS B
   CAST(sum(CASE WHEN ready THEN len_ms ELSE 0 END) OVER w AS BIGINT) - CASE WHEN ready THEN len_ms ELSE 0 END AS ready_start
   FROM m WINDOW w AS (PARTITION BY book ORDER BY section ROWS UNBOUNDED PRECEDING))"""
 _STARTS = """st AS (SELECT l_orderkey AS section, l_linenumber AS chunk, l_partkey AS part,
-  CAST(sum(CAST(l_quantity * 100 AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) - CAST(l_quantity * 100 AS BIGINT) AS start_ms,
+  CAST(sum(CAST(l_quantity * 100 AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity * 100 AS BIGINT) ROWS UNBOUNDED PRECEDING) AS BIGINT) - CAST(l_quantity * 100 AS BIGINT) AS start_ms,
   CAST(l_quantity * 100 AS BIGINT) AS duration_ms FROM lineitem)"""
 _PROBES = "pr AS (SELECT event_id, user_id AS book, CAST(trunc(value * 20000) AS BIGINT) AS t FROM events)"
 _PAUSE = """CASE WHEN right(rtrim({x}, '"''”’»)]}'), 1) IN ('.', '!', '?') THEN 200 WHEN right(rtrim({x}, '"''”’»)]}'), 1) IN (',', '—', ':') THEN 100 ELSE 0 END"""
