@@ -11,6 +11,8 @@ K = 128
 WORDS = 5
 #: Shingle hashes are the upper 48 bits of xxhash64.
 BITS = 48
+#: Ranges of doc_id at most.
+MOST_RANGES = 20_000
 
 
 def _let(value, use) -> F.Column:
@@ -92,7 +94,8 @@ def _neighbours(docs: DataFrame, rows_a_range: int) -> DataFrame:
     so that every row's successor is in its own range.
     """
     n = docs.count()
-    ranges = max(1, math.ceil(n / rows_a_range))
+    # The cut points stand in the plan: beyond MOST_RANGES, ranges hold more rows instead (their windows spill).
+    ranges = max(1, min(MOST_RANGES, math.ceil(n / rows_a_range)))
     coarse = max(1, math.isqrt(ranges))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 20_000)).first()[0] or []
     cuts = sorted(set(cuts)) if ranges > 1 else []
