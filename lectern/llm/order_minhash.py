@@ -16,6 +16,13 @@ from lectern.llm.words import M1, mix, shingle_hashes, word_hashes, word_spans
 #: Words of a shingle, elements of a sketch, and shingles of an element.
 SIZE, ELEMENTS, LENGTH = 5, 12, 2
 SIMILAR = 0.8
+#: Partners that a text is first aligned with in a list: those that agree most, and the most central ones of the list.
+FIRST, CENTRAL = 4, 2
+#: Elements of two sketches that must agree. Of pairs of similarity 0.8, about one in 10,000 agrees in fewer.
+AGREE = 2
+BLOCK = 1024
+#: Bits of the sketch that bounds how alike two texts can be.
+ODD_BITS = 1024
 
 
 def text_shingles(data: bytes, size: int = SIZE) -> np.ndarray:
@@ -55,6 +62,14 @@ def sketch(shingles: np.ndarray, elements: int = ELEMENTS, length: int = LENGTH)
     return h
 
 
+def odd_sketch(shingles: np.ndarray, bits: int = ODD_BITS) -> np.ndarray:
+    """Parity of the number of labelled shingles in each of ``bits`` bins, packed (Mitzenmacher et al. 2014).
+
+    Two texts differ in at least as many shingles as their sketches differ in bits.
+    """
+    return np.packbits(np.bincount(labelled(shingles) >> np.uint64(64 - bits.bit_length() + 1), minlength=bits).astype(np.uint8) & 1)
+
+
 def aligned_length(a: list[int], b: list[int], band: int) -> int:
     """Longest common subsequence over matches at most ``band`` places apart, by bit-parallel rows.
 
@@ -115,19 +130,10 @@ def packed_texts(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
     return made.groupBy("key").agg(F.first("z").alias("z"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
 
 
-#: Most agreeing partners that a text is aligned with in a list, in the first round and, if none was similar, in the second.
-FIRST, SECOND = 4, 28
-CENTRAL = 2
-BLOCK = 1024
-
-
-def candidates(agree: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's partners: those of rank lo to hi by how many elements agree."""
+def nearest(agree: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's partners: the ``most`` with which most elements agree."""
     np.fill_diagonal(agree, -1)
-    width = min(hi, agree.shape[1])
-    if width <= lo:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    top = np.argsort(-agree, axis=1, kind="stable")[:, lo:width]
+    top = np.argsort(-agree, axis=1, kind="stable")[:, :most]
     i = np.repeat(np.arange(len(agree)), top.shape[1])
     j = top.ravel()
     there = agree[i, j] > 0
@@ -147,11 +153,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
     the verified links of the row's text to other texts.
 
     Each distinct text is sketched once. Texts that share an element of their
-    sketches meet in a list; long lists are dealt in pairs of blocks. In a block
-    a text is aligned with the texts that agree with it in most elements and with
-    those that are most central, a number of pairs linear in the list; a text
-    for which none was similar enough gets further partners in a second round.
-    Pairs beyond those ranks are joined through what they share, not tested.
+    sketches meet in a list; long lists are dealt in pairs of blocks. First a
+    text is aligned only with the texts of its lists that agree with it in most
+    elements and with the most central ones: a number of pairs linear in the
+    list, which joins the bulk of every class. Then every other pair of a list
+    that agrees in AGREE elements and isn't in one class yet is aligned too. So
+    classes are those of all such pairs, and only pairs inside a class that is
+    already joined are left out (n_links counts the links that were verified).
 
     Edge cases: null texts count as empty; texts without a word are alike only if
     equal; a text below five words is one shingle; rows of equal text are one
@@ -165,25 +173,30 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            keys, counts, values = [], [], []
+            keys, counts, values, odd = [], [], [], []
             for key, z in zip(batch["key"].to_pylist(), batch["z"].to_pylist()):
                 shingles = text_shingles(expand.decompress(z), size)
                 if len(shingles):
                     keys.append(key)
                     counts.append(len(shingles))
                     values.append(sketch(shingles).view(np.int64))
+                    odd.append(odd_sketch(shingles).tobytes())
             if keys:
                 offsets = pa.array(np.arange(0, ELEMENTS * len(keys) + 1, ELEMENTS, dtype=np.int32))
                 sketches = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
-                yield from pa.table([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), sketches], ["key", "n", "sketch"]).to_batches(20_000)
-
-    sketches = stored(texts.select("key", "z").mapInArrow(make, "key binary, n int, sketch array<long>"))
-    linked = stored(_verified(_pairs(sketches, 0, FIRST, CENTRAL, similar), texts, similar, size))
-    alone = sketches.join(linked.select(F.col("a").alias("key")).union(linked.select(F.col("b").alias("key"))).distinct(), "key", "left_anti")
-    more = _pairs(sketches.withColumn("alone", F.lit(False)).join(alone.select("key"), "key", "left_anti").unionByName(alone.withColumn("alone", F.lit(True))), FIRST, FIRST + SECOND, 0, similar)
-    links = linked.union(_verified(more, texts, similar, size))
-    links = stored(links.distinct())
-    joined = components(links)
+                yield from pa.table([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), sketches, pa.array(odd, pa.binary())], ["key", "n", "sketch", "odd"]).to_batches(20_000)
+
+    sketches = stored(texts.select("key", "z").mapInArrow(make, "key binary, n int, sketch array<long>, odd binary"))
+    tested = stored(_aligned(_first_pairs(sketches, similar), texts, similar, size))
+    links = tested.where("similar").select("a", "b")
+    classes = stored(sketches.join(components(links).withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    rest = _other_pairs(classes, similar).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    late = stored(_aligned(rest, texts, similar, size).where("similar").select("a", "b"))
+    of_key = classes.select("key", "component")
+    between = late.join(of_key.select(F.col("key").alias("a"), F.col("component").alias("u")), "a").join(of_key.select(F.col("key").alias("b"), F.col("component").alias("v")), "b")
+    merged = components(between.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("_last"))
+    joined = of_key.join(merged, "component", "left").select(F.col("key").alias("id"), F.coalesce("_last", "component").alias("component"))
+    links = links.union(late)
     degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     nodes = joined.join(texts.select(F.col("key").alias("id"), "first_id"), "id")
     ids = nodes.groupBy("component").agg(F.min("first_id").alias("class_id"))
@@ -195,57 +208,103 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
     return keyed.join(spread, ["_key", "_s"], "left").select(*docs.columns, "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links")
 
 
-def _pairs(sketches: DataFrame, lo: int, hi: int, central: int, similar: float) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of texts that share an element; with ``alone``, only pairs with such a text."""
-    second = "alone" in sketches.columns
-    sketches = sketches if second else sketches.withColumn("alone", F.lit(True))
-    lists = sketches.withColumn("list", F.explode("sketch"))
-    if second:
-        lists = lists.join(lists.where("alone").select("list").distinct(), "list", "left_semi")
-    dealt = split_groups(lists, "list", "key", BLOCK).select("list", "bi", "bj", "side", "key", "n", "alone", "sketch")
+def _lists(listed: DataFrame, *more: str) -> DataFrame:
+    """Rows of inverted lists (list, key, n, sketch, more) in blocks, sorted by block and key."""
+    dealt = split_groups(listed, "list", "key", BLOCK).select("list", "bi", "bj", "side", "key", "n", "sketch", *more)
+    return dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, list[tuple[int, int, np.ndarray]]]]:
+    """Tables of whole blocks with their sketches, and (start, end, agreeing elements of each two rows) of each block."""
+    for table in sorted_groups(batches, ["list", "bi", "bj"], 20_000):
+        table = table.combine_chunks()
+        starts = np.append(group_starts(table, ["list", "bi", "bj"]), table.num_rows).tolist()
+        marks, crossed, side = _matrix(table["sketch"].combine_chunks()), table["bi"].to_numpy() != table["bj"].to_numpy(), table["side"].to_numpy()
+
+        def agreeing(lo: int, hi: int) -> np.ndarray:
+            own = marks[lo:hi]
+            agree = np.zeros((hi - lo, hi - lo), np.int16)
+            for e in range(own.shape[1]):
+                agree += own[:, e][:, None] == own[:, e][None, :]
+            if crossed[lo]:
+                agree[side[lo:hi][:, None] == side[lo:hi][None, :]] = 0
+            return agree
+
+        yield table, marks, ((lo, hi, agreeing(lo, hi)) for lo, hi in zip(starts[:-1], starts[1:]))
+
+
+def _grouped(keys: pa.ChunkedArray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of row numbers (a ascending) as rows of a key and its partners."""
+    firsts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    offsets = pa.array(np.append(firsts, len(a)).astype(np.int32))
+    partners = pa.ListArray.from_arrays(offsets, keys.take(pa.array(b)).combine_chunks())
+    yield from pa.table([keys.take(pa.array(a[firsts])), partners], ["a", "bs"]).to_batches(20_000)
+
+
+def _first_pairs(sketches: DataFrame, similar: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each text with its nearest and the central texts of its lists."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, ["list", "bi", "bj"], 20_000):
-            table = table.combine_chunks()
-            starts = np.append(group_starts(table, ["list", "bi", "bj"]), table.num_rows)
-            marks, sizes, alone = _matrix(table["sketch"].combine_chunks()), table["n"].to_numpy(), table["alone"].to_numpy()
-            keys, crossed = table["key"], (table["bi"].to_numpy() != table["bj"].to_numpy())
-            side = table["side"].to_numpy()
-            left, right = [], []
-            for a, b in zip(starts[:-1], starts[1:]):
-                if b - a == 2 and lo == 0:
-                    i, j = np.array([0]), np.array([1])
-                else:
-                    own = marks[a:b]
-                    agree = np.zeros((b - a, b - a), np.int16)
-                    for e in range(own.shape[1]):
-                        agree += own[:, e][:, None] == own[:, e][None, :]
-                    if crossed[a]:
-                        agree[side[a:b][:, None] == side[a:b][None, :]] = 0
-                    middle = np.argsort(-agree.sum(1, dtype=np.int64), kind="stable")[:central]
-                    i, j = candidates(agree, lo, hi)
-                    i = np.concatenate((i, np.tile(np.arange(b - a), len(middle))))
-                    j = np.concatenate((j, np.repeat(middle, b - a)))
-                i, j = a + i, a + j
-                fits = (i != j) & (alone[i] | alone[j]) & (np.minimum(sizes[i], sizes[j]) >= similar * np.maximum(sizes[i], sizes[j]))
+        for table, _, blocks in _blocks(batches):
+            sizes, left, right = table["n"].to_numpy(), [], []
+            for lo, hi, agree in blocks:
+                middle = np.argsort(-agree.sum(1, dtype=np.int64), kind="stable")[:CENTRAL]
+                i, j = nearest(agree, FIRST)
+                i = lo + np.concatenate((i, np.tile(np.arange(hi - lo), len(middle))))
+                j = lo + np.concatenate((j, np.repeat(middle, hi - lo)))
+                fits = (i != j) & (np.minimum(sizes[i], sizes[j]) >= similar * np.maximum(sizes[i], sizes[j]))
                 left.append(i[fits])
                 right.append(j[fits])
-            at_a, at_b = np.concatenate(left), np.concatenate(right)
-            if len(at_a):
-                both = np.unique(np.stack((np.minimum(at_a, at_b), np.maximum(at_a, at_b))), axis=1)
-                firsts = np.flatnonzero(np.concatenate(([True], both[0][1:] != both[0][:-1])))
-                offsets = pa.array(np.append(firsts, both.shape[1]).astype(np.int32))
-                partners = pa.ListArray.from_arrays(offsets, keys.take(pa.array(both[1])).combine_chunks())
-                yield from pa.table([keys.take(pa.array(both[0][firsts])), partners], ["a", "bs"]).to_batches(20_000)
-
-    listed = dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key").mapInArrow(choose, "a binary, bs array<binary>")
+            i, j = np.concatenate(left), np.concatenate(right)
+            if len(i):
+                both = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j))), axis=1)
+                yield from _grouped(table["key"], *both)
+
+    listed = _lists(sketches.withColumn("list", F.explode("sketch"))).mapInArrow(choose, "a binary, bs array<binary>")
     # A text meets the same partners in many lists: they are made one before pairs are formed.
-    found = listed.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
-    return found  # rows of a list stand in the order of their keys: a < b
+    # Rows of a list stand in the order of their keys: a < b.
+    return listed.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> DataFrame:
-    """The pairs whose aligned similarity is at least ``similar``."""
+def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that agree in AGREE elements, each from the first list that both are in.
+
+    Pairs whose odd sketches show that they differ in too many shingles are left out.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, marks, blocks in _blocks(batches):
+            sizes, names = table["n"].to_numpy(), table["list"].to_numpy()
+            odd = np.frombuffer(b"".join(table["odd"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            of = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+            left, right = [], []
+            for lo, hi, agree in blocks:
+                i, j = np.nonzero(np.triu((agree >= AGREE) & (of[lo:hi, None] != of[None, lo:hi]), 1))
+                i, j = lo + i, lo + j
+                fits = np.minimum(sizes[i], sizes[j]) >= similar * np.maximum(sizes[i], sizes[j])
+                i, j = i[fits], j[fits]
+                first = np.empty(len(i), bool)
+                for at in range(0, len(i), 100_000):
+                    some = slice(at, at + 100_000)
+                    x, y = marks[i[some]], marks[j[some]]
+                    differing = np.bitwise_count(odd[i[some]] ^ odd[j[some]]).sum(1, dtype=np.int64)
+                    near = differing <= (sizes[i[some]] + sizes[j[some]]) * (1 - similar) / (1 + similar) + 1e-6
+                    first[some] = near & (x[np.arange(len(x)), (x == y).argmax(1)] == names[lo])
+                left.append(i[first])
+                right.append(j[first])
+            i, j = np.concatenate(left), np.concatenate(right)
+            if len(i):
+                yield from _grouped(table["key"], i, j)
+
+    # Only lists with texts of several classes have pairs left.
+    elements = classes.select(F.explode("sketch").alias("list"), "component")
+    mixed = elements.groupBy("list").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("list")
+    listed = classes.withColumn("list", F.explode("sketch")).join(mixed, "list", "left_semi")
+    return _lists(listed, "component", "odd").mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> DataFrame:
+    """The pairs with whether their aligned similarity is at least ``similar``."""
     first = pairs.join(texts.select(F.col("key").alias("a"), F.col("z").alias("za")), "a")
     both = first.join(texts.select(F.col("key").alias("b"), F.col("z").alias("zb")), "b")
 
@@ -263,6 +322,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float, size: int) ->
         for batch in batches:
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
             good = [similarity(shingles(x, zx), shingles(y, zy), similar) >= similar for x, y, zx, zy in zip(a, b, batch["za"].to_pylist(), batch["zb"].to_pylist())]
-            yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.record_batch([batch["a"], batch["b"], pa.array(good, pa.bool_())], ["a", "b", "similar"])
 
-    return both.mapInArrow(align, "a binary, b binary")
+    return both.mapInArrow(align, "a binary, b binary, similar boolean")
