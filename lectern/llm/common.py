@@ -37,6 +37,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once: texts may be long, and Spark's own bound counts rows only.
+
+    Settings that the user has made stay as they are.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def crc32_mod4(doc_id) -> F.Column:
     """crc32 of the id's text modulo 4; the remainder 2 is held out of all learning."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import small_batches
+
 UNKNOWN = "und"
 SPACE = 32
 #: A language's filter holds n-grams with at least this share of its own n-grams, so a hundred thousand at most ...
@@ -150,6 +152,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     the driver is the n-grams of at least MIN_SHARE of a language, so at most
     1 / MIN_SHARE for each.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(64).collect()}
     langs = sorted(sizes)
@@ -191,6 +194,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
     with no language learned every text is ``und``; equal texts get equal
     answers; other columns pass through, but the names added here are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, group_starts, sorted_groups, split_groups, stored
+from lectern.llm.common import components, group_starts, small_batches, sorted_groups, split_groups, stored
 from lectern.llm.words import M1, mix, shingle_hashes, word_hashes, word_spans
 
 #: Words of a shingle, elements of a sketch, and shingles of an element.
@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
     replaced; an empty table stays empty.
     """
     docs = docs.drop("class_id", "kept", "n_links")
+    small_batches(docs.sparkSession)
     texts = stored(packed_texts(docs))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

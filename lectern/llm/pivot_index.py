@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, group_starts, sorted_groups, split_groups, stored
+from lectern.llm.common import components, group_starts, small_batches, sorted_groups, split_groups, stored
 
 #: Least cosine of a link.
 LINK = 0.95
@@ -94,6 +94,7 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, nearest: int = NEARE
     equal vec_id are rows of their own but one node; a null vec_id is kept as it
     is. Other columns, labels too, are left out; an empty table stays empty.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select("vec_id", F.col("embedding").alias("v"))
     sound = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))

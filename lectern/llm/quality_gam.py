@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import small_batches
+
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper", "digit", "stop_mark", "loud_mark", "symbol", "space", "non_ascii",
     "lines_a_word", "distinct_words", "repeated_word", "repeated_line", "longest_word", "short_words", "capital_words", "top_word", "bare_symbol_words", "words_a_stop",
@@ -190,6 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000) -> Model:
     out). The chosen labels, a bounded table, are sent to the documents; only the
     features of the chosen texts come to the driver.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality")
     part = min(1.0, most_rows / max(1, known.count()))
     few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part * 1_000_003)
@@ -216,6 +219,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", good: float = GOOD
     equal scores; other columns pass through, but the names added here are
     replaced; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

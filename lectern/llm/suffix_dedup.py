@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.anchors import anchors, gram_hashes
-from lectern.llm.common import group_starts, sorted_groups, stored
+from lectern.llm.common import group_starts, small_batches, sorted_groups, stored
 
 WINDOW, GRAM, RANGES = 400, 32, 4
 #: Bytes that no UTF-8 text holds: the lead of a core's token, and the end of a string.
@@ -194,6 +194,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
     if (window - gram) % ranges:
         raise ValueError("window - gram must be a multiple of ranges")
     margin = (window - gram) // ranges
+    small_batches(docs.sparkSession)
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.where(F.octet_length("text") >= window)
 
