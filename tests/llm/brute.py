@@ -25,3 +25,18 @@ def suffix_dedup(texts: dict[int, str | None], window: int) -> dict[int, tuple]:
         runs = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
         out[k] = (len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def classes_of(ids, links) -> dict:
+    """The least id that each id reaches over links."""
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        s, t = top(a), top(b)
+        root[max(s, t)] = min(s, t)
+    return {i: top(i) for i in ids}
