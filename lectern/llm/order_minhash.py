@@ -312,12 +312,16 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> D
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         known: dict[bytes, list[int]] = {}
+        held = 0
 
         def shingles(key: bytes, z: bytes) -> list[int]:
+            nonlocal held
             if key not in known:
-                if len(known) > 200:
+                if held > 300_000:
                     known.clear()
+                    held = 0
                 known[key] = text_shingles(expand.decompress(z), size).tolist()
+                held += len(known[key])
             return known[key]
 
         for batch in batches:
