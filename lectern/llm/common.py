@@ -42,7 +42,7 @@ def small_batches(spark: SparkSession) -> None:
 
     Settings that the user has made stay as they are.
     """
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")):
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
 
