@@ -144,13 +144,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE, class_key: str | None = None) -> DataFrame:
     """docs (doc_id, text, more) with class_id, kept and n_links.
 
     Two texts are linked if their five-word shingles, aligned in order, are
     ``similar`` or more alike (see similarity). class_id is the least doc_id of
     the texts joined by links; kept marks the rows that bear it; n_links counts
-    the verified links of the row's text to other texts.
+    the verified links of the row's text to other texts. A class_id may be that
+    of several classes, if unlike texts bear one doc_id or none; ``class_key``
+    names a column that is added with a key (binary) of the class itself.
 
     Each distinct text is sketched once. Texts that share an element of their
     sketches meet in a list; long lists are dealt in pairs of blocks. First a
@@ -167,7 +169,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
     among null ids; other columns pass through, but the names added here are
     replaced; an empty table stays empty.
     """
-    docs = docs.drop("class_id", "kept", "n_links")
+    added = [class_key] if class_key else []
+    docs = docs.drop("class_id", "kept", "n_links", *added)
     small_batches(docs.sparkSession)
     texts = stored(packed_texts(docs))
 
@@ -202,11 +205,11 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
     nodes = joined.join(texts.select(F.col("key").alias("id"), "first_id"), "id")
     ids = nodes.groupBy("component").agg(F.min("first_id").alias("class_id"))
     of_text = texts.select("key", "first_id").join(joined.withColumnRenamed("id", "key"), "key", "left").join(ids, "component", "left").join(degree, "key", "left")
-    of_text = of_text.select(F.col("key").alias("_key"), F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    of_text = of_text.select(F.col("key").alias("_key"), F.coalesce("class_id", "first_id").alias("class_id"), *(F.coalesce("component", "key").alias(c) for c in added), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     # A text with very many copies is one row there: it goes to all of its copies' parts.
     spread = of_text.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-    return keyed.join(spread, ["_key", "_s"], "left").select(*docs.columns, "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links")
+    return keyed.join(spread, ["_key", "_s"], "left").select(*docs.columns, "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links", *added)
 
 
 def _lists(listed: DataFrame, *more: str) -> DataFrame:

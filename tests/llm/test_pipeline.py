@@ -45,3 +45,11 @@ def test_stages_take_odd_rows(spark):
         docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long")
         for _, stage in C.STAGES[1:]:
             assert stage(spark, docs, SF).count() >= 0
+
+
+def test_unlike_texts_of_one_doc_id_or_none_stay(spark):
+    new = lambda k: " ".join(f"t{k}_{i}" for i in range(60))
+    given = [(None, new(0)), (None, new(1)), (None, new(1)), (None, new(2)), (5, new(3)), (5, new(4)), (5, new(4)), (6, new(4)), (7, new(5)), (None, new(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0), r.text) for r in C.one_of_each(spark, docs, SF).collect())
+    assert got == sorted([(0, new(0)), (0, new(1)), (0, new(2)), (5, new(3)), (5, new(4)), (7, new(5))])
