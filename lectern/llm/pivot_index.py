@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +27,36 @@ def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def choose_pivots(vectors: DataFrame, least: int = 64, most: int = 4096) -> np.ndarray:
-    """Reference points: a sample of the distinct vectors by the hash of their bytes.
+def choose_pivots(vectors: DataFrame, least: int = 64, most: int = 4096) -> dict[int, np.ndarray]:
+    """Reference points for each length of vectors: a sample of the distinct ones by the hash of their bytes.
 
     About 4 times the square root of their number, between ``least`` and
     ``most``: a documented bound. Lists of pivot pairs then hold about as many
     vectors at every size up to a million vectors, and grow slowly beyond.
     """
-    n = vectors.count()
-    want = max(least, min(most, math.ceil(4 * math.sqrt(n))))
-    part = min(1.0, 1.2 * want / max(1, n))
-    rows = vectors.where(F.pmod(F.xxhash64("class"), F.lit(1_000_003)) < part * 1_000_003).select("class", "v").limit(2 * most).collect()
-    rows.sort(key=lambda r: r["class"])
-    width = len(rows[0]["v"]) if rows else 0
-    sample = unit(np.array([r["v"] for r in rows if len(r["v"]) == width], float).reshape(-1, width)) if rows else np.zeros((0, 0))
-    chosen = np.zeros((0, width))
-    for v in sample:
-        if len(chosen) < most and not (chosen @ v > APART).any():
-            chosen = np.vstack((chosen, v))
-    return chosen
+    counts = {r[0]: r[1] for r in vectors.groupBy(F.size("v").alias("width")).count().collect()}
+    want = {width: max(least, min(most, math.ceil(4 * math.sqrt(n)))) for width, n in counts.items()}
+    if not want:
+        return {}
+    part = F.try_element_at(F.create_map(*(F.lit(x) for width, n in counts.items() for x in (width, min(1.0, 1.2 * want[width] / n)))), F.size("v"))
+    sampled = vectors.where(F.pmod(F.xxhash64("class"), F.lit(1_000_003)) < part * 1_000_003).select("class", "v")
+    rows = sampled.limit(2 * most).collect() if len(counts) == 1 else sampled.collect()
+    by_width: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["class"] is None, r["class"])):
+        by_width.setdefault(len(r["v"]), []).append(r["v"])
+    pivots = {}
+    # A length of which the hash takes none: the one of least class stands for all.
+    missing = [width for width in counts if width not in by_width]
+    if missing:
+        for r in vectors.where(F.size("v").isin(missing)).groupBy(F.size("v").alias("width")).agg(F.min_by("v", "class").alias("v")).collect():
+            by_width[r["width"]] = [r["v"]]
+    for width, given in by_width.items():
+        chosen = np.zeros((0, width))
+        for v in unit(np.array(given, float)):
+            if len(chosen) < most and not (chosen @ v > APART).any():
+                chosen = np.vstack((chosen, v))
+        pivots[width] = chosen
+    return pivots
 
 
 def permutation_prefix(vectors: np.ndarray, pivots: np.ndarray, length: int = NEAREST) -> np.ndarray:
@@ -89,7 +101,7 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, nearest: int = NEARE
     ``block`` classes.
 
     Edge cases: vectors that are null or empty, all zero, or hold null or
-    non-finite components link with nothing, nor do vectors of another length;
+    non-finite components link with nothing, nor do two vectors of unlike lengths;
     such a row is its own component. Copies link with each other. Rows with
     equal vec_id are rows of their own but one node; a null vec_id is kept as it
     is. Other columns, labels too, are left out; an empty table stays empty.
@@ -124,30 +136,28 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, nearest: int = NEARE
     )
 
 
-def _links(classes: DataFrame, pivots: np.ndarray, link: float, nearest: int, shared: int, block: int) -> DataFrame:
+def _links(classes: DataFrame, pivots: dict[int, np.ndarray], link: float, nearest: int, shared: int, block: int) -> DataFrame:
     """Rows (a, n, null): n links of class a found in some block; rows (a, null, b): links that join what a block links."""
     spark, kind = classes.sparkSession, classes.schema["v"].dataType.simpleString()
-    known = spark.sparkContext.broadcast(pivots)  # at most ``most`` vectors
+    known = spark.sparkContext.broadcast(pivots)  # at most ``most`` vectors of each length
+
+    ranks = {width: i for i, width in enumerate(sorted(pivots))}
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(known.value):
-                continue
             sizes = np.diff(batch["v"].offsets.to_numpy())
-            right = np.flatnonzero(sizes == known.value.shape[1])
-            if not len(right):
-                continue
-            batch = batch.take(pa.array(right))
-            keys = list_keys(permutation_prefix(unit(_matrix(batch["v"])), known.value, nearest), len(known.value), shared)
-            offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-            yield pa.record_batch([batch["class"], batch["copies"], batch["v"], pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["class", "copies", "v", "keys"])
+            for width in np.unique(sizes).tolist():
+                some, own = batch.take(pa.array(np.flatnonzero(sizes == width))), known.value[width]
+                # Vectors of unlike lengths have no list in common.
+                keys = list_keys(permutation_prefix(unit(_matrix(some["v"])), own, nearest), len(own), shared) * len(known.value) + ranks[width]
+                offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
+                yield pa.record_batch([some["class"], some["copies"], some["v"], pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["class", "copies", "v", "keys"])
 
     index = classes.select("class", "copies", "v").mapInArrow(listed, f"class long, copies long, v {kind}, keys array<long>")
     dealt = split_groups(index.withColumn("key", F.explode("keys")), "key", "class", block)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, ["key", "bi", "bj"], 2 * block):
-            table = table.combine_chunks()
+        for table in _of_one_length(sorted_groups(batches, ["key", "bi", "bj"], 2 * block)):
             starts = np.append(group_starts(table, ["key", "bi", "bj"]), table.num_rows)
             ids, copies, keys = table["class"].to_numpy(), table["copies"].to_numpy(), _matrix(table["keys"])
             vectors, side, own_key = unit(_matrix(table["v"])), table["side"].to_numpy(), table["key"].to_numpy()
@@ -185,6 +195,15 @@ def _links(classes: DataFrame, pivots: np.ndarray, link: float, nearest: int, sh
     return grouped.mapInArrow(compare, "a long, n long, b long")
 
 
+def _of_one_length(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """Tables parted by the length of their vectors; a list has vectors of one length only."""
+    for table in tables:
+        table = table.combine_chunks()
+        sizes = pc.list_value_length(table["v"]).to_numpy()
+        for width in np.unique(sizes):
+            yield table if sizes[0] == width and (sizes == width).all() else table.filter(pa.array(sizes == width)).combine_chunks()
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Those links that join two groups not joined by an earlier one."""
     root: dict[int, int] = {}

@@ -47,3 +47,14 @@ def test_edge_cases(spark):
     assert all(r.n_links == 0 and r.component_id == r.vec_id for r in got if r.vec_id in (1, 2, 3, 4, 5, 6, 10))
     assert {(r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id in (7, 8, 9)} == {(7, 3, 7), (8, 3, 7), (9, 3, 7)}
     assert pivot_index.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_lengths_are_compared_each_for_itself(spark):
+    rng = np.random.default_rng(7)
+    given = [(0, rng.normal(size=5))]  # an odd length at the least vec_id
+    for width, at in ((16, 1), (24, 101)):
+        centres = np.repeat(rng.normal(size=(10, width)), 3, 0)
+        given += [(at + i, v) for i, v in enumerate(centres + rng.normal(size=centres.shape) * 0.01)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in given], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivot_index.near_duplicates(rows).collect()}
+    assert got == {0: (0, 0)} | {at + i: (2, at + i - i % 3) for at in (1, 101) for i in range(30)}
