@@ -79,7 +79,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """slots[i] has bit l set if language l's Bloom filter has bit i set: one read gives all languages."""
+    """slots[i, l // 64] has bit l % 64 set if language l's Bloom filter has bit i set: one read gives 64 languages."""
 
     langs: list[str]
     slots: np.ndarray
@@ -88,21 +88,19 @@ class Filters:
 
     @classmethod
     def of(cls, langs: list[str], grams_of: list[np.ndarray], usual: int = 0) -> Filters:
-        if len(langs) > 64:
-            raise ValueError("a slot has 64 bits: at most 64 languages")
         most = max([1024, *(len(g) for g in grams_of)])
         bits = int(np.ceil(np.log2(most))) + 4  # about 16 bits or more for each n-gram
-        slots = np.zeros(1 << bits, np.uint64)
+        slots = np.zeros((1 << bits, max(1, -(-len(langs) // 64))), np.uint64)
         for lang, g in enumerate(grams_of):
             for at in places(g, bits):
-                np.bitwise_or.at(slots, at, np.uint64(1 << lang))
-        full = np.array([np.count_nonzero(slots & np.uint64(1 << lang)) / len(slots) for lang in range(len(langs))])
+                np.bitwise_or.at(slots[:, lang // 64], at, np.uint64(1 << lang % 64))
+        full = np.array([np.count_nonzero(slots[:, lang // 64] & np.uint64(1 << lang % 64)) / len(slots) for lang in range(len(langs))])
         return cls(langs, slots, full**2, usual)
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """For each n-gram the bitmask of the languages whose filters hold it."""
+    def masks(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the bitmask of those of 64 languages (from 64 * word on) whose filters hold it."""
         first, second = places(hashes, int(np.log2(len(self.slots))))
-        return self.slots[first] & self.slots[second]
+        return self.slots[first, word] & self.slots[second, word]
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
@@ -110,11 +108,12 @@ class Filters:
         for part in _parts(texts):
             given = [t or "" for t in part]
             hashes, counts = grams(given)
-            masks = self.masks(hashes)
             starts = np.concatenate(([0], np.cumsum(counts)))
             seen = np.zeros((len(part), len(self.langs)))
             for lang in range(len(self.langs)):
-                ones = np.concatenate(([0], np.cumsum((masks >> np.uint64(lang)) & np.uint64(1), dtype=np.int64)))
+                if lang % 64 == 0:
+                    masks = self.masks(hashes, lang // 64)
+                ones = np.concatenate(([0], np.cumsum((masks >> np.uint64(lang % 64)) & np.uint64(1), dtype=np.int64)))
                 seen[:, lang] = ones[starts[1:]] - ones[starts[:-1]]
             # Of n n-grams, about n * false_rate are in a filter by chance.
             true = np.maximum(0, (seen - counts[:, None] * self.false_rate) / (1 - self.false_rate))
@@ -154,14 +153,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(64).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()}
     langs = sorted(sizes)
     if not langs:
         return Filters.of([], [])
     number = {name: i for i, name in enumerate(langs)}
-    part = F.lit(0.0)
-    for name, n in sizes.items():
-        part = F.when(F.col(lang) == name, F.lit(min(1.0, docs_a_language / n))).otherwise(part)
+    part = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, docs_a_language / n)))), F.col(lang)), F.lit(0.0))
     few = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_003)) < part * 1_000_003).select(text, lang)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +172,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     counts = few.mapInArrow(count, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("l").agg(F.sum("n").alias("total"))
-    often = counts.join(F.broadcast(totals), "l").where(F.col("n") >= F.col("total") * MIN_SHARE)  # totals: a row for each of 64 languages at most
+    often = counts.join(F.broadcast(totals), "l").where(F.col("n") >= F.col("total") * MIN_SHARE)  # totals: a row for each language
     found = often.select("l", "g", (F.col("n") / F.col("total")).alias("share")).toPandas()
     found["most"] = found.groupby("g")["share"].transform("max")
     found = found[found.share >= MIN_PART * found.most]

@@ -64,3 +64,13 @@ def test_quality_edge_cases(spark):
         rows = quality_gam.scored(docs, quality_gam.learn(docs, known)).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     assert quality_gam.scored(docs.limit(0), quality_gam.learn(docs, labels)).count() == 0
+
+
+def test_more_than_64_languages(spark):
+    rng = np.random.default_rng(4)
+    words = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(30)] for k in range(70)}
+    rows = [(f"{k}", " ".join(rng.choice(w, 40)), k) for k, w in words.items()]
+    filters = language_id.learn(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    assert filters.langs == sorted(words)
+    langs, scores = filters.identify([t for _, t, _ in rows])
+    assert langs == [k for _, _, k in rows] and min(scores) > 0.5
