@@ -66,7 +66,7 @@ def op7_mixing(spark, d):
 
 
 def op5_sentencepiece(spark, d):
-    """Token ids of every text, whether they decode to it, and parity with the sentencepiece library on every fiftieth."""
+    """Token ids of every text, whether they decode to it, and parity with the sentencepiece library."""
     content = model_bytes()
     sentencepiece_codec.build(content)
     made = sentencepiece_codec.encoded(_table(spark, d, "documents").select("doc_id", "text"), content)

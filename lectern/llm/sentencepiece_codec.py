@@ -135,24 +135,36 @@ class Codec:
             and norm.add_dummy_prefix and norm.escape_whitespaces and not any(p.type == USER_DEFINED for p in proto.pieces)
         )
         self.words = Tokenizer(self.tokenizer.model)
-        self.most_words, self.known = most_words, {}
+        self.most_words, self.known, self.unlike = most_words, {}, set()
         self.prefix = norm.add_dummy_prefix
         self.bytes = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def encode(self, texts: list[str], processor=None) -> list[np.ndarray] | tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text; with the library's processor, also whether it gives the same ids for the text (by_word: for each of its words)."""
         if not self.by_word:
-            return [np.array(ids, np.int32) for ids in encode(self.tokenizer, texts)]
+            ids = [np.array(ids, np.int32) for ids in encode(self.tokenizer, texts)]
+            return ids if processor is None else (ids, [own == i.tolist() for own, i in zip(processor.encode(texts, num_threads=1), ids)])
         split = [_marked_words(t) for t in texts]
         words = set().union(*split)
         new = list(words.difference(self.known))
         if len(self.known) + len(new) > self.most_words:
-            self.known = {}
+            self.known, self.unlike = {}, set()
             new = list(words)
         for lo in range(0, len(new), 5_000):
             some = new[lo : lo + 5_000]
-            self.known.update(zip(some, (array("i", e.ids).tobytes() for e in self.words.encode_batch_fast(some, add_special_tokens=False))))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in split]
+            ids = [array("i", e.ids) for e in self.words.encode_batch_fast(some, add_special_tokens=False)]
+            self.known.update(zip(some, (i.tobytes() for i in ids)))
+            if processor is not None:
+                self._compare(some, ids, processor)
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in split]
+        return ids if processor is None else (ids, [not self.unlike or self.unlike.isdisjoint(words) for words in split])
+
+    def _compare(self, words: list[str], ids: list[array], processor) -> None:
+        """Keeps the words that the library's processor encodes otherwise."""
+        # The library sets the first marker itself, but not before an empty text: a lone marker follows a letter.
+        before = processor.encode("x")
+        own = processor.encode([("x" + w if w == MARK else w[1:]).replace(MARK, " ") for w in words], num_threads=1)
+        self.unlike.update(w for w, i, o in zip(words, ids, own) if o != (before + i.tolist() if w == MARK else i.tolist()))
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of ids: the pieces' bytes with spaces for markers, less the dummy prefix."""
@@ -189,14 +201,17 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encoded(docs: DataFrame, content: bytes, text: str = "text", parity_every: int = 50) -> DataFrame:
+def encoded(docs: DataFrame, content: bytes, text: str = "text", parity_every: int = 1, whole_every: int = 50) -> DataFrame:
     """docs with token_ids (array of int), decoded (text from those ids) and parity.
 
-    parity is true or false on rows whose text's hash is divisible by
-    ``parity_every``: whether the sentencepiece library gives the same ids;
-    null on the others. One executor-side tokenizer per Python worker; batches
-    go through the library's threads, about 200,000 characters at a time
-    beside the longest text.
+    parity is whether the sentencepiece library gives the same ids, for every
+    text whose hash is divisible by ``parity_every`` (so for all of them) and
+    null for the others. Where the ids of a text are those of its words, the
+    library encodes each distinct word that a worker meets, and beside that the
+    whole text where its hash is divisible by ``whole_every``; with other models
+    it encodes every text as a whole. One executor-side tokenizer per Python
+    worker; batches go through the library's threads, about 200,000 characters
+    at a time beside the longest text.
 
     Edge cases: a null text has null token_ids and decoded; an empty one has no
     ids and decodes to an empty text; characters unknown to the model become
@@ -218,17 +233,19 @@ def encoded(docs: DataFrame, content: bytes, text: str = "text", parity_every: i
                 missing = some[text].is_null().to_numpy(zero_copy_only=False)
                 look = some["_checked"].to_numpy(zero_copy_only=False)
                 given = [t or "" for t in some[text].to_pylist()]
-                ids = codec.encode(given)
+                ids, alike = codec.encode(given, processor)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), pa.array(np.concatenate(ids), pa.int32()))
                 decoded = pa.array([None if m else t for m, t in zip(missing, codec.decode(ids))], pa.string())
-                own = iter(processor.encode([t for t, c in zip(given, look) if c], num_threads=1)) if look.any() else iter(())
-                same = pa.array([next(own) == i.tolist() if c else None for i, c in zip(ids, look)], pa.bool_())
+                whole = some["_whole"].to_numpy(zero_copy_only=False) & look & codec.by_word
+                own = iter(processor.encode([t for t, c in zip(given, whole) if c], num_threads=1)) if whole.any() else iter(())
+                same = pa.array([(not w or next(own) == i.tolist()) and a if c else None for i, c, a, w in zip(ids, look, alike, whole)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(some[n] for n in names), lists, decoded, same], [*names, "token_ids", "decoded", "parity"])
 
     checked = F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(parity_every)) == 0)
+    whole = F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(whole_every)) == 0)
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("token_ids array<int>, decoded string, parity boolean").fields])
-    return docs.withColumn("_checked", checked).mapInArrow(run, schema)
+    return docs.withColumn("_checked", checked).withColumn("_whole", whole).mapInArrow(run, schema)
 
 
 def round_trip(text: str = "text") -> Column:
