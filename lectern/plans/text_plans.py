@@ -168,13 +168,17 @@ def head_hash(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(F.substring("text", 1, 4096), 256).alias("content_hash"))
 
 
+#: Share of a source's documents that hold a line of chrome; the reference's share of a book's pages is 0.6.
+CHROME_SHARE = 0.05
+
+
 def chrome(spark, d):
-    """Lines that stand in many documents of a source: at least two, and 60% of them."""
+    """Lines that stand in many documents of a source: at least two, and CHROME_SHARE of them. The lines are not removed (J13)."""
     lines = table(spark, d, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     pages = table(spark, d, "documents").groupBy("source").agg(F.countDistinct("doc_id").alias("pages"))
     # Distinct before counting: a line repeated on a page counts once.
     seen = lines.distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("on_pages"))
-    need = F.greatest(F.lit(2), F.floor(F.col("pages") * 0.05))
+    need = F.greatest(F.lit(2), F.floor(F.col("pages") * CHROME_SHARE))
     return seen.join(pages, "source").where((F.col("pages") >= 3) & (F.col("on_pages") >= need)).select("source", "line", "on_pages", "pages")
 
 
