@@ -124,7 +124,7 @@ class Codec:
     whole texts.
     """
 
-    def __init__(self, content: bytes, verify: bool = False, most_words: int = 30_000):
+    def __init__(self, content: bytes, verify: bool = False, most_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = build(content, verify)
@@ -208,8 +208,9 @@ def encoded(docs: DataFrame, content: bytes, text: str = "text", parity_every: i
     text whose hash is divisible by ``parity_every`` (so for all of them) and
     null for the others. Where the ids of a text are those of its words, the
     library encodes each distinct word that a worker meets, and beside that the
-    whole text where its hash is divisible by ``whole_every``; with other models
-    it encodes every text as a whole. One executor-side tokenizer per Python
+    whole text where its hash is divisible by ``whole_every``, where the rebuilt
+    decoder must also give what Codec.decode gives; with other models it encodes
+    every text as a whole. One executor-side tokenizer per Python
     worker; batches go through the library's threads, about 200,000 characters
     at a time beside the longest text.
 
@@ -236,10 +237,12 @@ def encoded(docs: DataFrame, content: bytes, text: str = "text", parity_every: i
                 ids, alike = codec.encode(given, processor)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), pa.array(np.concatenate(ids), pa.int32()))
-                decoded = pa.array([None if m else t for m, t in zip(missing, codec.decode(ids))], pa.string())
                 whole = some["_whole"].to_numpy(zero_copy_only=False) & look & codec.by_word
+                texts = codec.decode(ids)
+                decoded = pa.array([None if m else t for m, t in zip(missing, texts)], pa.string())
                 own = iter(processor.encode([t for t, c in zip(given, whole) if c], num_threads=1)) if whole.any() else iter(())
-                same = pa.array([(not w or next(own) == i.tolist()) and a if c else None for i, c, a, w in zip(ids, look, alike, whole)], pa.bool_())
+                back = iter(codec.tokenizer.decode_batch([i.tolist() for i, c in zip(ids, whole) if c], skip_special_tokens=False)) if whole.any() else iter(())
+                same = pa.array([(not w or (next(own) == i.tolist()) & (next(back) == t)) and a if c else None for i, t, c, a, w in zip(ids, texts, look, alike, whole)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(some[n] for n in names), lists, decoded, same], [*names, "token_ids", "decoded", "parity"])
 
     checked = F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(parity_every)) == 0)
