@@ -18,20 +18,20 @@ SIZE, ELEMENTS, LENGTH = 5, 12, 2
 SIMILAR = 0.8
 #: Partners that a text is first aligned with in a list: those that agree most, and the most central ones of the list.
 FIRST, CENTRAL = 4, 2
-#: Elements of two sketches that must agree. Of pairs of similarity 0.8, about one in 10,000 agrees in fewer.
+#: Elements of two sketches that must agree where the two aren't each other's nearest in a list.
 AGREE = 2
 BLOCK = 1024
 #: Bits of the sketch that bounds how alike two texts can be.
 ODD_BITS = 1024
 
 
-def text_shingles(data: bytes, size: int = SIZE) -> np.ndarray:
+def text_words(data: bytes) -> np.ndarray:
     array = np.frombuffer(data, np.uint8)
-    return shingle_hashes(word_hashes(array, *word_spans(array)), size)
+    return word_hashes(array, *word_spans(array))
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
-    """Hashes of the shingles with their occurrence number: the n-th time that a shingle stands in the text."""
+    """Hashes of shingles or words with their occurrence number: the n-th time that one stands in the text."""
     order = np.argsort(shingles, kind="stable")
     same = shingles[order]
     first = np.concatenate(([True], same[1:] != same[:-1]))
@@ -62,12 +62,12 @@ def sketch(shingles: np.ndarray, elements: int = ELEMENTS, length: int = LENGTH)
     return h
 
 
-def odd_sketch(shingles: np.ndarray, bits: int = ODD_BITS) -> np.ndarray:
-    """Parity of the number of labelled shingles in each of ``bits`` bins, packed (Mitzenmacher et al. 2014).
+def odd_sketch(words: np.ndarray, bits: int = ODD_BITS) -> np.ndarray:
+    """Parity of the number of labelled words in each of ``bits`` bins, packed (Mitzenmacher et al. 2014).
 
-    Two texts differ in at least as many shingles as their sketches differ in bits.
+    Two texts differ in at least as many words as their sketches differ in bits.
     """
-    return np.packbits(np.bincount(labelled(shingles) >> np.uint64(64 - bits.bit_length() + 1), minlength=bits).astype(np.uint8) & 1)
+    return np.packbits(np.bincount(labelled(words) >> np.uint64(64 - bits.bit_length() + 1), minlength=bits).astype(np.uint8) & 1)
 
 
 def aligned_length(a: list[int], b: list[int], band: int) -> int:
@@ -101,19 +101,19 @@ def aligned_length(a: list[int], b: list[int], band: int) -> int:
 
 
 def similarity(a: list[int], b: list[int], least: float = SIMILAR) -> float:
-    """Aligned shingles over all shingles of both, each aligned pair counted once; 0 if surely below ``least``.
+    """Edit similarity of two texts' words: words aligned in order over those of the longer text; 0 if surely below ``least``.
 
-    Where no shingle moves this is the multiset Jaccard resemblance. A pair of
-    at least ``least`` has few unaligned shingles, and these bound the band.
+    A pair of at least ``least`` has few words that aren't aligned, and these
+    bound the band. A pair whose five-word shingles have a resemblance of
+    ``least`` or more has at least this edit similarity.
     """
     n, m = len(a), len(b)
     if not n or not m:
         return 1.0 if n == m else 0.0
     if min(n, m) < least * max(n, m):
         return 0.0
-    spare = int((n + m) * (1 - least) / (1 + least)) + 1
-    common = aligned_length(a, b, spare)
-    return common / (n + m - common)
+    spare = int(max(n, m) * (1 - least)) + 1
+    return aligned_length(a, b, spare) / max(n, m)
 
 
 def packed_texts(docs: DataFrame, ident: str = "doc_id") -> DataFrame:
@@ -147,8 +147,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE, class_key: str | None = None) -> DataFrame:
     """docs (doc_id, text, more) with class_id, kept and n_links.
 
-    Two texts are linked if their five-word shingles, aligned in order, are
-    ``similar`` or more alike (see similarity). class_id is the least doc_id of
+    Two texts are linked if they share sketch elements of five-word shingles and
+    their words, aligned in order, have an edit similarity of ``similar`` or more
+    (see similarity). class_id is the least doc_id of
     the texts joined by links; kept marks the rows that bear it; n_links counts
     the verified links of the row's text to other texts. A class_id may be that
     of several classes, if unlike texts bear one doc_id or none; ``class_key``
@@ -179,23 +180,23 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE,
         for batch in batches:
             keys, counts, values, odd = [], [], [], []
             for key, z in zip(batch["key"].to_pylist(), batch["z"].to_pylist()):
-                shingles = text_shingles(expand.decompress(z), size)
-                if len(shingles):
+                words = text_words(expand.decompress(z))
+                if len(words):
                     keys.append(key)
-                    counts.append(len(shingles))
-                    values.append(sketch(shingles).view(np.int64))
-                    odd.append(odd_sketch(shingles).tobytes())
+                    counts.append(len(words))
+                    values.append(sketch(shingle_hashes(words, size)).view(np.int64))
+                    odd.append(odd_sketch(words).tobytes())
             if keys:
                 offsets = pa.array(np.arange(0, ELEMENTS * len(keys) + 1, ELEMENTS, dtype=np.int32))
                 sketches = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
                 yield from pa.table([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), sketches, pa.array(odd, pa.binary())], ["key", "n", "sketch", "odd"]).to_batches(20_000)
 
     sketches = stored(texts.select("key", "z").mapInArrow(make, "key binary, n int, sketch array<long>, odd binary"))
-    tested = stored(_aligned(_first_pairs(sketches, similar), texts, similar, size))
+    tested = stored(_aligned(_first_pairs(sketches, similar), texts, similar))
     links = tested.where("similar").select("a", "b")
     classes = stored(sketches.join(components(links).withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     rest = _other_pairs(classes, similar).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    late = stored(_aligned(rest, texts, similar, size).where("similar").select("a", "b"))
+    late = stored(_aligned(rest, texts, similar).where("similar").select("a", "b"))
     of_key = classes.select("key", "component")
     between = late.join(of_key.select(F.col("key").alias("a"), F.col("component").alias("u")), "a").join(of_key.select(F.col("key").alias("b"), F.col("component").alias("v")), "b")
     merged = components(between.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("_last"))
@@ -273,7 +274,7 @@ def _first_pairs(sketches: DataFrame, similar: float) -> DataFrame:
 def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b), a < b, of different components that agree in AGREE elements, each from the first list that both are in.
 
-    Pairs whose odd sketches show that they differ in too many shingles are left out.
+    Pairs whose odd sketches show that they differ in too many words are left out.
     """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +293,7 @@ def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
                     some = slice(at, at + 100_000)
                     x, y = marks[i[some]], marks[j[some]]
                     differing = np.bitwise_count(odd[i[some]] ^ odd[j[some]]).sum(1, dtype=np.int64)
-                    near = differing <= (sizes[i[some]] + sizes[j[some]]) * (1 - similar) / (1 + similar) + 1e-6
+                    near = differing <= sizes[i[some]] + sizes[j[some]] - 2 * similar * np.maximum(sizes[i[some]], sizes[j[some]]) + 1e-6
                     first[some] = near & (x[np.arange(len(x)), (x == y).argmax(1)] == names[lo])
                 left.append(i[first])
                 right.append(j[first])
@@ -307,8 +308,8 @@ def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
     return _lists(listed, "component", "odd").mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
 
 
-def _aligned(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> DataFrame:
-    """The pairs with whether their aligned similarity is at least ``similar``."""
+def _aligned(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """The pairs with whether their edit similarity is at least ``similar``."""
     first = pairs.join(texts.select(F.col("key").alias("a"), F.col("z").alias("za")), "a")
     both = first.join(texts.select(F.col("key").alias("b"), F.col("z").alias("zb")), "b")
 
@@ -317,19 +318,19 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similar: float, size: int) -> D
         known: dict[bytes, list[int]] = {}
         held = 0
 
-        def shingles(key: bytes, z: bytes) -> list[int]:
+        def words(key: bytes, z: bytes) -> list[int]:
             nonlocal held
             if key not in known:
                 if held > 300_000:
                     known.clear()
                     held = 0
-                known[key] = text_shingles(expand.decompress(z), size).tolist()
+                known[key] = text_words(expand.decompress(z)).tolist()
                 held += len(known[key])
             return known[key]
 
         for batch in batches:
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            good = [similarity(shingles(x, zx), shingles(y, zy), similar) >= similar for x, y, zx, zy in zip(a, b, batch["za"].to_pylist(), batch["zb"].to_pylist())]
+            good = [similarity(words(x, zx), words(y, zy), similar) >= similar for x, y, zx, zy in zip(a, b, batch["za"].to_pylist(), batch["zb"].to_pylist())]
             yield pa.record_batch([batch["a"], batch["b"], pa.array(good, pa.bool_())], ["a", "b", "similar"])
 
     return both.mapInArrow(align, "a binary, b binary, similar boolean")
