@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all tasks run in this process (tests).
+
+    On a cluster executors don't share such a folder: there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext._jsc.sc()
         known = context.getCheckpointDir()
+        if not known.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -52,10 +57,6 @@ def crc32_mod4(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4))
 
 
-def crc_text(value: int) -> int:
-    return zlib.crc32(str(value).encode())
-
-
 # -- rows of Arrow batches, grouped by a sorted key ---------------------------------
 
 
@@ -98,11 +99,6 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def batches_of(schema: pa.Schema, columns: dict, most_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    table = pa.table({f.name: pa.array(columns[f.name], f.type) for f in schema}, schema=schema)
-    yield from table.to_batches(max_chunksize=most_rows)
-
-
 def split_groups(df: DataFrame, key: str, row: str, most: int) -> DataFrame:
     """Rows of keys held by two rows or more, dealt into pairs of blocks of about ``most`` rows.
 
@@ -160,6 +156,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components haven't settled in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -6,6 +6,7 @@ import os
 import re
 from pathlib import Path
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.llm import fingerprints, language_id, mixing, order_minhash, passages, pivot_index, quality_gam, sentencepiece_codec, suffix_dedup, url_filter
@@ -19,6 +20,11 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out() -> Column:
+    """Whether a row is held out of learning; one without doc_id is neither held out nor learned from."""
+    return F.coalesce(crc32_mod4("doc_id") == 2, F.lit(False)).alias("held_out")
+
+
 def model_bytes() -> bytes:
     """Content of the SentencePiece model file, read once on the driver; tasks get it by broadcast."""
     return Path(MODEL).read_bytes()
@@ -26,8 +32,8 @@ def model_bytes() -> bytes:
 
 def op1_language_id(spark, d):
     """The language of every text; learned from the rows that aren't held out."""
-    docs = _table(spark, d, "documents").select("doc_id", "text", "lang", (crc32_mod4("doc_id") == 2).alias("held_out"))
-    filters = language_id.learn(docs.where("NOT held_out"))
+    docs = _table(spark, d, "documents").select("doc_id", "text", "lang", _held_out())
+    filters = language_id.learn(docs.where(crc32_mod4("doc_id") != 2))
     return language_id.identify(docs.drop("lang"), filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -74,9 +80,9 @@ def op5_sentencepiece(spark, d):
 
 
 def op8_suffix_dedup(spark, d):
-    """What every document keeps when 400-byte strings that stand elsewhere go."""
+    """What every document keeps when 400-byte strings that stand elsewhere go, and that text (bytes of split code points replaced)."""
     made = suffix_dedup.remove_repeats(_table(spark, d, "documents").select("doc_id", "text"))
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op9_order_minhash(spark, d):
@@ -86,8 +92,8 @@ def op9_order_minhash(spark, d):
 
 def op10_quality(spark, d):
     """A quality score for every text; learned from the labels that aren't held out."""
-    docs = _table(spark, d, "documents").select("doc_id", "text", (crc32_mod4("doc_id") == 2).alias("held_out"))
-    model = quality_gam.learn(docs.where("NOT held_out"), _table(spark, d, "labels"))
+    docs = _table(spark, d, "documents").select("doc_id", "text", _held_out())
+    model = quality_gam.learn(docs.where(crc32_mod4("doc_id") != 2), _table(spark, d, "labels"))
     return quality_gam.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
