@@ -226,9 +226,9 @@ QUERIES = {
     "S17_title": title_from_url, "M1_prompt": render_prompt, "S9_S16_nested": nested,
 }
 
-_SYMBOL = rf"regexp_replace(text, '\s+', '', 'g')"
-_DENSITY = f"""CASE WHEN {_SYMBOL} = '' THEN 0.0 ELSE CAST(length({_SYMBOL}) - length(regexp_replace({_SYMBOL}, '[{X.MATH}]', '', 'g')) AS DOUBLE) / length({_SYMBOL}) END"""
-_CODE = r"len(regexp_extract_all(text, '\{|\}|;|->|=>|::|&&'))"
+SYMBOL_SQL = rf"regexp_replace(text, '\s+', '', 'g')"
+DENSITY_SQL = f"""CASE WHEN {SYMBOL_SQL} = '' THEN 0.0 ELSE CAST(length({SYMBOL_SQL}) - length(regexp_replace({SYMBOL_SQL}, '[{X.MATH}]', '', 'g')) AS DOUBLE) / length({SYMBOL_SQL}) END"""
+CODE_SQL = r"len(regexp_extract_all(text, '\{|\}|;|->|=>|::|&&'))"
 _HITS = f"hits AS (SELECT *, CAST(instr(lower(text), '{NEEDLE}') - 1 AS INTEGER) AS at_ FROM sents WHERE instr(lower(text), '{NEEDLE}') > 0)"
 
 
@@ -240,8 +240,8 @@ ORACLES = {
     "T1_T2_normalize": f"WITH {PARAS_SQL} SELECT * FROM paras",
     "T3_T4_words": rf"WITH {PARAS_SQL} SELECT doc_id, para, len(string_split(text, ' ')) AS n_words, len(regexp_extract_all(text, '\S+')) AS n_tokens FROM paras",
     "P1_terminal": f"WITH {PARAS_SQL} SELECT doc_id, count(*) FILTER ({terminal('text')}) AS terminal, count(*) AS paragraphs FROM paras GROUP BY 1",
-    "P5_formula": f"WITH {PARAS_SQL} SELECT doc_id, para, {_DENSITY} AS density, {_DENSITY} > 0.25 AS formula FROM paras",
-    "P6_code": f"WITH {PARAS_SQL} SELECT doc_id, para, {_CODE} AS hints FROM paras WHERE {_CODE} >= 2",
+    "P5_formula": f"WITH {PARAS_SQL} SELECT doc_id, para, {DENSITY_SQL} AS density, {DENSITY_SQL} > 0.25 AS formula FROM paras",
+    "P6_code": f"WITH {PARAS_SQL} SELECT doc_id, para, {CODE_SQL} AS hints FROM paras WHERE {CODE_SQL} >= 2",
     "T8_T27_sentences": f"WITH {PARAS_SQL}, {SENTS_SQL} SELECT * FROM sents",
     "T10_units": f"WITH {PARAS_SQL}, {SENTS_SQL}, {UNITS_SQL} SELECT * FROM units",
     "T9_stitch": f"""WITH {PARAS_SQL}, f AS (
@@ -250,7 +250,7 @@ ORACLES = {
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY para) AS g FROM f)
 SELECT doc_id, min(para) AS para, string_agg(text, ' ' ORDER BY para) AS text, count(*) AS joined FROM g GROUP BY doc_id, g""",
     "A16_words": f"""WITH {PARAS_SQL}, {SENTS_SQL}, n AS (SELECT *, len(string_split(text, ' ')) AS n FROM sents)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, CAST(coalesce(sum(n) FILTER (NOT {_CODE} >= 2 AND {_DENSITY} <= 0.25), 0) AS BIGINT) AS speakable FROM n GROUP BY 1""",
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, CAST(coalesce(sum(n) FILTER (NOT {CODE_SQL} >= 2 AND {DENSITY_SQL} <= 0.25), 0) AS BIGINT) AS speakable FROM n GROUP BY 1""",
     "T23_L3_search": f"""WITH {PARAS_SQL}, {SENTS_SQL}, {_HITS}
 SELECT doc_id, para, sent, at_ AS at, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para, sent) AS rank FROM hits) WHERE rank <= 30""",
     "T24_snippet": f"""WITH {PARAS_SQL}, {SENTS_SQL}, {_HITS}, e AS (
