@@ -33,9 +33,10 @@ def chunks(paras: DataFrame) -> DataFrame:
 
 
 def plan(paras: DataFrame) -> DataFrame:
-    """chunks with idx, the chunk's number in its document; the only shuffle is by document."""
+    """chunks with idx, the chunk's number in its document; the only shuffle is by document. Paragraphs marked no_tts, if paras has that column, are left out."""
     order = Window.partitionBy("doc_id").orderBy("para", "n")
-    return chunks(paras).withColumn("idx", F.row_number().over(order) - 1).drop("n")
+    spoken = paras.where("NOT coalesce(no_tts, false)") if "no_tts" in paras.columns else paras
+    return chunks(spoken).withColumn("idx", F.row_number().over(order) - 1).drop("n")
 
 
 def stitched(paras: DataFrame) -> DataFrame:
@@ -56,19 +57,23 @@ def stitched(paras: DataFrame) -> DataFrame:
 
 
 def presplit(paras: DataFrame, most_words: int = 2500) -> DataFrame:
-    """(doc_id, part, first_para, paras, words): documents above most_words words cut into parts of whole paragraphs."""
-    sizes = paras.where("text <> ''").select("doc_id", "para", F.size(F.split("text", " ")).alias("w"))
-    listed = sizes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "w"))).alias("ps"))
-    kind = "array<struct<first:int,n:int,w:int>>"
-    start = F.array().cast(kind)
-    total = F.aggregate("ps", F.lit(0), lambda a, p: a + p["w"])
+    """(doc_id, part, title, first_para, paras, words): documents above most_words words cut into parts of whole paragraphs.
+
+    paras: doc_id, para, text, title (of the document). A part's title is the
+    document's with the part's number, else the beginning of its first line. A shorter document is one part and keeps its title.
+    """
+    sizes = paras.where("text <> ''").select("doc_id", "title", "para", F.size(F.split("text", " ")).alias("w"), F.substring(F.substring_index("text", "\n", 1), 1, 40).alias("t"))
+    listed = sizes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para", "w", "t"))).alias("ps"), F.sum("w").alias("_all"), F.first("title").alias("title"))
+    kind = "array<struct<first:int,n:int,w:int,t:string>>"
 
     def step(acc, p):
-        last = F.element_at(acc, -1)
-        fresh = F.struct(p["para"].alias("first"), F.lit(1).alias("n"), p["w"].alias("w"))
-        grown = F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"), (last["w"] + p["w"]).alias("w"))
-        full = (F.size(acc) == 0) | ((F.col("_all") > most_words) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["w"], F.lit(0)) + p["w"] > most_words))
-        return F.when(full, F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).cast(kind)
-
-    parts = listed.withColumn("_all", total).select("doc_id", F.posexplode(F.aggregate("ps", start, step)).alias("part", "p"))
-    return parts.select("doc_id", "part", F.col("p.first").alias("first_para"), F.col("p.n").alias("paras"), F.col("p.w").alias("words"))
+        last = F.try_element_at(acc, F.lit(-1))
+        fresh = F.array(F.struct(p["para"].alias("first"), F.lit(1).alias("n"), p["w"].alias("w"), p["t"].alias("t")))
+        grown = F.array(F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"), (last["w"] + p["w"]).alias("w"), last["t"].alias("t")))
+        full = (F.size(acc) == 0) | ((F.col("_all") > most_words) & (F.coalesce(last["w"], F.lit(0)) + p["w"] > most_words))
+        return F.when(full, F.concat(acc, fresh)).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).cast(kind)
+
+    parts = listed.select("doc_id", "_all", "title", F.posexplode(F.aggregate("ps", F.array().cast(kind), step)).alias("part", "p"))
+    number = (F.col("part") + 1).cast("string")
+    named = F.when(F.col("title").isNotNull() & (F.col("title") != ""), F.concat("title", F.lit(" — part "), number)).otherwise(F.concat(F.when(F.col("p.t") == "", "Text").otherwise(F.col("p.t")), F.lit(" (part "), number, F.lit(")")))
+    return parts.select("doc_id", "part", F.when(F.col("_all") > most_words, named).otherwise(F.col("title")).alias("title"), F.col("p.first").alias("first_para"), F.col("p.n").alias("paras"), F.col("p.w").alias("words"))
