@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import components, group_starts, small_batches, sorted_groups, split_groups, stored
@@ -144,7 +144,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE, class_key: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE) -> DataFrame:
     """docs (doc_id, text, more) with class_id, kept and n_links.
 
     Two texts are linked if they share sketch elements of five-word shingles and
@@ -152,8 +152,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE,
     (see similarity). class_id is the least doc_id of
     the texts joined by links; kept marks the rows that bear it; n_links counts
     the verified links of the row's text to other texts. A class_id may be that
-    of several classes, if unlike texts bear one doc_id or none; ``class_key``
-    names a column that is added with a key (binary) of the class itself.
+    of several classes, if unlike texts bear one doc_id or none; one_of_each
+    keeps them apart.
 
     Each distinct text is sketched once. Texts that share an element of their
     sketches meet in a list; long lists are dealt in pairs of blocks. First a
@@ -170,8 +170,26 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE,
     among null ids; other columns pass through, but the names added here are
     replaced; an empty table stays empty.
     """
-    added = [class_key] if class_key else []
-    docs = docs.drop("class_id", "kept", "n_links", *added)
+    docs = docs.drop("class_id", "kept", "n_links")
+    return _classed(docs, similar, size).select(*docs.columns, "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links")
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE) -> DataFrame:
+    """docs with one row of each class of near_duplicates: a row of least doc_id (of several such texts that of least md5; of equal rows any).
+
+    Columns and edge cases are those of near_duplicates; unlike texts that bear
+    one doc_id or none stay apart. Only rows of a text with copies are shuffled again, two for each of 16 parts at most.
+    """
+    names = docs.columns
+    found = _classed(docs, similar, size).where(F.col("_leads") & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    alone, several = found.where("_copies = 1"), found.where("_copies > 1")
+    for part in (["_key", "_s"], ["_key"]):
+        several = several.withColumn("_n", F.row_number().over(Window.partitionBy(*part).orderBy("_s"))).where("_n = 1").drop("_n")
+    return alone.select(*names).union(several.select(*names))
+
+
+def _classed(docs: DataFrame, similar: float, size: int) -> DataFrame:
+    """docs with class_id, n_links, _copies (rows of the text), _leads (whether the text is the first of its class), _key and a part number _s."""
     small_batches(docs.sparkSession)
     texts = stored(packed_texts(docs))
 
@@ -204,13 +222,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE,
     links = links.union(late)
     degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     nodes = joined.join(texts.select(F.col("key").alias("id"), "first_id"), "id")
-    ids = nodes.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    of_text = texts.select("key", "first_id").join(joined.withColumnRenamed("id", "key"), "key", "left").join(ids, "component", "left").join(degree, "key", "left")
-    of_text = of_text.select(F.col("key").alias("_key"), F.coalesce("class_id", "first_id").alias("class_id"), *(F.coalesce("component", "key").alias(c) for c in added), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    ids = nodes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("id", F.struct(F.col("first_id").isNull(), "first_id", "id")).alias("lead"))
+    of_text = texts.select("key", "first_id", "copies").join(joined.withColumnRenamed("id", "key"), "key", "left").join(ids, "component", "left").join(degree, "key", "left")
+    of_text = of_text.select(F.col("key").alias("_key"), F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                             F.col("copies").alias("_copies"), (F.coalesce("lead", "key") == F.col("key")).alias("_leads"))
     # A text with very many copies is one row there: it goes to all of its copies' parts.
     spread = of_text.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-    return keyed.join(spread, ["_key", "_s"], "left").select(*docs.columns, "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links", *added)
+    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(16)).cast("int"))
+    return keyed.join(spread, ["_key", "_s"], "left")
 
 
 def _lists(listed: DataFrame, *more: str) -> DataFrame:
