@@ -182,9 +182,3 @@ def fnv32(text: Column) -> Column:
         return F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619), F.lit(1 << 32))
 
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261), step)
-
-
-def clock(ms: Column) -> Column:
-    """m:ss."""
-    s = F.floor(ms / 1000)
-    return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))

@@ -23,17 +23,6 @@ def timeline(sections: DataFrame) -> DataFrame:
     )
 
 
-def lane_two(sections: DataFrame, cursor: str, budget: int) -> DataFrame:
-    """Pending sections behind the cursor until their chunks fill the budget; the one that passes it is still in.
-
-    sections: book, section, status, n_chunks and the cursor column.
-    """
-    after = sections.where((F.col("section") > F.col(cursor)) & (F.col("status") == "pending"))
-    w = Window.partitionBy("book").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("n_chunks").over(w), F.lit(0))
-    return after.withColumn("spent_before", spent).where(F.col("spent_before") < budget)
-
-
 def playable_prefix(chunks: DataFrame) -> DataFrame:
     """(book, section, playable, playable_ms): finished chunks before the first unfinished one."""
     w = Window.partitionBy("book", "section").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ from lectern.operators import intervals, timeline as T
 from lectern.sources.tables import table
 
 
-def _sections(spark, d):
+def sections_of(spark, d):
     """A customer's orders are the sections of a book, numbered by order key."""
     o = table(spark, d, "orders")
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
@@ -27,7 +27,7 @@ def _chunks(spark, d):
 
 
 def axis(spark, d):
-    return T.timeline(_sections(spark, d))
+    return T.timeline(sections_of(spark, d))
 
 
 def chunk_starts(spark, d):
@@ -40,15 +40,9 @@ def prefix(spark, d):
     return T.playable_prefix(c).drop("book")
 
 
-def lane2(spark, d):
-    counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    s = _sections(spark, d).join(counts, "key", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0))).withColumn("cursor", F.lit(0))
-    return T.lane_two(s, "cursor", 8).select("book", "section", "n_chunks", "spent_before")
-
-
 def gaps(spark, d):
     """Ready sections whose next ready section doesn't follow at once."""
-    ready = T.timeline(_sections(spark, d)).where("ready")
+    ready = T.timeline(sections_of(spark, d)).where("ready")
     after = F.lead("start_ms").over(Window.partitionBy("book").orderBy("section"))
     return ready.withColumn("next_start", after).where(F.col("next_start") > F.col("end_ms")).select("book", "section", F.col("ready_start").alias("at"), (F.col("next_start") - F.col("end_ms")).alias("gap_ms"))
 
@@ -58,18 +52,18 @@ def nearest_ready(spark, d):
     w = Window.partitionBy("book").orderBy("section")
     ahead = F.min(F.when(F.col("status") == "ready", F.col("section"))).over(w.rowsBetween(0, Window.unboundedFollowing))
     back = F.max(F.when(F.col("status") == "ready", F.col("section"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return _sections(spark, d).select("book", "section", F.coalesce(ahead, back).alias("nearest"))
+    return sections_of(spark, d).select("book", "section", F.coalesce(ahead, back).alias("nearest"))
 
 
-def _probes(spark, d):
+def probes_of(spark, d):
     return table(spark, d, "events").select(F.col("event_id"), F.col("user_id").alias("book"), (F.col("value") * 20000).cast("long").alias("t"))
 
 
 def position_at(spark, d):
     """Section and offset of a time on a book's axis; times outside are clamped."""
-    line = T.timeline(_sections(spark, d)).withColumn("total", F.max("end_ms").over(Window.partitionBy("book")))
+    line = T.timeline(sections_of(spark, d)).withColumn("total", F.max("end_ms").over(Window.partitionBy("book")))
     totals = line.groupBy("book").agg(F.max("end_ms").alias("total"))
-    probes = _probes(spark, d).join(totals, "book").withColumn("t", F.greatest(F.lit(0), F.least("t", "total"))).drop("total")
+    probes = probes_of(spark, d).join(totals, "book").withColumn("t", F.greatest(F.lit(0), F.least("t", "total"))).drop("total")
     found = intervals.as_of(probes, line, ["book"], "t", "start_ms", ["section", "start_ms", "len_ms"], "section")
     return found.select("event_id", "book", "section", F.greatest(F.lit(0), F.least(F.col("t") - F.col("start_ms"), F.col("len_ms"))).alias("offset"))
 
@@ -82,11 +76,11 @@ def chunk_at(spark, d):
 
 
 def ready_to_global(spark, d):
-    segments = T.timeline(_sections(spark, d)).where("ready")
+    segments = T.timeline(sections_of(spark, d)).where("ready")
     w = Window.partitionBy("book").orderBy("section")
     segments = segments.withColumn("next_start", F.lead("start_ms").over(w))
     total = segments.groupBy("book").agg(F.max(F.col("ready_start") + F.col("len_ms")).alias("ready_total"))
-    probes = _probes(spark, d).join(total, "book").withColumn("r", F.greatest(F.lit(0), F.least("t", "ready_total"))).drop("ready_total")
+    probes = probes_of(spark, d).join(total, "book").withColumn("r", F.greatest(F.lit(0), F.least("t", "ready_total"))).drop("ready_total")
     found = intervals.as_of(probes, segments, ["book"], "r", "ready_start", ["ready_start", "len_ms", "start_ms", "next_start"], "section")
     inside = F.col("r") <= F.col("ready_start") + F.col("len_ms")
     jump = F.coalesce("next_start", F.col("start_ms") + F.col("len_ms"))
@@ -104,10 +98,8 @@ def pauses(spark, d):
 
 
 def summary(spark, d):
-    s = _sections(spark, d).groupBy("book").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") == "failed").alias("failed"),
-                                                F.bool_and(F.col("status").isin("ready", "failed")).alias("done"))
-    engine = F.when(F.col("ready") == F.col("total"), "local").when(F.col("ready") == 0, "remote").otherwise("mixed")
-    return s.withColumn("engine", engine)
+    return sections_of(spark, d).groupBy("book").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") == "failed").alias("failed"),
+                                                     F.bool_and(F.col("status").isin("ready", "failed")).alias("done"))
 
 
 def replan(spark, d):
@@ -128,12 +120,6 @@ def replan(spark, d):
     )
 
 
-def needs(spark, d):
-    """Sections still to be narrated: pending ones, and failed ones where the reader stands (the book's first)."""
-    force = F.col("section") == 0
-    return _sections(spark, d).select("book", "section", F.when(force & (F.col("status") == "failed"), True).when(F.col("status").isin("ready", "failed"), False).otherwise(True).alias("needs"))
-
-
 def overlaps(spark, d):
     """Highlights of a document that overlap: conversations' turns stand for documents' highlight spans."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", (F.length("text") % 97).alias("lo")).withColumn("hi", F.col("lo") + F.col("turn") * 3)
@@ -148,16 +134,16 @@ def token_marks(spark, d):
 
 
 QUERIES = {
-    "W1_W2_timeline": axis, "W3_chunk_starts": chunk_starts, "W4_prefix": prefix, "W5_U1_lane2": lane2, "W6_gaps": gaps, "W8_D11_nearest": nearest_ready,
+    "W1_W2_timeline": axis, "W3_chunk_starts": chunk_starts, "W4_prefix": prefix, "W6_gaps": gaps, "W8_D11_nearest": nearest_ready,
     "J9_D7_position": position_at, "J10_J11_chunk_at": chunk_at, "D7_ready_to_global": ready_to_global, "D1_D3_D4_timings": timings, "D2_pauses": pauses,
-    "A8_A19_A21_summary": summary, "J4_A9_A10_replan": replan, "P11_needs": needs, "J7_overlaps": overlaps, "J6_tokens": token_marks,
+    "A8_A21_summary": summary, "J4_A9_A10_replan": replan, "J7_overlaps": overlaps, "J6_tokens": token_marks,
 }
 
-_SECTIONS = """sec AS (
+SECTIONS_SQL = """sec AS (
   SELECT o_custkey AS book, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS section,
          CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status,
          CAST(floor(o_totalprice) AS BIGINT) AS duration_ms, CASE WHEN o_orderkey % 7 = 0 THEN 500 ELSE 0 END AS partial_ms, o_orderkey AS key FROM orders)"""
-_LINE = f"""{_SECTIONS}, m AS (
+LINE_SQL = f"""{SECTIONS_SQL}, m AS (
   SELECT *, CASE WHEN status <> 'ready' AND partial_ms > 0 THEN partial_ms ELSE duration_ms END AS len_ms, status = 'ready' OR partial_ms > 0 AS ready FROM sec),
 tl AS (SELECT book, section, status, len_ms, ready, CAST(sum(len_ms) OVER w AS BIGINT) - len_ms AS start_ms, CAST(sum(len_ms) OVER w AS BIGINT) AS end_ms,
   CAST(sum(CASE WHEN ready THEN len_ms ELSE 0 END) OVER w AS BIGINT) - CASE WHEN ready THEN len_ms ELSE 0 END AS ready_start
@@ -165,25 +151,21 @@ tl AS (SELECT book, section, status, len_ms, ready, CAST(sum(len_ms) OVER w AS B
 _STARTS = """st AS (SELECT l_orderkey AS section, l_linenumber AS chunk, l_partkey AS part,
   CAST(sum(CAST(l_quantity * 100 AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity * 100 AS BIGINT) ROWS UNBOUNDED PRECEDING) AS BIGINT) - CAST(l_quantity * 100 AS BIGINT) AS start_ms,
   CAST(l_quantity * 100 AS BIGINT) AS duration_ms FROM lineitem)"""
-_PROBES = "pr AS (SELECT event_id, user_id AS book, CAST(trunc(value * 20000) AS BIGINT) AS t FROM events)"
+PROBES_SQL = "pr AS (SELECT event_id, user_id AS book, CAST(trunc(value * 20000) AS BIGINT) AS t FROM events)"
 _PAUSE = """CASE WHEN right(rtrim({x}, '"''”’»)]}'), 1) IN ('.', '!', '?') THEN 200 WHEN right(rtrim({x}, '"''”’»)]}'), 1) IN (',', '—', ':') THEN 100 ELSE 0 END"""
 _MARKS = "hl AS (SELECT conv_id, turn, length(text) % 97 AS lo, length(text) % 97 + turn * 3 AS hi FROM conversations)"
 ORACLES = {
-    "W1_W2_timeline": f"WITH {_LINE} SELECT * FROM tl",
+    "W1_W2_timeline": f"WITH {LINE_SQL} SELECT * FROM tl",
     "W3_chunk_starts": f"WITH {_STARTS} SELECT * FROM st",
     "W4_prefix": """WITH c AS (SELECT l_orderkey AS section, l_linenumber AS chunk, sum(CAST(l_quantity * 100 AS BIGINT)) AS dur, bool_and(l_returnflag <> 'R') AS done FROM lineitem GROUP BY 1, 2),
 o AS (SELECT *, min(CAST(done AS INTEGER)) OVER (PARTITION BY section ORDER BY chunk ROWS UNBOUNDED PRECEDING) = 1 AS ok FROM c)
 SELECT section, count(*) FILTER (ok) AS playable, CAST(coalesce(sum(dur) FILTER (ok), 0) AS BIGINT) AS playable_ms FROM o GROUP BY 1""",
-    "W5_U1_lane2": f"""WITH {_SECTIONS}, n AS (SELECT l_orderkey AS key, count(*) AS n_chunks FROM lineitem GROUP BY 1),
-p AS (SELECT book, section, coalesce(n_chunks, 0) AS n_chunks FROM sec LEFT JOIN n USING (key) WHERE section > 0 AND status = 'pending'),
-s AS (SELECT *, CAST(coalesce(sum(n_chunks) OVER (PARTITION BY book ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before FROM p)
-SELECT * FROM s WHERE spent_before < 8""",
-    "W6_gaps": f"""WITH {_LINE}, r AS (SELECT *, lead(start_ms) OVER (PARTITION BY book ORDER BY section) AS nx FROM tl WHERE ready)
+    "W6_gaps": f"""WITH {LINE_SQL}, r AS (SELECT *, lead(start_ms) OVER (PARTITION BY book ORDER BY section) AS nx FROM tl WHERE ready)
 SELECT book, section, ready_start AS at, nx - end_ms AS gap_ms FROM r WHERE nx > end_ms""",
-    "W8_D11_nearest": f"""WITH {_SECTIONS} SELECT book, section, coalesce(
+    "W8_D11_nearest": f"""WITH {SECTIONS_SQL} SELECT book, section, coalesce(
   min(section) FILTER (status = 'ready') OVER (PARTITION BY book ORDER BY section ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
   max(section) FILTER (status = 'ready') OVER (PARTITION BY book ORDER BY section ROWS UNBOUNDED PRECEDING)) AS nearest FROM sec""",
-    "J9_D7_position": f"""WITH {_LINE}, {_PROBES}, tot AS (SELECT book, max(end_ms) AS total FROM tl GROUP BY 1),
+    "J9_D7_position": f"""WITH {LINE_SQL}, {PROBES_SQL}, tot AS (SELECT book, max(end_ms) AS total FROM tl GROUP BY 1),
 q AS (SELECT event_id, book, greatest(0, least(t, total)) AS t FROM pr JOIN tot USING (book)),
 x AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY section DESC) AS n FROM q JOIN tl USING (book) WHERE start_ms <= t)
 SELECT event_id, book, section, greatest(0, least(t - start_ms, len_ms)) AS "offset" FROM x WHERE n = 1""",
@@ -191,7 +173,7 @@ SELECT event_id, book, section, greatest(0, least(t - start_ms, len_ms)) AS "off
 x AS (SELECT section, t, chunk, part, row_number() OVER (PARTITION BY section ORDER BY (start_ms + 200 <= t + 90) DESC,
    CASE WHEN start_ms + 200 <= t + 90 THEN start_ms ELSE -start_ms END DESC, CASE WHEN start_ms + 200 <= t + 90 THEN chunk * 1000000 + part ELSE -(chunk * 1000000 + part) END DESC) AS n FROM pr LEFT JOIN st USING (section))
 SELECT section, t, chunk, part FROM x WHERE n = 1""",
-    "D7_ready_to_global": f"""WITH {_LINE}, {_PROBES}, sg AS (SELECT *, lead(start_ms) OVER (PARTITION BY book ORDER BY section) AS nx FROM tl WHERE ready),
+    "D7_ready_to_global": f"""WITH {LINE_SQL}, {PROBES_SQL}, sg AS (SELECT *, lead(start_ms) OVER (PARTITION BY book ORDER BY section) AS nx FROM tl WHERE ready),
 tot AS (SELECT book, max(ready_start + len_ms) AS total FROM sg GROUP BY 1), q AS (SELECT event_id, book, greatest(0, least(t, total)) AS r FROM pr JOIN tot USING (book)),
 x AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ready_start DESC, section DESC) AS n FROM q JOIN sg USING (book) WHERE ready_start <= r)
 SELECT event_id, book, CASE WHEN r <= ready_start + len_ms THEN start_ms + r - ready_start ELSE coalesce(nx, start_ms + len_ms) END AS global_ms FROM x WHERE n = 1""",
@@ -205,12 +187,10 @@ s AS (SELECT *, CAST(sum(p) OVER a AS DOUBLE) AS total, CAST(sum(k) OVER a AS DO
 c AS (SELECT *, CASE WHEN total >= d THEN d * CAST(0.5 AS DOUBLE) / total ELSE CAST(1 AS DOUBLE) END AS scale FROM s)
 SELECT conv_id, turn, w, CAST(round_even((d - total * scale) * ck / weight + cp * scale, 0) AS BIGINT) AS s,
   CAST(CASE WHEN w = n - 1 THEN round_even(d, 0) ELSE round_even(least(d, (d - total * scale) * (ck + k) / weight + cp * scale), 0) END AS BIGINT) AS e FROM c""",
-    "A8_A19_A21_summary": f"""WITH {_SECTIONS}, g AS (SELECT book, count(*) AS total, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'failed') AS failed, bool_and(status IN ('ready', 'failed')) AS done FROM sec GROUP BY 1)
-SELECT *, CASE WHEN ready = total THEN 'local' WHEN ready = 0 THEN 'remote' ELSE 'mixed' END AS engine FROM g""",
+    "A8_A21_summary": f"""WITH {SECTIONS_SQL} SELECT book, count(*) AS total, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'failed') AS failed, bool_and(status IN ('ready', 'failed')) AS done FROM sec GROUP BY 1""",
     "J4_A9_A10_replan": """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_quantity ORDER BY l_extendedprice DESC, l_suppkey DESC) AS n FROM lineitem WHERE l_returnflag <> 'R') WHERE n = 1),
 j AS (SELECT a.l_orderkey, o.n IS NOT NULL AS known, coalesce(o.l_linestatus = 'F', false) AS kept FROM lineitem a LEFT JOIN o USING (l_orderkey, l_linenumber, l_partkey, l_quantity))
 SELECT l_orderkey, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept AND known) AS stale, count(*) FILTER (NOT known) AS fresh, bool_or(NOT kept) AS reset FROM j GROUP BY 1""",
-    "P11_needs": f"""WITH {_SECTIONS} SELECT book, section, CASE WHEN section = 0 AND status = 'failed' THEN true WHEN status IN ('ready', 'failed') THEN false ELSE true END AS needs FROM sec""",
     "J7_overlaps": f"WITH {_MARKS} SELECT a.conv_id, a.turn, b.turn AS other FROM hl a JOIN hl b ON a.conv_id = b.conv_id AND a.turn < b.turn AND a.lo <= b.hi AND b.lo <= a.hi",
     "J6_tokens": f"WITH {_MARKS}, t AS (SELECT conv_id, turn, unnest(generate_series(lo, hi)) AS ti FROM hl) SELECT conv_id, ti, max(turn) AS shown FROM t GROUP BY 1, 2",
 }
