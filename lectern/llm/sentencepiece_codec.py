@@ -159,6 +159,10 @@ class Codec:
         ids = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in split]
         return ids if processor is None else (ids, [not self.unlike or self.unlike.isdisjoint(words) for words in split])
 
+    def forget(self) -> None:
+        """Empties the memory of words: a worker that waits for other work holds none."""
+        self.known, self.unlike = {}, set()
+
     def _compare(self, words: list[str], ids: list[array], processor) -> None:
         """Keeps the words that the library's processor encodes otherwise."""
         # The library sets the first marker itself, but not before an empty text: a lone marker follows a letter.
@@ -244,6 +248,7 @@ def encoded(docs: DataFrame, content: bytes, text: str = "text", parity_every: i
                 back = iter(codec.tokenizer.decode_batch([i.tolist() for i, c in zip(ids, whole) if c], skip_special_tokens=False)) if whole.any() else iter(())
                 same = pa.array([(not w or (next(own) == i.tolist()) & (next(back) == t)) and a if c else None for i, t, c, a, w in zip(ids, texts, look, alike, whole)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(some[n] for n in names), lists, decoded, same], [*names, "token_ids", "decoded", "parity"])
+        codec.forget()
 
     checked = F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(parity_every)) == 0)
     whole = F.col(text).isNotNull() & (F.pmod(F.xxhash64(text), F.lit(whole_every)) == 0)
