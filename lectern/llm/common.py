@@ -99,16 +99,17 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def split_groups(df: DataFrame, key: str, row: str, most: int) -> DataFrame:
+def split_groups(df: DataFrame, key: str, row: str, most: int, unlike: str | None = None) -> DataFrame:
     """Rows of keys held by two rows or more, dealt into pairs of blocks of about ``most`` rows.
 
     Adds ``bi <= bj`` and ``side`` (0: the row is of block bi, 1: of block bj).
     Every two rows of a key meet in exactly one (key, bi, bj). A key of n rows
     has ceil(n / most) blocks, and a row is repeated once for each block of its
     key, so no task ever gets a whole hot key. ``row`` names the column whose
-    hash deals rows to blocks.
+    hash deals rows to blocks. With ``unlike``, a column, keys all of whose rows
+    are equal in it are left out.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *((F.min(unlike).alias("_u"), F.max(unlike).alias("_v")) if unlike else ())).where("_n > 1" + (" AND _u <> _v" if unlike else ""))
     sized = sizes.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_nb"))
     with_n = df.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(16))).join(
         sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<bigint>"))), [key, "_salt"]
@@ -134,43 +135,43 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     step is a shuffle of the edges by one end, and every second one is written
     to the shared folder. Ids without an edge don't appear. A node's neighbours
     are never gathered: each step takes a minimum per node and joins it back.
+    Raises RuntimeError if ``rounds`` don't suffice; they are logarithmic in the longest path.
     """
     now = stored(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    before = _digest(now)
-    for _ in range(rounds if before[0] else 0):
+    while not _are_stars(now):
+        if not rounds:
+            raise RuntimeError("components haven't settled")
+        rounds -= 1
         # Large star: every larger neighbour of u is linked to the smallest of u's neighbourhood.
-        both = now.union(now.select("v", "u"))
+        both = now.select(_both_ways("u", "v", "v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _salted(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = _salted(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: u and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = _salted(large, low)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
+        small = _salted(large, low).select(_both_ways("v", "m", "u", "m"))
         now = stored(small.where("u <> v").distinct())
-        after = _digest(now)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components haven't settled in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
 
 
+def _both_ways(a: str, b: str, c: str, d: str) -> F.Column:
+    """Two rows (u, v) of each: (a, b) and (c, d)."""
+    return F.inline(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(c).alias("u"), F.col(d).alias("v"))))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge (u, v) leads from a node with one edge to a node from which none leads."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))))
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR (out = 1 AND in = 1)").isEmpty()
+
+
 def _salted(pairs: DataFrame, low: DataFrame, parts: int = 32) -> DataFrame:
     """pairs (u, v) with the minimum m of u; the pairs of one u are dealt to ``parts`` tasks."""
     return pairs.withColumn("_s", F.pmod(F.hash("v"), F.lit(parts))).join(
         low.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["u", "_s"]
     ).select("u", "v", "m")
-
-
-def _digest(edges: DataFrame) -> tuple:
-    """Equal for equal sets of edges."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())

@@ -232,10 +232,14 @@ def _classed(docs: DataFrame, similar: float, size: int) -> DataFrame:
     return keyed.join(spread, ["_key", "_s"], "left")
 
 
-def _lists(listed: DataFrame, *more: str) -> DataFrame:
-    """Rows of inverted lists (list, key, n, sketch, more) in blocks, sorted by block and key."""
-    dealt = split_groups(listed, "list", "key", BLOCK).select("list", "bi", "bj", "side", "key", "n", "sketch", *more)
-    return dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key")
+def _lists(rows: DataFrame, *more: str, unlike: str | None = None) -> DataFrame:
+    """rows (key, n, sketch, more) in the blocks of their inverted lists, sorted by list, block and key.
+
+    Lists are dealt to blocks as pairs (list, key); sketches follow only to the places that are left.
+    """
+    narrow = rows.select(F.explode("sketch").alias("list"), "key", *([unlike] if unlike else []))
+    dealt = split_groups(narrow, "list", "key", BLOCK, unlike).select("list", "bi", "bj", "side", "key")
+    return dealt.join(rows.select("key", "n", "sketch", *more), "key").repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key").select("list", "bi", "bj", "side", "key", "n", "sketch", *more)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, list[tuple[int, int, np.ndarray]]]]:
@@ -284,7 +288,7 @@ def _first_pairs(sketches: DataFrame, similar: float) -> DataFrame:
                 both = np.unique(np.stack((np.minimum(i, j), np.maximum(i, j))), axis=1)
                 yield from _grouped(table["key"], *both)
 
-    listed = _lists(sketches.withColumn("list", F.explode("sketch"))).mapInArrow(choose, "a binary, bs array<binary>")
+    listed = _lists(sketches).mapInArrow(choose, "a binary, bs array<binary>")
     # A text meets the same partners in many lists: they are made one before pairs are formed.
     # Rows of a list stand in the order of their keys: a < b.
     return listed.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
@@ -321,10 +325,7 @@ def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
                 yield from _grouped(table["key"], i, j)
 
     # Only lists with texts of several classes have pairs left.
-    elements = classes.select(F.explode("sketch").alias("list"), "component")
-    mixed = elements.groupBy("list").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u <> v").select("list")
-    listed = classes.withColumn("list", F.explode("sketch")).join(mixed, "list", "left_semi")
-    return _lists(listed, "component", "odd").mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
+    return _lists(classes, "component", "odd", unlike="component").mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
