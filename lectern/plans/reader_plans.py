@@ -19,7 +19,7 @@ def _keys(spark, d):
     return sections_of(spark, d).select("key", "book", "section")
 
 
-def _chunks(spark, d):
+def chunks_of(spark, d):
     """book, section, chunk, start_in_section, duration_ms, n_words, ready, remote, aligned, text key."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey")
     li = table(spark, d, "lineitem").withColumn("duration_ms", (F.col("l_quantity") * 100).cast("long"))
@@ -30,7 +30,7 @@ def _chunks(spark, d):
 
 def _words(spark, d):
     """Words of ready chunks, evenly over their durations; times from the section's start."""
-    c = _chunks(spark, d).where("ready AND n_words > 0").withColumn("w", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)))
+    c = chunks_of(spark, d).where("ready AND n_words > 0").withColumn("w", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)))
     at = lambda k: F.col("start_in_section") + F.floor(k * F.col("duration_ms") / F.col("n_words"))
     return c.select("book", "section", "chunk", "w", at(F.col("w")).alias("s"), at(F.col("w") + 1).alias("e"))
 
@@ -43,7 +43,7 @@ def _live(spark, d):
     return sections_of(spark, d).where("key % 4 = 1").select("book", "section")
 
 
-def _statuses(spark, d):
+def statuses_of(spark, d):
     """Sections in all seven states by their keys, every third one where the reader stands."""
     names = F.array(*map(F.lit, ("pending", "synthesizing", "aligning", "encoding", "ready", "failed")))
     counts = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("n_chunks"))
@@ -53,7 +53,7 @@ def _statuses(spark, d):
 
 
 def _pending(spark, d):
-    return _statuses(spark, d).withColumn("status", F.coalesce("status", F.lit("pending")))
+    return statuses_of(spark, d).withColumn("status", F.coalesce("status", F.lit("pending")))
 
 
 def _boosts(spark, d):
@@ -72,7 +72,7 @@ def word_at(spark, d):
 
 
 def snapshot(spark, d):
-    found = R.snapshots(probes_of(spark, d), _axis(spark, d), _chunks(spark, d), _words(spark, d))
+    found = R.snapshots(probes_of(spark, d), _axis(spark, d), chunks_of(spark, d), _words(spark, d))
     return found.select("event_id", "section", "offset", "word_idx", F.round("percent", 6).alias("percent"), "section_start_ms")
 
 
@@ -122,11 +122,11 @@ def hit_chunks(spark, d):
 
 
 def overlay(spark, d):
-    return R.overlaid(_statuses(spark, d), _live(spark, d)).select("book", "section", "shown")
+    return R.overlaid(statuses_of(spark, d), _live(spark, d)).select("book", "section", "shown")
 
 
 def needs(spark, d):
-    return R.needed(_statuses(spark, d), _live(spark, d)).select("book", "section", "needs")
+    return R.needed(statuses_of(spark, d), _live(spark, d)).select("book", "section", "needs")
 
 
 def lanes(spark, d):
@@ -154,14 +154,14 @@ def library_rows(spark, d):
 
 
 def timings_merged(spark, d):
-    slim = _statuses(spark, d).select("book", "section", "status", F.when(F.col("key") % 3 == 0, F.lit(-1).cast("long")).alias("words"))
+    slim = statuses_of(spark, d).select("book", "section", "status", F.when(F.col("key") % 3 == 0, F.lit(-1).cast("long")).alias("words"))
     full = _words(spark, d).where("section % 2 = 0").groupBy("book", "section").agg(F.count(F.lit(1)).alias("words"))
     return R.merged_timings(slim, full).select("book", "section", "words")
 
 
 def section_stamps(spark, d):
     """Engine and alignment of each section, by its chunks."""
-    return _chunks(spark, d).groupBy("book", "section").agg(
+    return chunks_of(spark, d).groupBy("book", "section").agg(
         R.engine_stamp(F.count_if(F.col("l_returnflag") == "A"), F.count_if(F.col("l_returnflag") == "N"), "remote:m", "k").alias("engine"),
         F.when(F.bool_and(F.col("l_linestatus") == "F"), "whisperx").otherwise("interp").alias("alignment"),
     )
@@ -169,13 +169,13 @@ def section_stamps(spark, d):
 
 def replan_eligible(spark, d):
     """Pending sections none of whose chunks has been spoken."""
-    spoken = _chunks(spark, d).where("ready AND n_words > 0").select("book", "section").distinct()
+    spoken = chunks_of(spark, d).where("ready AND n_words > 0").select("book", "section").distinct()
     return _pending(spark, d).where("status = 'pending'").join(spoken, ["book", "section"], "left_anti").select("book", "section")
 
 
 def ready_chunks(spark, d):
     """Chunks whose audio is usable: ready and with words; those of kept and of stale audio in ms."""
-    c = _chunks(spark, d).withColumn("usable", F.col("ready") & (F.col("n_words") > 0))
+    c = chunks_of(spark, d).withColumn("usable", F.col("ready") & (F.col("n_words") > 0))
     return c.groupBy("book").agg(F.count_if("usable").alias("usable"), F.sum(F.when(F.col("usable"), F.col("duration_ms")).otherwise(0)).alias("kept_ms"), F.sum(F.when(F.col("ready") & ~F.col("usable"), F.col("duration_ms")).otherwise(0)).alias("stale_ms"))
 
 
@@ -252,11 +252,11 @@ QUERIES = {
 }
 
 # -- SQL twins -----------------------------------------------------------------------------------
-_CHUNKS = f"""{SECTIONS_SQL}, ch AS (
+CHUNKS_SQL = f"""{SECTIONS_SQL}, ch AS (
   SELECT book, section, CAST(row_number() OVER w - 1 AS INTEGER) AS chunk, CAST(sum(CAST(l_quantity * 100 AS BIGINT)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - CAST(l_quantity * 100 AS BIGINT) AS st, CAST(l_quantity * 100 AS BIGINT) AS dur,
     CAST(l_partkey % 4 AS INTEGER) AS n_words, l_returnflag <> 'R' AS ready, l_returnflag, l_linestatus
   FROM lineitem JOIN sec ON sec.key = l_orderkey WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_suppkey))"""
-_WORDS = f"""{_CHUNKS}, wd AS (SELECT book, section, chunk, CAST(w AS INTEGER) AS w, st + CAST(floor(w * dur / n_words) AS BIGINT) AS s, st + CAST(floor((w + 1) * dur / n_words) AS BIGINT) AS e
+_WORDS = f"""{CHUNKS_SQL}, wd AS (SELECT book, section, chunk, CAST(w AS INTEGER) AS w, st + CAST(floor(w * dur / n_words) AS BIGINT) AS s, st + CAST(floor((w + 1) * dur / n_words) AS BIGINT) AS e
   FROM (SELECT *, unnest(range(n_words)) AS w FROM ch WHERE ready AND n_words > 0))"""
 _AXIS = LINE_SQL.removeprefix(SECTIONS_SQL + ", ")
 _AT = f"""{_WORDS}, {_AXIS}, {PROBES_SQL}, tot AS (SELECT book, max(end_ms) AS total FROM tl GROUP BY 1),
@@ -331,10 +331,10 @@ SELECT b.book, CAST(coalesce(i.section, least_) AS INTEGER) AS section FROM b LE
 SELECT c_custkey AS book, total, ready, failed, active FROM customer LEFT JOIN g ON g.book = c_custkey""",
     "J18_merge": f"""WITH {_WORDS}, f AS (SELECT book, section, count(*) AS words FROM wd WHERE section % 2 = 0 GROUP BY 1, 2)
 SELECT book, section, CASE WHEN sec.key % 3 = 0 THEN -1 WHEN sec.key % 7 = 4 THEN words END AS words FROM sec LEFT JOIN f USING (book, section)""",
-    "A19_A20_stamps": f"""WITH {_CHUNKS} SELECT book, section, CASE WHEN count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'N') > 0 THEN 'remote:m+k' WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN 'remote:m' ELSE 'k' END AS engine,
+    "A19_A20_stamps": f"""WITH {CHUNKS_SQL} SELECT book, section, CASE WHEN count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'N') > 0 THEN 'remote:m+k' WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN 'remote:m' ELSE 'k' END AS engine,
   CASE WHEN bool_and(l_linestatus = 'F') THEN 'whisperx' ELSE 'interp' END AS alignment FROM ch GROUP BY 1, 2""",
-    "P17_eligible": f"WITH {_STATUS}, {_CHUNKS.removeprefix(SECTIONS_SQL + ', ')} SELECT book, section FROM pd WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.book = pd.book AND ch.section = pd.section AND ready AND n_words > 0)",
-    "P12_A25_usable": f"""WITH {_CHUNKS} SELECT book, count(*) FILTER (ready AND n_words > 0) AS usable, CAST(coalesce(sum(dur) FILTER (ready AND n_words > 0), 0) AS BIGINT) AS kept_ms, CAST(coalesce(sum(dur) FILTER (ready AND n_words = 0), 0) AS BIGINT) AS stale_ms FROM ch GROUP BY 1""",
+    "P17_eligible": f"WITH {_STATUS}, {CHUNKS_SQL.removeprefix(SECTIONS_SQL + ', ')} SELECT book, section FROM pd WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.book = pd.book AND ch.section = pd.section AND ready AND n_words > 0)",
+    "P12_A25_usable": f"""WITH {CHUNKS_SQL} SELECT book, count(*) FILTER (ready AND n_words > 0) AS usable, CAST(coalesce(sum(dur) FILTER (ready AND n_words > 0), 0) AS BIGINT) AS kept_ms, CAST(coalesce(sum(dur) FILTER (ready AND n_words = 0), 0) AS BIGINT) AS stale_ms FROM ch GROUP BY 1""",
     "W12_spines": f"""WITH t AS (SELECT c_mktsegment AS shelf, c_custkey AS id, c_name || '/' || c_mktsegment AS title FROM customer),
 h AS (SELECT shelf, id, {_fnv('title')} % 10 AS c, {_fnv("'#' || title")} % 9 AS cs, {_fnv("'|' || title")} % 9 AS w, {_fnv("'w#' || title")} % 8 AS ws, {_fnv("'=' || title")} % 4 AS t, {_fnv("'t#' || title")} % 3 AS ts FROM t),
 l AS (SELECT shelf, list_reduce(list([struct_pack(id := id, c := c, cs := cs, w := w, ws := ws, t := t, ts := ts)] ORDER BY id), lambda a, x: list_concat(a, [struct_pack(id := x[1].id,

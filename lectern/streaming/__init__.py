@@ -1 +1 @@
-
+"""Event streams with keyed state."""
