@@ -52,9 +52,11 @@ def kept_class() -> str:
 
 def normalized(text: Column) -> Column:
     """Composed, ligatures written out, odd breaks and blanks made plain, all but the kept code points dropped."""
-    out = composed(F.coalesce(text, F.lit("")))
+    whole = composed(F.coalesce(text, F.lit("")))
+    out = whole
     for odd, plain in LIGATURES.items():
         out = F.replace(out, F.lit(odd), F.lit(plain))
+    out = F.when(whole.rlike(f"[{''.join(LIGATURES)}]"), out).otherwise(whole)  # few texts hold any
     out = F.translate(out, "\u2028\u2029\x0b\t\u00a0\u00ad\r", "\n\n\n  ")
     return F.regexp_replace(out, f"[^{kept_class()}]", "")
 
@@ -95,15 +97,25 @@ def starts_sentence(word: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of a cleaned paragraph; an empty one has none. A break depends on two neighbouring words only."""
+    """Sentences of a cleaned paragraph; an empty one has none. A break depends on two neighbouring words only.
 
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        marked = F.transform(w, lambda x, i: F.when((i + 1 < n) & ends_sentence(x) & starts_sentence(F.get(w, i + 1)), F.concat(x, F.lit(BREAK))).otherwise(F.concat(x, F.lit(" "))))
-        return F.transform(F.split(F.array_join(marked, ""), BREAK), lambda s: F.trim(s))
+    One pass marks the gaps between a word that ends in a full stop, question or
+    exclamation mark (closing marks behind it aside) and one that can begin a
+    sentence; only words before such gaps are looked at more closely.
+    """
+    marked = F.regexp_replace(text, "([.!?][\"'\u201d\u2019)\\]]*) (?=[\u201c\u2018'\"(\\[\\-\\p{Lu}])", f"$1{BREAK}")
 
-    found = F.transform(F.array(F.split(text, " ")), of)[0]
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.filter(found, lambda s: s != ""))
+    def of(parts: Column) -> Column:
+        last = F.size(parts) - 1
+
+        def closed(part: Column, i: Column) -> Column:
+            ends = (i < last) & ends_sentence(F.substring_index(part, " ", -1))
+            return F.concat(part, F.when(ends, F.lit(BREAK)).otherwise(F.lit(" ")))
+
+        return F.transform(F.split(F.array_join(F.transform(parts, closed), ""), BREAK), lambda s: F.trim(s))
+
+    found = F.transform(F.array(F.split(marked, BREAK)), of)[0]
+    return F.when(text == "", F.array().cast("array<string>")).when(~marked.contains(BREAK), F.array(F.trim(text))).otherwise(F.filter(found, lambda s: s != ""))
 
 
 def units(sents: Column) -> Column:
