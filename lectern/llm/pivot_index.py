@@ -18,6 +18,8 @@ from lectern.llm.common import components, group_starts, small_batches, sorted_g
 LINK = 0.95
 #: Nearest pivots that describe a vector, and how many of them two vectors must share to be compared.
 NEAREST, SHARED = 6, 2
+#: Pivots count together only if their places in a vector's order, from 0, sum up to this at most: the far ones count beside near ones.
+EARLY = 6
 #: No two pivots have a larger cosine: a dense group of vectors has one pivot, not a share of them.
 APART = 0.7
 
@@ -70,17 +72,18 @@ def permutation_prefix(vectors: np.ndarray, pivots: np.ndarray, length: int = NE
     return out
 
 
-def list_keys(prefix: np.ndarray, pivots: int, shared: int = SHARED) -> np.ndarray:
-    """Keys of the inverted lists of each vector: one for every ``shared`` of its nearest pivots, ascending in a row.
+def list_keys(prefix: np.ndarray, pivots: int, shared: int = SHARED, early: int = EARLY) -> np.ndarray:
+    """Keys of the inverted lists of each vector, ascending in a row: one for every ``shared`` of its nearest pivots that stand early enough in its order.
 
-    Two vectors meet in a list exactly if they share that many pivots; c shared
-    pivots make comb(c, shared) meetings.
+    Two vectors meet in a list exactly if they share that many pivots that are
+    early in both orders; each further shared pivot makes more meetings.
     """
-    inner = np.sort(prefix, 1)
-    keys = np.zeros((len(prefix), math.comb(prefix.shape[1], min(shared, prefix.shape[1]))), np.int64)
-    for k, places in enumerate(combinations(range(prefix.shape[1]), min(shared, prefix.shape[1]))):
-        for i in places:
-            keys[:, k] = keys[:, k] * (pivots + 1) + inner[:, i] + 1
+    places = [p for p in combinations(range(prefix.shape[1]), min(shared, prefix.shape[1])) if sum(p) <= max(early, sum(range(shared)))]
+    keys = np.zeros((len(prefix), len(places)), np.int64)
+    for k, own in enumerate(places):
+        chosen = np.sort(prefix[:, own], 1)  # a list knows its pivots, not their order
+        for i in range(len(own)):
+            keys[:, k] = keys[:, k] * (pivots + 1) + chosen[:, i] + 1
     return np.sort(keys, 1)
 
 
@@ -154,7 +157,9 @@ def _links(classes: DataFrame, pivots: dict[int, np.ndarray], link: float, neare
                 yield pa.record_batch([some["class"], some["copies"], some["v"], pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["class", "copies", "v", "keys"])
 
     index = classes.select("class", "copies", "v").mapInArrow(listed, f"class long, copies long, v {kind}, keys array<long>")
-    dealt = split_groups(index.withColumn("key", F.explode("keys")), "key", "class", block)
+    index = stored(index)
+    # Lists are dealt to blocks as pairs (key, class); vectors follow only to the places that are left.
+    dealt = split_groups(index.select(F.explode("keys").alias("key"), "class"), "key", "class", block).join(index, "class")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _of_one_length(sorted_groups(batches, ["key", "bi", "bj"], 2 * block)):

@@ -58,3 +58,30 @@ def test_lengths_are_compared_each_for_itself(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in given], "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in pivot_index.near_duplicates(rows).collect()}
     assert got == {0: (0, 0)} | {at + i: (2, at + i - i % 3) for at in (1, 101) for i in range(30)}
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs of cosine 0.95 to 0.97 among many unlike vectors."""
+    rng = np.random.default_rng(21)
+    for width in (64, 256):
+        base = rng.normal(size=(300, width))
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        other = rng.normal(size=base.shape)
+        other -= (other * base).sum(1, keepdims=True) * base
+        other /= np.linalg.norm(other, axis=1, keepdims=True)
+        cosine = rng.uniform(0.951, 0.97, (300, 1))
+        noise = rng.normal(size=(2400, width))
+        vectors = np.concatenate((base, cosine * base + np.sqrt(1 - cosine**2) * other, noise))
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.component_id for r in pivot_index.near_duplicates(rows).collect()}
+        found = sum(got[300 + i] == i for i in range(300))
+        print("recall", width, found / 300)
+        assert found >= 0.95 * 300
+        assert all(got[i] == i for i in range(600, 3000))
+
+
+def test_lists_use_the_order_of_pivots():
+    keys = pivot_index.list_keys(np.array([[3, 1, 4, 0, 5, 2], [2, 5, 0, 4, 1, 3]]), 6)
+    assert keys.shape == (2, 11) and all(len(set(k)) == 11 for k in keys.tolist())
+    # The same six pivots in reverse order share fewer lists than there are.
+    assert 0 < len(set(keys[0]) & set(keys[1])) < 11
