@@ -185,11 +185,13 @@ def rows_of_anchor(data: bytes, at: int, window: int, gram: int, ranges: int) ->
             yield j, xxhash.xxh3_128_digest(data[lo:hi] + bytes((j,))), left, right
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES, most: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES, most: int = 8_000) -> DataFrame:
     """(key, copies, starts, ends): byte spans of each distinct text that stand elsewhere too.
 
     key is the 16-byte md5 of the text. A text with copies is one span, if it
     has a window at all. Only texts with a repeated anchor appear, or copies.
+    A core with more than ``most`` unlike margins isn't sorted in one task: each
+    of its windows is counted by two hashes, 96 bits together, which finds the same windows.
     """
     if (window - gram) % ranges:
         raise ValueError("window - gram must be a multiple of ranges")
@@ -215,7 +217,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
     chosen = both.where("end = 0").drop("end")
     alone = both.where("end > 0").select("key", F.col("at").alias("start"), "end")
     often = chosen.groupBy("h").agg(F.min(F.struct("key", "at")).alias("a"), F.max(F.struct("key", "at")).alias("b")).where("a <> b").select("h")
-    places = chosen.join(often, "h").groupBy("key").agg(F.collect_set("at").alias("ats"))
+    # The places of a frequent anchor are dealt to 16 parts.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s")
+    places = chosen.withColumn("_s", F.pmod(F.xxhash64("key", "at"), F.lit(16)).cast("int")).join(often.select("h", parts), ["h", "_s"]).groupBy("key").agg(F.collect_set("at").alias("ats"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -281,7 +285,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
     return per_text
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES, most: int = 8_000) -> DataFrame:
     """docs (doc_id, text, more) with n_bytes, n_removed, n_spans, spans, kept (binary) and kept_sha256.
 
     A byte goes if a string of ``window`` bytes over it also starts anywhere
@@ -298,7 +302,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
     text = F.coalesce("text", F.lit("")).cast("binary")
     keyed = docs.withColumn("_key", F.unhex(F.md5(text))).withColumn("n_bytes", F.octet_length(text).cast("long"))
     copies = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    spans = repeated_spans(docs.select("text"), window, gram, ranges).withColumnRenamed("key", "_key")
+    spans = repeated_spans(docs.select("text"), window, gram, ranges, most).withColumnRenamed("key", "_key")
     known = stored(spans.join(copies, "_key", "full"))
 
     @F.pandas_udf("n_removed long, n_spans long, spans array<struct<start:int,end:int>>, kept binary, kept_sha256 string")
@@ -318,6 +322,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
 
     every = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = keyed.join(known, "_key", "left").withColumn("_spans", F.when((F.col("_n") > 1) & (F.col("n_bytes") >= window), every).otherwise(F.coalesce("spans", none)))
+    # Rows of one text are dealt to 16 parts; what is known of the text goes to each.
+    dealt = keyed.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(16)).cast("int"))
+    joined = dealt.join(known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["_key", "_s"], "left").withColumn("_spans", F.when((F.col("_n") > 1) & (F.col("n_bytes") >= window), every).otherwise(F.coalesce("spans", none)))
     made = joined.drop("spans").withColumn("_made", apply(text, F.col("_spans")))
     return made.select(*docs.columns, "n_bytes", "_made.*")

@@ -39,3 +39,17 @@ def test_edge_cases(spark):
     check(spark, {1: "one line of text " * 40, 2: "one line of text " * 40})
     empty = spark.createDataFrame([], "doc_id long, text string, kept string, spans int")
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_cores_with_many_margins_match_brute_force(spark):
+    """With ``most`` small the windows of every core are counted instead of sorted."""
+    rng = random.Random(8)
+    core = "".join(rng.choices("abcdefgh", k=60))
+    texts = {i: "".join(rng.choices("xyz", k=rng.randint(0, 30))) + core + "".join(rng.choices("xyz", k=rng.randint(0, 30))) for i in range(60)}
+    for most in (1, 3, 8_000):
+        check(spark, texts, window=48, gram=16, ranges=4, most=most)
+
+
+def test_given_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    check(spark, {r.doc_id: r.text for r in docs})
