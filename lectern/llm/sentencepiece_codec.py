@@ -49,6 +49,18 @@ def merges_of(pieces) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+def names_parted(pieces) -> list:
+    """A splitter behind the first character of every name of a control, unknown or byte piece: such names in a text are text, which a unigram model would take for the pieces."""
+    from tokenizers import Regex, pre_tokenizers
+
+    names = [p.piece for p in pieces if p.type not in (NORMAL, USER_DEFINED) and len(p.piece) > 1]
+    rests: dict[str, list[str]] = {}
+    for name in names:
+        rests.setdefault(name[0], []).append(re.escape(name[1:]))
+    found = "|".join(f"{re.escape(first)}(?={'|'.join(rest)})" for first, rest in rests.items())
+    return [pre_tokenizers.Split(Regex(found), "isolated")] if found else []
+
+
 def build(content: bytes, verify: bool = True):
     """A tokenizers.Tokenizer that encodes and decodes as the model does.
 
@@ -79,9 +91,14 @@ def build(content: bytes, verify: bool = True):
     if norm.escape_whitespaces:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
+    parts = []
     # Where no piece has a marker after another character, no merge crosses the start of a marked word.
     if not any(MARK in p.piece.lstrip(MARK) for p in pieces if p.type == NORMAL):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+        parts.append(pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated"))
+    if trainer.model_type == UNIGRAM:
+        parts += names_parted(pieces)
+    if parts:
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence(parts)
     own = [AddedToken(p.piece, normalized=False) for p in pieces if p.type == USER_DEFINED]
     if own:
         tokenizer.add_tokens(own)
@@ -130,11 +147,14 @@ class Codec:
         self.tokenizer = build(content, verify)
         proto = read_model(content)
         norm = proto.normalizer_spec
+        crossing = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type == NORMAL)
         self.by_word = bool(
-            self.tokenizer.pre_tokenizer and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
+            not crossing and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
             and norm.add_dummy_prefix and norm.escape_whitespaces and not any(p.type == USER_DEFINED for p in proto.pieces)
         )
         self.words = Tokenizer(self.tokenizer.model)
+        if proto.trainer_spec.model_type == UNIGRAM and (parts := names_parted(proto.pieces)):
+            self.words.pre_tokenizer = parts[0]
         self.most_words, self.known, self.unlike = most_words, {}, set()
         self.prefix = norm.add_dummy_prefix
         self.bytes = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
