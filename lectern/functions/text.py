@@ -189,8 +189,13 @@ def looks_like_code(text: Column) -> Column:
 
 
 def fnv32(text: Column) -> Column:
-    """FNV-1a, 32 bits, over the text's code points (for texts of the basic plane)."""
+    """FNV-1a, 32 bits, over the text's UTF-16 units."""
     def step(h: Column, c: Column) -> Column:
-        return F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619), F.lit(1 << 32))
+        return F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32))
 
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261), step)
+    def units(c: Column) -> Column:
+        beyond = c - 0x10000
+        return F.when(c >= 0x10000, F.array(F.shiftright(beyond, 10) + 0xD800, beyond % 0x400 + 0xDC00)).otherwise(F.array(c))
+
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(F.flatten(F.transform(points, units)), F.lit(2166136261), step)

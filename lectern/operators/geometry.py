@@ -264,3 +264,26 @@ def sections(paras: DataFrame, entries: DataFrame) -> DataFrame:
     enough = marked.groupBy("book").agg(F.countDistinct("cut").alias("n")).where("n >= 3").select("book").join(failed, "book")
     chosen = cut.join(enough, "book", "left_anti").unionByName(marked.join(enough, "book").withColumn("way", F.lit("markers")))
     return numbered(chosen)
+
+
+# -- blocks of two readings ----------------------------------------------------------------------
+
+
+def matched_blocks(left: DataFrame, right: DataFrame, same: float = 2.0, most: float = 5.0) -> DataFrame:
+    """left (book, page, block, x0, y0, x1, y1) with other, the right block at the same box; null where there is none.
+
+    The one of the same number, if no side differs by more than ``same``, else
+    the nearest by the sum of differences, up to ``most``; of equally near ones
+    the first. Boxes meet by cells of their corner, so only near ones are compared.
+    """
+    sides = ("x0", "y0", "x1", "y1")
+    cell = lambda c: F.floor(F.col(c) / most)
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    r = right.select("book", "page", F.col("block").alias("_b"), *(F.col(c).alias(f"_{c}") for c in sides), cell("x0").alias("_cx"), cell("y0").alias("_cy"))
+    near = r.withColumn("_dx", around).withColumn("_dy", around).withColumn("_cx", F.col("_cx") + F.col("_dx")).withColumn("_cy", F.col("_cy") + F.col("_dy")).drop("_dx", "_dy")
+    pairs = left.withColumn("_cx", cell("x0")).withColumn("_cy", cell("y0")).join(near, ["book", "page", "_cx", "_cy"])
+    gaps = [F.abs(F.col(c) - F.col(f"_{c}")) for c in sides]
+    hinted = (F.col("block") == F.col("_b")) & (F.greatest(*gaps) <= same)
+    distance = F.when(hinted, -1.0).otherwise(sum(gaps[1:], gaps[0]))
+    best = pairs.withColumn("_d", distance).where(F.col("_d") <= most).groupBy("book", "page", "block").agg(F.min(F.struct("_d", "_b")).alias("m"))
+    return left.join(best.select("book", "page", "block", F.col("m._b").alias("other")), ["book", "page", "block"], "left")

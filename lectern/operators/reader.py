@@ -203,16 +203,16 @@ def moved(base: Column, n: int, seed: Column, bad) -> Column:
 
 
 def spines(books: DataFrame) -> DataFrame:
-    """(shelf, id, cloth, width, tilt): looks by the hash of a title, moved where they would repeat a neighbour's.
+    """(shelf, id, cloth, width, tilt, scale, delay): looks by the hash of a title, moved where they would repeat a neighbour's.
 
     books: shelf, at (place on it), id, title. A cloth differs from the two
     before it, width and tilt from the one before. Each shelf is one fold: its books must fit into a row.
     """
     h = lambda mark, n: (fnv32(F.concat(F.lit(mark), "title")) % n).cast("int")
-    own = F.struct("at", "id", h("", CLOTHS).alias("c"), h("#", CLOTHS - 1).alias("cs"), h("|", len(WIDTHS)).alias("w"), h("w#", len(WIDTHS) - 1).alias("ws"), h("=", TILTS).alias("t"), h("t#", TILTS - 1).alias("ts"))
+    own = F.struct("at", "id", h("", CLOTHS).alias("c"), h("#", CLOTHS - 1).alias("cs"), h("|", len(WIDTHS)).alias("w"), h("w#", len(WIDTHS) - 1).alias("ws"), h("=", TILTS).alias("t"), h("t#", TILTS - 1).alias("ts"), h("~", 11).alias("sc"), h("", 40).alias("de"))
     listed = books.select("shelf", own.alias("b")).groupBy("shelf").agg(F.array_sort(F.collect_list("b")).alias("bs"))
     id_kind = books.schema["id"].dataType.simpleString()
-    kind = f"array<struct<id:{id_kind},cloth:int,width:int,tilt:int>>"
+    kind = f"array<struct<id:{id_kind},cloth:int,width:int,tilt:int,scale:int,delay:int>>"
     widths = F.array(*map(F.lit, WIDTHS))
 
     def step(done: Column, b: Column) -> Column:
@@ -221,10 +221,10 @@ def spines(books: DataFrame) -> DataFrame:
         cloth = moved(b["c"], CLOTHS, b["cs"], lambda i: same(one["cloth"], i) | same(two["cloth"], i))
         width = moved(b["w"], len(WIDTHS), b["ws"], lambda i: same(F.get(widths, one["width"]), F.get(widths, i)))
         tilt = moved(b["t"], TILTS, b["ts"], lambda i: same(one["tilt"], i))
-        return F.concat(done, F.array(F.struct(b["id"].alias("id"), cloth.alias("cloth"), width.alias("width"), tilt.alias("tilt"))).cast(kind))
+        return F.concat(done, F.array(F.struct(b["id"].alias("id"), cloth.alias("cloth"), width.alias("width"), tilt.alias("tilt"), b["sc"].alias("scale"), b["de"].alias("delay"))).cast(kind))
 
     made = listed.select("shelf", F.explode(F.aggregate("bs", F.array().cast(kind), step)).alias("s"))
-    return made.select("shelf", "s.id", "s.cloth", F.get(widths, F.col("s.width")).alias("width"), (F.col("s.tilt") + 82).alias("tilt"))
+    return made.select("shelf", "s.id", "s.cloth", F.get(widths, F.col("s.width")).alias("width"), (F.col("s.tilt") + 82).alias("tilt"), (F.lit(0.9) + F.col("s.scale") / 100).alias("scale"), (F.col("s.delay") / 10).alias("delay"))
 
 
 # -- small rules ---------------------------------------------------------------------------

@@ -115,8 +115,16 @@ def degenerate_books(spark, d):
     return G.degenerate(G.by_headings(_paras(spark, d)))
 
 
+def block_matches(spark, d):
+    """Lines as blocks of one reading, against those of another whose boxes are a little off and whose numbers are one off on odd pages."""
+    left = lines_of(spark, d).select("book", "page", F.col("line").alias("block"), "x0", "y0", "x1", "y1")
+    off = F.col("block") % 4 * 0.75
+    right = left.select("book", "page", (F.col("block") + F.col("page") % 2).alias("block"), F.col("x0") + off, F.col("y0") + off, F.col("x1") - off, F.col("y1") + F.when(F.col("block") % 4 == 3, 3.0).otherwise(0.0)).toDF(*left.columns)
+    return G.matched_blocks(left, right).select("book", "page", "block", "other")
+
+
 QUERIES = {
-    "P8_P13_lines": line_flags, "A11_chrome": chrome_lines, "J13_body": body_lines, "W10_columns": column_order, "W11_breaks": breaks, "T17_T28_paragraphs": paragraph_rows,
+    "J15_blocks": block_matches, "P8_P13_lines": line_flags, "A11_chrome": chrome_lines, "J13_body": body_lines, "W10_columns": column_order, "W11_breaks": breaks, "T17_T28_paragraphs": paragraph_rows,
     "P7_formulas": formula_paragraphs, "A15_median_size": book_sizes, "A23_contents": contents, "T19_sections": contents_sections, "T20_headings": heading_sections,
     "T21_markers": marker_sections, "A22_degenerate": degenerate_books, "T22_sections": all_sections,
 }
@@ -179,6 +187,10 @@ marks AS (SELECT * EXCLUDE (t, m, ms, named) FROM (SELECT *, CAST(count(t) OVER
 _NUMBERED = "SELECT book, para, CAST(dense_rank() OVER (PARTITION BY book ORDER BY cut) - 1 AS INTEGER) AS section, title FROM "
 _DEGENERATE = "SELECT book, CAST(sum(n) AS BIGINT) AS paras, max(n) AS largest, sum(n) > 150 AND max(n) / sum(n) > 0.6 AS degenerate FROM (SELECT book, cut, count(*) AS n FROM {x} GROUP BY 1, 2) GROUP BY 1"
 ORACLES = {
+    "J15_blocks": f"""WITH {_LINES}, r AS (SELECT book, page, CAST(line + page % 2 AS INTEGER) AS b, x0 + line % 4 * CAST(0.75 AS DOUBLE) AS a0, y0 + line % 4 * CAST(0.75 AS DOUBLE) AS a1, x1 - line % 4 * CAST(0.75 AS DOUBLE) AS a2, y1 + CASE WHEN line % 4 = 3 THEN 3 ELSE 0 END AS a3 FROM lines),
+p AS (SELECT l.book, l.page, l.line, r.b, CASE WHEN r.b = l.line AND greatest(abs(x0 - a0), abs(y0 - a1), abs(x1 - a2), abs(y1 - a3)) <= 2 THEN -1 ELSE abs(x0 - a0) + abs(y0 - a1) + abs(x1 - a2) + abs(y1 - a3) END AS dist FROM lines l JOIN r USING (book, page)),
+k AS (SELECT *, row_number() OVER (PARTITION BY book, page, line ORDER BY dist, b) AS n FROM p WHERE dist <= 5)
+SELECT l.book, l.page, l.line AS block, k.b AS other FROM lines l LEFT JOIN k ON k.book = l.book AND k.page = l.page AND k.line = l.line AND n = 1""",
     "P8_P13_lines": f"""WITH {_LINES} SELECT book, count(*) FILTER ({_BAND}) AS in_band, count(*) FILTER ({_NUMBER.replace('{x}', 'text')}) AS page_numbers, count(*) FILTER ({_ENDS.replace('{x}', 'text')}) AS end_sentence,
   count(*) FILTER ({_UPPER.replace('{x}', 'text')}) AS start_upper, sum(greatest(y1 - y0, 1)) AS heights, sum(greatest(x1 - x0, 0)) AS widths FROM lines WHERE {_FULL} GROUP BY 1""",
     "A11_chrome": f"WITH {_CHROME} SELECT * FROM chrome",

@@ -71,6 +71,12 @@ def word_at(spark, d):
     return R.words_at(probes_of(spark, d), _axis(spark, d), _words(spark, d)).select("event_id", "book", "section", "chunk", "w")
 
 
+def lit_words(spark, d):
+    """The word that lights up at a time: words do so 90 ms early."""
+    early = probes_of(spark, d).withColumn("t", F.col("t") + 90)
+    return R.words_at(early, _axis(spark, d), _words(spark, d)).select("event_id", "section", "chunk", "w")
+
+
 def snapshot(spark, d):
     found = R.snapshots(probes_of(spark, d), _axis(spark, d), chunks_of(spark, d), _words(spark, d))
     return found.select("event_id", "section", "offset", "word_idx", F.round("percent", 6).alias("percent"), "section_start_ms")
@@ -244,7 +250,7 @@ def migrated(spark, d):
 
 
 QUERIES = {
-    "D5_D6_words": flat_words, "J19_word_at": word_at, "D8_A18_snapshot": snapshot, "D7_global_to_ready": global_to_ready, "D7_to_global": to_global, "J12_tokens": token_times, "W7_pages": pages_of,
+    "D5_D6_words": flat_words, "J19_word_at": word_at, "J11_lit": lit_words, "D8_A18_snapshot": snapshot, "D7_global_to_ready": global_to_ready, "D7_to_global": to_global, "J12_tokens": token_times, "W7_pages": pages_of,
     "D13_W13_aligned": aligner, "U2_hits": hits, "J8_hit_chunks": hit_chunks, "J16_overlay": overlay, "P11_needs": needs, "W5_U1_lanes": lanes, "J14_tiers": tiers, "L5_boost": start_boost,
     "L6_queue": queue_order, "J17_library": library_rows, "J18_merge": timings_merged, "A19_A20_stamps": section_stamps, "P17_eligible": replan_eligible, "P12_A25_usable": ready_chunks,
     "W12_spines": spine_looks, "L1_L7_bookmarks": bookmark_lists, "P2_highlights": accepted_highlights, "P10_X9_old": old_manifests, "X4_X7_bookmarks": bookmark_changes, "P14_hsl": colours,
@@ -294,6 +300,9 @@ ORACLES = {
     "J19_word_at": f"""WITH {_AT}, q AS (SELECT *, greatest(start_ms, least(t, end_ms)) - start_ms AS rel FROM pos),
 x AS (SELECT event_id, q.book, q.section, chunk, w, row_number() OVER (PARTITION BY event_id ORDER BY (s <= rel) DESC, CASE WHEN s <= rel THEN s ELSE -s END DESC, CASE WHEN s <= rel THEN chunk * 100000 + w ELSE -(chunk * 100000 + w) END DESC) AS k
   FROM q LEFT JOIN wd USING (book, section)) SELECT event_id, book, section, chunk, w FROM x WHERE k = 1""",
+    "J11_lit": f"""WITH {_AT.replace("AS BIGINT) AS t FROM events", "AS BIGINT) + 90 AS t FROM events")}, q AS (SELECT *, greatest(start_ms, least(t, end_ms)) - start_ms AS rel FROM pos),
+x AS (SELECT event_id, q.section, chunk, w, row_number() OVER (PARTITION BY event_id ORDER BY (s <= rel) DESC, CASE WHEN s <= rel THEN s ELSE -s END DESC, CASE WHEN s <= rel THEN chunk * 100000 + w ELSE -(chunk * 100000 + w) END DESC) AS k
+  FROM q LEFT JOIN wd USING (book, section)) SELECT event_id, section, chunk, w FROM x WHERE k = 1""",
     "D8_A18_snapshot": f"""WITH {_AT}, c AS (SELECT * FROM (SELECT ps.*, chunk, row_number() OVER (PARTITION BY event_id ORDER BY (st <= off_) DESC, CASE WHEN st <= off_ THEN st ELSE -st END DESC, CASE WHEN st <= off_ THEN chunk ELSE -chunk END DESC) AS k FROM ps LEFT JOIN ch USING (book, section)) WHERE k = 1),
 x AS (SELECT c.event_id, max(w) AS w FROM c JOIN wd ON wd.book = c.book AND wd.section = c.section AND wd.chunk = c.chunk AND s <= off_ GROUP BY 1)
 SELECT c.event_id, section, off_ AS "offset", coalesce(w, 0) AS word_idx, round(CASE WHEN total > 0 THEN least(100, greatest(0, t / total * 100)) END, 6) AS percent, start_ms AS section_start_ms FROM c LEFT JOIN x USING (event_id)""",
@@ -336,11 +345,11 @@ SELECT book, section, CASE WHEN sec.key % 3 = 0 THEN -1 WHEN sec.key % 7 = 4 THE
     "P17_eligible": f"WITH {_STATUS}, {CHUNKS_SQL.removeprefix(SECTIONS_SQL + ', ')} SELECT book, section FROM pd WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.book = pd.book AND ch.section = pd.section AND ready AND n_words > 0)",
     "P12_A25_usable": f"""WITH {CHUNKS_SQL} SELECT book, count(*) FILTER (ready AND n_words > 0) AS usable, CAST(coalesce(sum(dur) FILTER (ready AND n_words > 0), 0) AS BIGINT) AS kept_ms, CAST(coalesce(sum(dur) FILTER (ready AND n_words = 0), 0) AS BIGINT) AS stale_ms FROM ch GROUP BY 1""",
     "W12_spines": f"""WITH t AS (SELECT c_mktsegment AS shelf, c_custkey AS id, c_name || '/' || c_mktsegment AS title FROM customer),
-h AS (SELECT shelf, id, {_fnv('title')} % 10 AS c, {_fnv("'#' || title")} % 9 AS cs, {_fnv("'|' || title")} % 9 AS w, {_fnv("'w#' || title")} % 8 AS ws, {_fnv("'=' || title")} % 4 AS t, {_fnv("'t#' || title")} % 3 AS ts FROM t),
-l AS (SELECT shelf, list_reduce(list([struct_pack(id := id, c := c, cs := cs, w := w, ws := ws, t := t, ts := ts)] ORDER BY id), lambda a, x: list_concat(a, [struct_pack(id := x[1].id,
+h AS (SELECT shelf, id, {_fnv('title')} % 10 AS c, {_fnv("'#' || title")} % 9 AS cs, {_fnv("'|' || title")} % 9 AS w, {_fnv("'w#' || title")} % 8 AS ws, {_fnv("'=' || title")} % 4 AS t, {_fnv("'t#' || title")} % 3 AS ts, {_fnv("'~' || title")} % 11 AS sc, {_fnv('title')} % 40 AS de FROM t),
+l AS (SELECT shelf, list_reduce(list([struct_pack(id := id, c := c, cs := cs, w := w, ws := ws, t := t, ts := ts, sc := sc, de := de)] ORDER BY id), lambda a, x: list_concat(a, [struct_pack(id := x[1].id,
   c := {_moved('x[1].c', 10, 'x[1].cs', 'coalesce(a[-1].c = {i}, false) OR coalesce(a[-2].c = {i}, false)')}, cs := x[1].cs,
-  w := {_moved('x[1].w', 9, 'x[1].ws', f'{_W}[a[-1].w + 1] = {_W}[{{i}} + 1]')}, ws := x[1].ws, t := {_moved('x[1].t', 4, 'x[1].ts', 'a[-1].t = {i}')}, ts := x[1].ts)])) AS r FROM h GROUP BY 1),
-u AS (SELECT shelf, unnest(r) AS s FROM l) SELECT shelf, s.id AS id, CAST(s.c AS INTEGER) AS cloth, {_W}[s.w + 1] AS width, CAST(s.t + 82 AS INTEGER) AS tilt FROM u""",
+  w := {_moved('x[1].w', 9, 'x[1].ws', f'{_W}[a[-1].w + 1] = {_W}[{{i}} + 1]')}, ws := x[1].ws, t := {_moved('x[1].t', 4, 'x[1].ts', 'a[-1].t = {i}')}, ts := x[1].ts, sc := x[1].sc, de := x[1].de)])) AS r FROM h GROUP BY 1),
+u AS (SELECT shelf, unnest(r) AS s FROM l) SELECT shelf, s.id AS id, CAST(s.c AS INTEGER) AS cloth, {_W}[s.w + 1] AS width, CAST(s.t + 82 AS INTEGER) AS tilt, CAST(0.9 AS DOUBLE) + s.sc / 100 AS scale, s.de / 10 AS delay FROM u""",
     "L1_L7_bookmarks": """SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS by_time, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 9, ts, event_id) AS INTEGER) AS by_section FROM events""",
     "P2_highlights": """WITH c AS (SELECT conv_id, turn, ['amber', 'green', 'sky', 'rose', 'black'][turn % 5 + 1] AS color, CAST(length(text) % 97 AS INTEGER) AS lo, length(text) % 97 + turn - 3 AS hi, text FROM conversations)
 SELECT conv_id, turn, color, lo, hi, text[1:500] AS text FROM c WHERE color <> 'black' AND hi >= lo""",
