@@ -124,6 +124,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Columns and texts are those of docs. A pass that takes only the first words
     of a row (at most one row for each source and pass) gives the whole row.
+
+    Edge cases: those of plan_mix; null and empty texts have no words, so the
+    mix never takes them; equal rows come as often as they are taken; an empty table stays empty.
     """
     names = docs.columns
     passes = F.array_compact(F.array("position", "position_again"))
