@@ -26,6 +26,19 @@ def page_books(spark, d):
     return B.readable(found, "book", "page_id")
 
 
+def turn_sections(spark, d):
+    """Conversations as books: every third turn is a title, every second has an anchor."""
+    c = table(spark, d, "conversations")
+    found = c.select(F.col("conv_id").alias("book"), F.col("turn").alias("at"), F.when(F.col("turn") % 3 == 0, "title").otherwise("para").alias("kind"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("t"), "turn")).alias("anchor"), "text")
+    return B.sections(found, "book")
+
+
+def source_books(spark, d):
+    """Sources as books of documents, all paragraphs."""
+    found = table(spark, d, "documents").select("source", "doc_id", F.lit("para").alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    return B.readable(found, "source", "doc_id", least=60_000, doc_least=1_000, docs=20)
+
+
 def _documents(spark, d):
     """Each document as a book's JSON: four paragraphs a section, short ones not spoken, numbers left out in odd books."""
     p = P.paragraphs(table(spark, d, "documents").select("doc_id", "text")).where("text <> ''")
@@ -70,7 +83,7 @@ def window(spark, d):
 
 
 QUERIES = {
-    "S3_blocks": page_blocks, "T18_sections": page_sections, "A13_readable": page_books, "S5_S14_rows": document_rows, "S14_silent": silent, "S10_timings": section_timings, "J5_window": window,
+    "S3_blocks": page_blocks, "T18_sections": page_sections, "A13_readable": page_books, "T18_turns": turn_sections, "A13_sources": source_books, "S5_S14_rows": document_rows, "S14_silent": silent, "S10_timings": section_timings, "J5_window": window,
 }
 
 _ROWS = f"""{PARAS_SQL}, {SENTS_SQL}, t AS (SELECT doc_id, para, string_agg(text, ' ' ORDER BY sent) AS text, CAST(sum(len(string_split(text, ' '))) AS INTEGER) AS words FROM sents GROUP BY 1, 2),
@@ -79,6 +92,14 @@ num AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS si,
 rws AS (SELECT doc_id AS book, CAST(CASE WHEN doc_id % 2 = 0 THEN s ELSE si END AS INTEGER) AS section, 'Section ' || s AS title, CAST(CASE WHEN doc_id % 2 = 0 THEN para ELSE pi END AS INTEGER) AS para, CAST(para + 1 AS INTEGER) AS page, no_tts, text, words FROM num)"""
 _STATES = "CASE s.key % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'synthesizing' WHEN 2 THEN 'aligning' WHEN 3 THEN 'encoding' WHEN 4 THEN 'ready' WHEN 5 THEN 'failed' END"
 ORACLES = {
+    "T18_turns": """WITH b AS (SELECT conv_id AS book, turn, turn % 3 = 0 AS is_title, CASE WHEN turn % 2 = 0 THEN 't' || turn END AS anchor, text FROM conversations),
+c AS (SELECT *, count(*) FILTER (is_title) OVER (PARTITION BY book ORDER BY turn) AS cut FROM b),
+p AS (SELECT *, count(*) FILTER (NOT is_title) OVER (PARTITION BY book, cut ORDER BY turn) - 1 AS para, count(*) FILTER (NOT is_title) OVER (PARTITION BY book, cut) AS paras FROM c),
+k AS (SELECT p.book, p.cut, p.is_title, p.para, p.text, p.anchor, t.text AS title, t.anchor AS head FROM p LEFT JOIN c t ON t.book = p.book AND t.cut = p.cut AND t.is_title WHERE NOT p.is_title OR p.paras = 0)
+SELECT book, CAST(dense_rank() OVER (PARTITION BY book ORDER BY cut) - 1 AS INTEGER) AS section, title, CAST(CASE WHEN NOT is_title THEN para END AS INTEGER) AS para, CASE WHEN NOT is_title THEN text END AS text,
+  CASE WHEN NOT is_title THEN coalesce(anchor, CASE WHEN para = 0 THEN head END) END AS anchor FROM k""",
+    "A13_sources": """WITH n AS (SELECT source, length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) AS n FROM documents)
+SELECT source, CAST(sum(n) AS BIGINT) AS chars, count(*) FILTER (n >= 1000) AS textual, sum(n) >= 60000 AND count(*) FILTER (n >= 1000) >= 20 AS readable FROM n GROUP BY 1""",
     "S5_S14_rows": f"WITH {_ROWS} SELECT * FROM rws",
     "S14_silent": f"WITH {_ROWS} SELECT book, section FROM rws GROUP BY 1, 2 HAVING bool_and(no_tts)",
     "S10_timings": f"""WITH {CHUNKS_SQL} SELECT ch.book, 2 AS idx, any_value({_STATES}) AS status, CAST(count(*) AS INTEGER) AS chunks, CAST(CASE WHEN any_value({_STATES}) = 'ready' THEN sum(n_words + 1) ELSE 0 END AS INTEGER) AS words

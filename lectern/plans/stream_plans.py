@@ -67,9 +67,79 @@ QUERIES = {
 }
 
 _E = """e AS (SELECT user_id AS "user", epoch_us(ts) // 1000 AS ts, CAST(event_id AS INTEGER) AS seq, event_type, value, CAST(event_id % 9 AS INTEGER) AS n FROM events),
-na AS (SELECT "user" AS book, n % 2 AS section, ts, seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' END AS status, seq % 40 AS chunk FROM e)"""
+na AS (SELECT "user" AS book, n % 2 AS section, ts, seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' END AS status, CAST(seq % 40 AS INTEGER) AS chunk FROM e)"""
+
+
+def _fold(events: str, first: str, step: str) -> str:
+    """CTE ``folded`` (k, r): the state of each key k after all its events x, a being the state before; both are structs of one type."""
+    return f"listed AS (SELECT k, list(x ORDER BY x.ts, x.seq) AS xs FROM ({events}) GROUP BY k), folded AS (SELECT k, list_reduce(list_prepend({first}, xs), lambda a, x: {step}) AS r FROM listed)"
+
+
+_NONE = "CAST([] AS STRUCT(ts BIGINT, v BIGINT)[])"
+_FIRED = f"(a.waiting >= 0 AND x.ts >= a.waiting + {S.DEBOUNCE_MS})"
+_SHOWN = f"({_FIRED} AND a.active >= {S.MIN_CARD_MS} AND (a.shown < 0 OR a.waiting + {S.DEBOUNCE_MS} - a.shown >= {S.COOLDOWN_MS}))"
+_CARD = "struct_pack(ts := {ts}, seq := {seq}, plays := {plays}, active := CAST({active} AS BIGINT), since := CAST({since} AS BIGINT), waiting := CAST({waiting} AS BIGINT), shown := CAST({shown} AS BIGINT), found := {found})"
+_CARDS = _fold(
+    f"SELECT \"user\" AS k, {_CARD.format(ts='ts', seq='seq', plays="event_type IN ('view', 'click')", active=0, since=-1, waiting=-1, shown=-1, found=_NONE)} AS x FROM e",
+    _CARD.format(ts="CAST(-1 AS BIGINT)", seq="CAST(0 AS INTEGER)", plays="false", active=0, since=-1, waiting=-1, shown=-1, found=_NONE),
+    _CARD.format(
+        ts="x.ts", seq="x.seq", plays="x.plays", active="CASE WHEN NOT x.plays AND a.since >= 0 THEN a.active + x.ts - a.since ELSE a.active END",
+        since="CASE WHEN x.plays THEN CASE WHEN a.since < 0 THEN x.ts ELSE a.since END ELSE -1 END",
+        waiting=f"CASE WHEN x.plays THEN -1 WHEN a.since >= 0 THEN x.ts WHEN {_FIRED} THEN -1 ELSE a.waiting END",
+        shown=f"CASE WHEN {_SHOWN} THEN a.waiting + {S.DEBOUNCE_MS} ELSE a.shown END",
+        found=f"CASE WHEN {_SHOWN} THEN list_append(a.found, struct_pack(ts := a.waiting + {S.DEBOUNCE_MS}, v := a.active)) ELSE a.found END",
+    ),
+)
+_PARK = "struct_pack(ts := {ts}, seq := {seq}, kind := {kind}, ms := CAST({ms} AS BIGINT), parked := {parked}, base := CAST({base} AS BIGINT), known := CAST({known} AS BIGINT), found := {found})"
+_KNOWN = "greatest(a.known, x.ms)"
+_GOES = f"(a.parked AND x.kind <> 'park' AND (x.kind = 'ready' OR {_KNOWN} - a.base >= {S.GROWN_MS}))"
+_PARKED = _fold(
+    f"SELECT \"user\" AS k, {_PARK.format(ts='ts', seq='seq', kind="CASE WHEN n < 3 THEN 'park' WHEN event_type = 'error' THEN 'ready' ELSE 'partial' END", ms='trunc(value * 1000)', parked='false', base=0, known=0, found=_NONE)} AS x FROM e",
+    _PARK.format(ts="CAST(-1 AS BIGINT)", seq="CAST(0 AS INTEGER)", kind="''", ms=0, parked="false", base=0, known=0, found=_NONE),
+    _PARK.format(
+        ts="x.ts", seq="x.seq", kind="x.kind", ms="x.ms", parked=f"CASE WHEN x.kind = 'park' THEN true WHEN {_GOES} THEN false ELSE a.parked END",
+        base="CASE WHEN x.kind = 'park' THEN a.known ELSE a.base END", known=f"CASE WHEN x.kind = 'park' THEN a.known ELSE {_KNOWN} END",
+        found=f"CASE WHEN {_GOES} THEN list_append(a.found, struct_pack(ts := x.ts, v := {_KNOWN})) ELSE a.found END",
+    ),
+)
+_PROGRESS = "struct_pack(ts := {ts}, seq := {seq}, chunk := {chunk}, status := {status}, done := {done}, marked := CAST({marked} AS INTEGER), found := {found})"
+_ROWS = "CAST([] AS STRUCT(ts BIGINT, status VARCHAR, done INTEGER, marked INTEGER)[])"
+_MORE = "CASE WHEN list_contains(a.done, x.chunk) THEN a.done ELSE list_append(a.done, x.chunk) END"
+_FRESH = f"(x.status IS NULL AND NOT list_contains(a.done, x.chunk) AND (len(a.done) + 1) % {S.EACH} = 0)"
+_SECTIONS = _fold(
+    f"SELECT (book, section) AS k, {_PROGRESS.format(ts='ts', seq='seq', chunk='chunk', status='status', done='CAST([] AS INTEGER[])', marked=0, found=_ROWS)} AS x FROM na",
+    _PROGRESS.format(ts="CAST(-1 AS BIGINT)", seq="CAST(0 AS INTEGER)", chunk="CAST(0 AS INTEGER)", status="'pending'", done="CAST([] AS INTEGER[])", marked=0, found=_ROWS),
+    _PROGRESS.format(
+        ts="x.ts", seq="x.seq", chunk="x.chunk", status="coalesce(x.status, a.status)", done=f"CASE WHEN x.status IS NULL THEN {_MORE} ELSE CAST([] AS INTEGER[]) END",
+        marked=f"CASE WHEN x.status IS NOT NULL THEN 0 WHEN {_FRESH} THEN greatest(a.marked, len(a.done) + 1) ELSE a.marked END",
+        found=f"""CASE WHEN x.status IS NOT NULL THEN list_append(a.found, struct_pack(ts := x.ts, status := x.status, done := CAST(0 AS INTEGER), marked := CAST(0 AS INTEGER)))
+          WHEN {_FRESH} THEN list_append(a.found, struct_pack(ts := x.ts, status := a.status, done := CAST(len(a.done) + 1 AS INTEGER), marked := CAST(greatest(a.marked, len(a.done) + 1) AS INTEGER))) ELSE a.found END""",
+    ),
+)
+_SIT = "struct_pack(ts := {ts}, seq := {seq}, kind := {kind}, own := CAST({own} AS BIGINT), book := CAST({book} AS BIGINT), started := CAST({started} AS BIGINT), active := CAST({active} AS BIGINT), since := CAST({since} AS BIGINT), playing := {playing}, found := {found})"
+_SAT = "CAST([] AS STRUCT(book BIGINT, started BIGINT, ended BIGINT, active_ms BIGINT)[])"
+_TOTAL = "(a.active + CASE WHEN a.since >= 0 THEN x.ts - a.since ELSE 0 END)"
+_ENDS = "x.kind IN ('open', 'close')"
+_SITTINGS = _fold(
+    f"""SELECT "user" AS k, {_SIT.format(ts='ts', seq='seq', kind="CASE WHEN n = 0 THEN 'open' WHEN n = 8 THEN 'close' WHEN event_type IN ('view', 'click') THEN 'play' ELSE 'pause' END", own='seq % 5', book=-1, started=0, active=0, since=-1, playing='false', found=_SAT)} AS x FROM e""",
+    _SIT.format(ts="CAST(-1 AS BIGINT)", seq="CAST(0 AS INTEGER)", kind="''", own=0, book=-1, started=0, active=0, since=-1, playing="false", found=_SAT),
+    _SIT.format(
+        ts="x.ts", seq="x.seq", kind="x.kind", own="x.own", book="CASE x.kind WHEN 'open' THEN x.own WHEN 'close' THEN -1 ELSE a.book END", started="CASE WHEN x.kind = 'open' THEN x.ts ELSE a.started END",
+        active=f"CASE WHEN {_ENDS} THEN 0 WHEN x.kind = 'pause' THEN {_TOTAL} ELSE a.active END",
+        since=f"CASE WHEN x.kind = 'open' THEN CASE WHEN a.playing THEN x.ts ELSE -1 END WHEN x.kind IN ('close', 'pause') THEN -1 WHEN a.book >= 0 AND a.since < 0 THEN x.ts ELSE a.since END",
+        playing="CASE x.kind WHEN 'play' THEN true WHEN 'pause' THEN false ELSE a.playing END",
+        found=f"CASE WHEN {_ENDS} AND a.book >= 0 AND {_TOTAL} >= {S.MIN_SITTING_MS} THEN list_append(a.found, struct_pack(book := a.book, started := a.started, ended := x.ts, active_ms := {_TOTAL})) ELSE a.found END",
+    ),
+)
 ORACLES = {
     "Z1_status": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY book, section ORDER BY ts DESC, seq DESC) AS k FROM na WHERE status IS NOT NULL) SELECT book, section, status, ts FROM r WHERE k = 1",
+    "Z5_Z6_cards": f"""WITH {_E}, {_CARDS}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS "user", f.ts AS ts, f.v AS active_ms FROM u""",
+    "Z14_resume": f"WITH {_E}, {_PARKED}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS book, 0 AS section, f.ts AS ts, f.v AS partial_ms FROM u",
+    "Z1_Z2_Z3_progress": f"WITH {_E}, {_SECTIONS}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k[1] AS book, k[2] AS section, f.ts AS ts, f.status AS status, f.done AS done, f.marked AS marked FROM u",
+    "Z4_stream_sittings": f"""WITH {_E}, {_SITTINGS}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS "user", f.book AS book, f.started AS started, f.ended AS ended, f.active_ms AS active_ms FROM u""",
+    "Z10_praise": f"""WITH {_E}, {_SITTINGS}, u AS (SELECT k, unnest(r.found) AS f FROM folded), o AS (SELECT "user", max(ts) AS ts FROM e GROUP BY 1),
+m AS (SELECT "user", ts, arg_max(f, f.started) AS f FROM o JOIN u ON u.k = o."user" AND f.active_ms >= {S.MIN_CARD_MS} AND f.started <= ts GROUP BY 1, 2)
+SELECT "user", ts, f.started AS started, f.active_ms AS active_ms FROM m WHERE ts - (f.started + f.active_ms) <= {S.STALE_MS}""",
     "Z13_chunks": f"WITH {_E} SELECT book, section, count(DISTINCT chunk) AS chunks FROM na WHERE status IS NULL GROUP BY 1, 2",
     "A21_done": f"""WITH {_E} SELECT book FROM na WHERE status IS NOT NULL GROUP BY 1""",
     "Z12_stream_changes": f"""WITH {_E}, c AS (SELECT "user" AS book, ts, n % 3 AS ready, lag(n % 3) OVER (PARTITION BY "user" ORDER BY ts, seq) AS p FROM e) SELECT book, ts, ready FROM c WHERE p IS NULL OR p <> ready""",
