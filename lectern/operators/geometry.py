@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.sources.tables import stored
 
 # -- fixed values that results depend on ---------------------------------------------
 BAND, CHROME_SHARE, CHROME_PAGES = 0.08, 0.60, 3
@@ -253,13 +254,15 @@ def degenerate(cut: DataFrame) -> DataFrame:
 def sections(paras: DataFrame, entries: DataFrame) -> DataFrame:
     """paras with section, title and way: contents, else headings; markers where those leave one section most of a long book.
 
-    Each book goes one way; all are decided at once, by joins with one row a book.
+    Each book goes one way; all are decided at once, by joins with one row a
+    book. Paragraphs and both ways' cuts are written to the shared folder, for each is read several times.
     """
+    paras = stored(paras)
     sound = broken_contents(paras, entries).where("NOT broken").select("book")
     first = by_contents(paras, entries).join(sound, "book").withColumn("way", F.lit("contents"))
     second = by_headings(paras).join(sound, "book", "left_anti").withColumn("way", F.lit("headings"))
-    cut = first.unionByName(second)
-    marked = by_markers(paras)
+    cut = stored(first.unionByName(second))
+    marked = stored(by_markers(paras))
     failed = degenerate(cut).where("degenerate").select("book")
     enough = marked.groupBy("book").agg(F.countDistinct("cut").alias("n")).where("n >= 3").select("book").join(failed, "book")
     chosen = cut.join(enough, "book", "left_anti").unionByName(marked.join(enough, "book").withColumn("way", F.lit("markers")))

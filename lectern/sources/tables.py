@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; any path that Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all tasks run in this process (tests).
+
+    On a cluster executors don't share such a folder: there it is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="lectern-")
+        spark.sparkContext.setCheckpointDir(path)
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: its lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
