@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import text as X
 from lectern.operators import geometry as G
 from lectern.plans.text_plans import CODE_SQL, DENSITY_SQL
 from lectern.sources.tables import table

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import paragraphs as P, planning as M
-from lectern.plans.text_plans import CHUNK_FOLD_SQL, PARAS_SQL, PIECES_SQL, SENTS_SQL, UNITS_SQL, terminal
+from lectern.plans.text_plans import CHUNK_FOLD_SQL, PARAS_SQL, PIECES_SQL, SENTS_SQL, UNITS_SQL
 from lectern.sources.tables import table
 
 RULES = "Group the sentences."

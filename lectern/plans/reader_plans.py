@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import paragraphs as P, reader as R, stats, timeline as T
+from lectern.operators import paragraphs as P, reader as R, timeline as T
 from lectern.plans.text_plans import CHUNK_FOLD_SQL, NEEDLE, PARAS_SQL, PIECES_SQL, SENTS_SQL, UNITS_SQL
 from lectern.plans.timeline_plans import LINE_SQL, PROBES_SQL, SECTIONS_SQL, probes_of, sections_of
 from lectern.sources.tables import table
