@@ -73,6 +73,27 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with the UTF-8 bytes of a string column and their offsets from 0: up to ``most`` bytes, or one longer text.
+
+    Null texts have no bytes.
+    """
+    if not batch.num_rows:
+        return
+    texts = batch.column(batch.schema.get_field_index(column))
+    if texts.null_count:
+        texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    content = texts.buffers()[2]
+    data = np.frombuffer(content, np.uint8) if content is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        hi = min(hi, len(texts))
+        yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
 def split_groups(df: DataFrame, key: str, row: str, most: int, unlike: str | None = None) -> DataFrame:
     """Rows of keys held by two rows or more, dealt into pairs of blocks of about ``most`` rows.
 
@@ -99,6 +120,21 @@ def split_groups(df: DataFrame, key: str, row: str, most: int, unlike: str | Non
     )
 
 
+def of_groups(rows: DataFrame, key: str, value: str, deal: str, salts: int = 256) -> DataFrame:
+    """rows with group_size (rows of equal key) and least (their least value); key isn't null.
+
+    Counts and minima are taken for each (key, salt) first, where the hash of
+    column ``deal`` chooses one of ``salts``, and go back to rows the same way: a
+    task gets a part of a hot key's rows, and there are never more (key, salt) pairs than rows.
+    """
+    salt = F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int")
+    parts = rows.groupBy(key, salt.alias("_salt")).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_v"))
+    whole = parts.groupBy(key).agg(F.sum("_n").alias("group_size"), F.min("_v").alias("least")).where("group_size > 1")
+    known = parts.select(key, "_salt").join(whole, key)
+    found = rows.withColumn("_salt", salt).join(known, [key, "_salt"], "left").drop("_salt")
+    return found.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).withColumn("least", F.coalesce("least", F.col(value)))
+
+
 # -- connected components ----------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.llm import fingerprints, language_id, mixing, order_minhash, passages, pivot_index, quality_gam, sentencepiece_codec, suffix_dedup, url_filter
+from lectern.llm import exact_dedup, fill_middle, filter_audit, fingerprints, language_id, mixing, order_minhash, passages, pivot_index, quality_gam, sentencepiece_codec, suffix_dedup, url_filter
 from lectern.llm.common import crc32_mod4
 
 #: The model file that op5 encodes with; LECTERN_SENTENCEPIECE_MODEL names another.
@@ -97,6 +97,27 @@ def op10_quality(spark, d):
     return quality_gam.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_fill_in_middle(spark, d):
+    """Every text cut for filling in its middle, and the text read back off that."""
+    made = fill_middle.restored(fill_middle.fill_in_middle(_table(spark, d, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_exact_dedup(spark, d):
+    """The group of equal texts of every document, and which of them stays."""
+    made = exact_dedup.exact_duplicates(_table(spark, d, "documents"), hash_all=True)
+    return made.select("doc_id", "keep_id", "group_size", "kept", F.col("text_hash").alias("text_sha256"))
+
+
+def op13_filter_audit(spark, d):
+    """What five filters do in all their orders, for each source."""
+    masks = filter_audit.document_masks(_table(spark, d, "documents"))
+    return filter_audit.audit(filter_audit.mask_counts(masks, _table(spark, d, "labels")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -108,6 +129,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_order_minhash": op9_order_minhash,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 
@@ -147,4 +171,54 @@ SELECT doc_id, size, source_size, target, one + two AS taken,
 FROM halves"""
 
 
-ORACLES: dict[str, str] = {"op7_mixing": _op7_oracle()}
+_OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS k,
+         CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4
+  FROM d),
+c AS (
+  SELECT *, CAST(len(k) AS BIGINT) AS n, least(h1 % (len(k) + 1), h2 % (len(k) + 1)) AS a, greatest(h1 % (len(k) + 1), h2 % (len(k) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fill_middle.PLAIN_FROM} THEN 'plain'
+              WHEN h4 % 100 < {fill_middle.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form
+  FROM w),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(k[1:a], '') AS prefix, array_to_string(k[a + 1:b], '') AS middle, array_to_string(k[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)"""
+
+_OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part,
+         CAST(len(w) < {filter_audit.LEAST_WORDS} AS INT) + 2 * CAST(100 * len(list_distinct(w)) < {filter_audit.LEAST_DISTINCT} * len(w) AS INT)
+         + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > {filter_audit.MOST_CAPITALS} * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+  FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS earlier
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+t AS (SELECT *, coalesce(CAST(earlier AS INT), 0) AS before FROM s)
+SELECT part, filter_order, step,
+       CAST(coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & own <> 0), 0) AS BIGINT) AS shapley
+FROM c, t GROUP BY part, filter_order, step"""
+
+ORACLES: dict[str, str] = {"op7_mixing": _op7_oracle(), "op11_fill_in_middle": _OP11, "op12_exact_dedup": _OP12, "op13_filter_audit": _OP13}
