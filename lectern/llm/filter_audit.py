@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import permutations
@@ -168,42 +169,38 @@ def mask_counts(masks: DataFrame, labels: DataFrame) -> DataFrame:
     return known.unionByName(none).groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("toxic"))
 
 
-def steps(filters: str = FILTERS) -> Column:
-    """An array of (filter_order, step, own, before): every filter's place in every order, with its bit and the bits of those before it."""
-    out = []
-    for order in permutations(filters):
-        before = 0
-        for i, f in enumerate(order):
-            own = 1 << filters.index(f)
-            out.append(F.struct(F.lit("".join(order)).alias("filter_order"), F.lit(i + 1).alias("step"), F.lit(own).alias("own"), F.lit(before).alias("before")))
-            before |= own
-    return F.array(*out)
-
-
 def audit(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
     """One row per part, order of filters and step, from mask counts: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
-    Every number is a sum over the at most 32 masks of a part. shapley is what a
-    filter removes, summed over all orders: of k filters that a row fails, each
-    comes first in 120 / k orders. Zeros have rows too; without counts there is no part.
+    The at most 32 masks of a part are reduced once to 32 sums: what passes
+    every filter of a set. A step then is a difference of two of them. shapley
+    is what a filter removes, summed over all orders: of k filters that a row
+    fails, each comes first in 120 / k orders. Zeros have rows too; without
+    counts there is no part.
     """
-    orders = 1
-    for k in range(2, len(filters) + 1):
-        orders *= k
-    masks = counts.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("masks"))
-    placed = masks.select("part", "masks", F.inline(steps(filters)))
+    every = math.factorial(len(filters))
+    sets = f"sequence(0, {(1 << len(filters)) - 1})"
 
-    def total(value: str, where: str) -> Column:
-        return F.expr(f"aggregate(filter(masks, m -> {where}), 0L, (a, m) -> a + {value})")
+    def passing(value: str) -> Column:
+        return F.expr(f"transform({sets}, z -> aggregate(filter(masks, m -> (m.mask & z) = 0), 0L, (a, m) -> a + m.{value}))")
 
-    here = "(m.mask & before) = 0 AND (m.mask & own) <> 0"
+    masks = counts.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("masks"))
+    parts = masks.select(
+        "part", passing("n").alias("rows"), passing("good").alias("good"), passing("toxic").alias("toxic"),
+        F.expr(f"transform({sets}, z -> aggregate(filter(masks, m -> m.mask = z), 0L, (a, m) -> a + m.n))").alias("only"),
+        F.expr(f"transform({sets}, z -> aggregate(filter(masks, m -> (m.mask & z) <> 0), 0L, (a, m) -> a + m.n * CAST({every} / bit_count(m.mask) AS BIGINT)))").alias("shares"),
+    )
+    orders = F.array(*(F.lit("".join(o)) for o in permutations(filters)))
+    each = parts.withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(filters)))))
+    bit = "shiftleft(1, locate(substring(filter_order, {}, 1), '" + filters + "') - 1)"
+    placed = each.withColumn("own", F.expr(bit.format("step"))).withColumn("before", F.expr(f"aggregate(sequence(0, step - 1), 0, (a, i) -> a | if(i = 0, 0, {bit.format('i')}))"))
     return placed.select(
         "part", "filter_order", "step",
-        total("m.n", "(m.mask & (before | own)) = 0").alias("kept"),
-        total("m.n", here).alias("removed"),
-        total("m.n", "(m.mask & own) <> 0 AND (m.mask & before) <> 0").alias("redundant"),
-        total("m.n", "m.mask = own").alias("unique_fails"),
-        total("m.good", here).alias("good_lost"),
-        total("m.toxic", here).alias("toxic_lost"),
-        total(f"m.n * CAST({orders} / bit_count(m.mask) AS BIGINT)", "(m.mask & own) <> 0").alias("shapley"),
+        F.expr("rows[before | own]").alias("kept"),
+        F.expr("rows[before] - rows[before | own]").alias("removed"),
+        F.expr("rows[0] - rows[own] - (rows[before] - rows[before | own])").alias("redundant"),
+        F.expr("only[own]").alias("unique_fails"),
+        F.expr("good[before] - good[before | own]").alias("good_lost"),
+        F.expr("toxic[before] - toxic[before | own]").alias("toxic_lost"),
+        F.expr("shares[own]").alias("shapley"),
     )
