@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.sources.tables import table
 from lectern.streaming import events as S
+from lectern.streaming import timers as T
 
 
 def _events(spark, d):
@@ -14,9 +15,10 @@ def _events(spark, d):
 
 
 def _narration(spark, d):
-    """Events as narration: errors fail a section, purchases make it ready, other events finish a chunk."""
+    """Events as narration: errors fail a section, purchases make it ready, signups take it through its other states, other events finish a chunk."""
     e = _events(spark, d)
-    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "ready")
+    other = F.element_at(F.array(*(F.lit(x) for x in ("pending", *S.IN_FLIGHT))), (F.col("seq") % 4 + 1).cast("int"))
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "ready").when(F.col("event_type") == "signup", other)
     return e.select(F.col("user").alias("book"), (F.col("n") % 2).alias("section"), "ts", "seq", F.when(status.isNotNull(), "status").otherwise("chunk").alias("kind"), status.alias("status"), (F.col("seq") % 40).alias("chunk"))
 
 
@@ -43,7 +45,7 @@ def stream_sittings(spark, d):
 
 
 def cards(spark, d):
-    return S.pause_cards(_events(spark, d).select("user", "ts", "seq", F.when(F.col("event_type").isin("view", "click"), "play").otherwise("pause").alias("kind")))
+    return T.pause_cards(_events(spark, d).select("user", "ts", "seq", F.when(F.col("event_type").isin("view", "click"), "play").otherwise("pause").alias("kind")))
 
 
 def parked(spark, d):
@@ -56,18 +58,38 @@ def polls(spark, d):
     return S.changed(_events(spark, d).select(F.col("user").alias("book"), "ts", "seq", (F.col("n") % 3).alias("ready")))
 
 
+def moves(spark, d):
+    """Queue moves: sections of 30 are queued, taken, or left outside a window of ten; a minute of the table is a second here."""
+    e = _events(spark, d)
+    kind = F.when(F.col("n") < 5, "queued").when(F.col("n") == 5, "taken").otherwise("window")
+    lo = (F.col("seq") % 23).cast("long")
+    return T.graced(e.select(F.col("user").alias("book"), F.floor(F.col("ts") / 60).alias("ts"), "seq", kind.alias("kind"), F.when(F.col("n") < 6, F.col("seq") % 30).cast("long").alias("section"), lo.alias("lo"), (lo + 9).alias("hi")))
+
+
+def results(spark, d):
+    """Results of work on six sections of a book: errors and purchases, a few books deleted and added again."""
+    e = _events(spark, d)
+    kind = F.when((F.col("n") == 8) & (F.col("seq") % 5 == 0), "deleted").when((F.col("n") == 7) & (F.col("seq") % 2 == 0), "added").when(F.col("event_type") == "purchase", "done").otherwise("error")
+    return T.retried(e.select(F.col("user").alias("book"), "ts", "seq", kind.alias("kind"), (F.col("seq") % 6).cast("long").alias("section")))
+
+
+def restarted(spark, d):
+    """Sections as a start finds them."""
+    return S.recovered(S.latest_status(_narration(spark, d).where("kind = 'status'")))
+
+
 def praised(spark, d):
-    """Sittings to celebrate when a user's library opens (their last events)."""
-    opened = _events(spark, d).groupBy("user").agg(F.max("ts").alias("ts"))
+    """Sittings to celebrate at each opening of a user's library (after a book was closed)."""
+    opened = _events(spark, d).where("n = 8").select("user", "ts")
     return S.celebrated(stream_sittings(spark, d).select("user", "started", "active_ms"), opened)
 
 
 QUERIES = {
-    "Z1_Z2_Z3_progress": progress, "Z1_status": statuses, "Z13_chunks": chunks_done, "A21_done": all_done, "Z4_stream_sittings": stream_sittings, "Z5_Z6_cards": cards, "Z14_resume": parked, "Z12_stream_changes": polls, "Z10_praise": praised,
+    "Z1_Z2_Z3_progress": progress, "Z1_status": statuses, "Z13_chunks": chunks_done, "A21_done": all_done, "Z4_stream_sittings": stream_sittings, "Z5_Z6_cards": cards, "Z7_grace": moves, "Z8_retries": results, "Z9_recovered": restarted, "Z14_resume": parked, "Z12_stream_changes": polls, "Z10_praise": praised,
 }
 
 _E = """e AS (SELECT user_id AS "user", epoch_us(ts) // 1000 AS ts, CAST(event_id AS INTEGER) AS seq, event_type, value, CAST(event_id % 9 AS INTEGER) AS n FROM events),
-na AS (SELECT "user" AS book, n % 2 AS section, ts, seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' END AS status, CAST(seq % 40 AS INTEGER) AS chunk FROM e)"""
+na AS (SELECT "user" AS book, n % 2 AS section, ts, seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ready' WHEN 'signup' THEN ['pending', 'synthesizing', 'aligning', 'encoding'][seq % 4 + 1] END AS status, CAST(seq % 40 AS INTEGER) AS chunk FROM e)"""
 
 
 def _fold(events: str, first: str, step: str) -> str:
@@ -76,8 +98,8 @@ def _fold(events: str, first: str, step: str) -> str:
 
 
 _NONE = "CAST([] AS STRUCT(ts BIGINT, v BIGINT)[])"
-_FIRED = f"(a.waiting >= 0 AND x.ts >= a.waiting + {S.DEBOUNCE_MS})"
-_SHOWN = f"({_FIRED} AND a.active >= {S.MIN_CARD_MS} AND (a.shown < 0 OR a.waiting + {S.DEBOUNCE_MS} - a.shown >= {S.COOLDOWN_MS}))"
+_FIRED = f"(a.waiting >= 0 AND x.ts >= a.waiting + {T.DEBOUNCE_MS})"
+_SHOWN = f"({_FIRED} AND a.active >= {T.MIN_CARD_MS} AND (a.shown < 0 OR a.waiting + {T.DEBOUNCE_MS} - a.shown >= {T.COOLDOWN_MS}))"
 _CARD = "struct_pack(ts := {ts}, seq := {seq}, plays := {plays}, active := CAST({active} AS BIGINT), since := CAST({since} AS BIGINT), waiting := CAST({waiting} AS BIGINT), shown := CAST({shown} AS BIGINT), found := {found})"
 _CARDS = _fold(
     f"SELECT \"user\" AS k, {_CARD.format(ts='ts', seq='seq', plays="event_type IN ('view', 'click')", active=0, since=-1, waiting=-1, shown=-1, found=_NONE)} AS x FROM e",
@@ -86,8 +108,8 @@ _CARDS = _fold(
         ts="x.ts", seq="x.seq", plays="x.plays", active="CASE WHEN NOT x.plays AND a.since >= 0 THEN a.active + x.ts - a.since ELSE a.active END",
         since="CASE WHEN x.plays THEN CASE WHEN a.since < 0 THEN x.ts ELSE a.since END ELSE -1 END",
         waiting=f"CASE WHEN x.plays THEN -1 WHEN a.since >= 0 THEN x.ts WHEN {_FIRED} THEN -1 ELSE a.waiting END",
-        shown=f"CASE WHEN {_SHOWN} THEN a.waiting + {S.DEBOUNCE_MS} ELSE a.shown END",
-        found=f"CASE WHEN {_SHOWN} THEN list_append(a.found, struct_pack(ts := a.waiting + {S.DEBOUNCE_MS}, v := a.active)) ELSE a.found END",
+        shown=f"CASE WHEN {_SHOWN} THEN a.waiting + {T.DEBOUNCE_MS} ELSE a.shown END",
+        found=f"CASE WHEN {_SHOWN} THEN list_append(a.found, struct_pack(ts := a.waiting + {T.DEBOUNCE_MS}, v := a.active)) ELSE a.found END",
     ),
 )
 _PARK = "struct_pack(ts := {ts}, seq := {seq}, kind := {kind}, ms := CAST({ms} AS BIGINT), parked := {parked}, base := CAST({base} AS BIGINT), known := CAST({known} AS BIGINT), found := {found})"
@@ -110,9 +132,10 @@ _SECTIONS = _fold(
     f"SELECT (book, section) AS k, {_PROGRESS.format(ts='ts', seq='seq', chunk='chunk', status='status', done='CAST([] AS INTEGER[])', marked=0, found=_ROWS)} AS x FROM na",
     _PROGRESS.format(ts="CAST(-1 AS BIGINT)", seq="CAST(0 AS INTEGER)", chunk="CAST(0 AS INTEGER)", status="'pending'", done="CAST([] AS INTEGER[])", marked=0, found=_ROWS),
     _PROGRESS.format(
-        ts="x.ts", seq="x.seq", chunk="x.chunk", status="coalesce(x.status, a.status)", done=f"CASE WHEN x.status IS NULL THEN {_MORE} ELSE CAST([] AS INTEGER[]) END",
-        marked=f"CASE WHEN x.status IS NOT NULL THEN 0 WHEN {_FRESH} THEN greatest(a.marked, len(a.done) + 1) ELSE a.marked END",
-        found=f"""CASE WHEN x.status IS NOT NULL THEN list_append(a.found, struct_pack(ts := x.ts, status := x.status, done := CAST(0 AS INTEGER), marked := CAST(0 AS INTEGER)))
+        ts="x.ts", seq="x.seq", chunk="x.chunk", status="coalesce(x.status, a.status)", done=f"CASE WHEN x.status IS NULL THEN {_MORE} WHEN x.status IN {S.TERMINAL} THEN CAST([] AS INTEGER[]) ELSE a.done END",
+        marked=f"CASE WHEN x.status IN {S.TERMINAL} THEN 0 WHEN {_FRESH} THEN greatest(a.marked, len(a.done) + 1) ELSE a.marked END",
+        found=f"""CASE WHEN x.status IN {S.TERMINAL} THEN list_append(a.found, struct_pack(ts := x.ts, status := x.status, done := CAST(0 AS INTEGER), marked := CAST(0 AS INTEGER)))
+          WHEN x.status IS NOT NULL THEN list_append(a.found, struct_pack(ts := x.ts, status := x.status, done := CAST(len(a.done) AS INTEGER), marked := CAST(a.marked AS INTEGER)))
           WHEN {_FRESH} THEN list_append(a.found, struct_pack(ts := x.ts, status := a.status, done := CAST(len(a.done) + 1 AS INTEGER), marked := CAST(greatest(a.marked, len(a.done) + 1) AS INTEGER))) ELSE a.found END""",
     ),
 )
@@ -131,16 +154,56 @@ _SITTINGS = _fold(
         found=f"CASE WHEN {_ENDS} AND a.book >= 0 AND {_TOTAL} >= {S.MIN_SITTING_MS} THEN list_append(a.found, struct_pack(book := a.book, started := a.started, ended := x.ts, active_ms := {_TOTAL})) ELSE a.found END",
     ),
 )
+_GRACE = "struct_pack(ts := CAST({ts} AS BIGINT), seq := {seq}, kind := {kind}, ends := CAST({ends} AS BIGINT), found := {found})"
+_MOVES = "CAST([] AS STRUCT(ts BIGINT, action VARCHAR)[])"
+# State of a section: ends is -2 where it isn't queued, -1 where it is wanted, else the end of its grace.
+_LAPSED = "(a.ends >= 0 AND x.ts > a.ends)"
+_ENDS = f"CASE WHEN {_LAPSED} THEN -2 ELSE a.ends END"
+_FOUND = f"CASE WHEN {_LAPSED} THEN list_append(a.found, struct_pack(ts := a.ends, action := 'dropped')) ELSE a.found END"
+_GRACED = """m AS (SELECT "user" AS book, ts // 60 AS ts, seq, CASE WHEN n < 5 THEN 'queued' WHEN n = 5 THEN 'taken' ELSE 'window' END AS kind, CAST(seq % 30 AS BIGINT) AS section, seq % 23 AS lo FROM e),
+s AS (SELECT DISTINCT book, section FROM m WHERE kind = 'queued'),
+y AS (SELECT book, section, ts, seq, kind FROM m WHERE kind <> 'window' UNION ALL SELECT book, s.section, ts, seq, CASE WHEN s.section BETWEEN lo AND lo + 9 THEN 'in' ELSE 'out' END FROM m JOIN s USING (book) WHERE kind = 'window'), """ + _fold(
+    f"SELECT (book, section) AS k, {_GRACE.format(ts='ts', seq='seq', kind='kind', ends=-2, found=_MOVES)} AS x FROM y",
+    _GRACE.format(ts=-1, seq="CAST(0 AS INTEGER)", kind="''", ends=-2, found=_MOVES),
+    _GRACE.format(
+        ts="x.ts", seq="x.seq", kind="x.kind",
+        ends=f"CASE x.kind WHEN 'queued' THEN greatest({_ENDS}, -1) WHEN 'taken' THEN -2 WHEN 'in' THEN least({_ENDS}, -1) ELSE CASE WHEN {_ENDS} > -2 THEN x.ts + {T.GRACE_MS} ELSE -2 END END",
+        found=f"CASE WHEN x.kind = 'in' AND {_ENDS} >= 0 THEN list_append({_FOUND}, struct_pack(ts := x.ts, action := 'warmed')) WHEN x.kind = 'out' AND {_ENDS} = -1 THEN list_append({_FOUND}, struct_pack(ts := x.ts, action := 'cooled')) ELSE {_FOUND} END",
+    ),
+)
+_GRACE_END = "CASE WHEN r.ends >= 0 AND (SELECT max(ts) FROM m) > r.ends THEN list_append(r.found, struct_pack(ts := r.ends, action := 'dropped')) ELSE r.found END"
+_RETRY = "struct_pack(ts := CAST({ts} AS BIGINT), seq := {seq}, kind := {kind}, section := CAST({section} AS BIGINT), gone := CAST({gone} AS BIGINT), tries := {tries}, found := {found})"
+_TRIED = "CAST([] AS STRUCT(section BIGINT, ts BIGINT, action VARCHAR, tries INTEGER)[])"
+_ALIVE = f"(x.kind IN ('done', 'error') AND NOT (a.gone >= 0 AND x.ts <= a.gone + {T.GONE_MS}))"
+_TRY = "(a.tries[x.section + 1] + 1)"
+_RETRIED = _fold(
+    f"""SELECT "user" AS k, {_RETRY.format(ts='ts', seq='seq', kind="CASE WHEN n = 8 AND seq % 5 = 0 THEN 'deleted' WHEN n = 7 AND seq % 2 = 0 THEN 'added' WHEN event_type = 'purchase' THEN 'done' ELSE 'error' END", section='seq % 6', gone=-1, tries='[0, 0, 0, 0, 0, 0]', found=_TRIED)} AS x FROM e""",
+    _RETRY.format(ts=-1, seq="CAST(0 AS INTEGER)", kind="''", section=0, gone=-1, tries="[0, 0, 0, 0, 0, 0]", found=_TRIED),
+    _RETRY.format(
+        ts="x.ts", seq="x.seq", kind="x.kind", section="x.section", gone=f"CASE WHEN x.kind = 'deleted' THEN x.ts WHEN x.kind = 'added' OR (a.gone >= 0 AND x.ts > a.gone + {T.GONE_MS}) THEN -1 ELSE a.gone END",
+        tries=f"CASE WHEN x.kind = 'deleted' THEN [0, 0, 0, 0, 0, 0] WHEN {_ALIVE} THEN list_transform(a.tries, lambda t, i: CASE WHEN i - 1 <> x.section THEN t WHEN x.kind = 'done' OR t >= {T.RETRIES} THEN 0 ELSE t + 1 END) ELSE a.tries END",
+        found=f"CASE WHEN {_ALIVE} THEN list_append(a.found, struct_pack(section := x.section, ts := x.ts, action := CASE WHEN x.kind = 'done' THEN 'ready' WHEN {_TRY} <= {T.RETRIES} THEN 'retry' ELSE 'failed' END, tries := CAST({_TRY} AS INTEGER))) ELSE a.found END",
+    ),
+)
 ORACLES = {
     "Z1_status": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY book, section ORDER BY ts DESC, seq DESC) AS k FROM na WHERE status IS NOT NULL) SELECT book, section, status, ts FROM r WHERE k = 1",
-    "Z5_Z6_cards": f"""WITH {_E}, {_CARDS}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS "user", f.ts AS ts, f.v AS active_ms FROM u""",
+    "Z5_Z6_cards": f"""WITH {_E}, {_CARDS}, z AS (SELECT max(ts) AS ts FROM e), w AS (
+SELECT k, CASE WHEN r.waiting >= 0 AND z.ts >= r.waiting + {T.DEBOUNCE_MS} AND r.active >= {T.MIN_CARD_MS} AND (r.shown < 0 OR r.waiting + {T.DEBOUNCE_MS} - r.shown >= {T.COOLDOWN_MS})
+  THEN list_append(r.found, struct_pack(ts := r.waiting + {T.DEBOUNCE_MS}, v := r.active)) ELSE r.found END AS found FROM folded, z),
+u AS (SELECT k, unnest(found) AS f FROM w) SELECT k AS "user", f.ts AS ts, f.v AS active_ms FROM u""",
     "Z14_resume": f"WITH {_E}, {_PARKED}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS book, 0 AS section, f.ts AS ts, f.v AS partial_ms FROM u",
     "Z1_Z2_Z3_progress": f"WITH {_E}, {_SECTIONS}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k[1] AS book, k[2] AS section, f.ts AS ts, f.status AS status, f.done AS done, f.marked AS marked FROM u",
     "Z4_stream_sittings": f"""WITH {_E}, {_SITTINGS}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS "user", f.book AS book, f.started AS started, f.ended AS ended, f.active_ms AS active_ms FROM u""",
-    "Z10_praise": f"""WITH {_E}, {_SITTINGS}, u AS (SELECT k, unnest(r.found) AS f FROM folded), o AS (SELECT "user", max(ts) AS ts FROM e GROUP BY 1),
-m AS (SELECT "user", ts, arg_max(f, f.started) AS f FROM o JOIN u ON u.k = o."user" AND f.active_ms >= {S.MIN_CARD_MS} AND f.started <= ts GROUP BY 1, 2)
+    "Z10_praise": f"""WITH {_E}, {_SITTINGS}, u AS (SELECT k, unnest(r.found) AS f FROM folded), o AS (SELECT "user", ts FROM e WHERE n = 8),
+m AS (SELECT "user", ts, arg_max(f, f.started) AS f FROM o JOIN u ON u.k = o."user" AND f.active_ms >= {T.MIN_CARD_MS} AND f.started <= ts GROUP BY 1, 2)
 SELECT "user", ts, f.started AS started, f.active_ms AS active_ms FROM m WHERE ts - (f.started + f.active_ms) <= {S.STALE_MS}""",
-    "Z13_chunks": f"WITH {_E} SELECT book, section, count(DISTINCT chunk) AS chunks FROM na WHERE status IS NULL GROUP BY 1, 2",
-    "A21_done": f"""WITH {_E} SELECT book FROM na WHERE status IS NOT NULL GROUP BY 1""",
+    "Z13_chunks": f"""WITH {_E}, r AS (SELECT *, count(*) FILTER (status = 'ready') OVER (PARTITION BY book, section ORDER BY ts, seq) AS made FROM na)
+SELECT book, section, count(DISTINCT (made, chunk)) AS chunks FROM r WHERE status IS NULL GROUP BY 1, 2""",
+    "A21_done": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY book, section ORDER BY ts DESC, seq DESC) AS k FROM na WHERE status IS NOT NULL)
+SELECT book FROM r WHERE k = 1 GROUP BY 1 HAVING bool_and(status IN {S.TERMINAL})""",
+    "Z7_grace": f"""WITH {_E}, {_GRACED}, u AS (SELECT k, unnest({_GRACE_END}) AS f FROM folded) SELECT k[1] AS book, k[2] AS section, f.ts AS ts, f.action AS action FROM u""",
+    "Z8_retries": f"""WITH {_E}, {_RETRIED}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS book, f.section AS section, f.ts AS ts, f.action AS action, f.tries AS tries FROM u""",
+    "Z9_recovered": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY book, section ORDER BY ts DESC, seq DESC) AS k FROM na WHERE status IS NOT NULL)
+SELECT book, section, CASE WHEN status = 'ready' THEN 'ready' ELSE 'pending' END AS status, ts, status NOT IN ('ready', 'pending') AS reset FROM r WHERE k = 1""",
     "Z12_stream_changes": f"""WITH {_E}, c AS (SELECT "user" AS book, ts, n % 3 AS ready, lag(n % 3) OVER (PARTITION BY "user" ORDER BY ts, seq) AS p FROM e) SELECT book, ts, ready FROM c WHERE p IS NULL OR p <> ready""",
 }

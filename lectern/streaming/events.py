@@ -15,10 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lectern.operators.intervals import as_of
+from lectern.streaming.timers import MIN_CARD_MS
+
+# Status of a section that is being made, or is over; else it is pending.
+IN_FLIGHT = ("synthesizing", "aligning", "encoding")
 TERMINAL = ("ready", "failed")
 #: Chunks between two marks of a section's progress.
 EACH = 10
-MIN_SITTING_MS, MIN_CARD_MS, COOLDOWN_MS, DEBOUNCE_MS, STALE_MS, GROWN_MS = 1_000, 60_000, 60_000, 1_200, 300_000, 1_500
+MIN_SITTING_MS, STALE_MS, GROWN_MS = 1_000, 300_000, 1_500
 
 
 def read_events(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -52,7 +57,7 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> list:
 
 
 def _stateful(events: DataFrame, keys: list[str], step, out: str, state: str) -> DataFrame:
-    """events through step(key, rows, state values or None) -> (output rows, new state values).
+    """events through step(key, rows, state values or None) -> (output rows, new state values, or None to forget the key).
 
     Of a batch, events are sorted by key and time and folded as they come, so
     no key's events are held at once; null keys are keys of their own there.
@@ -61,7 +66,10 @@ def _stateful(events: DataFrame, keys: list[str], step, out: str, state: str) ->
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows, now = step(key, _ordered(frames), held.get if held.exists else None)
-        held.update(now)
+        if now is not None:
+            held.update(now)
+        elif held.exists:
+            held.remove()
         yield pd.DataFrame([(*key, *r) for r in rows], columns=names)
 
     def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,8 +122,50 @@ def section_progress(events: DataFrame) -> DataFrame:
 
 
 def distinct_chunks(events: DataFrame) -> DataFrame:
-    """Finished-chunk events once for each (book, section, chunk); on a stream their keys are its state."""
-    return events.where("kind = 'chunk'").dropDuplicates(["book", "section", "chunk"])
+    """(book, section, chunk, ts) of each finished chunk that its section doesn't have yet; a section's chunks are forgotten, state and all, when it is ready.
+
+    events: as for section_progress. State is kept for sections that are being made only.
+    """
+    def step(key, rows, held):
+        done, out = set(held[0] if held else ()), []
+        for e in rows:
+            if e.kind == "status":
+                done = set() if e.status == "ready" else done
+            elif e.chunk not in done:
+                done.add(int(e.chunk))
+                out.append((int(e.chunk), int(e.ts)))
+        return out, (sorted(done),) if done else None
+
+    return _stateful(events, ["book", "section"], step, "book long, section int, chunk int, ts long", "done array<int>")
+
+
+def chunks_within(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Finished-chunk events of a stream, once for each (book, section, chunk) within ``delay`` of event time; what is older leaves the state."""
+    marked = events.where("kind = 'chunk'").withColumn("at", F.timestamp_millis("ts")).withWatermark("at", delay)
+    return marked.dropDuplicatesWithinWatermark(["book", "section", "chunk"]).drop("at")
+
+
+def recovered(sections: DataFrame) -> DataFrame:
+    """sections (book, section, status and others) as a start finds them: in flight under no worker, or failed, become pending; ``reset`` tells which."""
+    reset = F.col("status").isin(*IN_FLIGHT, "failed")
+    return sections.withColumn("reset", F.coalesce(reset, F.lit(False))).withColumn("status", F.when(reset, "pending").otherwise(F.col("status")))
+
+
+def write_once(path: str):
+    """A function for foreachBatch: each micro-batch's rows in a folder of its number, which a repeated batch replaces.
+
+    A query that stops between writing and its checkpoint runs that batch again;
+    its rows stand once all the same. Read the rows with ``read_once``.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def read_once(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_once has written, with the number of its batch."""
+    return spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path)
 
 
 def resumptions(events: DataFrame) -> DataFrame:
@@ -181,41 +231,15 @@ def sittings(events: DataFrame) -> DataFrame:
     return _stateful(events, ["user"], step, "user long, book long, started long, ended long, active_ms long", "book long, started long, active long, since long, playing boolean")
 
 
-def pause_cards(events: DataFrame) -> DataFrame:
-    """(user, ts, active_ms) of cards shown at pauses: DEBOUNCE_MS after one that no play follows by then, MIN_CARD_MS of reading at least, COOLDOWN_MS apart.
-
-    events: user, ts, seq, kind (``play`` or ``pause``). A pause waits in the
-    state until a later event of its user shows that time has passed.
-    """
-    def step(key, rows, held):
-        active, since, waiting, shown = held or (0, -1, -1, -1)
-        out = []
-        for e in rows:
-            ts = int(e.ts)
-            if waiting >= 0 and ts >= waiting + DEBOUNCE_MS:
-                at = waiting + DEBOUNCE_MS
-                if active >= MIN_CARD_MS and (shown < 0 or at - shown >= COOLDOWN_MS):
-                    shown = at
-                    out.append((at, active))
-                waiting = -1
-            if e.kind == "play":
-                waiting = -1
-                since = ts if since < 0 else since
-            elif since >= 0:
-                active, since, waiting = active + ts - since, -1, ts
-        return out, (active, since, waiting, shown)
-
-    return _stateful(events, ["user"], step, "user long, ts long, active_ms long", "active long, since long, waiting long, shown long")
-
-
 def celebrated(sittings_ended: DataFrame, opened: DataFrame) -> DataFrame:
     """Sittings (user, started, active_ms) to celebrate when the library opens (user, ts): long enough, and over for STALE_MS at most.
 
-    The last sitting before each opening; an older one isn't celebrated any more. Of a stream, within foreachBatch.
+    The last sitting begun before each opening, found by one pass over both in
+    time; an older one isn't celebrated any more. Of a stream, within foreachBatch.
     """
-    long_ = sittings_ended.where(F.col("active_ms") >= MIN_CARD_MS).select("user", F.col("started").alias("_at"), F.struct("started", "active_ms").alias("s"))
-    joined = opened.join(long_, "user").where(F.col("_at") <= F.col("ts")).groupBy("user", "ts").agg(F.max_by("s", "_at").alias("s"))
-    return joined.where(F.col("ts") - (F.col("s.started") + F.col("s.active_ms")) <= STALE_MS).select("user", "ts", "s.started", "s.active_ms")
+    long_ = sittings_ended.where(F.col("active_ms") >= MIN_CARD_MS).select("user", "started", "active_ms")
+    found = as_of(opened.select("user", "ts"), long_, ["user"], "ts", "started", ["started", "active_ms"], "active_ms")
+    return found.where(F.col("ts") - (F.col("started") + F.col("active_ms")) <= STALE_MS).select("user", "ts", "started", "active_ms")
 
 
 def changed(counts: DataFrame) -> DataFrame:

@@ -60,8 +60,15 @@ def test_latest_status_and_distinct_chunks(spark, tmp_path):
             last[r[:2]] = (*r[:2], r[5], r[2])
     batch = spark.createDataFrame(rows, SECTION).where("kind = 'status'")
     assert sorted(map(tuple, S.latest_status(batch).collect())) == sorted(last.values())
-    once = streamed(spark, tmp_path / "b", SECTION, rows, lambda s: S.distinct_chunks(s).select("book", "section", "chunk"))
-    assert sorted(once) == sorted({(r[0], r[1], r[6]) for r in rows if r[4] == "chunk"})
+    want, known = [], {}
+    for book, section, ts, _, kind, status, chunk in rows:
+        done = known.setdefault((book, section), set())
+        if kind == "status":
+            done.clear() if status == "ready" else None
+        elif chunk not in done:
+            done.add(chunk)
+            want.append((book, section, chunk, ts))
+    assert sorted(streamed(spark, tmp_path / "b", SECTION, rows, S.distinct_chunks)) == sorted(want)
 
 
 def test_sittings(spark, tmp_path):
@@ -75,18 +82,6 @@ def test_sittings(spark, tmp_path):
     assert sorted(got) == [(1, 7, 0, 12_000, 7_000), (1, 8, 12_000, 15_000, 2_000)]
 
 
-def test_pause_cards(spark, tmp_path):
-    rows = [
-        (1, 0, 0, "play"), (1, 70_000, 0, "pause"), (1, 70_500, 0, "play"),  # resumed too soon
-        (1, 80_000, 0, "pause"), (1, 90_000, 0, "play"),  # the first card
-        (1, 95_000, 0, "pause"), (1, 99_000, 0, "play"),  # within the cooldown
-        (1, 145_000, 0, "pause"), (1, 150_000, 0, "play"),
-        (2, 0, 0, "play"), (2, 30_000, 0, "pause"), (2, 90_000, 0, "play"),  # too short
-    ]
-    got = streamed(spark, tmp_path, "user long, ts long, seq int, kind string", rows, S.pause_cards)
-    assert sorted(got) == [(1, 81_200, 79_500), (1, 146_200, 130_500)]
-
-
 def test_resumptions(spark, tmp_path):
     rows = [
         (1, 0, 0, 0, "partial", 2_000), (1, 0, 1, 0, "park", None), (1, 0, 2, 0, "partial", 3_000), (1, 0, 3, 0, "partial", 3_600),
@@ -113,6 +108,15 @@ def test_celebrations_snapshots_and_finished_books(spark):
     assert [r.book for r in S.finished_books(sections).collect()] == [1]
 
 
+def test_sections_as_a_start_finds_them(spark):
+    states = ["pending", "synthesizing", "aligning", "encoding", "ready", "failed", None]
+    rows = spark.createDataFrame(list(enumerate(states)), "section int, status string")
+    got = {r.section: (r.status, r.reset) for r in S.recovered(rows).collect()}
+    assert got == {0: ("pending", False), 1: ("pending", True), 2: ("pending", True), 3: ("pending", True), 4: ("ready", False), 5: ("pending", True), 6: (None, False)}
+    books = [(1, "ready"), (1, "failed"), *((2 + i, s) for i, s in enumerate(states[:4])), (9, "ready"), (9, "encoding")]
+    assert [r.book for r in S.finished_books(spark.createDataFrame(books, "book int, status string")).collect()] == [1]
+
+
 @pytest.mark.parametrize("operator", [S.section_progress, S.distinct_chunks])
 def test_no_events(spark, tmp_path, operator):
     assert streamed(spark, tmp_path, SECTION, [], operator, batches=1) == []
