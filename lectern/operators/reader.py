@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import fnv32
 from lectern.operators import intervals
+from lectern.operators.ordered import in_pieces, with_summaries
 
 READY, FAILED, PENDING = "ready", "failed", "pending"
 IN_FLIGHT = ("synthesizing", "aligning", "encoding")
@@ -196,35 +202,128 @@ CLOTHS, TILTS = 10, 4
 WIDTHS = (30, 33, 36, 40, 40, 44, 44, 48, 54)
 
 
-def moved(base: Column, n: int, seed: Column, bad) -> Column:
-    """The first of the other indexes, tried from a seeded offset around the circle, that isn't ``bad``; base itself if it isn't."""
-    tried = F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda k: ((base + (seed + k) % (n - 1) + 1) % n).cast("int"))
-    return F.when(bad(base), F.get(F.filter(tried, lambda i: ~bad(i)), F.lit(0))).otherwise(base)
+def moved_table(values: tuple, behind: int) -> np.ndarray:
+    """For each index, seed and looks of the ``behind`` neighbours before (None is the last): the index shown.
+
+    It is the index itself if its value is no neighbour's, else the first such
+    of the others, tried from the seed around the circle.
+    """
+    n = len(values)
+    known = [*values, None]
+    out = np.empty((n, n - 1, *(n + 1,) * behind), np.int64)
+    for base, seed, *near in np.ndindex(*out.shape):
+        taken = {known[i] for i in near}
+        tried = [base, *((base + (seed + k) % (n - 1) + 1) % n for k in range(n - 1))]
+        out[base, seed, *near] = next(i for i in tried if values[i] not in taken)
+    return out
+
+
+class _Looks:
+    """The three looks of a shelf as machines of few states: cloths of the two books before, width and tilt of the one before."""
 
+    def __init__(self):
+        n = CLOTHS + 1
+        cloth = moved_table(tuple(range(CLOTHS)), 2)
+        # States are numbers: older * n + newer; a step forgets the older one.
+        older, newer = np.divmod(np.arange(n * n), n)
+        self.cloth = newer * n + cloth[:, :, newer, older]
+        self.width = moved_table(WIDTHS, 1)
+        self.tilt = moved_table(tuple(range(TILTS)), 1)
+        self.sizes = (n * n, len(WIDTHS) + 1, TILTS + 1)
+        self.start = [size - 1 for size in self.sizes]
 
-def spines(books: DataFrame) -> DataFrame:
+    def tables(self, rows: np.ndarray):
+        """The three steps of each book of rows (c, cs, w, ws, t, ts)."""
+        return self.cloth[rows[:, 0], rows[:, 1]], self.width[rows[:, 2], rows[:, 3]], self.tilt[rows[:, 4], rows[:, 5]]
+
+
+HASHES = ["c", "cs", "w", "ws", "t", "ts"]
+
+
+def spines(books: DataFrame, pieces: int | None = None) -> DataFrame:
     """(shelf, id, cloth, width, tilt, scale, delay): looks by the hash of a title, moved where they would repeat a neighbour's.
 
     books: shelf, at (place on it), id, title. A cloth differs from the two
-    before it, width and tilt from the one before. Each shelf is one fold: its books must fit into a row.
+    before it, width and tilt from the one before. What a book shows depends on
+    the two before it only, so a run of books is a map from few states to few
+    states: a shelf lies in as many pieces as it needs, the maps of its pieces are composed
+    into the state that each one begins with, and then all pieces are folded.
+    No row or task holds a whole shelf.
+
+    Edge cases: a null shelf is a shelf, a null title hashes as an empty one; of one place the least id comes first.
     """
-    h = lambda mark, n: (fnv32(F.concat(F.lit(mark), "title")) % n).cast("int")
-    own = F.struct("at", "id", h("", CLOTHS).alias("c"), h("#", CLOTHS - 1).alias("cs"), h("|", len(WIDTHS)).alias("w"), h("w#", len(WIDTHS) - 1).alias("ws"), h("=", TILTS).alias("t"), h("t#", TILTS - 1).alias("ts"), h("~", 11).alias("sc"), h("", 40).alias("de"))
-    listed = books.select("shelf", own.alias("b")).groupBy("shelf").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    id_kind = books.schema["id"].dataType.simpleString()
-    kind = f"array<struct<id:{id_kind},cloth:int,width:int,tilt:int,scale:int,delay:int>>"
-    widths = F.array(*map(F.lit, WIDTHS))
-
-    def step(done: Column, b: Column) -> Column:
-        one, two = F.try_element_at(done, F.lit(-1)), F.try_element_at(done, F.lit(-2))
-        same = lambda x, y: F.coalesce(x == y, F.lit(False))
-        cloth = moved(b["c"], CLOTHS, b["cs"], lambda i: same(one["cloth"], i) | same(two["cloth"], i))
-        width = moved(b["w"], len(WIDTHS), b["ws"], lambda i: same(F.get(widths, one["width"]), F.get(widths, i)))
-        tilt = moved(b["t"], TILTS, b["ts"], lambda i: same(one["tilt"], i))
-        return F.concat(done, F.array(F.struct(b["id"].alias("id"), cloth.alias("cloth"), width.alias("width"), tilt.alias("tilt"), b["sc"].alias("scale"), b["de"].alias("delay"))).cast(kind))
-
-    made = listed.select("shelf", F.explode(F.aggregate("bs", F.array().cast(kind), step)).alias("s"))
-    return made.select("shelf", "s.id", "s.cloth", F.get(widths, F.col("s.width")).alias("width"), (F.col("s.tilt") + 82).alias("tilt"), (F.lit(0.9) + F.col("s.scale") / 100).alias("scale"), (F.col("s.delay") / 10).alias("delay"))
+    title = F.coalesce(F.col("title"), F.lit(""))
+    h = lambda mark, n: (fnv32(F.concat(F.lit(mark), title)) % n).cast("int")
+    rows = books.select(
+        "shelf", "at", "id", h("", CLOTHS).alias("c"), h("#", CLOTHS - 1).alias("cs"), h("|", len(WIDTHS)).alias("w"), h("w#", len(WIDTHS) - 1).alias("ws"),
+        h("=", TILTS).alias("t"), h("t#", TILTS - 1).alias("ts"), h("~", 11).alias("scale"), h("", 40).alias("delay"),
+    )
+    order = ["at", "id", *HASHES]
+    cut = in_pieces(rows, ["shelf"], order, pieces)
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    # Shelves of several pieces: of each piece the map from the state before it to the one behind it.
+    parts = cut.select("shelf", "piece").distinct().withColumn("next", F.lead("piece").over(Window.partitionBy("shelf").orderBy("piece"))).where("next IS NOT NULL")
+    going_on = with_summaries(cut, parts, ["shelf"], ["next"]).where("next IS NOT NULL")
+    inside = F.row_number().over(Window.partitionBy("piece", "shelf").orderBy(*order))
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looks, held, maps = _Looks(), None, None
+        for batch in batches:
+            steps = looks.tables(_hashes(batch))
+            firsts = batch["nth"].to_numpy() == 1
+            for i in range(batch.num_rows):
+                if firsts[i]:
+                    if held is not None:
+                        yield _with_column(held, "map", maps)
+                    maps = [np.arange(size) for size in looks.sizes]
+                held = batch.slice(i, 1).select(["shelf", "next"])
+                maps = [table[i][m] for table, m in zip(steps, maps)]
+        if held is not None:
+            yield _with_column(held, "map", maps)
+
+    composed = going_on.withColumn("nth", inside).mapInArrow(compose, f"shelf {kinds['shelf']}, next int, map array<int>")
+
+    def begin(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, looks, out = frame.sort_values("next"), _Looks(), []
+        cuts = np.cumsum(looks.sizes)[:-1]
+        state = looks.start
+        for m in frame["map"]:
+            state = [int(part[x]) for part, x in zip(np.split(np.asarray(m), cuts), state)]
+            out.append(state)
+        return pd.DataFrame({"shelf": frame["shelf"], "piece": frame["next"], "state": out})
+
+    # At most a row for each piece of the table; a map is 136 numbers.
+    states = composed.groupBy("shelf").applyInPandas(begin, f"shelf {kinds['shelf']}, piece int, state array<int>")
+    numbered = with_summaries(cut, states, ["shelf"], ["state"]).withColumn("nth", inside)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looks, state = _Looks(), None
+        for batch in batches:
+            steps = looks.tables(_hashes(batch))
+            firsts = np.flatnonzero(batch["nth"].to_numpy() == 1)
+            starts = dict(zip(firsts.tolist(), batch["state"].take(pa.array(firsts)).to_pylist()))
+            shown = np.empty((batch.num_rows, 3), np.int32)
+            for i in range(batch.num_rows):
+                if i in starts:
+                    state = starts[i] or looks.start
+                state = [table[i][x] for table, x in zip(steps, state)]
+                shown[i] = state
+            shown[:, 0] %= CLOTHS + 1
+            looked = [pa.array(shown[:, k]) for k in range(3)]
+            yield pa.record_batch([batch["shelf"], batch["id"], *looked, batch["scale"], batch["delay"]], ["shelf", "id", "cloth", "w", "tilt", "scale", "delay"])
+
+    made = numbered.mapInArrow(fold, f"shelf {kinds['shelf']}, id {kinds['id']}, cloth int, w int, tilt int, scale int, delay int")
+    width = F.get(F.array(*map(F.lit, WIDTHS)), F.col("w")).alias("width")
+    return made.select("shelf", "id", "cloth", width, (F.col("tilt") + 82).alias("tilt"), (F.lit(0.9) + F.col("scale") / 100).alias("scale"), (F.col("delay") / 10).alias("delay"))
+
+
+def _hashes(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch[c].to_numpy() for c in HASHES], 1)
+
+
+def _with_column(row: pa.RecordBatch, name: str, maps: list[np.ndarray]) -> pa.RecordBatch:
+    value = pa.array([np.concatenate(maps).astype(np.int32)], pa.list_(pa.int32()))
+    return pa.record_batch([*row.columns, value], [*row.schema.names, name])
 
 
 # -- small rules ---------------------------------------------------------------------------

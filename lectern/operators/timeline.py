@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ordered import running_sums
+
 
 def timeline(sections: DataFrame) -> DataFrame:
     """sections (book, section, status, duration_ms, partial_ms) with start and end on the global and the ready axis.
 
     A section that isn't ready but has a playable beginning counts as ready with that length.
+    A book of any number of sections is summed in pieces.
     """
     partial = (F.col("status") != "ready") & (F.coalesce("partial_ms", F.lit(0)) > 0)
     d = F.greatest(F.lit(0), F.when(partial, F.col("partial_ms")).otherwise(F.coalesce("duration_ms", F.lit(0))))
-    w = Window.partitionBy("book").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
     made = sections.withColumn("len_ms", d).withColumn("ready", (F.col("status") == "ready") | partial)
     ready_len = F.when(F.col("ready"), F.col("len_ms")).otherwise(0)
-    return made.select(
+    summed = running_sums(made.select("book", "section", "status", "len_ms", "ready"), ["book"], ["section"], {"end_ms": F.col("len_ms"), "_ready_end": ready_len})
+    return summed.select(
         "book", "section", "status", "len_ms", "ready",
-        (F.sum("len_ms").over(w) - F.col("len_ms")).alias("start_ms"), F.sum("len_ms").over(w).alias("end_ms"),
-        (F.sum(ready_len).over(w) - ready_len).alias("ready_start"),
+        (F.col("end_ms") - F.col("len_ms")).alias("start_ms"), "end_ms", (F.col("_ready_end") - ready_len).alias("ready_start"),
     )
 
 

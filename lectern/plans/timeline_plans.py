@@ -61,7 +61,7 @@ def probes_of(spark, d):
 
 def position_at(spark, d):
     """Section and offset of a time on a book's axis; times outside are clamped."""
-    line = T.timeline(sections_of(spark, d)).withColumn("total", F.max("end_ms").over(Window.partitionBy("book")))
+    line = T.timeline(sections_of(spark, d))
     totals = line.groupBy("book").agg(F.max("end_ms").alias("total"))
     probes = probes_of(spark, d).join(totals, "book").withColumn("t", F.greatest(F.lit(0), F.least("t", "total"))).drop("total")
     found = intervals.as_of(probes, line, ["book"], "t", "start_ms", ["section", "start_ms", "len_ms"], "section")
