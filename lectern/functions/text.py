@@ -118,20 +118,28 @@ def sentences(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(~marked.contains(BREAK), F.array(F.trim(text))).otherwise(F.filter(found, lambda s: s != ""))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def units(sents: Column) -> Column:
     """array<struct<s0,s1,text>>: sentences joined until one ends in a pause mark; what is left over is a unit too."""
-    marked = F.transform(sents, lambda s, i: F.concat(s, F.when(ends_terminal(s), F.lit(BREAK)).otherwise(F.lit(" "))))
-    texts = F.filter(F.transform(F.split(F.array_join(marked, ""), BREAK), lambda u: F.trim(u)), lambda u: u != "")
 
-    ends = F.filter(F.transform(sents, lambda s, i: F.when(ends_terminal(s) | (i == F.size(sents) - 1), i)), lambda i: i.isNotNull())
+    def of(flagged: Column) -> Column:
+        marked = F.transform(flagged, lambda s: F.concat(s["s"], F.when(s["e"], F.lit(BREAK)).otherwise(F.lit(" "))))
+        texts = F.filter(F.transform(F.split(F.array_join(marked, ""), BREAK), lambda u: F.trim(u)), lambda u: u != "")
+        ends = F.filter(F.transform(flagged, lambda s, i: F.when(s["e"] | (i == F.size(flagged) - 1), i)), lambda i: i.isNotNull())
+
+        def join(e: Column) -> Column:
+            return F.zip_with(
+                F.transform(e, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get(e, i - 1) + 1).alias("s0"), x.alias("s1"))), texts,
+                lambda r, t: F.struct(r["s0"].alias("s0"), r["s1"].alias("s1"), t.alias("text")),
+            )
 
-    def join(e: Column) -> Column:
-        return F.zip_with(
-            F.transform(e, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get(e, i - 1) + 1).alias("s0"), x.alias("s1"))), texts,
-            lambda r, t: F.struct(r["s0"].alias("s0"), r["s1"].alias("s1"), t.alias("text")),
-        )
+        return _let(ends, join)
 
-    return F.transform(F.array(ends), join)[0]
+    return _let(F.transform(sents, lambda s: F.struct(s.alias("s"), ends_terminal(s).alias("e"))), of)
 
 
 def _word_bounded(text: Column) -> Column:
@@ -156,25 +164,37 @@ def long_pieces(text: Column) -> Column:
 
 
 def chunks(unit_list: Column) -> Column:
-    """array<struct<s0,s1,text>>: units packed up to MOST_CHUNK characters; each piece of an oversized unit is a chunk of its own."""
-    kind = "array<struct<s0:int,s1:int,text:string>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("struct<s0:int,s1:int,text:string>").alias("now"))
-
-    def flushed(acc: Column) -> Column:
-        return F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
-
-    def step(acc: Column, u: Column) -> Column:
-        pieces = u["pieces"]
-        several = F.size(pieces) > 1
-        own = F.transform(pieces, lambda p: F.struct(u["s0"].alias("s0"), u["s1"].alias("s1"), p.alias("text")))
-        alone = F.struct(u["s0"].alias("s0"), u["s1"].alias("s1"), u["text"].alias("text"))
-        fits = acc["now"].isNotNull() & (F.length(acc["now"]["text"]) + 1 + F.length(u["text"]) <= MOST_CHUNK)
-        longer = F.struct(acc["now"]["s0"].alias("s0"), u["s1"].alias("s1"), F.concat_ws(" ", acc["now"]["text"], u["text"]).alias("text"))
-        done = F.when(several, F.concat(flushed(acc), own)).when(fits, acc["done"]).otherwise(flushed(acc))
-        return F.struct(done.cast(kind).alias("done"), F.when(several, F.lit(None)).when(fits, longer).otherwise(alone).cast("struct<s0:int,s1:int,text:string>").alias("now"))
-
-    with_pieces = F.transform(unit_list, lambda u: F.struct(u["s0"].alias("s0"), u["s1"].alias("s1"), u["text"].alias("text"), long_pieces(u["text"]).alias("pieces")))
-    return F.aggregate(with_pieces, start, step, flushed)
+    """array<struct<s0,s1,text>>: units packed up to MOST_CHUNK characters; each piece of an oversized unit is a chunk of its own.
+
+    The fold looks at lengths and leaves a mark for each unit (1: a chunk begins,
+    0: it goes on, 2: cut into pieces); texts are joined once, by those marks.
+    """
+
+    def of(us: Column) -> Column:
+        def step(acc: Column, u: Column) -> Column:
+            several, n = F.size(u["pieces"]) > 1, F.length(u["text"])
+            fits = (acc["n"] >= 0) & (acc["n"] + 1 + n <= MOST_CHUNK)
+            mark = F.when(several, "2").when(fits, "0").otherwise("1")
+            return F.struct(F.concat(acc["marks"], mark).alias("marks"), F.when(several, -1).when(fits, acc["n"] + 1 + n).otherwise(n).alias("n"))
+
+        def cut(marks: Column) -> Column:
+            starts = F.filter(F.transform(us, lambda u, i: F.when(F.substring(marks, i + 1, F.lit(1)) != "0", i)), lambda i: i.isNotNull())
+
+            def chunk(ss: Column) -> Column:
+                def one(i: Column, k: Column) -> Column:
+                    u, end = F.get(us, i), F.coalesce(F.get(ss, k + 1), F.size(us)) - 1
+                    part = lambda s1, t: F.struct(u["s0"].alias("s0"), s1.alias("s1"), t.alias("text"))
+                    whole = F.array(part(F.get(us, end)["s1"], F.array_join(F.transform(F.slice(us, i + 1, end - i + 1), lambda x: x["text"]), " ")))
+                    return F.when(F.size(u["pieces"]) > 1, F.transform(u["pieces"], lambda p: part(u["s1"], p))).otherwise(whole)
+
+                return F.flatten(F.transform(ss, one))
+
+            return _let(starts, chunk)
+
+        start = F.struct(F.lit("").alias("marks"), F.lit(-1).alias("n"))
+        return _let(F.aggregate(us, start, step, lambda a: a["marks"]), cut)
+
+    return _let(F.transform(unit_list, lambda u: F.struct(u["s0"].alias("s0"), u["s1"].alias("s1"), u["text"].alias("text"), long_pieces(u["text"]).alias("pieces"))), of)
 
 
 def symbol_density(text: Column) -> Column:

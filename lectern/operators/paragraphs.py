@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.sources.tables import spread
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, para, text): one row per line, numbered from 0, normalised and cleaned."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("para", "raw"))
-    return lines.select("doc_id", "para", X.cleaned(X.normalized(F.col("raw"))).alias("text"))
+def paragraphs(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, para, text, and the columns in keep): one row per line, numbered from 0, normalised and cleaned."""
+    lines = spread(docs.select("doc_id", *keep, "text")).select("doc_id", *keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("para", "raw"))
+    return lines.select("doc_id", *keep, "para", X.cleaned(X.normalized(F.col("raw"))).alias("text"))
 
 
-def sentences(paras: DataFrame) -> DataFrame:
-    """(doc_id, para, sent, text) of paragraphs."""
-    return paras.select("doc_id", "para", F.posexplode(X.sentences(F.col("text"))).alias("sent", "text"))
+def sentences(paras: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, para, sent, text, and the columns in keep) of paragraphs."""
+    return paras.select("doc_id", *keep, "para", F.posexplode(X.sentences(F.col("text"))).alias("sent", "text"))
 
 
 def units(paras: DataFrame) -> DataFrame:

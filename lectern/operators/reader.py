@@ -107,11 +107,14 @@ def search(items: DataFrame, needle: str, cap: int = 30) -> DataFrame:
     if len(needle) < 2:
         return items.limit(0).select("book", "sec", "para", "sent", F.lit(0).alias("at"), F.lit(0).alias("rank"))
     hit = lambda c: F.instr(F.lower(c), needle) - 1
-    first = items.groupBy("book", "sec").agg(F.min(F.struct("para", "sent", "title")).alias("f"))
-    titles = first.select("book", "sec", F.col("f.para").alias("para"), F.lit(-1).alias("sent"), hit(F.col("f.title")).alias("at"))
-    found = titles.unionByName(items.select("book", "sec", "para", "sent", hit(F.col("text")).alias("at"))).where("at >= 0")
+    looked = items.select("book", "sec", "para", "sent", hit(F.col("title")).alias("_title"), hit(F.col("text")).alias("_text")).where("_title >= 0 OR _text >= 0")
+    # Each row is a hit of its sentence, and may be its section's first row, which stands for the title.
+    kinds = F.array(F.struct(F.lit(0).alias("_kind"), F.lit(-1).alias("_sent"), F.col("_title").alias("at")), F.struct(F.lit(1).alias("_kind"), F.col("sent").alias("_sent"), F.col("_text").alias("at")))
+    found = looked.select("book", "sec", "para", "sent", F.inline(kinds)).where("at >= 0")
+    nth = F.row_number().over(Window.partitionBy("book", "sec", "_kind").orderBy("para", "sent"))
+    once = found.withColumn("_nth", nth).where("_kind = 1 OR _nth = 1").select("book", "sec", "para", F.col("_sent").alias("sent"), "at")
     rank = F.row_number().over(Window.partitionBy("book").orderBy("sec", F.col("sent") >= 0, "para", "sent"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= cap)
+    return once.withColumn("rank", rank).where(F.col("rank") <= cap)
 
 
 def spoken_at(hits: DataFrame, chunks: DataFrame) -> DataFrame:

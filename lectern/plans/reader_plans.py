@@ -117,7 +117,7 @@ def aligner(spark, d):
 
 def hits(spark, d):
     """Search in each source as a book: documents are its sections, with a title for every third."""
-    sents = P.sentences(P.paragraphs(table(spark, d, "documents").select("doc_id", "text"))).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    sents = P.sentences(P.paragraphs(table(spark, d, "documents"), keep=("source",)), keep=("source",))
     items = sents.select(F.col("source").alias("book"), F.col("doc_id").alias("sec"), "para", "sent", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("On station "), F.col("doc_id"))).otherwise("").alias("title"), "text")
     return R.search(items, NEEDLE)
 

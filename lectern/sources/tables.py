@@ -30,8 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on as many tasks as the session has cores, where its scan has fewer splits (a small file of one row group); else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _stored_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the tables that this application has stored. Results that read them must have been read or written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """df written as Parquet into the shared folder and read again: its lineage ends there.
+
+    The tables of an application lie in one folder, which drop_stored deletes.
+    """
+    path = f"{_stored_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
