@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -118,6 +118,16 @@ def sentences(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(~marked.contains(BREAK), F.array(F.trim(text))).otherwise(F.filter(found, lambda s: s != ""))
 
 
+def each(df: DataFrame, *keep: str, value: Column, names: tuple[str, str]) -> DataFrame:
+    """A row for each element of an array, with its place and itself under ``names``.
+
+    From a plain posexplode Catalyst infers that the array isn't empty and computes
+    it a second time to filter for that, through all projections below; the outer
+    one leaves it alone, and rows of empty arrays go by their missing place.
+    """
+    return df.select(*keep, F.posexplode_outer(value).alias(*names)).where(F.col(names[0]).isNotNull())
+
+
 def _let(value: Column, use) -> Column:
     """use(value) with value computed once a row."""
     return F.transform(F.array(value), use)[0]

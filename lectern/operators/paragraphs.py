@@ -11,26 +11,26 @@ from lectern.sources.tables import spread
 
 def paragraphs(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, para, text, and the columns in keep): one row per line, numbered from 0, normalised and cleaned."""
-    lines = spread(docs.select("doc_id", *keep, "text")).select("doc_id", *keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("para", "raw"))
+    lines = X.each(spread(docs.select("doc_id", *keep, "text")), "doc_id", *keep, value=F.split(F.coalesce("text", F.lit("")), "\n"), names=("para", "raw"))
     return lines.select("doc_id", *keep, "para", X.cleaned(X.normalized(F.col("raw"))).alias("text"))
 
 
 def sentences(paras: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, para, sent, text, and the columns in keep) of paragraphs."""
-    return paras.select("doc_id", *keep, "para", F.posexplode(X.sentences(F.col("text"))).alias("sent", "text"))
+    return X.each(paras, "doc_id", *keep, "para", value=X.sentences(F.col("text")), names=("sent", "text"))
 
 
 def units(paras: DataFrame) -> DataFrame:
     """(doc_id, para, unit, s0, s1, text) of paragraphs."""
     found = paras.select("doc_id", "para", X.sentences(F.col("text")).alias("s"))
-    return found.select("doc_id", "para", F.posexplode(X.units(F.col("s"))).alias("unit", "u")).select("doc_id", "para", "unit", "u.*")
+    return X.each(found, "doc_id", "para", value=X.units(F.col("s")), names=("unit", "u")).select("doc_id", "para", "unit", "u.*")
 
 
 def chunks(paras: DataFrame) -> DataFrame:
     """(doc_id, para, n, s0, s1, text): chunks of paragraphs, numbered in each."""
     found = paras.select("doc_id", "para", X.sentences(F.col("text")).alias("s"))
     with_units = found.select("doc_id", "para", X.units(F.col("s")).alias("u"))
-    return with_units.select("doc_id", "para", F.posexplode(X.chunks(F.col("u"))).alias("n", "c")).select("doc_id", "para", "n", "c.*")
+    return X.each(with_units, "doc_id", "para", value=X.chunks(F.col("u")), names=("n", "c")).select("doc_id", "para", "n", "c.*")
 
 
 def plan(paras: DataFrame) -> DataFrame:

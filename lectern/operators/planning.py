@@ -156,12 +156,12 @@ def chunks_of_groups(paras: DataFrame) -> DataFrame:
 
     paras: doc_id, para, sents, groups.
     """
-    flat = paras.select("doc_id", "para", "sents", F.posexplode(folded(F.array_sort("groups"), F.col("sents"))).alias("g", "f"))
+    flat = X.each(paras, "doc_id", "para", "sents", value=folded(F.array_sort("groups"), F.col("sents")), names=("g", "f"))
     own = F.slice("sents", F.col("f.from") + 1, F.col("f.to") - F.col("f.from") + 1)
     kind = "array<struct<s0:int,s1:int,text:string>>"
     recut = F.transform(X.chunks(X.units(own)), lambda c: F.struct((c["s0"] + F.col("f.from")).alias("s0"), (c["s1"] + F.col("f.from")).alias("s1"), c["text"].alias("text"))).cast(kind)
     whole = F.array(F.struct(F.col("f.from").alias("s0"), F.col("f.to").alias("s1"), F.array_join(own, " ").alias("text"))).cast(kind)
-    cut = flat.select("doc_id", "para", "g", F.posexplode(F.when(F.col("f.size") > X.MOST_CHUNK, recut).otherwise(whole)).alias("piece", "c"))
+    cut = X.each(flat, "doc_id", "para", "g", value=F.when(F.col("f.size") > X.MOST_CHUNK, recut).otherwise(whole), names=("piece", "c"))
     order = Window.partitionBy("doc_id", "para").orderBy("g", "piece")
     return cut.select("doc_id", "para", (F.row_number().over(order) - 1).alias("n"), "c.*")
 

@@ -39,20 +39,25 @@ def answers(spark, d):
 
 def mask_groups(spark, d):
     g = M.grouped(_paras(spark, d))
-    return g.select("doc_id", "para", "by_mask", F.posexplode("groups").alias("n", "g")).select("doc_id", "para", "by_mask", "n", F.col("g.from").alias("s0"), F.col("g.to").alias("s1"))
+    return X.each(g, "doc_id", "para", "by_mask", value=F.col("groups"), names=("n", "g")).select("doc_id", "para", "by_mask", "n", F.col("g.from").alias("s0"), F.col("g.to").alias("s1"))
 
 
 def validity(spark, d):
     return M.checked(M.grouped(_paras(spark, d)))
 
 
+def _by_mask(g):
+    """Groups of masks only, others null. A filter would be pushed below the sentences, which it would then compute again for every place that asks for their number."""
+    return g.withColumn("groups", F.when(F.col("by_mask"), F.col("groups")))
+
+
 def folds(spark, d):
-    g = M.grouped(_paras(spark, d)).where("by_mask")
-    return g.select("doc_id", "para", F.posexplode(M.folded(F.col("groups"), F.col("sents"))).alias("n", "g")).select("doc_id", "para", "n", F.col("g.from").alias("s0"), F.col("g.to").alias("s1"), F.col("g.size").alias("size"))
+    g = _by_mask(M.grouped(_paras(spark, d)))
+    return X.each(g, "doc_id", "para", value=M.folded(F.col("groups"), F.col("sents")), names=("n", "g")).select("doc_id", "para", "n", F.col("g.from").alias("s0"), F.col("g.to").alias("s1"), F.col("g.size").alias("size"))
 
 
 def cut_chunks(spark, d):
-    return M.chunks_of_groups(M.grouped(_paras(spark, d)).where("by_mask"))
+    return M.chunks_of_groups(_by_mask(M.grouped(_paras(spark, d))))
 
 
 def report(spark, d):

@@ -96,8 +96,8 @@ def to_global(spark, d):
 def token_times(spark, d):
     """Tokens of paragraphs with the times of their chunks' words, 350 ms each; summed by paragraph."""
     paras = P.paragraphs(table(spark, d, "documents").select("doc_id", "text"))
-    tokens = paras.where("text <> ''").select("doc_id", "para", F.posexplode(X.words(F.col("text"))).alias("ti", "token"))
-    words = P.chunks(paras).select("doc_id", "para", F.col("n").alias("chunk"), F.posexplode(F.split("text", " ")).alias("w", "word"))
+    tokens = X.each(paras.where("text <> ''"), "doc_id", "para", value=X.words(F.col("text")), names=("ti", "token"))
+    words = X.each(P.chunks(paras).withColumnRenamed("n", "chunk"), "doc_id", "para", "chunk", value=F.split("text", " "), names=("w", "word"))
     timed = R.timed_tokens(tokens, words.withColumn("s", F.col("w") * 350), ["doc_id", "para"])
     return timed.groupBy("doc_id", "para").agg(F.count(F.lit(1)).alias("tokens"), F.count("s").alias("timed"), F.sum("s").alias("s"), F.count_if(F.col("token") == F.col("word")).alias("same"))
 

@@ -119,7 +119,7 @@ def stitch(spark, d):
 
 
 def long_units(spark, d):
-    return P.units(_paras(spark, d)).where(F.length("text") > X.MOST_SENTENCE).select("doc_id", "para", "unit", F.posexplode(X.long_pieces(F.col("text"))).alias("piece", "text"))
+    return X.each(P.units(_paras(spark, d)).where(F.length("text") > X.MOST_SENTENCE), "doc_id", "para", "unit", value=X.long_pieces(F.col("text")), names=("piece", "text"))
 
 
 def chunks(spark, d):
