@@ -135,6 +135,13 @@ def of_groups(rows: DataFrame, key: str, value: str, deal: str, salts: int = 256
     return found.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).withColumn("least", F.coalesce("least", F.col(value)))
 
 
+def known_by(rows: DataFrame, key: str, info: DataFrame, deal: str, salts: int = 64) -> DataFrame:
+    """rows with the columns of info (one row for each key); rows of a key are dealt to ``salts`` tasks by the hash of ``deal``, and info goes only where they are."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int"))
+    where = salted.select(key, "_salt").distinct().join(info, key)
+    return salted.join(where, [key, "_salt"]).drop("_salt")
+
+
 # -- connected components ----------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, group_starts, small_batches, sorted_groups, split_groups, stored
+from lectern.llm.common import components, group_starts, known_by, of_groups, small_batches, sorted_groups, split_groups, stored
 
 #: Least cosine of a link.
 LINK = 0.95
@@ -41,16 +41,16 @@ def choose_pivots(vectors: DataFrame, least: int = 64, most: int = 4096) -> dict
     if not want:
         return {}
     part = F.try_element_at(F.create_map(*(F.lit(x) for width, n in counts.items() for x in (width, min(1.0, 1.2 * want[width] / n)))), F.size("v"))
-    sampled = vectors.where(F.pmod(F.xxhash64("class"), F.lit(1_000_003)) < part * 1_000_003).select("class", "v")
+    sampled = vectors.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_003)) < part * 1_000_003).select("digest", "v")
     rows = sampled.limit(2 * most).collect() if len(counts) == 1 else sampled.collect()
     by_width: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["class"] is None, r["class"])):
+    for r in sorted(rows, key=lambda r: bytes(r["digest"])):
         by_width.setdefault(len(r["v"]), []).append(r["v"])
     pivots = {}
-    # A length of which the hash takes none: the one of least class stands for all.
+    # A length of which the hash takes none: the one of least digest stands for all.
     missing = [width for width in counts if width not in by_width]
     if missing:
-        for r in vectors.where(F.size("v").isin(missing)).groupBy(F.size("v").alias("width")).agg(F.min_by("v", "class").alias("v")).collect():
+        for r in vectors.where(F.size("v").isin(missing)).groupBy(F.size("v").alias("width")).agg(F.min_by("v", "digest").alias("v")).collect():
             by_width[r["width"]] = [r["v"]]
     for width, given in by_width.items():
         chosen = np.zeros((0, width))
@@ -103,11 +103,16 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, nearest: int = NEARE
     together, never all pairs. Lists of any length are dealt in blocks of about
     ``block`` classes.
 
+    A class is known by the digest of its components and has a number of its
+    own, so vec_ids are never keys of a join: they may be null or stand several times.
+
     Edge cases: vectors that are null or empty, all zero, or hold null or
     non-finite components link with nothing, nor do two vectors of unlike lengths;
-    such a row is its own component. Copies link with each other. Rows with
-    equal vec_id are rows of their own but one node; a null vec_id is kept as it
-    is. Other columns, labels too, are left out; an empty table stays empty.
+    such a row is its own component. Copies link with each other. There is one
+    row for each row given: rows of equal vec_id have the links of their own
+    vector each, but are one node of a component. A null vec_id is no node's:
+    such a row is in its vector's component, whose id is the least vec_id that
+    isn't null, or null. Other columns, labels too, are left out; an empty table stays empty.
     """
     small_batches(vectors.sparkSession)
     rows = vectors.select("vec_id", F.col("embedding").alias("v"))
@@ -117,26 +122,21 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, nearest: int = NEARE
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     clean = F.transform("v", lambda x: x + F.lit(0.0).cast(kind))
     keyed = rows.where("sound").select("vec_id", clean.alias("v")).withColumn("digest", F.unhex(F.md5(F.array_join(F.col("v").cast("array<string>"), ","))))
-    classes = stored(keyed.groupBy("digest").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
-    pivots = choose_pivots(classes)
-    links = _links(classes, pivots, link, nearest, shared, block)
-    found = stored(links)
-    # Equal vec_ids of different vectors are one node.
-    edges = found.where("b IS NOT NULL").select("a", "b")
-    ids = keyed.select("digest", "vec_id").join(classes.select("digest", "class", "copies"), "digest")
-    ids = stored(ids.select("vec_id", "class", "copies"))
-    joined = components(edges.union(ids.where("vec_id <> class").select(F.col("vec_id").alias("a"), F.col("class").alias("b"))))
+    grouped = keyed.groupBy("digest").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    classes = stored(grouped.withColumn("class", F.monotonically_increasing_id()))
+    found = stored(_links(classes, choose_pivots(classes), link, nearest, shared, block))
+    ids = stored(keyed.select("digest", "vec_id").withColumn("row", F.monotonically_increasing_id()))
+    # Classes that hold one vec_id are one node: each is joined with the first of them.
+    holders = known_by(ids.where("vec_id IS NOT NULL"), "digest", classes.select("digest", "class"), "row").select("vec_id", "class").distinct()
+    one_node = of_groups(holders, "vec_id", "class", "class").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    joined = components(found.where("b IS NOT NULL").select("a", "b").union(one_node)).withColumnRenamed("id", "class")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-    per_class = classes.select("class", "copies").join(counts, "class", "left").select("class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    spread = per_class.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    linked = ids.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(32)).cast("int")).join(spread, ["class", "_s"]).select("vec_id", "n_links")
-    alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"))
-    component = F.coalesce("component", "vec_id")
-    return (
-        linked.union(alone)
-        .join(joined.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-        .select("vec_id", "n_links", component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
-    )
+    placed = classes.select("digest", "class", "copies", "least_id").join(joined, "class", "left").join(counts, "class", "left")
+    placed = placed.select("digest", "class", "least_id", F.coalesce("component", "class").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = of_groups(placed, "component", "least_id", "class").select("digest", "n_links", F.col("least").alias("component_id"))
+    linked = known_by(ids, "digest", named, "row").select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _links(classes: DataFrame, pivots: dict[int, np.ndarray], link: float, nearest: int, shared: int, block: int) -> DataFrame:

@@ -49,6 +49,34 @@ def test_edge_cases(spark):
     assert pivot_index.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_rows_of_null_and_shared_ids(spark):
+    """One row out for each row in, with the links of its own vector, as a brute force over rows has them."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(12, 16))
+    vectors = [base[i % 12] + rng.normal(size=16) * 0.01 * (i // 12) for i in range(48)] + [base[0], base[0], base[1]]
+    ids = [None if i % 7 == 3 else i % 20 for i in range(len(vectors))]
+    ids[:3] = [5, 5, None]  # two unlike vectors of one id, and none
+    rows = [(i, v.tolist()) for i, v in zip(ids, vectors)] + [(None, None), (5, None), (None, [0.0] * 16)]
+    got = pivot_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= pivot_index.LINK
+    np.fill_diagonal(near, False)
+    same = near | np.array([[a is not None and a == b for b in ids] for a in ids])
+    places = list(range(len(ids)))
+    group = classes_of(places, [(i, j) for i, j in zip(*np.nonzero(same))])
+    least = {}
+    for i in places:
+        if ids[i] is not None:
+            least[group[i]] = min(ids[i], least.get(group[i], ids[i]))
+    want = [(ids[i], int(near[i].sum()), least.get(group[i])) for i in places] + [(None, 0, None), (5, 0, 5), (None, 0, None)]
+    assert sorted(map(str, [(r.vec_id, r.n_links, r.component_id) for r in got])) == sorted(map(str, want))
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    three = spark.createDataFrame([(None, [1.0, 0.0]), (None, [0.0, 1.0]), (1, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    assert sorted(str((r.vec_id, r.n_links, r.component_id)) for r in pivot_index.near_duplicates(three).collect()) == ["(1, 1, 1)", "(None, 0, None)", "(None, 1, 1)"]
+    shared = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in pivot_index.near_duplicates(shared).collect()) == [(5, 0, 5), (5, 1, 5), (7, 1, 5)]
+
+
 def test_lengths_are_compared_each_for_itself(spark):
     rng = np.random.default_rng(7)
     given = [(0, rng.normal(size=5))]  # an odd length at the least vec_id
