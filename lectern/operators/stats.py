@@ -49,6 +49,16 @@ def streaks(sessions: DataFrame, as_of: str) -> DataFrame:
     return runs.groupBy("book_id").agg(F.coalesce(F.max(F.when(live, F.col("n"))), F.lit(0)).alias("streak"))
 
 
+def global_streak(sessions: DataFrame, as_of: str, days: int) -> DataFrame:
+    """One row: days in a row with any sitting, within the last ``days``, up to as_of, or to the day before if that one has none.
+
+    What meets in one place is a row for each of those days.
+    """
+    last = F.lit(as_of).cast("date")
+    recent = sessions.where((F.to_date("ended_at") > F.date_sub(last, days)) & (F.to_date("ended_at") <= last)).select(F.lit(0).alias("book_id"), "ended_at")
+    return streaks(recent, as_of).agg(F.coalesce(F.max("streak"), F.lit(0)).alias("streak"))
+
+
 def by_state(books: DataFrame, progress: DataFrame) -> DataFrame:
     """Books finished, being read and unread: always three rows."""
     percent = F.coalesce("percent", F.lit(0))

@@ -45,6 +45,11 @@ def streak(spark, d):
     return stats.streaks(_sessions(spark, d), AS_OF)
 
 
+def global_streak(spark, d):
+    """Days in a row with any reading, over all books."""
+    return stats.global_streak(_sessions(spark, d), AS_OF, DAYS)
+
+
 def by_format(spark, d):
     sums = _sessions(spark, d).groupBy("book_id").agg(F.sum("duration_s").alias("sec"), F.count(F.lit(1)).alias("n"))
     return sums.join(_books(spark, d), "book_id").groupBy("format").agg(F.round(F.sum("sec"), 1).alias("sec"), F.sum("n").alias("n"))
@@ -155,7 +160,7 @@ def changes_only(spark, d):
 
 
 QUERIES = {
-    "J2_A5_per_book": per_book, "J1_library": library, "A1_totals": totals, "A2_A3_daily": daily, "A4_streak": streak, "J3_A6_by_format": by_format, "A7_by_state": by_state,
+    "J2_A5_per_book": per_book, "J1_library": library, "A1_totals": totals, "A2_A3_daily": daily, "A4_streak": streak, "A4_global_streak": global_streak, "J3_A6_by_format": by_format, "A7_by_state": by_state,
     "A24_bars": bars, "P3_clean": cleaned_sessions, "L2_hero": hero, "L4_L8_shelf": shelf, "P4_browse": browse, "X1_upsert": upsert, "X2_settings": settings, "X3_cascade": cascade,
     "X8_book_upsert": book_upsert, "X5_toggle": toggles, "A17_hue": hues, "A18_percent": percents, "Z4_sittings": sittings, "S15_payloads": reject_payloads, "Z12_changes": changes_only,
 }
@@ -179,6 +184,10 @@ GROUP BY 1, 2, 3, 4""",
 i AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY book_id ORDER BY day) AS INTEGER) AS island FROM d),
 r AS (SELECT book_id, island, max(day) AS last, count(*) AS n FROM i GROUP BY 1, 2)
 SELECT book_id, coalesce(max(n) FILTER (last >= DATE '{AS_OF}' - 1), 0) AS streak FROM r GROUP BY 1""",
+    "A4_global_streak": f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < DATE '{AS_OF}' + 1 AND o_orderdate >= DATE '{AS_OF}' - {DAYS - 1}),
+i AS (SELECT day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island, day FROM d),
+r AS (SELECT island, max(day) AS last, count(*) AS n FROM i GROUP BY 1)
+SELECT coalesce(max(n) FILTER (last >= DATE '{AS_OF}' - 1), 0) AS streak FROM r""",
     "J3_A6_by_format": "SELECT c_mktsegment AS format, round(sum(o_totalprice), 1) AS sec, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1",
     "A7_by_state": """WITH b AS (SELECT coalesce(quality * 100, 0) AS p FROM customer LEFT JOIN labels ON doc_id = c_custkey)
 SELECT state, count(p) AS n FROM (VALUES ('finished'), ('reading'), ('unread')) v(state) LEFT JOIN b ON state = CASE WHEN p >= 100 THEN 'finished' WHEN p > 0 THEN 'reading' ELSE 'unread' END GROUP BY 1""",

@@ -73,6 +73,12 @@ def results(spark, d):
     return T.retried(e.select(F.col("user").alias("book"), "ts", "seq", kind.alias("kind"), (F.col("seq") % 6).cast("long").alias("section")))
 
 
+def toggles(spark, d):
+    """Every turn of a conversation as a choice of a colour for ten tokens: all changes of the marks that stand."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").cast("long").alias("ts"), F.lit(0).alias("seq"), F.col("turn").cast("long").alias("mark"), (F.length("text") % 97).cast("long").alias("lo"), (F.length("text") % 4).alias("color"))
+    return T.toggled(turns.withColumn("hi", F.col("lo") + 9))
+
+
 def restarted(spark, d):
     """Sections as a start finds them."""
     return S.recovered(S.latest_status(_narration(spark, d).where("kind = 'status'")))
@@ -85,7 +91,7 @@ def praised(spark, d):
 
 
 QUERIES = {
-    "Z1_Z2_Z3_progress": progress, "Z1_status": statuses, "Z13_chunks": chunks_done, "A21_done": all_done, "Z4_stream_sittings": stream_sittings, "Z5_Z6_cards": cards, "Z7_grace": moves, "Z8_retries": results, "Z9_recovered": restarted, "Z14_resume": parked, "Z12_stream_changes": polls, "Z10_praise": praised,
+    "Z1_Z2_Z3_progress": progress, "Z1_status": statuses, "Z13_chunks": chunks_done, "A21_done": all_done, "Z4_stream_sittings": stream_sittings, "Z5_Z6_cards": cards, "Z7_grace": moves, "Z8_retries": results, "Z9_recovered": restarted, "X5_sequence": toggles, "Z14_resume": parked, "Z12_stream_changes": polls, "Z10_praise": praised,
 }
 
 _E = """e AS (SELECT user_id AS "user", epoch_us(ts) // 1000 AS ts, CAST(event_id AS INTEGER) AS seq, event_type, value, CAST(event_id % 9 AS INTEGER) AS n FROM events),
@@ -185,7 +191,22 @@ _RETRIED = _fold(
         found=f"CASE WHEN {_ALIVE} THEN list_append(a.found, struct_pack(section := x.section, ts := x.ts, action := CASE WHEN x.kind = 'done' THEN 'ready' WHEN {_TRY} <= {T.RETRIES} THEN 'retry' ELSE 'failed' END, tries := CAST({_TRY} AS INTEGER))) ELSE a.found END",
     ),
 )
+_TOGGLE = "struct_pack(ts := CAST({ts} AS BIGINT), seq := 0, lo := CAST({lo} AS BIGINT), color := CAST({color} AS BIGINT), marks := {marks}, found := {found})"
+_MARKS = "CAST([] AS STRUCT(mark BIGINT, lo BIGINT, color BIGINT)[])"
+_CHANGES = "CAST([] AS STRUCT(mark BIGINT, ts BIGINT, action VARCHAR)[])"
+_HIT = "list_filter(a.marks, lambda m: m.lo <= x.lo + 9 AND x.lo <= m.lo + 9)"
+_STANDS = f"(len(list_filter({_HIT}, lambda h: h.color = x.color)) = 0)"
+_TOGGLED = _fold(
+    f"SELECT conv_id AS k, {_TOGGLE.format(ts='turn', lo='length(text) % 97', color='length(text) % 4', marks=_MARKS, found=_CHANGES)} AS x FROM conversations",
+    _TOGGLE.format(ts=-1, lo=0, color=0, marks=_MARKS, found=_CHANGES),
+    _TOGGLE.format(
+        ts="x.ts", lo="x.lo", color="x.color",
+        marks=f"list_filter(a.marks, lambda m: NOT (m.lo <= x.lo + 9 AND x.lo <= m.lo + 9)) || CASE WHEN {_STANDS} THEN [struct_pack(mark := x.ts, lo := x.lo, color := x.color)] ELSE {_MARKS} END",
+        found=f"a.found || list_transform({_HIT}, lambda m: struct_pack(mark := m.mark, ts := x.ts, action := 'removed')) || CASE WHEN {_STANDS} THEN [struct_pack(mark := x.ts, ts := x.ts, action := 'added')] ELSE {_CHANGES} END",
+    ),
+)
 ORACLES = {
+    "X5_sequence": f"""WITH {_TOGGLED}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS book, f.mark AS mark, f.ts AS ts, f.action AS action FROM u""",
     "Z1_status": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY book, section ORDER BY ts DESC, seq DESC) AS k FROM na WHERE status IS NOT NULL) SELECT book, section, status, ts FROM r WHERE k = 1",
     "Z5_Z6_cards": f"""WITH {_E}, {_CARDS}, z AS (SELECT max(ts) AS ts FROM e), w AS (
 SELECT k, CASE WHEN r.waiting >= 0 AND z.ts >= r.waiting + {T.DEBOUNCE_MS} AND r.active >= {T.MIN_CARD_MS} AND (r.shown < 0 OR r.waiting + {T.DEBOUNCE_MS} - r.shown >= {T.COOLDOWN_MS})

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import paragraphs as P
-from lectern.sources.tables import table
+from lectern.operators import paragraphs as P, postings as K
+from lectern.sources.tables import new_folder, stored, table
 
 NEEDLE = "tion"
 
@@ -152,6 +152,21 @@ def search(spark, d, cap=30):
     return hits.withColumn("rank", first).where(F.col("rank") <= cap).select("doc_id", "para", "sent", "at", "rank")
 
 
+def _needles(spark, d):
+    """What is looked for: six characters from the middle and the first two words of the benchmark's items."""
+    t = F.col("text")
+    return table(spark, d, "benchmark").select(F.explode(F.array(F.substring(t, 9, 6), F.substring_index(t, " ", 2))).alias("needle"))
+
+
+def many_hits(spark, d):
+    """Every sentence that holds one of many needles, through an index of trigrams that is written once."""
+    key = ["doc_id", "para", "sent"]
+    sents = stored(P.sentences(_paras(spark, d)))
+    path = new_folder(spark, "postings")
+    K.write_index(sents, key, path)
+    return K.find(K.read_index(spark, path), sents, key, _needles(spark, d))
+
+
 def snippets(spark, d, radius=48):
     sents = P.sentences(_paras(spark, d)).withColumn("at", F.instr(F.lower("text"), NEEDLE) - 1).where("at >= 0")
     end = F.col("at") + len(NEEDLE)
@@ -231,7 +246,7 @@ def nested(spark, d):
 QUERIES = {
     "T1_T2_normalize": normalize, "T3_T4_words": word_counts, "P1_terminal": terminals, "P5_formula": formulas, "P6_code": code_lines,
     "T8_T27_sentences": sentences, "T10_units": units, "T9_stitch": stitch, "T11_long_units": long_units, "T12_chunks": chunks, "T13_plan": plan,
-    "T14_presplit": presplit, "A16_words": book_words, "T23_L3_search": search, "T24_snippet": snippets, "T25_T29_hash": fnv, "T16_T17_join_lines": join_lines,
+    "T14_presplit": presplit, "A16_words": book_words, "T23_L3_search": search, "T23_postings": many_hits, "T24_snippet": snippets, "T25_T29_hash": fnv, "T16_T17_join_lines": join_lines,
     "T15_front": front_matter, "S13_hash": head_hash, "A12_extractable": extractable, "A14_ranges": ranges,
     "S17_title": title_from_url, "S9_S16_nested": nested,
 }
@@ -276,6 +291,9 @@ SELECT doc_id, part, CASE WHEN total <= 2500 THEN CASE WHEN doc_id % 2 = 0 THEN
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, CAST(coalesce(sum(n) FILTER (NOT {CODE_SQL} >= 2 AND {DENSITY_SQL} <= 0.25), 0) AS BIGINT) AS speakable FROM n GROUP BY 1""",
     "T23_L3_search": f"""WITH {PARAS_SQL}, {SENTS_SQL}, {_HITS}
 SELECT doc_id, para, sent, at_ AS at, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para, sent) AS rank FROM hits) WHERE rank <= 30""",
+    "T23_postings": f"""WITH {PARAS_SQL}, {SENTS_SQL}, n AS (
+  SELECT DISTINCT lower(trim(needle)) AS needle FROM (SELECT unnest([substr(text, 9, 6), split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)]) AS needle FROM benchmark))
+SELECT needle, doc_id, para, sent, CAST(instr(lower(text), needle) - 1 AS INTEGER) AS at FROM sents, n WHERE length(needle) >= 2 AND contains(lower(text), needle)""",
     "T24_snippet": f"""WITH {PARAS_SQL}, {SENTS_SQL}, {_HITS}, e AS (
   SELECT *, greatest(0, at_ - 48) AS low, least(length(text), at_ + {len(NEEDLE)} + 48) AS high FROM hits)
 SELECT doc_id, para, sent, CASE WHEN low > 0 THEN '…' ELSE '' END || text[low + 1:at_] AS pre, text[at_ + 1:at_ + {len(NEEDLE)}] AS hit,

@@ -46,11 +46,16 @@ def drop_stored(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to; drop_stored deletes it too."""
+    return f"{_stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read again: its lineage ends there.
 
     The tables of an application lie in one folder, which drop_stored deletes.
     """
-    path = f"{_stored_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -165,6 +165,29 @@ def pause_cards(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return folded(events.select("user", "ts", "seq", "kind"), ["user"], PauseCards(), "user long, ts long, active_ms long", delay)
 
 
+class Toggles(Fold):
+    """State: [mark, lo, hi, color] of the marks that stand; they never overlap."""
+
+    def step(self, e, state):
+        hit = [m for m in state or () if m[1] <= e.hi and e.lo <= m[2]]
+        left = [m for m in state or () if m not in hit]
+        out = [(m[0], e.ts, "removed") for m in hit]
+        if e.lo <= e.hi and all(m[3] != e.color for m in hit):
+            left.append([e.mark, e.lo, e.hi, e.color])
+            out.append((e.mark, e.ts, "added"))
+        return out, left or None
+
+
+def toggled(choices: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """(book, mark, ts, action) of highlights ``added`` and ``removed`` by a reader's choices in their order.
+
+    choices: book, ts, seq, mark, lo, hi (a span of tokens, both ends in it),
+    color. What a choice overlaps goes; the choice stands unless one of those
+    had its colour: then it has switched the mark off. A span that ends before it begins adds nothing.
+    """
+    return folded(choices.select("book", "ts", "seq", "mark", "lo", "hi", "color"), ["book"], Toggles(), "book long, mark long, ts long, action string", delay)
+
+
 # -- narration -------------------------------------------------------------------------------
 
 

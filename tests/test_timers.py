@@ -158,6 +158,24 @@ def test_chunks_leave_the_state_with_the_watermark(spark, tmp_path):
     assert max(rows) >= 50 and rows[-1] <= 2
 
 
-@pytest.mark.parametrize("operator, schema", [(T.pause_cards, PLAY), (T.graced, MOVE), (T.retried, RESULT)])
+CHOICE = "book long, ts long, seq int, mark long, lo long, hi long, color string"
+CHOICES = [
+    [(1, 1_000, 0, 1, 0, 9, "amber"), (1, 2_000, 0, 2, 10, 19, "sky")],
+    [(1, 3_000, 0, 3, 5, 14, "rose"), (2, 3_000, 0, 9, 0, 4, "sky")],  # takes the place of both
+    [(1, 4_000, 0, 4, 14, 20, "rose"), (1, 5_000, 0, 5, 14, 20, "rose"), (2, 5_000, 0, 10, 9, 3, "sky")],  # switches 3 off, and stands when chosen again
+    [(3, 60_000, 0, 1, 0, 1, "sky")],
+    [(3, 90_000, 0, 2, 4, 5, "sky")],
+]
+TOGGLED = [(1, 1, 1_000, "added"), (1, 1, 3_000, "removed"), (1, 2, 2_000, "added"), (1, 2, 3_000, "removed"), (1, 3, 3_000, "added"), (1, 3, 4_000, "removed"), (1, 5, 5_000, "added"), (2, 9, 3_000, "added"), (3, 1, 60_000, "added")]
+
+
+def test_choices_are_folded_in_their_order(spark, tmp_path):
+    got, _ = run(spark, tmp_path, CHOICE, CHOICES, T.toggled)
+    assert earlier(got, 2) == TOGGLED
+    batch = spark.createDataFrame([r for b in reversed(CHOICES) for r in b], CHOICE)
+    assert sorted(map(tuple, T.toggled(batch).collect())) == sorted([*TOGGLED, (3, 2, 90_000, "added")])
+
+
+@pytest.mark.parametrize("operator, schema", [(T.pause_cards, PLAY), (T.graced, MOVE), (T.retried, RESULT), (T.toggled, CHOICE)])
 def test_no_events(spark, operator, schema):
     assert operator(spark.createDataFrame([], schema)).collect() == []
