@@ -14,9 +14,13 @@ BUCKETS = 64
 def grams(text: Column) -> Column:
     """Distinct trigrams of a text in lower case, and its last two characters, so that each pair of characters begins a gram."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    n = F.length(low)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(chars: Column) -> Column:
+        each = F.transform(chars, lambda c, i: F.concat(c, F.coalesce(F.get(chars, i + 1), F.lit("")), F.coalesce(F.get(chars, i + 2), F.lit(""))))
+        return F.array_distinct(F.slice(each, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))))
+
+    # The characters are computed once a row, not once in each step.
+    return F.transform(F.array(F.filter(F.split(low, ""), lambda c: c != "")), runs)[0]
 
 
 def _bucket(gram: Column) -> Column:
