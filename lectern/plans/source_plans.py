@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import paragraphs as P
 from lectern.plans.reader_plans import CHUNKS_SQL, chunks_of, statuses_of
-from lectern.plans.text_plans import PARAS_SQL, SENTS_SQL
+from lectern.plans.text_plans import NORMAL_SQL, PARAS_SQL, SENTS_SQL
 from lectern.sources import books as B
-from lectern.sources.tables import table
+from lectern.sources.tables import new_folder, spread, stored, table
 
 
 def page_blocks(spark, d):
@@ -26,6 +27,29 @@ def page_books(spark, d):
     return B.readable(found, "book", "page_id")
 
 
+def epub_round_trip(spark, d):
+    """Every document written as an EPUB of two parts by tasks, found by a scan of the folder, and read again to its paragraphs."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    half = F.ceil(F.size(lines) / 2).cast("int")
+    name = F.concat(F.lit("doc-"), F.col("doc_id"))
+    parts = F.array(B.paragraphs_html(F.slice(lines, F.lit(1), half)), B.paragraphs_html(F.slice(lines, half + 1, F.greatest(F.size(lines) - half, F.lit(0)))))
+    books = spread(table(spark, d, "documents")).select(name.alias("name"), F.concat(F.lit("Document & "), F.col("doc_id")).alias("title"), F.col("source").alias("author"), parts.alias("documents"))
+    folder = new_folder(spark, "books")
+    stored(B.write_epubs(books, folder))  # the files are there from here on
+    files = B.scan_books(spark, folder, content=True)
+    read = B.epub_documents(files).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    found = B.blocks(read, ["name", "title", "author", "ordinal"])
+    nth = F.row_number().over(Window.partitionBy("name", "ordinal").orderBy("at"))
+    doc_id = F.regexp_extract("name", r"doc-(\d+)\.epub", 1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "title", "author", "ordinal", nth.alias("para"), "text")
+
+
+def one_book(spark, d):
+    """A book by its path."""
+    books = table(spark, d, "customer").select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("path"), F.col("c_mktsegment").alias("format"))
+    return B.book_of(books, path="Customer#000000042")
+
+
 def turn_sections(spark, d):
     """Conversations as books: every third turn is a title, every second has an anchor."""
     c = table(spark, d, "conversations")
@@ -83,7 +107,7 @@ def window(spark, d):
 
 
 QUERIES = {
-    "S3_blocks": page_blocks, "T18_sections": page_sections, "A13_readable": page_books, "T18_turns": turn_sections, "A13_sources": source_books, "S5_S14_rows": document_rows, "S14_silent": silent, "S10_timings": section_timings, "J5_window": window,
+    "S1_S2_S12_epubs": epub_round_trip, "S8_book": one_book, "S3_blocks": page_blocks, "T18_sections": page_sections, "A13_readable": page_books, "T18_turns": turn_sections, "A13_sources": source_books, "S5_S14_rows": document_rows, "S14_silent": silent, "S10_timings": section_timings, "J5_window": window,
 }
 
 _ROWS = f"""{PARAS_SQL}, {SENTS_SQL}, t AS (SELECT doc_id, para, string_agg(text, ' ' ORDER BY sent) AS text, CAST(sum(len(string_split(text, ' '))) AS INTEGER) AS words FROM sents GROUP BY 1, 2),
@@ -92,6 +116,11 @@ num AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS si,
 rws AS (SELECT doc_id AS book, CAST(CASE WHEN doc_id % 2 = 0 THEN s ELSE si END AS INTEGER) AS section, 'Section ' || s AS title, CAST(CASE WHEN doc_id % 2 = 0 THEN para ELSE pi END AS INTEGER) AS para, CAST(para + 1 AS INTEGER) AS page, no_tts, text, words FROM num)"""
 _STATES = "CASE s.key % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'synthesizing' WHEN 2 THEN 'aligning' WHEN 3 THEN 'encoding' WHEN 4 THEN 'ready' WHEN 5 THEN 'failed' END"
 ORACLES = {
+    "S1_S2_S12_epubs": rf"""WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, len(string_split(coalesce(text, ''), chr(10))) AS n, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+c AS (SELECT doc_id, source, CASE WHEN i <= ceil(n / 2) THEN 1 ELSE 2 END AS ordinal, i, trim({NORMAL_SQL}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS text FROM l)
+SELECT doc_id, 'Document & ' || doc_id AS title, source AS author, CAST(ordinal AS INTEGER) AS ordinal, CAST(row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY i) AS INTEGER) AS para, text
+FROM c WHERE text <> '' AND regexp_matches(text, '[\p{{L}}\p{{N}}]')""",
+    "S8_book": "SELECT c_custkey AS book_id, c_name AS path, c_mktsegment AS format FROM customer WHERE c_name = 'Customer#000000042'",
     "T18_turns": """WITH b AS (SELECT conv_id AS book, turn, turn % 3 = 0 AS is_title, CASE WHEN turn % 2 = 0 THEN 't' || turn END AS anchor, text FROM conversations),
 c AS (SELECT *, count(*) FILTER (is_title) OVER (PARTITION BY book ORDER BY turn) AS cut FROM b),
 p AS (SELECT *, count(*) FILTER (NOT is_title) OVER (PARTITION BY book, cut ORDER BY turn) - 1 AS para, count(*) FILTER (NOT is_title) OVER (PARTITION BY book, cut) AS paras FROM c),

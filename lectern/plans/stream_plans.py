@@ -79,6 +79,20 @@ def toggles(spark, d):
     return T.toggled(turns.withColumn("hi", F.col("lo") + 9))
 
 
+def attempts(spark, d):
+    """Events as attempts to plan sections: three in five fail."""
+    e = _events(spark, d)
+    return T.broken_off(e.select(F.col("user").alias("job"), "ts", "seq", F.col("n").cast("long").alias("section"), F.col("event_type").isin("view", "click").alias("ok")))
+
+
+def connected(spark, d):
+    """What a client gets that connects when half of the time has passed: the last statuses by then, and what comes after."""
+    na = _narration(spark, d).where("kind = 'status'")
+    middle = na.agg(F.floor((F.min("ts") + F.max("ts")) / 2)).first()[0]
+    snapshot = S.latest_status(na.where(F.col("ts") <= middle))
+    return S.with_snapshot(na.where(F.col("ts") > middle).select(*snapshot.columns), snapshot)
+
+
 def restarted(spark, d):
     """Sections as a start finds them."""
     return S.recovered(S.latest_status(_narration(spark, d).where("kind = 'status'")))
@@ -91,7 +105,7 @@ def praised(spark, d):
 
 
 QUERIES = {
-    "Z1_Z2_Z3_progress": progress, "Z1_status": statuses, "Z13_chunks": chunks_done, "A21_done": all_done, "Z4_stream_sittings": stream_sittings, "Z5_Z6_cards": cards, "Z7_grace": moves, "Z8_retries": results, "Z9_recovered": restarted, "X5_sequence": toggles, "Z14_resume": parked, "Z12_stream_changes": polls, "Z10_praise": praised,
+    "Z1_Z2_Z3_progress": progress, "Z1_status": statuses, "Z13_chunks": chunks_done, "A21_done": all_done, "Z4_stream_sittings": stream_sittings, "Z5_Z6_cards": cards, "Z7_grace": moves, "Z8_retries": results, "Z9_recovered": restarted, "M7_breaker": attempts, "S11_snapshot": connected, "X5_sequence": toggles, "Z14_resume": parked, "Z12_stream_changes": polls, "Z10_praise": praised,
 }
 
 _E = """e AS (SELECT user_id AS "user", epoch_us(ts) // 1000 AS ts, CAST(event_id AS INTEGER) AS seq, event_type, value, CAST(event_id % 9 AS INTEGER) AS n FROM events),
@@ -207,6 +221,13 @@ _TOGGLED = _fold(
 )
 ORACLES = {
     "X5_sequence": f"""WITH {_TOGGLED}, u AS (SELECT k, unnest(r.found) AS f FROM folded) SELECT k AS book, f.mark AS mark, f.ts AS ts, f.action AS action FROM u""",
+    "M7_breaker": f"""WITH {_E}, a AS (SELECT "user" AS job, ts, seq, n AS section, event_type IN ('view', 'click') AS ok FROM e),
+r AS (SELECT *, count(*) FILTER (NOT ok) OVER l = {T.MOST_FAILURES} AS full_ FROM a WINDOW l AS (PARTITION BY job ORDER BY ts, seq ROWS BETWEEN {T.MOST_FAILURES - 1} PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, coalesce(bool_or(full_) OVER (PARTITION BY job ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS off FROM r)
+SELECT job, CAST(section AS BIGINT) AS section, ts, CASE WHEN off THEN 'breaker' WHEN ok THEN 'model' ELSE 'failed' END AS outcome FROM b""",
+    "S11_snapshot": f"""WITH {_E}, s AS (SELECT * FROM na WHERE status IS NOT NULL), m AS (SELECT (min(ts) + max(ts)) // 2 AS middle FROM s),
+o AS (SELECT s.*, row_number() OVER (PARTITION BY book, section ORDER BY ts DESC, seq DESC) AS k FROM s, m WHERE ts <= middle)
+SELECT book, section, status, ts, 0 AS origin FROM o WHERE k = 1 UNION ALL SELECT book, section, status, ts, 1 FROM s, m WHERE ts > middle""",
     "Z1_status": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY book, section ORDER BY ts DESC, seq DESC) AS k FROM na WHERE status IS NOT NULL) SELECT book, section, status, ts FROM r WHERE k = 1",
     "Z5_Z6_cards": f"""WITH {_E}, {_CARDS}, z AS (SELECT max(ts) AS ts FROM e), w AS (
 SELECT k, CASE WHEN r.waiting >= 0 AND z.ts >= r.waiting + {T.DEBOUNCE_MS} AND r.active >= {T.MIN_CARD_MS} AND (r.shown < 0 OR r.waiting + {T.DEBOUNCE_MS} - r.shown >= {T.COOLDOWN_MS})

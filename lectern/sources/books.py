@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import io
 import posixpath
+import uuid
 import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -94,6 +97,51 @@ def epub_documents(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, title string, author string, ordinal int, html string, error string")
 
 
+def paragraphs_html(lines: Column) -> Column:
+    """Lines as the paragraphs of an HTML document."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.lit("<html><body>"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), escaped(x), F.lit("</p>"))), "\n"), F.lit("</body></html>"))
+
+
+def _packed(title: str | None, author: str | None, documents: list[str | None]) -> bytes:
+    """An EPUB archive; the same arguments give the same bytes."""
+    said = "".join(f"<dc:{kind}>{escape(value)}</dc:{kind}>" for kind, value in (("title", title), ("creator", author)) if value)
+    numbers = range(1, len(documents) + 1)
+    items = "".join(f'<item id="d{i}" href="{i}.xhtml" media-type="application/xhtml+xml"/>' for i in numbers)
+    spine = "".join(f'<itemref idref="d{i}"/>' for i in numbers)
+    package = f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>{said}</metadata><manifest>{items}</manifest><spine>{spine}</spine></package>'
+    container = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in (("META-INF/container.xml", container), ("OPS/book.opf", package), *((f"OPS/{i}.xhtml", d) for i, d in zip(numbers, documents) if d is not None)):
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def write_epubs(books: DataFrame, folder: str) -> DataFrame:
+    """Writes each row of books (name, title, author, documents: array of HTML) as ``name``.epub into a shared folder; (path, size) of the files.
+
+    Tasks write where an action on the result runs them. A file is written under
+    another name and then moved, so a task that is run again, or twice at
+    once, leaves one whole file. A null document is named but not there.
+    """
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = pa.fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            rows = []
+            for name, title, author, documents in zip(batch["name"], batch["title"], batch["author"], batch["documents"]):
+                content = _packed(title, author, list(documents))
+                path, part = f"{root}/{name}.epub", f"{root}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(content)
+                store.move(part, path)
+                rows.append((path, len(content)))
+            yield pd.DataFrame(rows, columns=["path", "size"])
+
+    return books.select("name", "title", "author", "documents").mapInPandas(write, "path string, size long")
+
+
 def epub_covers(files: DataFrame) -> DataFrame:
     """(path, image, kind) of EPUB files (path, content) whose first cover candidate that exists is a JPEG or PNG by its first bytes."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -41,6 +41,18 @@ def with_snapshot(live: DataFrame, snapshot: DataFrame) -> DataFrame:
     return before.unionByName(fresh.select(*before.columns))
 
 
+def after_snapshot(snapshot: DataFrame, write):
+    """A function for foreachBatch that passes each micro-batch to ``write(rows, number)``, the first one behind the snapshot.
+
+    snapshot is read when that first batch runs; a batch that is run again is
+    passed on again under its number (see write_once).
+    """
+    def pass_on(live: DataFrame, number: int) -> None:
+        write(with_snapshot(live, snapshot) if number == 0 else live.select(*snapshot.columns).withColumn("origin", F.lit(1)), number)
+
+    return pass_on
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """(book, section, status, ts): the last status of each section, as a running aggregate (update mode) or of a batch."""
     return events.groupBy("book", "section").agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "seq")).alias("s")).select("book", "section", "s.status", "s.ts")

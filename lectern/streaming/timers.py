@@ -24,6 +24,8 @@ MIN_CARD_MS, COOLDOWN_MS, DEBOUNCE_MS = 60_000, 60_000, 1_200
 GRACE_MS = 480_000
 #: Tries after the first one.
 RETRIES = 2
+#: Failures in a row after which a model isn't asked any more.
+MOST_FAILURES = 3
 #: How long a deleted book's late results are still known as such.
 GONE_MS = 86_400_000
 
@@ -262,6 +264,28 @@ class Retries(Fold):
         return [], None
 
 
+class Breaker(Fold):
+    """State: failures in a row; once there are ``most``, nothing is asked any more."""
+
+    def __init__(self, most: int):
+        self.most = max(1, most)
+
+    def step(self, e, state):
+        streak = state or 0
+        if streak >= self.most:
+            return [(e.section, e.ts, "breaker")], streak
+        return [(e.section, e.ts, "model" if e.ok else "failed")], None if e.ok else streak + 1
+
+
+def broken_off(attempts: DataFrame, most: int = MOST_FAILURES, delay: str = "10 seconds") -> DataFrame:
+    """(job, section, ts, outcome) of a job's attempts in their order: ``model`` or ``failed``, and ``breaker`` for all after ``most`` failures in a row.
+
+    attempts: job, ts, seq, section, ok (what asking the model would give). A job
+    whose last attempt succeeded has no state.
+    """
+    return folded(attempts.select("job", "ts", "seq", "section", "ok"), ["job"], Breaker(most), "job long, section long, ts long, outcome string", delay)
+
+
 def retried(results: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """(book, section, ts, action, tries) of results of work: ``retry`` for the first RETRIES failures, then ``failed``; ``ready`` when done, which forgives them.
 

@@ -86,3 +86,18 @@ def test_documents_and_manifests(spark, tmp_path):
     assert [(r.book, r.idx, r.status, r.paragraphs, r.chunks) for r in near] == [("b1", 0, "ready", 2, 1)]
     books = spark.createDataFrame([("i", "/p"), ("j", "/q")], "book_id string, path string")
     assert B.book_of(books, "j").first().path == "/q" and B.book_of(books, path="/p").first().book_id == "i"
+
+
+def test_written_books_are_read_back(spark, tmp_path):
+    """Written by tasks, twice: a task that runs again leaves one file of the same bytes."""
+    rows = [("a", "T & <t>", "Au", ["<html><body><p>one &amp; two</p></body></html>", None]), ("b", None, None, []), ("c", "only", "", ["<p>x</p>"])]
+    books = spark.createDataFrame(rows, "name string, title string, author string, documents array<string>")
+    folder = str(tmp_path / "made")
+    first, second = (sorted(map(tuple, B.write_epubs(books, folder).collect())) for _ in range(2))
+    assert first == second and len(first) == 3
+    files = B.scan_books(spark, folder, content=True)
+    assert sorted((r.name, r.size) for r in files.collect()) == sorted((p.rpartition("/")[2][:-5], n) for p, n in first)
+    read = sorted((r.path.rpartition("/")[2], r.title, r.author, r.ordinal, r.html) for r in B.epub_documents(files).collect())
+    assert read == [("a.epub", "T & <t>", "Au", 1, rows[0][3][0]), ("a.epub", "T & <t>", "Au", 2, None), ("c.epub", "only", None, 1, "<p>x</p>")]
+    lines = spark.createDataFrame([(["a < b", "c & d > e"],)], "lines array<string>").select(B.paragraphs_html(F.col("lines"))).first()[0]
+    assert [t for _, _, t in blocks_of(lines)] == ["a < b", "c & d > e"]

@@ -179,3 +179,27 @@ def test_choices_are_folded_in_their_order(spark, tmp_path):
 @pytest.mark.parametrize("operator, schema", [(T.pause_cards, PLAY), (T.graced, MOVE), (T.retried, RESULT), (T.toggled, CHOICE)])
 def test_no_events(spark, operator, schema):
     assert operator(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_a_model_isnt_asked_after_failures_in_a_row(spark, tmp_path):
+    schema = "job long, ts long, seq int, section long, ok boolean"
+    said = {1: [False, False, True, False, False, False, True, False], 2: [True, False], 3: [False] * 4}
+    rows = [(j, 1_000 + i, 0, i, ok) for j, oks in said.items() for i, ok in enumerate(oks)]
+    want = [(1, i, o) for i, o in enumerate(["failed", "failed", "model", "failed", "failed", "failed", "breaker", "breaker"])]
+    want += [(2, 0, "model"), (2, 1, "failed")] + [(3, i, o) for i, o in enumerate(["failed"] * 3 + ["breaker"])]
+    batch = spark.createDataFrame(rows, schema)
+    assert sorted((r.job, r.section, r.outcome) for r in T.broken_off(batch).collect()) == sorted(want)
+    clock = [[(9, 50_000, 0, 0, True)], [(9, 90_000, 0, 0, True)]]
+    got, _ = run(spark, tmp_path, schema, [rows[::2], rows[1::2], *clock], T.broken_off)
+    assert sorted((r.job, r.section, r.outcome) for r in got if r.job != 9) == sorted(want)
+
+
+def test_a_client_gets_the_snapshot_before_what_comes(spark, tmp_path):
+    snapshot = spark.createDataFrame([(1, "ready"), (2, "pending")], "section int, status string")
+    sink = str(tmp_path / "out")
+    write(spark, tmp_path / "in", "section int, status string", [[(1, "ready"), (2, "encoding")], [(2, "ready")], [(1, "ready")]])
+    stream = S.read_events(spark, str(tmp_path / "in"), "section int, status string", files=1)
+    query = stream.writeStream.foreachBatch(S.after_snapshot(snapshot, S.write_once(sink))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(240)
+    got = sorted((r.batch, r.origin, r.section, r.status) for r in S.read_once(spark, sink, "section int, status string, origin int").collect())
+    assert got == [(0, 0, 1, "ready"), (0, 0, 2, "pending"), (0, 1, 2, "encoding"), (1, 1, 2, "ready"), (2, 1, 1, "ready")]
