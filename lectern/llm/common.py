@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,30 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def passing(*usual: str):
+    """For operators over a table whose result keeps the table's columns: all but the ``usual`` ones, and those that an argument names, travel packed in one column.
+
+    So names that an operator makes for itself never meet a user's. Columns come
+    back in their order, then the operator's; one of a result's name is replaced.
+    """
+    def wrap(operator):
+        @wraps(operator)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            named = {*usual, *(a for a in (*args, *options.values()) if isinstance(a, str))}
+            others = [c for c in df.columns if c not in named]
+            if not others:
+                return operator(df, *args, **options)
+            stay = [c for c in df.columns if c in named]
+            out = operator(df.select(*stay, F.struct(*(F.col(f"`{c}`") for c in others)).alias("other_columns")), *args, **options)
+            new = [c for c in out.columns if c not in stay and c != "other_columns"]
+            left = [c for c in df.columns if c not in new and (c in others or c in out.columns)]
+            return out.select(*(F.col(c) if c in stay else F.col("other_columns").getField(c).alias(c) for c in left), *new)
+
+        return run
+
+    return wrap
+
+
 def crc32_mod4(doc_id) -> F.Column:
     """crc32 of the id's text modulo 4; the remainder 2 is held out of all learning."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches
+from lectern.llm.common import passing, small_batches
 
 UNKNOWN = "und"
 SPACE = 32
@@ -180,6 +180,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return Filters.of(langs, grams_of, number[max(sizes, key=sizes.get)])
 
 
+@passing("doc_id", "text", "held_out")
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """docs with lang_pred and score.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD
+from lectern.llm.common import WORD, passing
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -34,6 +34,7 @@ def time_of(demand: str, knots) -> str:
     return f"(CASE{cases} ELSE {out[-1][1]} END)" if cases else f"({out[-1][1]})"
 
 
+@passing("doc_id", "text", "source")
 def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = SHARE, most: int = MOST) -> DataFrame:
     """docs (with doc_id, text, source) and what the mix takes of each row.
 
@@ -119,6 +120,7 @@ def _targets(sources: DataFrame, weights, share: float, most: int) -> DataFrame:
     return rest.select("_source", "_slot", "source_size", target.alias("target"))
 
 
+@passing("doc_id", "text", "source")
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows that the mix takes, a row of two passes twice, range-sorted by training position.
 

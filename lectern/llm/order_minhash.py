@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, group_starts, small_batches, sorted_groups, split_groups, stored
+from lectern.llm.common import components, group_starts, passing, small_batches, sorted_groups, split_groups, stored
 from lectern.llm.words import M1, mix, shingle_hashes, word_hashes, word_spans
 
 #: Words of a shingle, elements of a sketch, and shingles of an element.
@@ -144,6 +144,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+@passing("doc_id", "text")
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE) -> DataFrame:
     """docs (doc_id, text, more) with class_id, kept and n_links.
 
@@ -174,6 +175,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
     return _classed(docs, similar, size).select(*docs.columns, "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links")
 
 
+@passing("doc_id", "text")
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE) -> DataFrame:
     """docs with one row of each class of near_duplicates: a row of least doc_id (of several such texts that of least md5; of equal rows any).
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import small_batches
+from lectern.llm.common import passing, small_batches
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper", "digit", "stop_mark", "loud_mark", "symbol", "space", "non_ascii",
@@ -211,6 +211,7 @@ def _features(text: str):
     return run(text)
 
 
+@passing("doc_id", "text", "held_out")
 def scored(docs: DataFrame, model: Model, text: str = "text", good: float = GOOD) -> DataFrame:
     """docs with score (0 to 1, higher: better) and predicted (1 if score >= good, else 0).
 

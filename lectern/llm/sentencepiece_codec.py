@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import small_batches
+from lectern.llm.common import passing, small_batches
 
 #: The marker that stands for a space inside pieces (fixed by the model format).
 MARK = "▁"
@@ -225,6 +225,7 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+@passing("doc_id", "text")
 def encoded(docs: DataFrame, content: bytes, text: str = "text", parity_every: int = 1, whole_every: int = 50) -> DataFrame:
     """docs with token_ids (array of int), decoded (text from those ids) and parity.
 

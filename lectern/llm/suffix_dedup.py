@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.anchors import anchors, gram_hashes
-from lectern.llm.common import group_starts, small_batches, sorted_groups, stored
+from lectern.llm.common import group_starts, passing, small_batches, sorted_groups, stored
 
 WINDOW, GRAM, RANGES = 400, 32, 4
 #: Bytes that no UTF-8 text holds: the lead of a core's token, and the end of a string.
@@ -285,6 +285,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
     return per_text
 
 
+@passing("doc_id", "text")
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES, most: int = 8_000) -> DataFrame:
     """docs (doc_id, text, more) with n_bytes, n_removed, n_spans, spans, kept (binary) and kept_sha256.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import passing, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hosts of absolute and scheme-relative links in a page.
@@ -71,6 +71,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterati
     return rank
 
 
+@passing("page_id", "url", "html")
 def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.5, salts: int = 32) -> DataFrame:
     """pages (page_id, url, html, more) with host, path, rule, trust, distrust and verdict.
 
@@ -83,7 +84,7 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.5, salts: in
     Edge cases: a null url or one without ``://`` has empty host and path, no
     rule, and is allowed; null html has no links; repeated pages count again as
     seeds and links; an empty table gives an empty result; other columns pass
-    through, but the names added here are replaced.
+    through (html doesn't), but the names added here are replaced.
     """
     pages = pages.drop("host", "path", "rule", "trust", "distrust", "verdict")
     host, path = split_url("url")
