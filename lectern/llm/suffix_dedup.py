@@ -5,7 +5,9 @@ places. Around an anchor, ``window`` bytes long windows fall into RANGES by how
 far left they reach; all windows of one range share a core of bytes. Rows that
 agree on anchor, range and core meet, and only the two margins beside the core
 still differ: they are joined around a token that stands for the core, and a
-suffix array over these strings shows which windows stand in two places.
+suffix array over these strings shows which windows stand in two places. Where
+very many unlike margins share a core, longer cores part them: a window reaches
+half a margin at least to the left or to the right.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from lectern.llm.anchors import anchors, gram_hashes
 from lectern.llm.common import group_starts, passing, small_batches, sorted_groups, stored
 
 WINDOW, GRAM, RANGES = 400, 32, 4
+#: Strings that are sorted together at most.
+MOST = 4_000
+#: Tasks that the rows of one string are dealt to.
+DEAL = 8
 #: Bytes that no UTF-8 text holds: the lead of a core's token, and the end of a string.
 TOKEN, END = 0xFF, 0xFE
 TOKEN_BYTES = 4
@@ -154,6 +160,30 @@ def window_hashes(data: np.ndarray, window: int) -> np.ndarray:
     return h[: len(data) - window + 1] * np.uint64(0x9E3779B97F4A7C15) ^ h[window - size :]
 
 
+def equal_windows(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's windows in an order that puts equal ones together, ascending, and whether each equals the one before it.
+
+    Hashes only make the order: neighbours are compared byte by byte, and if unlike ones share a hash, bytes order them too.
+    """
+    h, view = window_hashes(data, window), np.lib.stride_tricks.sliding_window_view(data, window)
+
+    def compared(order: np.ndarray) -> np.ndarray:
+        same = np.zeros(len(order), bool)
+        same[1:] = h[order[1:]] == h[order[:-1]]
+        alike = np.flatnonzero(same)
+        for lo in range(0, len(alike), 20_000):
+            some = alike[lo : lo + 20_000]
+            same[some] = (view[order[some]] == view[order[some - 1]]).all(1)
+        return same
+
+    order = np.argsort(h, kind="stable")
+    same = compared(order)
+    if (~same[1:] & (h[order[1:]] == h[order[:-1]])).any():
+        order = np.array(sorted(range(len(h)), key=lambda i: (h[i], view[i].tobytes())))
+        same = compared(order)
+    return order, same
+
+
 def find_anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Positions and hashes of a text's anchors, and spans that the text repeats by itself.
 
@@ -165,10 +195,12 @@ def find_anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     at = anchors(h, w)
     if len(at) * w <= 16 * len(data):
         return at, h[at], []
-    _, number, counts = np.unique(window_hashes(data, window), return_inverse=True, return_counts=True)
-    first = np.zeros(len(number), bool)
-    first[np.unique(number, return_index=True)[1]] = True
-    again = np.flatnonzero(counts[number] > 1)
+    order, same = equal_windows(data, window)
+    first, several = np.ones(len(order), bool), np.zeros(len(order), bool)
+    first[order] = ~same
+    several[order] = same
+    several[order[:-1]] |= same[1:]
+    again = np.flatnonzero(several)
     at = anchors(h, w, first)
     return at, h[at], list(zip(*(x.tolist() for x in merged(again, again + window))))
 
@@ -185,13 +217,13 @@ def rows_of_anchor(data: bytes, at: int, window: int, gram: int, ranges: int) ->
             yield j, xxhash.xxh3_128_digest(data[lo:hi] + bytes((j,))), left, right
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES, most: int = 8_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES, most: int = MOST) -> DataFrame:
     """(key, copies, starts, ends): byte spans of each distinct text that stand elsewhere too.
 
     key is the 16-byte md5 of the text. A text with copies is one span, if it
     has a window at all. Only texts with a repeated anchor appear, or copies.
-    A core with more than ``most`` unlike margins isn't sorted in one task: each
-    of its windows is counted by two hashes, 96 bits together, which finds the same windows.
+    A core with more than ``most`` unlike margins isn't sorted in one task: its
+    strings meet under longer cores (see _longer_cores), until each has ``most`` at most or no margin is left.
     """
     if (window - gram) % ranges:
         raise ValueError("window - gram must be a multiple of ranges")
@@ -249,44 +281,84 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rang
 
     # at: where the row's core begins.
     rows = stored(once.join(places, "key").select("key", "z", "ats").mapInArrow(cut, "core binary, mid binary, left binary, right binary, key binary, at int"))
-    strings = rows.groupBy("core", "mid").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-    cores = strings.groupBy("core").agg(F.count(F.lit(1)).alias("mids"), F.sum("n").alias("all")).where("all > 1")
+    level = rows.select("mid", F.lit(0).alias("base"), "core", F.col("mid").alias("string"), "left", "right")
+    found, strings = _of_level(level, margin, most)
+    hits = found
+    level = strings.where(f"strings > {most}").select(F.col("string").alias("mid"), F.lit(0).alias("base"), "core", "left", "right")
+    while margin and not level.isEmpty():
+        level, margin = stored(_longer_cores(level, margin)), margin // 2
+        found, strings = _of_level(level, margin, most)
+        # Many margins may share what is left of them at this level: they are dealt to DEAL parts.
+        hits = hits.union(_dealt(level.select("string", "mid", "base"), found.withColumnRenamed("mid", "string"), "string", "mid").select("mid", (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi")))
+        many = strings.where(f"strings > {most}").select("core", "string")
+        level = level.join(many, ["core", "string"], "left_semi").drop("string")
+    hit = _dealt(rows.select("mid", "key", "at"), hits, "mid", "key", "at")
+    spans = hit.select("key", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + window).alias("end")).union(alone)
+    per_text = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return per_text
+
+
+def _of_level(level: DataFrame, margin: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Repeated windows (mid, lo, hi) of strings whose cores have ``most`` unlike ones at most, and of strings that stand there twice; and the strings of cores with several.
+
+    level: core, string (a hash of core and margins), left, right. A window is
+    known by its number of left bytes; lo to hi are such numbers.
+    """
+    strings = level.groupBy("core", "string").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    cores = strings.groupBy("core").agg(F.count(F.lit(1)).alias("strings"), F.sum("n").alias("all")).where("all > 1")
     strings = stored(strings.join(cores, "core"))
-    whole = strings.where("n > 1").select("mid", F.greatest(F.lit(0), margin - F.octet_length("right")).alias("lo"), F.least(F.lit(margin), F.octet_length("left")).alias("hi"))
-    some = strings.where(f"mids > 1 AND mids <= {most}")
+    whole = strings.where("n > 1").select(F.col("string").alias("mid"), F.greatest(F.lit(0), margin - F.octet_length("right")).alias("lo"), F.least(F.lit(margin), F.octet_length("left")).alias("hi"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, ["core"], 8_000):
+        for table in sorted_groups(batches, ["core"], MOST):
             firsts = group_starts(table, ["core"])
             number = np.zeros(table.num_rows, np.int64)
             number[firsts] = 1
             number = np.cumsum(number) - 1
-            lefts, rights, mids = (table[c].to_pylist() for c in ("left", "right", "mid"))
+            lefts, rights, strings = (table[c].to_pylist() for c in ("left", "right", "string"))
             out: list[tuple] = []
-            for mid, ts in zip(mids, repeated_windows(number, lefts, rights, margin)):
+            for string, ts in zip(strings, repeated_windows(number, lefts, rights, margin)):
                 if len(ts):
                     breaks = np.flatnonzero(np.diff(ts) > 1)
-                    out += [(mid, int(lo), int(hi)) for lo, hi in zip(ts[np.concatenate(([0], breaks + 1))], ts[np.concatenate((breaks, [len(ts) - 1]))])]
+                    out += [(string, int(lo), int(hi)) for lo, hi in zip(ts[np.concatenate(([0], breaks + 1))], ts[np.concatenate((breaks, [len(ts) - 1]))])]
             if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), [pa.binary(), pa.int32(), pa.int32()])], ["mid", "lo", "hi"])
 
-    sorted_rows = some.select("core", "mid", "left", "right").repartition("core").sortWithinPartitions("core")
-    parted = sorted_rows.mapInArrow(sort, "mid binary, lo int, hi int")
-    # A core with very many margins isn't sorted in one task: each of its windows is counted by itself.
-    windows = strings.where(f"mids > {most}").select("mid", "core", "left", "right", F.explode(F.expr(
-        f"sequence(greatest(0, {margin} - octet_length(right)), least({margin}, octet_length(left)))")).alias("t"))
-    windows = windows.select("mid", "t", F.expr(f"xxhash64(core, t, substring(left, octet_length(left) - t + 1, t), substring(right, 1, {margin} - t))").alias("w"),
-                             F.expr(f"hash(core, substring(right, 1, {margin} - t), t, substring(left, octet_length(left) - t + 1, t))").alias("v"))
-    twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = windows.join(twice, ["w", "v"]).select("mid", F.col("t").alias("lo"), F.col("t").alias("hi"))
-    hits = whole.union(parted).union(counted)
-    spans = rows.select("mid", "key", "at").join(hits, "mid").select("key", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + window).alias("end")).union(alone)
-    per_text = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return per_text
+    some = strings.where(f"strings > 1 AND strings <= {most}").select("core", "string", "left", "right").repartition("core").sortWithinPartitions("core")
+    return whole.union(some.mapInArrow(sort, "mid binary, lo int, hi int")), strings
+
+
+def _longer_cores(level: DataFrame, margin: int) -> DataFrame:
+    """Each string of level (mid, base, core, left, right) under two longer cores, with margins of half the size.
+
+    Of a window's ``margin`` bytes beside the core, the left or the right ones
+    are half or more: the ones next to the core join it on that side. base is the
+    number of left bytes that have joined the core. Windows of both halves are found twice.
+    """
+    rest = margin // 2
+    taken = margin - rest
+    left, right = F.octet_length("left"), F.octet_length("right")
+    ways = (
+        (left >= taken, "L", F.substring(F.col("left"), -taken, taken), F.expr(f"substring(left, 1, octet_length(left) - {taken})"), F.substring(F.col("right"), 1, rest), F.col("base") + taken),
+        (right >= taken, "R", F.substring(F.col("right"), 1, taken), F.expr(f"substring(left, greatest(octet_length(left) - {rest}, 0) + 1, {rest})"), F.substring(F.col("right"), taken + 1, rest), F.col("base")),
+    )
+    parts = []
+    for fits, side, joined, a, b, base in ways:
+        core = F.unhex(F.md5(F.concat("core", F.lit(side).cast("binary"), joined)))
+        parts.append(level.where(fits).select("mid", base.alias("base"), core.alias("core"), a.alias("left"), b.alias("right")))
+    both = parts[0].union(parts[1]).where(F.octet_length("left") + F.octet_length("right") >= rest)
+    string = F.unhex(F.md5(F.concat("core", "left", F.lit(bytes((TOKEN,))), "right")))
+    return both.select("mid", "base", "core", string.alias("string"), "left", "right")
+
+
+def _dealt(rows: DataFrame, hits: DataFrame, key: str, *deal: str) -> DataFrame:
+    """rows joined with hits; the rows of one key go to DEAL tasks, its hits to all of them."""
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(*deal), F.lit(DEAL)).cast("int"))
+    return salted.join(hits.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))), [key, "_s"]).drop("_s")
 
 
 @passing("doc_id", "text")
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES, most: int = 8_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ranges: int = RANGES, most: int = MOST) -> DataFrame:
     """docs (doc_id, text, more) with n_bytes, n_removed, n_spans, spans, kept (binary) and kept_sha256.
 
     A byte goes if a string of ``window`` bytes over it also starts anywhere

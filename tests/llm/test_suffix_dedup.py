@@ -42,7 +42,7 @@ def test_edge_cases(spark):
 
 
 def test_cores_with_many_margins_match_brute_force(spark):
-    """With ``most`` small the windows of every core are counted instead of sorted."""
+    """With ``most`` small the strings of every core meet under longer cores."""
     rng = random.Random(8)
     core = "".join(rng.choices("abcdefgh", k=60))
     texts = {i: "".join(rng.choices("xyz", k=rng.randint(0, 30))) + core + "".join(rng.choices("xyz", k=rng.randint(0, 30))) for i in range(60)}
@@ -50,6 +50,39 @@ def test_cores_with_many_margins_match_brute_force(spark):
         check(spark, texts, window=48, gram=16, ranges=4, most=most)
 
 
+def test_frequent_cores_of_the_given_size(spark):
+    """Margins of 92 bytes, halved down to none, with ties among what is left of them."""
+    rng = random.Random(9)
+    core = "".join(rng.choices("abcdefgh", k=330))
+    ends = ["".join(rng.choices("xyz", k=50)) for _ in range(4)]
+    texts = {i: "".join(rng.choices("xyz", k=rng.randint(0, 60))) + rng.choice(ends) + core + rng.choice(ends) + "".join(rng.choices("xyz", k=rng.randint(0, 60))) for i in range(50)}
+    for most in (1, 5):
+        check(spark, texts, most=most)
+
+
+def test_null_and_shared_ids(spark):
+    rng = random.Random(10)
+    own = ["".join(rng.choices("abcdef", k=500)) for _ in range(3)]
+    texts = [own[0], own[0], own[1], own[1] + own[2], own[2]]
+    rows = spark.createDataFrame(list(zip([None, None, 5, 5, 5], texts)), "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(rows, most=1).select("doc_id", "n_bytes", "n_removed").collect()
+    want = plain(dict(enumerate(texts)), 400)
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == sorted((d or 0, *want[i][:2]) for i, d in enumerate([None, None, 5, 5, 5]))
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    rng = random.Random(11)
+    data = np.array([rng.choice([1, 2]) for _ in range(300)], np.uint8)
+    sure = {w: [i for i in range(293) if bytes(data[i : i + 8]) == w] for w in {bytes(data[i : i + 8]) for i in range(293)}}
+    for blur in (False, True):
+        if blur:
+            hashes = suffix_dedup.window_hashes
+            monkeypatch.setattr(suffix_dedup, "window_hashes", lambda d, w: hashes(d, w) % np.uint64(5))
+        order, same = suffix_dedup.equal_windows(data, 8)
+        groups = np.split(order, np.flatnonzero(~same)[1:])
+        assert sorted(g.tolist() for g in groups) == sorted(sure.values())
+
+
 def test_given_documents_match_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     check(spark, {r.doc_id: r.text for r in docs})
