@@ -47,23 +47,37 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 15, cut_every: int = 5) -> DataFrame:
+def _shares(edges: DataFrame, part_edges: int) -> tuple[DataFrame, DataFrame]:
+    """(kind, host, part, to, share) of links, and (kind, host, part): a host has one part for each ``part_edges`` of its links.
+
+    Links are counted and know their host's sums by (host, salt), so no task gets all links of a hub.
+    """
+    trust = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links")
+    both = trust.union(edges.select(F.lit("distrust"), "dst", "src", "links"))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(64)).cast("int"))
+    salted = both.groupBy("kind", "host", "salt").agg(F.sum("links").alias("links"), F.count(F.lit(1)).alias("n"))
+    hosts = salted.groupBy("kind", "host").agg(F.sum("links").alias("all"), F.ceil(F.sum("n") / part_edges).cast("int").alias("parts"))
+    known = both.join(salted.select("kind", "host", "salt").join(hosts, ["kind", "host"]), ["kind", "host", "salt"])
+    part = F.pmod(F.xxhash64("to", F.lit(3)), F.col("parts")).cast("int")
+    steps = known.select("kind", "host", part.alias("part"), "to", (F.col("links") / F.col("all")).alias("share"))
+    return stored(steps), stored(hosts.select("kind", "host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 15, cut_every: int = 5, part_edges: int = 10_000) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind of seed.
 
     seeds: kind, host, seed (sums to 1 within a kind). Trust flows along links,
     distrust against them. Mass that reaches a host without further links is
-    not handed on. Every fifth step is written to the shared folder.
+    not handed on. Every fifth step is written to the shared folder. A host's rank
+    first goes to its parts of ``part_edges`` links each, and from there along them.
     """
-    trust = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links")
-    both = trust.union(edges.select(F.lit("distrust"), "dst", "src", "links"))
-    out = both.groupBy("kind", "host").agg(F.sum("links").alias("all"))
-    steps = stored(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all")).alias("share")))
+    steps, parts = _shares(edges, part_edges)
     seeds = stored(seeds)
     rank = seeds.select("kind", "host", F.col("seed").alias("score"))
     if steps.isEmpty():
         return rank
     for i in range(iterations):
-        moved = rank.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        moved = rank.join(parts, ["kind", "host"]).join(steps, ["kind", "host", "part"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
         rank = moved.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if (i + 1) % cut_every == 0:
