@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,29 +88,40 @@ def merge_sketches(df: DataFrame, key: str, column: str, k: int = K) -> DataFram
 
 
 def _neighbours(docs: DataFrame, rows_a_range: int) -> DataFrame:
-    """docs in ranges of doc_id: adds _range, and _guest rows.
+    """docs (doc_id, text) with _hash (of the text) and _range: ranges of (doc_id descending, _hash), of which a greater one comes first.
 
-    The first row of every range also goes, as a guest, to the end of the range
-    that comes before it in descending order (of the first range: to the last),
-    so that every row's successor is in its own range.
+    A doc_id that holds several cut points, and a null one, has ranges of its
+    own by the hash of the text, as many as its rows need.
     """
-    n = docs.count()
+    counts = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).first()
     # The cut points stand in the plan: beyond MOST_RANGES, ranges hold more rows instead (their windows spill).
-    ranges = max(1, min(MOST_RANGES, math.ceil(n / rows_a_range)))
+    ranges = max(1, min(MOST_RANGES, math.ceil(counts.known / rows_a_range)))
+    of_null = max(1, min(MOST_RANGES, math.ceil((counts.n - counts.known) / rows_a_range)))
     coarse = max(1, math.isqrt(ranges))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 20_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if ranges > 1 else []
-    groups = [cuts[i : i + coarse] for i in range(0, len(cuts), coarse)]
-    if groups:
+    times = sorted(Counter(cuts).items()) if ranges > 1 else []
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+
+    def by_hash(number) -> F.Column:
+        """The text's place among ``number`` equal ranges of hashes, the last one first."""
+        share = F.col("_hash").cast("double") / 2.0**64 + 0.5
+        return number - 1 - F.least(F.floor(share * number), number - 1)
+
+    if times:
         # Two short scans find the range: the group of cuts, then the cut in it.
-        tops = F.array(*[F.lit(g[-1]) for g in groups])
-        lists = F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups])
+        groups = [times[i : i + coarse] for i in range(0, len(times), coarse)]
+        tops = F.array(*[F.lit(g[-1][0]) for g in groups])
+        lists = F.array(*[F.array(*[F.lit(c) for c, _ in g]) for g in groups])
         g = F.size(F.filter(tops, lambda c: c < F.col("doc_id")))
         inner = F.size(F.filter(F.coalesce(F.get(lists, g), F.array().cast("array<bigint>")), lambda c: c < F.col("doc_id")))
-        number = F.when(F.col("doc_id").isNull(), -1).otherwise(g * coarse + inner)
+        number = (g * coarse + inner).cast("long") * 2 * MOST_RANGES
+        hot = {c: n for c, n in times if n > 1}
+        if hot:
+            rows = F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x).cast("long") for cn in hot.items() for x in cn]), lambda c, _: c == F.col("doc_id"))), 0)
+            number = number + F.coalesce(MOST_RANGES + by_hash(rows), F.lit(0))
     else:
-        number = F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    return docs.withColumn("_range", number.cast("int"))
+        number = F.lit(0).cast("long")
+    return docs.withColumn("_range", F.when(F.col("doc_id").isNull(), by_hash(F.lit(of_null)) - of_null).otherwise(number))
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K, words: int = WORDS, rows_a_range: int = 500) -> DataFrame:
@@ -121,38 +133,39 @@ def fingerprint_documents(docs: DataFrame, k: int = K, words: int = WORDS, rows_
     next document in descending doc_id; after the last comes the first.
 
     Documents are dealt into ranges of doc_id (cut points from approximate
-    percentiles), one shuffle of the texts; a row of each range is repeated in
-    the range before. No window spans the whole table.
+    percentiles), and of the text's hash where very many rows have one doc_id or
+    none: one shuffle of the texts. The first row of every range also goes, as a
+    guest, to the end of the range before it (of the first range: to the last).
+    No window spans the whole table.
 
     Edge cases: null texts count as empty; an empty text has an empty sketch,
     and two empty sketches have likeness 1; equal doc_ids stand in the order of
-    their texts; a null doc_id comes last; a single document is its own next;
+    their texts' hashes; a null doc_id comes last; a single document is its own next;
     other columns are left out; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = _neighbours(docs, rows_a_range)
-    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text"), F.col("text")]
-    # The first doc_id of every range, one row per range, and the range that its head row visits as a guest.
-    heads = ranged.groupBy("_range").agg(F.max("doc_id").alias("_top"))
+    order = [F.desc_nulls_last("doc_id"), F.col("_hash"), F.col("text")]
+    # The first doc_id and hash of every range, one row per range, and the range that its head row visits as a guest.
+    heads = ranged.groupBy("_range").agg(F.max(F.struct("doc_id", F.bitwise_not("_hash").alias("hash"))).alias("_top"))
     tops = Window.orderBy(F.desc("_range"))
     all_ranges = tops.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     visits = heads.select(
-        "_range", "_top",
+        "_range", F.col("_top.doc_id").alias("_top"), F.bitwise_not("_top.hash").alias("_top_hash"),
         F.coalesce(F.lag("_range").over(tops), F.last("_range").over(all_ranges)).alias("_host"),
-        F.row_number().over(tops).alias("_nth"),
     )
-    # Heads: of the rows with the range's largest doc_id, the first in order.
-    candidates = ranged.join(F.broadcast(visits), (ranged["_range"] == visits["_range"]) & ranged["doc_id"].eqNullSafe(visits["_top"])).select(
-        "doc_id", "text", F.col("_host").alias("_range"), (F.col("_nth") == 1).alias("_wraps")
+    # Heads: of the rows with the range's largest doc_id and then least hash, the first in order.
+    candidates = ranged.join(F.broadcast(visits), (ranged["_range"] == visits["_range"]) & ranged["doc_id"].eqNullSafe(visits["_top"]) & (ranged["_hash"] == visits["_top_hash"])).select(
+        "doc_id", "text", "_hash", F.col("_host").alias("_range")
     )
-    first = candidates.groupBy("_range").agg(F.min_by(F.struct("doc_id", "text", "_wraps"), F.struct(F.xxhash64("text"), F.col("text"))).alias("h"))
-    guests = first.select("h.doc_id", "h.text", "_range", F.lit(True).alias("_guest"))
+    first = candidates.groupBy("_range").agg(F.min_by(F.struct("doc_id", "text", "_hash"), "text").alias("h"))
+    guests = first.select("h.doc_id", "h.text", "h._hash", "_range", F.lit(True).alias("_guest"))
     dealt = ranged.withColumn("_guest", F.lit(False)).unionByName(guests)
     seen = Window.partitionBy("_range").orderBy("_guest", *order)
     paired = dealt.withColumn("_next", F.lead("text").over(seen)).withColumn("n_chars", F.length("text").cast("long"))
     paired = paired.withColumn("_edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) as int))"), F.expr("left(coalesce(_next, ''), cast(floor(n_chars / 3) as int))")))
     made = paired.select(
-        "_range", "_guest", "doc_id", "text", "n_chars",
+        "_range", "_guest", "doc_id", "text", "_hash", "n_chars",
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         sketch(F.col("text"), k, words).alias("sketch"),
         F.when(~F.col("_guest"), sketch(F.col("_edited"), k, words)).alias("edited_sketch"),

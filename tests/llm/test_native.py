@@ -37,6 +37,26 @@ def test_fingerprints_match_plain_texts(spark):
     assert fingerprints.fingerprint_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_fingerprints_of_null_and_shared_ids(spark):
+    """Rows of one doc_id, or of none, are several ranges; each row has one successor, and the last one the first."""
+    given = [(7 if i % 3 else None, f"text {i} " * (1 + i % 5)) for i in range(60)] + [(i, f"other {i}") for i in range(3, 12)] + [(7, None), (None, "z " * 100_000), (7, "same"), (7, "same")]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("t")).collect()
+    want = []
+    for at, row in enumerate(ordered):
+        n = len(row.t) // 3
+        after = ordered[(at + 1) % len(ordered)].t
+        want.append((row.doc_id or -1, hashlib.sha256((row.t[: len(row.t) - n] + after[:n]).encode()).hexdigest()))
+    for rows_a_range in (2, 5, 500):
+        got = fingerprints.fingerprint_documents(docs, rows_a_range=rows_a_range).collect()
+        assert sorted((r.doc_id or -1, r.edited_sha256) for r in got) == sorted(want)
+    ranged = fingerprints._neighbours(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 5)
+    sizes = ranged.groupBy("_range", "doc_id").count().where("doc_id IS NULL OR doc_id = 7")
+    assert sizes.agg(F.max("count")).first()[0] <= 15
+    alone = fingerprints.fingerprint_documents(docs.limit(1)).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
+
+
 def test_sketches_merge_over_parts(spark):
     rows = spark.createDataFrame([("a", list(range(0, 400, 2))[:128]), ("a", list(range(1, 300, 3))[:128]), ("b", [5]), ("c", [])], "k string, s array<long>")
     got = {r.k: r.s for r in fingerprints.merge_sketches(rows, "k", "s").collect()}
@@ -77,9 +97,17 @@ def test_propagation_matches_plain_iteration(spark):
             rank = new
         return rank
 
-    got = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "kind string, host string, seed double")).collect()
-    for kind in ("trust", "distrust"):
-        assert {r.host: r.score for r in got if r.kind == kind} == pytest.approx(plain(kind))
+    for part_edges in (1, 10_000):  # with 1, each link of a host is a part of its own
+        got = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "kind string, host string, seed double"), part_edges=part_edges).collect()
+        for kind in ("trust", "distrust"):
+            assert {r.host: r.score for r in got if r.kind == kind} == pytest.approx(plain(kind))
+
+
+def test_repeated_and_null_pages(spark):
+    given = [(1, "http://a.org/x", "<a href='http://b.com/'>"), (1, "http://a.org/x", "<a href='http://b.com/'>"), (None, "http://b.com/it", None), (None, None, "href=//a.org"), (2, "http://b.com/it", "")]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string")
+    rows = url_filter.judge_pages(pages).collect()
+    assert sorted((r.page_id or 0, r.host, r.verdict) for r in rows) == [(0, "", "allow"), (0, "b.com", "allow"), (1, "a.org", "allow"), (1, "a.org", "allow"), (2, "b.com", "allow")]
 
 
 def test_mix_matches_sql_and_keeps_its_promises(spark):
