@@ -52,6 +52,7 @@ def _shares(edges: DataFrame, part_edges: int) -> tuple[DataFrame, DataFrame]:
 
     Links are counted and know their host's sums by (host, salt), so no task gets all links of a hub.
     """
+    edges = stored(edges)  # pages are read for links once
     trust = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links")
     both = trust.union(edges.select(F.lit("distrust"), "dst", "src", "links"))
     both = both.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(64)).cast("int"))
