@@ -15,6 +15,8 @@ from lectern.llm.words import M1, mix, shingle_hashes, word_hashes, word_spans
 
 #: Words of a shingle, elements of a sketch, and shingles of an element.
 SIZE, ELEMENTS, LENGTH = 5, 12, 2
+#: Further elements, for pairs that the sketch alone would miss: with a fifth of the words changed an element agrees in one of 23 cases.
+FURTHER = 60
 SIMILAR = 0.8
 #: Partners that a text is first aligned with in a list: those that agree most, and the most central ones of the list.
 FIRST, CENTRAL = 4, 2
@@ -48,7 +50,7 @@ def sketch(shingles: np.ndarray, elements: int = ELEMENTS, length: int = LENGTH)
     n = min(length, len(marked))
     seeds = mix(np.arange(1, elements + 1, dtype=np.uint64))
     at = np.empty((elements, n), np.int64)
-    step = elements if len(marked) < 100_000 else 1
+    step = max(1, 1_200_000 // len(marked))
     for lo in range(0, elements, step):
         x = (marked[None, :] ^ seeds[lo : lo + step, None]) * M1
         x ^= x >> np.uint64(32)
@@ -150,7 +152,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
 
     Two texts are linked if they share sketch elements of five-word shingles and
     their words, aligned in order, have an edit similarity of ``similar`` or more
-    (see similarity). class_id is the least doc_id of
+    (see similarity). Of pairs whose similarity is just ``similar`` and whose words
+    are changed one by one, more than nine in ten share one. class_id is the least doc_id of
     the texts joined by links; kept marks the rows that bear it; n_links counts
     the verified links of the row's text to other texts. A class_id may be that
     of several classes, if unlike texts bear one doc_id or none; one_of_each
@@ -161,9 +164,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, size: int = SIZE)
     text is aligned only with the texts of its lists that agree with it in most
     elements and with the most central ones: a number of pairs linear in the
     list, which joins the bulk of every class. Then every other pair of a list
-    that agrees in AGREE elements and isn't in one class yet is aligned too. So
-    classes are those of all such pairs, and only pairs inside a class that is
-    already joined are left out (n_links counts the links that were verified).
+    that agrees in AGREE elements and isn't in one class yet is aligned too. In
+    the lists of FURTHER elements each class found so far has one text, the one
+    of least key that bears the element, and all pairs of a list are aligned
+    whose lengths and odd sketches allow the similarity. So classes are those of
+    all such pairs; pairs inside a class that is already joined are left out
+    (n_links counts the links that were verified).
 
     Edge cases: null texts count as empty; texts without a word are alike only if
     equal; a text below five words is one shingle; rows of equal text are one
@@ -198,24 +204,25 @@ def _classed(docs: DataFrame, similar: float, size: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            keys, counts, values, odd = [], [], [], []
+            keys, counts, values, more, odd = [], [], [], [], []
             for key, z in zip(batch["key"].to_pylist(), batch["z"].to_pylist()):
                 words = text_words(expand.decompress(z))
                 if len(words):
                     keys.append(key)
                     counts.append(len(words))
-                    values.append(sketch(shingle_hashes(words, size)).view(np.int64))
+                    whole = sketch(shingle_hashes(words, size), ELEMENTS + FURTHER).view(np.int64)
+                    values.append(whole[:ELEMENTS])
+                    more.append(whole[ELEMENTS:])
                     odd.append(odd_sketch(words).tobytes())
             if keys:
-                offsets = pa.array(np.arange(0, ELEMENTS * len(keys) + 1, ELEMENTS, dtype=np.int32))
-                sketches = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))
-                yield from pa.table([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), sketches, pa.array(odd, pa.binary())], ["key", "n", "sketch", "odd"]).to_batches(20_000)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, e * len(keys) + 1, e, dtype=np.int32)), pa.array(np.concatenate(v))) for e, v in ((ELEMENTS, values), (FURTHER, more))]
+                yield from pa.table([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), *lists, pa.array(odd, pa.binary())], ["key", "n", "sketch", "further", "odd"]).to_batches(20_000)
 
-    sketches = stored(texts.select("key", "z").mapInArrow(make, "key binary, n int, sketch array<long>, odd binary"))
+    sketches = stored(texts.select("key", "z").mapInArrow(make, "key binary, n int, sketch array<long>, further array<long>, odd binary"))
     tested = stored(_aligned(_first_pairs(sketches, similar), texts, similar))
     links = tested.where("similar").select("a", "b")
     classes = stored(sketches.join(components(links).withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-    rest = _other_pairs(classes, similar).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _other_pairs(classes, similar).union(_further_pairs(classes, similar)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     late = stored(_aligned(rest, texts, similar).where("similar").select("a", "b"))
     of_key = classes.select("key", "component")
     between = late.join(of_key.select(F.col("key").alias("a"), F.col("component").alias("u")), "a").join(of_key.select(F.col("key").alias("b"), F.col("component").alias("v")), "b")
@@ -330,6 +337,46 @@ def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
     return _lists(classes, "component", "odd", unlike="component").mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
 
 
+def _further_pairs(classes: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that share a further element: in its list each component has one text.
+
+    Pairs whose lengths or odd sketches show that they differ in too many words are left out.
+    """
+    narrow = classes.select(F.explode("further").alias("list"), "key", "component")
+    # Most lists hold one text, or one class: only hashes are shuffled to leave them out.
+    kind = F.xxhash64("component")
+    mixed = narrow.groupBy("list").agg(F.min(kind).alias("u"), F.max(kind).alias("v")).where("u <> v").select("list", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
+    shared = narrow.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")).join(mixed, ["list", "_salt"])
+    one = stored(shared.groupBy("list", "component").agg(F.min("key").alias("key")).select("list", "key"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, ["list", "bi", "bj"], 20_000):
+            table = table.combine_chunks()
+            starts = np.append(group_starts(table, ["list", "bi", "bj"]), table.num_rows).tolist()
+            sizes, side, crossed = table["n"].to_numpy(), table["side"].to_numpy(), table["bi"].to_numpy() != table["bj"].to_numpy()
+            odd = np.frombuffer(b"".join(table["odd"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            left, right = [], []
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                own = sizes[lo:hi]
+                fits = np.minimum.outer(own, own) >= similar * np.maximum.outer(own, own)
+                if crossed[lo]:
+                    fits &= side[lo:hi, None] != side[None, lo:hi]
+                i, j = np.nonzero(np.triu(fits, 1))
+                for at in range(0, len(i), 100_000):
+                    x, y = lo + i[at : at + 100_000], lo + j[at : at + 100_000]
+                    differing = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64)
+                    near = differing <= sizes[x] + sizes[y] - 2 * similar * np.maximum(sizes[x], sizes[y]) + 1e-6
+                    left.append(x[near])
+                    right.append(y[near])
+            if sum(map(len, left)):
+                order = np.lexsort((np.concatenate(right), np.concatenate(left)))
+                yield from _grouped(table["key"], np.concatenate(left)[order], np.concatenate(right)[order])
+
+    dealt = split_groups(one, "list", "key", BLOCK).select("list", "bi", "bj", "side", "key").join(classes.select("key", "n", "odd"), "key")
+    dealt = dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key").select("list", "bi", "bj", "side", "key", "n", "odd")
+    return dealt.mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """The pairs with whether their edit similarity is at least ``similar``."""
     first = pairs.join(texts.select(F.col("key").alias("a"), F.col("z").alias("za")), "a")
