@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -340,14 +341,16 @@ def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
 def _further_pairs(classes: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b), a < b, of different components that share a further element: in its list each component has one text.
 
-    Pairs whose lengths or odd sketches show that they differ in too many words are left out.
+    A pair is given once, by the first list that holds both texts. Pairs whose
+    lengths or odd sketches show that they differ in too many words are left out.
     """
-    narrow = classes.select(F.explode("further").alias("list"), "key", "component")
+    narrow = classes.select(F.posexplode("further").alias("element", "list"), "key", "component")
     # Most lists hold one text, or one class: only hashes are shuffled to leave them out.
     kind = F.xxhash64("component")
     mixed = narrow.groupBy("list").agg(F.min(kind).alias("u"), F.max(kind).alias("v")).where("u <> v").select("list", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
     shared = narrow.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")).join(mixed, ["list", "_salt"])
-    one = stored(shared.groupBy("list", "component").agg(F.min("key").alias("key")).select("list", "key"))
+    one = stored(shared.groupBy("list", "component").agg(F.min("key").alias("key"), F.first("element").alias("element")).select("list", "element", "key"))
+    held = one.groupBy("key").agg(F.collect_list(F.struct("element", "list")).alias("held")).select("key", F.col("held.element").alias("elements"), F.col("held.list").alias("lists"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, ["list", "bi", "bj"], 20_000):
@@ -355,6 +358,10 @@ def _further_pairs(classes: DataFrame, similar: float) -> DataFrame:
             starts = np.append(group_starts(table, ["list", "bi", "bj"]), table.num_rows).tolist()
             sizes, side, crossed = table["n"].to_numpy(), table["side"].to_numpy(), table["bi"].to_numpy() != table["bj"].to_numpy()
             odd = np.frombuffer(b"".join(table["odd"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            names, counts = table["list"].to_numpy(), pc.list_value_length(table["lists"]).to_numpy()
+            marks, there = np.zeros((table.num_rows, FURTHER), np.int64), np.zeros((table.num_rows, FURTHER), bool)
+            cells = np.repeat(np.arange(table.num_rows), counts), pc.list_flatten(table["elements"]).to_numpy()
+            marks[cells], there[cells] = pc.list_flatten(table["lists"]).to_numpy(), True
             left, right = [], []
             for lo, hi in zip(starts[:-1], starts[1:]):
                 own = sizes[lo:hi]
@@ -362,18 +369,21 @@ def _further_pairs(classes: DataFrame, similar: float) -> DataFrame:
                 if crossed[lo]:
                     fits &= side[lo:hi, None] != side[None, lo:hi]
                 i, j = np.nonzero(np.triu(fits, 1))
-                for at in range(0, len(i), 100_000):
-                    x, y = lo + i[at : at + 100_000], lo + j[at : at + 100_000]
+                for at in range(0, len(i), 50_000):
+                    x, y = lo + i[at : at + 50_000], lo + j[at : at + 50_000]
                     differing = np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64)
                     near = differing <= sizes[x] + sizes[y] - 2 * similar * np.maximum(sizes[x], sizes[y]) + 1e-6
-                    left.append(x[near])
-                    right.append(y[near])
+                    x, y = x[near], y[near]
+                    shared_at = ((marks[x] == marks[y]) & there[x] & there[y]).argmax(1)
+                    here = marks[x, shared_at] == names[lo]
+                    left.append(x[here])
+                    right.append(y[here])
             if sum(map(len, left)):
                 order = np.lexsort((np.concatenate(right), np.concatenate(left)))
                 yield from _grouped(table["key"], np.concatenate(left)[order], np.concatenate(right)[order])
 
-    dealt = split_groups(one, "list", "key", BLOCK).select("list", "bi", "bj", "side", "key").join(classes.select("key", "n", "odd"), "key")
-    dealt = dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key").select("list", "bi", "bj", "side", "key", "n", "odd")
+    dealt = split_groups(one.select("list", "key"), "list", "key", BLOCK).select("list", "bi", "bj", "side", "key").join(classes.select("key", "n", "odd").join(held, "key"), "key")
+    dealt = dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key").select("list", "bi", "bj", "side", "key", "n", "odd", "elements", "lists")
     return dealt.mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
 
 
