@@ -159,11 +159,11 @@ def _needles(spark, d):
 
 
 def many_hits(spark, d):
-    """Every sentence that holds one of many needles, through an index of trigrams that is written once."""
+    """Every sentence that holds one of many needles, through an index of documents by trigrams that is written once."""
     key = ["doc_id", "para", "sent"]
     sents = stored(P.sentences(_paras(spark, d)))
     path = new_folder(spark, "postings")
-    K.write_index(sents, key, path)
+    K.write_index(sents, ["doc_id"], path)
     return K.find(K.read_index(spark, path), sents, key, _needles(spark, d))
 
 

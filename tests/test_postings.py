@@ -24,3 +24,18 @@ def test_many_needles_find_what_a_plain_search_finds(spark, tmp_path):
     assert index.where(F.col("gram") == "nothing"[:3]).isEmpty()
     none = spark.createDataFrame([], "needle string")
     assert K.find(index, items, ["id"], none).isEmpty()
+
+
+def test_an_index_by_document_is_smaller_than_its_texts_and_finds_the_same(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeilnorst") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    rows = [(doc, sent, " ".join(rng.choice(words) for _ in range(12))) for doc in range(120) for sent in range(30)]
+    items = spark.createDataFrame(rows, "doc int, sent int, text string").coalesce(2)
+    path = str(tmp_path / "index")
+    K.write_index(items, ["doc"], path)
+    needles = [words[0], f"{words[1]} {words[2]}"[:6].strip(), "ae", "zz", rows[7][2]]
+    found = K.find(K.read_index(spark, path), items, ["doc", "sent"], spark.createDataFrame([(n,) for n in needles], "needle string"))
+    assert sorted(map(tuple, found.collect())) == sorted((n, d, s, t.find(n)) for n in set(needles) for d, s, t in rows if n in t)
+    # A posting for each gram of each sentence took several times the text.
+    size = sum(f.stat().st_size for f in (tmp_path / "index").rglob("*.parquet"))
+    assert size < sum(len(t) for _, _, t in rows)
