@@ -30,7 +30,9 @@ NEVER_FINAL = (".", "-", "--", "\u2013", "\u00b7", "\u2022", "\u00b0")
 MATH = "\u2282\u2283\u2208\u2209\u222b\u2192\u2190\u2193\u2191\u2264\u2265\u2211\u220f\u221a\u221e\u221d\u2200\u2203\u2204\u2227\u2228\u2261\u2248\u2245\u2260\u2286\u2287\u2288\u228a\u228b\u22c0\u22c1\u22c2\u22c3\u21d2\u21d4\u2234\u2235\u2236\u2207\u2202\u00d7\u00f7\u00b1\u2212"
 TERMINAL = "[,.!?\u2014:;]"
 CLOSERS = "\"\u201d\u2019')]"
-BLANKS = "[ \\t\u00a0\u2000-\u200b]+"
+BLANK = " \\t\u00a0\u2000-\u200b"
+#: Runs of blanks that aren't one space already.
+BLANKS = f"[{BLANK[1:]}][{BLANK}]*| [{BLANK}]+"
 MOST_CHUNK, MOST_SENTENCE, LEAST_CHUNK = 300, 500, 40
 BREAK = "\u0001"
 
@@ -50,15 +52,25 @@ def kept_class() -> str:
     return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in KEPT)
 
 
+def _rare(members: str) -> str:
+    """A class of code points outside printable ASCII: one comparison settles most characters, where Java tests a class of many ranges one by one."""
+    return f"[[^\\x20-\\x7e]&&[{members}]]"
+
+
 def normalized(text: Column) -> Column:
     """Composed, ligatures written out, odd breaks and blanks made plain, all but the kept code points dropped."""
-    whole = composed(F.coalesce(text, F.lit("")))
+    return reduced(composed(F.coalesce(text, F.lit(""))))
+
+
+def reduced(whole: Column) -> Column:
+    """normalized of a text that is composed and not null."""
+    usual = ~whole.rlike(r"[^\x20-\x7e]")
     out = whole
     for odd, plain in LIGATURES.items():
         out = F.replace(out, F.lit(odd), F.lit(plain))
-    out = F.when(whole.rlike(f"[{''.join(LIGATURES)}]"), out).otherwise(whole)  # few texts hold any
+    out = F.when(whole.rlike(_rare("".join(LIGATURES))), out).otherwise(whole)  # few texts hold any
     out = F.translate(out, "\u2028\u2029\x0b\t\u00a0\u00ad\r", "\n\n\n  ")
-    return F.regexp_replace(out, f"[^{kept_class()}]", "")
+    return F.when(usual, whole).otherwise(F.regexp_replace(out, _rare(f"^{kept_class()}"), ""))
 
 
 def cleaned(text: Column) -> Column:
@@ -128,6 +140,15 @@ def each(df: DataFrame, *keep: str, value: Column, names: tuple[str, str]) -> Da
     return df.select(*keep, F.posexplode_outer(value).alias(*names)).where(F.col(names[0]).isNotNull())
 
 
+def settled(df: DataFrame, *keep: str, value: Column, name: str) -> DataFrame:
+    """keep and value under ``name``, computed once a row.
+
+    Through a projection Catalyst pushes every later filter on the column, so
+    that it is computed for the filter and again for the rows that stay; what a generator gives stays whole.
+    """
+    return df.select(*keep, F.explode_outer(F.array(value)).alias(name))
+
+
 def _let(value: Column, use) -> Column:
     """use(value) with value computed once a row."""
     return F.transform(F.array(value), use)[0]
@@ -209,13 +230,14 @@ def chunks(unit_list: Column) -> Column:
 
 def symbol_density(text: Column) -> Column:
     """Share of mathematical symbols among the characters that aren't white space; 0 for a blank text."""
-    body = F.regexp_replace(text, r"\s+", "")
-    rest = F.regexp_replace(body, f"[{MATH}]", "")
-    return F.when(body == "", F.lit(0.0)).otherwise((F.length(body) - F.length(rest)) / F.length(body))
+    symbol = _rare(MATH)
+    found = F.regexp_count(text, F.lit(symbol)) / (F.length(text) - F.regexp_count(text, F.lit(r"\s")))
+    return F.when(~text.rlike(symbol), F.lit(0.0)).otherwise(found)  # few texts hold any
 
 
 def looks_like_code(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\{|\}|;|->|=>|::|&&")) >= 2
+    # The look ahead settles most characters by one table of bits.
+    return F.regexp_count(text, F.lit(r"(?=[{};\-=:&])(?:\{|\}|;|->|=>|::|&&)")) >= 2
 
 
 def fnv32(text: Column) -> Column:

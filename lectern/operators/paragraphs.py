@@ -11,8 +11,10 @@ from lectern.sources.tables import spread
 
 def paragraphs(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, para, text, and the columns in keep): one row per line, numbered from 0, normalised and cleaned."""
-    lines = X.each(spread(docs.select("doc_id", *keep, "text")), "doc_id", *keep, value=F.split(F.coalesce("text", F.lit("")), "\n"), names=("para", "raw"))
-    return lines.select("doc_id", *keep, "para", X.cleaned(X.normalized(F.col("raw"))).alias("text"))
+    # Nothing composes across a newline, so whole texts are composed: a row of each document passes Python, not one of each line.
+    whole = spread(docs.select("doc_id", *keep, "text")).withColumn("text", X.composed(F.coalesce("text", F.lit(""))))
+    lines = X.each(whole, "doc_id", *keep, value=F.split("text", "\n"), names=("para", "raw"))
+    return X.settled(lines, "doc_id", *keep, "para", value=X.cleaned(X.reduced(F.col("raw"))), name="text")
 
 
 def sentences(paras: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -28,8 +30,8 @@ def units(paras: DataFrame) -> DataFrame:
 
 def chunks(paras: DataFrame) -> DataFrame:
     """(doc_id, para, n, s0, s1, text): chunks of paragraphs, numbered in each."""
-    found = paras.select("doc_id", "para", X.sentences(F.col("text")).alias("s"))
-    with_units = found.select("doc_id", "para", X.units(F.col("s")).alias("u"))
+    found = X.settled(paras, "doc_id", "para", value=X.sentences(F.col("text")), name="s")
+    with_units = X.settled(found, "doc_id", "para", value=X.units(F.col("s")), name="u")
     return X.each(with_units, "doc_id", "para", value=X.chunks(F.col("u")), names=("n", "c")).select("doc_id", "para", "n", "c.*")
 
 

@@ -90,7 +90,7 @@ def normalize(spark, d):
 
 
 def word_counts(spark, d):
-    return _paras(spark, d).select("doc_id", "para", F.size(X.words(F.col("text"))).alias("n_words"), F.size(X.tokens(F.col("text"))).alias("n_tokens"))
+    return _paras(spark, d).select("doc_id", "para", F.size(F.split("text", " ")).alias("n_words"), F.regexp_count("text", F.lit(r"\S+")).alias("n_tokens"))
 
 
 def terminals(spark, d):
