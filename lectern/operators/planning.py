@@ -110,15 +110,19 @@ def grouped(paras: DataFrame) -> DataFrame:
     n = F.size("sents")
     packed = F.transform(X.chunks(X.units(F.col("sents"))), lambda c: F.struct(c["s0"].alias("from"), c["s1"].alias("to")))
     made = paras.withColumn("by_mask", usable(F.col("mask"), n))
-    return made.withColumn("groups", F.when(F.col("by_mask"), groups_of_mask(repaired(F.col("mask"), n), n)).when(n > 0, packed).otherwise(F.array().cast("array<struct<from:int,to:int>>")))
+    groups = F.when(F.col("by_mask"), groups_of_mask(repaired(F.col("mask"), n), n)).when(n > 0, packed).otherwise(F.array().cast("array<struct<from:int,to:int>>"))
+    return X.settled(made, *(c for c in made.columns if c != "groups"), value=groups, name="groups")
 
 
 def covers(groups: Column, n: Column) -> Column:
     """Whether groups, in order, cover sentences 0 to n - 1 without gap or overlap."""
-    s = F.array_sort(groups)
-    follows = F.forall(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i)["from"] == F.when(i == 0, 0).otherwise(F.get(s, i - 1)["to"] + 1))
-    sound = F.forall(s, lambda g: (g["from"] >= 0) & (g["from"] <= g["to"]) & (g["to"] < n))
-    return F.coalesce((F.size(s) > 0) & sound & follows & (F.element_at(s, F.greatest(F.size(s), F.lit(1)))["to"] == n - 1), F.lit(False))
+    def cover(s: Column) -> Column:
+        follows = F.forall(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i)["from"] == F.when(i == 0, 0).otherwise(F.get(s, i - 1)["to"] + 1))
+        sound = F.forall(s, lambda g: (g["from"] >= 0) & (g["from"] <= g["to"]) & (g["to"] < n))
+        return (F.size(s) > 0) & sound & follows & (F.element_at(s, F.greatest(F.size(s), F.lit(1)))["to"] == n - 1)
+
+    # Sorted once a row, not once for each group.
+    return F.coalesce(F.transform(F.array(F.array_sort(groups)), cover)[0], F.lit(False))
 
 
 def checked(paras: DataFrame) -> DataFrame:
@@ -171,8 +175,10 @@ def planner_report(docs: DataFrame, model: str) -> DataFrame:
 
     docs: doc_id, used (boolean), reason (null where the model was used).
     """
-    reasons = docs.where("NOT used AND reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    listed = reasons.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reason", "n"))), lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), ",").alias("reasons"))
-    counts = docs.agg(F.count_if("used").alias("by_model"), F.count_if(~F.col("used")).alias("fallback"))
+    kinds = docs.groupBy("used", "reason").agg(F.count(F.lit(1)).alias("n"))  # documents are worked out once
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    why = F.collect_list(F.when(~F.col("used") & F.col("reason").isNotNull(), F.struct("reason", "n")))
+    listed = F.array_join(F.transform(F.array_sort(why), lambda x: F.concat(x["reason"], F.lit("="), x["n"].cast("string"))), ",")
+    counts = kinds.agg(total(F.col("used")).alias("by_model"), total(~F.col("used")).alias("fallback"), listed.alias("reasons"))
     stamp = F.when(F.col("by_model") > 0, F.lit(f"llm:{model}")).otherwise("heuristic")
-    return counts.join(F.broadcast(listed)).select(stamp.alias("planner"), "by_model", "fallback", "reasons")  # one row each
+    return counts.select(stamp.alias("planner"), "by_model", "fallback", "reasons")

@@ -14,7 +14,7 @@ RULES = "Group the sentences."
 
 def _paras(spark, d):
     """Paragraphs with their sentences and a mask: every fourth has none, others all ones, a pattern with a stray digit, or a short one."""
-    p = P.paragraphs(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "para", X.sentences(F.col("text")).alias("sents"))
+    p = X.settled(P.paragraphs(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "para", value=X.sentences(F.col("text")), name="sents")
     kind, n = (F.col("doc_id") + F.col("para")) % 4, F.size("sents")
     mask = F.when(kind == 1, F.repeat(F.lit("1"), n)).when(kind == 2, F.concat(F.substring(F.repeat(F.lit("1001000100"), n), F.lit(1), n * 9), F.lit("2"))).when(kind == 3, F.lit("0"))
     return p.withColumn("mask", mask)

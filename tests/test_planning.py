@@ -98,3 +98,10 @@ def test_prompt_and_report(spark):
     docs = spark.createDataFrame([(1, True, None), (2, False, "bad_json"), (3, False, "timeout"), (4, False, "bad_json")], "doc_id int, used boolean, reason string")
     assert tuple(M.planner_report(docs, "m").first()) == ("llm:m", 1, 3, "bad_json=2,timeout=1")
     assert tuple(M.planner_report(docs.where("NOT used"), "m").first())[:3] == ("heuristic", 0, 3)
+
+
+def test_a_report_works_out_its_documents_once(spark):
+    docs = spark.createDataFrame([(1, True, None), (2, False, "bad_json"), (3, False, "bad_json"), (4, False, None), (5, None, "odd")], "doc_id int, used boolean, reason string")
+    said = M.planner_report(docs, "stub")
+    assert said._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert tuple(said.first()) == ("llm:stub", 1, 3, "bad_json=2") and tuple(M.planner_report(docs.limit(0), "stub").first()) == ("heuristic", 0, 0, "")
