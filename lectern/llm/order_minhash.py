@@ -26,6 +26,9 @@ AGREE = 2
 BLOCK = 1024
 #: Bits of the sketch that bounds how alike two texts can be.
 ODD_BITS = 1024
+#: Places of a block on either side of a tile, whose pairs are aligned by one task.
+TILE = 128
+TILE_SCHEMA = "list long, bi int, bj int, ti int, tj int, nth int, key binary, partners array<int>"
 
 
 def text_words(data: bytes) -> np.ndarray:
@@ -220,17 +223,15 @@ def _classed(docs: DataFrame, similar: float, size: int) -> DataFrame:
                 yield from pa.table([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), *lists, pa.array(odd, pa.binary())], ["key", "n", "sketch", "further", "odd"]).to_batches(20_000)
 
     sketches = stored(texts.select("key", "z").mapInArrow(make, "key binary, n int, sketch array<long>, further array<long>, odd binary"))
-    tested = stored(_aligned(_first_pairs(sketches, similar), texts, similar))
-    links = tested.where("similar").select("a", "b")
+    links = stored(_aligned(_first_pairs(sketches, similar), texts, similar).where("similar").select("a", "b"))
     classes = stored(sketches.join(components(links).withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-    rest = _other_pairs(classes, similar).union(_further_pairs(classes, similar)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    late = stored(_aligned(rest, texts, similar).where("similar").select("a", "b"))
+    late = stored(_aligned_tiles(_other_tiles(classes, similar).withColumn("kind", F.lit(0)).union(_further_tiles(classes, similar).withColumn("kind", F.lit(1))), texts, similar))
     of_key = classes.select("key", "component")
-    between = late.join(of_key.select(F.col("key").alias("a"), F.col("component").alias("u")), "a").join(of_key.select(F.col("key").alias("b"), F.col("component").alias("v")), "b")
+    between = late.select(F.col("key").alias("a"), F.col("root").alias("b")).where("a <> b").distinct().join(of_key.select(F.col("key").alias("a"), F.col("component").alias("u")), "a").join(of_key.select(F.col("key").alias("b"), F.col("component").alias("v")), "b")
     merged = components(between.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("_last"))
     joined = of_key.join(merged, "component", "left").select(F.col("key").alias("id"), F.coalesce("_last", "component").alias("component"))
-    links = links.union(late)
-    degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    one = F.lit(1).alias("links")
+    degree = links.select(F.col("a").alias("key"), one).union(links.select(F.col("b").alias("key"), one)).union(late.select("key", "links")).groupBy("key").agg(F.sum("links").alias("n_links"))
     nodes = joined.join(texts.select(F.col("key").alias("id"), "first_id"), "id")
     ids = nodes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("id", F.struct(F.col("first_id").isNull(), "first_id", "id")).alias("lead"))
     of_text = texts.select("key", "first_id", "copies").join(joined.withColumnRenamed("id", "key"), "key", "left").join(ids, "component", "left").join(degree, "key", "left")
@@ -304,8 +305,39 @@ def _first_pairs(sketches: DataFrame, similar: float) -> DataFrame:
     return listed.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
 
 
-def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that agree in AGREE elements, each from the first list that both are in.
+def _tiles(table: pa.Table, starts: list[int], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of row numbers (i, j) of the blocks that begin at ``starts`` as rows of TILE_SCHEMA: one for each text of each tile.
+
+    A tile holds pairs of TILE by TILE places of a block. A text's row has the
+    places, within the block, of its partners behind it there. So a block has at most
+    as many rows as its texts have tiles, however many of its pairs are asked for.
+    """
+    if not len(i):
+        return
+    firsts = np.array(starts)
+    block = np.searchsorted(firsts, i, "right") - 1
+    x, y = i - firsts[block], j - firsts[block]
+    order = np.lexsort((y, x, y // TILE, x // TILE, block))
+    i, j, block, x, y = i[order], j[order], block[order], x[order], y[order]
+    tile = np.stack((block, x // TILE, y // TILE))
+    number = np.cumsum(np.concatenate(([True], (tile[:, 1:] != tile[:, :-1]).any(0)))) - 1
+    # One row for each (tile, text): those of the left side with their partners, others without.
+    left = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (x[1:] != x[:-1]))))
+    wide = number << 32
+    there, at = np.unique(np.concatenate(((wide + x)[left], wide + y)), return_index=True)
+    row, nth = np.concatenate((i[left], j))[at], there & 0xFFFFFFFF
+    counts = np.where(at < len(left), np.diff(np.append(left, len(x)))[np.minimum(at, len(left) - 1)], 0)
+    # Left rows come in the order of the pairs, so their partners do too.
+    partners = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(y.astype(np.int32)))
+    rows = table.select(["list", "bi", "bj", "key"]).take(pa.array(row)).combine_chunks()
+    first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    ti, tj = ((v[first] // TILE)[there >> 32].astype(np.int32) for v in (x, y))
+    columns = [rows["list"], rows["bi"], rows["bj"], pa.array(ti), pa.array(tj), pa.array(nth.astype(np.int32)), rows["key"], partners]
+    yield from pa.table(columns, ["list", "bi", "bj", "ti", "tj", "nth", "key", "partners"]).to_batches(20_000)
+
+
+def _other_tiles(classes: DataFrame, similar: float) -> DataFrame:
+    """Pairs of different components that agree in AGREE elements, each from the first list that both are in, as rows of tiles (see _tiles).
 
     Pairs whose odd sketches show that they differ in too many words are left out.
     """
@@ -315,7 +347,7 @@ def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
             sizes, names = table["n"].to_numpy(), table["list"].to_numpy()
             odd = np.frombuffer(b"".join(table["odd"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
             of = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-            left, right = [], []
+            starts, left, right = [], [], []
             for lo, hi, agree in blocks:
                 i, j = np.nonzero(np.triu((agree >= AGREE) & (of[lo:hi, None] != of[None, lo:hi]), 1))
                 i, j = lo + i, lo + j
@@ -330,19 +362,19 @@ def _other_pairs(classes: DataFrame, similar: float) -> DataFrame:
                     first[some] = near & (x[np.arange(len(x)), (x == y).argmax(1)] == names[lo])
                 left.append(i[first])
                 right.append(j[first])
-            i, j = np.concatenate(left), np.concatenate(right)
-            if len(i):
-                yield from _grouped(table["key"], i, j)
+                starts.append(lo)
+            yield from _tiles(table, starts, np.concatenate(left), np.concatenate(right))
 
     # Only lists with texts of several classes have pairs left.
-    return _lists(classes, "component", "odd", unlike="component").mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
+    return _lists(classes, "component", "odd", unlike="component").mapInArrow(choose, TILE_SCHEMA)
 
 
-def _further_pairs(classes: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that share a further element: in its list each component has one text.
+def _further_tiles(classes: DataFrame, similar: float) -> DataFrame:
+    """Pairs of different components that share a further element, as rows of tiles (see _tiles): in its list each component has one text.
 
     A pair is given once, by the first list that holds both texts. Pairs whose
-    lengths or odd sketches show that they differ in too many words are left out.
+    lengths or odd sketches show that they differ in too many words are left out,
+    and those that _other_tiles gives.
     """
     narrow = classes.select(F.posexplode("further").alias("element", "list"), "key", "component")
     # Most lists hold one text, or one class: only hashes are shuffled to leave them out.
@@ -358,7 +390,7 @@ def _further_pairs(classes: DataFrame, similar: float) -> DataFrame:
             starts = np.append(group_starts(table, ["list", "bi", "bj"]), table.num_rows).tolist()
             sizes, side, crossed = table["n"].to_numpy(), table["side"].to_numpy(), table["bi"].to_numpy() != table["bj"].to_numpy()
             odd = np.frombuffer(b"".join(table["odd"].to_pylist()), np.uint64).reshape(table.num_rows, -1)
-            names, counts = table["list"].to_numpy(), pc.list_value_length(table["lists"]).to_numpy()
+            names, counts, own_marks = table["list"].to_numpy(), pc.list_value_length(table["lists"]).to_numpy(), _matrix(table["sketch"].combine_chunks())
             marks, there = np.zeros((table.num_rows, FURTHER), np.int64), np.zeros((table.num_rows, FURTHER), bool)
             cells = np.repeat(np.arange(table.num_rows), counts), pc.list_flatten(table["elements"]).to_numpy()
             marks[cells], there[cells] = pc.list_flatten(table["lists"]).to_numpy(), True
@@ -375,16 +407,64 @@ def _further_pairs(classes: DataFrame, similar: float) -> DataFrame:
                     near = differing <= sizes[x] + sizes[y] - 2 * similar * np.maximum(sizes[x], sizes[y]) + 1e-6
                     x, y = x[near], y[near]
                     shared_at = ((marks[x] == marks[y]) & there[x] & there[y]).argmax(1)
-                    here = marks[x, shared_at] == names[lo]
+                    here = (marks[x, shared_at] == names[lo]) & ((own_marks[x] == own_marks[y]).sum(1) < AGREE)
                     left.append(x[here])
                     right.append(y[here])
-            if sum(map(len, left)):
-                order = np.lexsort((np.concatenate(right), np.concatenate(left)))
-                yield from _grouped(table["key"], np.concatenate(left)[order], np.concatenate(right)[order])
+            if left:
+                yield from _tiles(table, starts[:-1], np.concatenate(left), np.concatenate(right))
+
+    dealt = split_groups(one.select("list", "key"), "list", "key", BLOCK).select("list", "bi", "bj", "side", "key").join(classes.select("key", "n", "sketch", "odd").join(held, "key"), "key")
+    dealt = dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key").select("list", "bi", "bj", "side", "key", "n", "sketch", "odd", "elements", "lists")
+    return dealt.mapInArrow(choose, TILE_SCHEMA)
+
 
-    dealt = split_groups(one.select("list", "key"), "list", "key", BLOCK).select("list", "bi", "bj", "side", "key").join(classes.select("key", "n", "odd").join(held, "key"), "key")
-    dealt = dealt.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj", "key").select("list", "bi", "bj", "side", "key", "n", "odd", "elements", "lists")
-    return dealt.mapInArrow(choose, "a binary, bs array<binary>").select("a", F.explode("bs").alias("b"))
+def _aligned_tiles(tiles: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(key, root, links): for each text of a tile that has similar ones there, how many, and the first text that these join it with.
+
+    Every pair of a tile is aligned where both texts are; pairs are never rows.
+    """
+    place = ["kind", "list", "bi", "bj", "ti", "tj"]
+    held = tiles.join(texts.select("key", "z"), "key").repartition(*place).sortWithinPartitions(*place, "nth").select(*place, "nth", "key", "z", "partners")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for table in sorted_groups(batches, place, 2 * TILE):
+            starts = np.append(group_starts(table, place), table.num_rows).tolist()
+            keys, zs, nths, partners = (table[c].to_pylist() for c in ("key", "z", "nth", "partners"))
+            rows: list[tuple] = []
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                words = [text_words(expand.decompress(z)) for z in zs[lo:hi]]
+                known: dict[int, list[int]] = {}
+                held_words = 0
+                at, root, links = {n: i for i, n in enumerate(nths[lo:hi])}, list(range(hi - lo)), [0] * (hi - lo)
+
+                def top(i: int) -> int:
+                    while root[i] != i:
+                        root[i] = i = root[root[i]]
+                    return i
+
+                def listed(i: int) -> list[int]:
+                    nonlocal held_words
+                    if i not in known:
+                        if held_words > 300_000:
+                            known.clear()
+                            held_words = 0
+                        known[i] = words[i].tolist()
+                        held_words += len(known[i])
+                    return known[i]
+
+                for i in range(hi - lo):
+                    for j in map(at.__getitem__, partners[lo + i]):
+                        if similarity(listed(i), listed(j), similar) >= similar:
+                            links[i] += 1
+                            links[j] += 1
+                            u, v = sorted((top(i), top(j)))
+                            root[v] = u
+                rows += [(keys[lo + i], keys[lo + top(i)], n) for i, n in enumerate(links) if n]
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int64()))], ["key", "root", "links"])
+
+    return held.mapInArrow(align, "key binary, root binary, links long")
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:

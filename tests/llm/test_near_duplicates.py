@@ -103,3 +103,39 @@ def test_recall_of_planted_near_copies(spark):
         caught = sum(got[2 * k + 1] == 2 * k for k in range(150))
         print("recall", changed, caught / 150)
         assert caught >= least * 150 and all(v // 2 == k // 2 for k, v in got.items())
+
+
+def test_unlike_texts_of_one_list_are_aligned_without_a_row_for_each_pair(spark, monkeypatch):
+    """The same sentences in other orders: shingles and words agree, alignments don't, so every pair must be looked at."""
+    rng = random.Random(3)
+    sentences = [" ".join(f"s{i}w{j}" for j in range(10)) for i in range(40)]
+    texts = [(k, ". ".join(rng.sample(sentences, 40))) for k in range(400)]
+    texts += [(1000 + k, f"{texts[k][1]} end") for k in range(0, 400, 40)]
+    whole, seen = O._aligned_tiles, []
+
+    def counted(tiles, *rest):
+        seen.append((tiles.count(), sum(len(r.partners) for r in tiles.select("partners").collect())))
+        return whole(tiles, *rest)
+
+    monkeypatch.setattr(O, "_aligned_tiles", counted)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {k: (k % 1000, int(k % 40 == 0)) for k, _ in texts}
+    rows, pairs = seen[0]
+    assert pairs > 60_000 and rows < pairs / 6
+
+
+def test_tiles_hold_each_pair_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sizes = [1, 300, 2, 40]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    n = int(starts[-1])
+    table = pa.table({"list": np.repeat(np.arange(4), sizes), "bi": np.zeros(n, np.int32), "bj": np.zeros(n, np.int32), "key": [str(k).encode() for k in range(n)]})
+    pairs = {(int(lo + i), int(lo + j)) for lo, size in zip(starts, sizes) for i, j in np.argwhere(np.triu(rng.random((size, size)) < 0.1, 1))}
+    i, j = np.array(sorted(pairs, key=lambda p: rng.random())).T
+    rows = [r for b in O._tiles(table, starts[:-1].tolist(), i, j) for r in b.to_pylist()]
+    held = {(r["list"], r["ti"], r["tj"], r["nth"]): int(r["key"]) for r in rows}
+    assert len(held) == len(rows)
+    got = [(int(r["key"]), held[r["list"], r["ti"], r["tj"], p]) for r in rows for p in r["partners"]]
+    assert len(got) == len(pairs) and set(got) == pairs
