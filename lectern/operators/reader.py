@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import fnv32
+from lectern.functions.text import fnv32_marked
 from lectern.operators import intervals
 from lectern.operators.ordered import in_pieces, with_summaries
 
@@ -241,6 +241,9 @@ class _Looks:
 
 
 HASHES = ["c", "cs", "w", "ws", "t", "ts"]
+#: What stands before a title where it is hashed; for each of HASHES, the scale and the delay, the mark's number and the values it is brought to.
+MARKS = ("", "#", "|", "w#", "=", "t#", "~")
+HASHED = ((0, CLOTHS), (1, CLOTHS - 1), (2, len(WIDTHS)), (3, len(WIDTHS) - 1), (4, TILTS), (5, TILTS - 1), (6, 11), (0, 40))
 
 
 def spines(books: DataFrame, pieces: int | None = None) -> DataFrame:
@@ -255,12 +258,16 @@ def spines(books: DataFrame, pieces: int | None = None) -> DataFrame:
 
     Edge cases: a null shelf is a shelf, a null title hashes as an empty one; of one place the least id comes first.
     """
-    title = F.coalesce(F.col("title"), F.lit(""))
-    h = lambda mark, n: (fnv32(F.concat(F.lit(mark), title)) % n).cast("int")
-    rows = books.select(
-        "shelf", "at", "id", h("", CLOTHS).alias("c"), h("#", CLOTHS - 1).alias("cs"), h("|", len(WIDTHS)).alias("w"), h("w#", len(WIDTHS) - 1).alias("ws"),
-        h("=", TILTS).alias("t"), h("t#", TILTS - 1).alias("ts"), h("~", 11).alias("scale"), h("", 40).alias("delay"),
-    )
+    kind = {f.name: f.dataType.simpleString() for f in books.schema.fields}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["c", "cs", "w", "ws", "t", "ts", "scale", "delay"]
+        for batch in batches:
+            h = fnv32_marked(batch["title"].to_pylist(), MARKS)
+            columns = [pa.array((h[i] % n).astype(np.int32)) for i, n in HASHED]
+            yield pa.record_batch([batch["shelf"], batch["at"], batch["id"], *columns], ["shelf", "at", "id", *names])
+
+    rows = books.select("shelf", "at", "id", F.coalesce("title", F.lit("")).alias("title")).mapInArrow(hashed, f"shelf {kind['shelf']}, at {kind['at']}, id {kind['id']}, c int, cs int, w int, ws int, t int, ts int, scale int, delay int")
     order = ["at", "id", *HASHES]
     cut = in_pieces(rows, ["shelf"], order, pieces)
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
@@ -273,14 +280,17 @@ def spines(books: DataFrame, pieces: int | None = None) -> DataFrame:
         looks, held, maps = _Looks(), None, None
         for batch in batches:
             steps = looks.tables(_hashes(batch))
-            firsts = batch["nth"].to_numpy() == 1
-            for i in range(batch.num_rows):
-                if firsts[i]:
+            starts = np.flatnonzero(batch["nth"].to_numpy() == 1).tolist()
+            runs = sorted({0, *starts, batch.num_rows})
+            for lo, hi in zip(runs[:-1], runs[1:]):
+                run = [_composed(table[lo:hi]) for table in steps]
+                if lo in starts:
                     if held is not None:
                         yield _with_column(held, "map", maps)
-                    maps = [np.arange(size) for size in looks.sizes]
-                held = batch.slice(i, 1).select(["shelf", "next"])
-                maps = [table[i][m] for table, m in zip(steps, maps)]
+                    maps = run
+                else:
+                    maps = [after[m] for after, m in zip(run, maps)]
+                held = batch.slice(lo, 1).select(["shelf", "next"])
         if held is not None:
             yield _with_column(held, "map", maps)
 
@@ -301,16 +311,17 @@ def spines(books: DataFrame, pieces: int | None = None) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looks, state = _Looks(), None
+        cloth, width, tilt = looks.cloth.tolist(), looks.width.tolist(), looks.tilt.tolist()
         for batch in batches:
-            steps = looks.tables(_hashes(batch))
             firsts = np.flatnonzero(batch["nth"].to_numpy() == 1)
             starts = dict(zip(firsts.tolist(), batch["state"].take(pa.array(firsts)).to_pylist()))
-            shown = np.empty((batch.num_rows, 3), np.int32)
-            for i in range(batch.num_rows):
+            shown = []
+            for i, (c, cs, w, ws, t, ts) in enumerate(_hashes(batch).tolist()):
                 if i in starts:
                     state = starts[i] or looks.start
-                state = [table[i][x] for table, x in zip(steps, state)]
-                shown[i] = state
+                state = (cloth[c][cs][state[0]], width[w][ws][state[1]], tilt[t][ts][state[2]])
+                shown.append(state)
+            shown = np.array(shown, np.int32).reshape(-1, 3)
             shown[:, 0] %= CLOTHS + 1
             looked = [pa.array(shown[:, k]) for k in range(3)]
             yield pa.record_batch([batch["shelf"], batch["id"], *looked, batch["scale"], batch["delay"]], ["shelf", "id", "cloth", "w", "tilt", "scale", "delay"])
@@ -320,6 +331,15 @@ def spines(books: DataFrame, pieces: int | None = None) -> DataFrame:
     return made.select("shelf", "id", "cloth", width, (F.col("tilt") + 82).alias("tilt"), (F.lit(0.9) + F.col("scale") / 100).alias("scale"), (F.col("delay") / 10).alias("delay"))
 
 
+def _composed(maps: np.ndarray) -> np.ndarray:
+    """The map of a run of rows, each of which is a map of states: neighbours are composed until one is left."""
+    while len(maps) > 1:
+        pairs = len(maps) // 2
+        joined = np.take_along_axis(maps[1 : 2 * pairs : 2], maps[: 2 * pairs : 2], 1)
+        maps = np.concatenate((joined, maps[2 * pairs :]))
+    return maps[0]
+
+
 def _hashes(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch[c].to_numpy() for c in HASHES], 1)
 

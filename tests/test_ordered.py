@@ -3,6 +3,7 @@
 import random
 from bisect import bisect_right
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,21 @@ def test_a_shelf_in_many_pieces_looks_like_one_fold(spark):
         want |= plain_shelf([(r["at"], r.id, r.h) for r in hashed if r.shelf == shelf])
     assert got == want
     assert R.spines(books.limit(0)).count() == 0
+
+
+def test_titles_are_hashed_as_the_column_rule_does_and_runs_are_composed_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions import text as X
+
+    titles = ["", "a", "Café", "\U0001f600 x", "n" * 70, "Customer#000000001/BUILDING"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string")
+    want = rows.select("i", *(X.fnv32(F.concat(F.lit(m), "t")).alias(f"h{k}") for k, m in enumerate(R.MARKS))).orderBy("i").collect()
+    assert X.fnv32_marked(titles, R.MARKS).T.tolist() == [list(r)[1:] for r in want]
+    assert X.fnv32_marked([], R.MARKS).shape == (len(R.MARKS), 0)
+    maps = np.random.default_rng(1).integers(0, 9, (23, 9))
+    for n in (1, 2, 7, 23):
+        now = np.arange(9)
+        for m in maps[:n]:
+            now = m[now]
+        assert R._composed(maps[:n]).tolist() == now.tolist()
