@@ -35,6 +35,13 @@ def chunks(paras: DataFrame) -> DataFrame:
     return X.each(with_units, "doc_id", "para", value=X.chunks(F.col("u")), names=("n", "c")).select("doc_id", "para", "n", "c.*")
 
 
+def chunk_lists(paras: DataFrame) -> DataFrame:
+    """(doc_id, para, text, c): paragraphs with the array of their chunks (s0, s1, text)."""
+    keep = ("doc_id", "para", "text")
+    found = X.settled(paras, *keep, value=X.sentences(F.col("text")), name="s")
+    return X.settled(X.settled(found, *keep, value=X.units(F.col("s")), name="u"), *keep, value=X.chunks(F.col("u")), name="c")
+
+
 def plan(paras: DataFrame) -> DataFrame:
     """chunks with idx, the chunk's number in its document; the only shuffle is by document. Paragraphs marked no_tts, if paras has that column, are left out."""
     order = Window.partitionBy("doc_id").orderBy("para", "n")

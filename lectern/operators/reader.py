@@ -74,6 +74,11 @@ def timed_tokens(tokens: DataFrame, words: DataFrame, by: list[str]) -> DataFram
     return tokens.withColumn("_k", place("ti")).join(words.withColumn("_k", place("chunk", "w")).drop("w", "chunk"), [*by, "_k"], "left").drop("_k")
 
 
+def timed_in_place(tokens: Column, words: Column) -> Column:
+    """timed_tokens where a row holds its paragraph's tokens and words (word, s) as arrays in their order: an array of (token, word, s), without a shuffle."""
+    return F.transform(tokens, lambda token, i: F.struct(token.alias("token"), F.get(words, i)["word"].alias("word"), F.get(words, i)["s"].alias("s")))
+
+
 def section_of_page(pages: DataFrame, bounds: DataFrame) -> DataFrame:
     """pages (book, page) with the section that owns them: the last that starts on the page or before, else the first."""
     return intervals.as_of(pages, bounds, ["book"], "page", "first_page", ["section"], "section", or_first=True)

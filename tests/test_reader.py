@@ -127,3 +127,13 @@ def test_only_paragraphs_of_hits_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(plans.P, "chunks", lambda paras: seen.append(paras.count()) or whole(paras))
     rows = plans.hit_chunks(spark, d).collect()
     assert rows and seen[0] <= len({(r.sec, r.para) for r in rows})
+
+
+def test_tokens_are_timed_within_their_row(spark):
+    from lectern.plans import reader_plans as plans
+
+    rows = spark.createDataFrame([(["a", "b", "c"], [("a", 0), ("x", 350)]), ([], [("a", 0)])], "t array<string>, w array<struct<word:string,s:long>>")
+    got = [[tuple(x) for x in r.z] for r in rows.select(R.timed_in_place(F.col("t"), F.col("w")).alias("z")).collect()]
+    assert got == [[("a", "a", 0), ("b", "x", 350), ("c", None, None)], []]
+    plan = plans.token_times(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
