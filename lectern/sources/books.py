@@ -27,6 +27,9 @@ WORD = "struct<w:int,s:long,e:long>"
 CHUNK = f"struct<idx:int,para:int,sentence_range:array<int>,text:string,global_start_ms:long,duration_ms:long,status:string,words:array<{WORD}>>"
 MANIFEST = f"rule_version int, planner string, alignment string, sections array<struct<idx:int,title:string,status:string,tts:boolean,duration_ms:long,partial_ms:long,chunks:array<{CHUNK}>>>"
 
+#: Characters of documents that a task holds before it hands them on.
+MOST_HELD = 1 << 21
+
 
 # -- files ------------------------------------------------------------------------------
 
@@ -83,18 +86,30 @@ def epub_documents(files: DataFrame) -> DataFrame:
 
     A file that can't be read is one row with its error; a document that the archive lacks has null html.
     """
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"path": pa.string(), "title": pa.string(), "author": pa.string(), "ordinal": pa.int32(), "html": pa.string(), "error": pa.string()}
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            rows, held_chars = [], 0
+            for path, content in zip(batch["path"].to_pylist(), batch["content"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
                         package, held = Package(z), set(z.namelist())
-                        rows = [(path, package.title, package.author, i, z.read(h).decode("utf-8", "replace") if h in held else None, None) for i, h in enumerate(package.spine, 1)]
+                        found = [(path, package.title, package.author, i, z.read(h).decode("utf-8", "replace") if h in held else None, None) for i, h in enumerate(package.spine, 1)]
                 except Exception as e:  # whatever a broken archive raises
-                    rows = [(path, None, None, None, None, str(e) or type(e).__name__)]
-                yield pd.DataFrame(rows, columns=["path", "title", "author", "ordinal", "html", "error"]).astype({"ordinal": "Int32"})
+                    found = [(path, None, None, None, None, str(e) or type(e).__name__)]
+                rows += found
+                held_chars += sum(len(r[4] or "") for r in found)
+                if held_chars >= MOST_HELD:
+                    yield made(rows)
+                    rows, held_chars = [], 0
+            if rows:
+                yield made(rows)
 
-    return files.select("path", "content").mapInPandas(read, "path string, title string, author string, ordinal int, html string, error string")
+    return files.select("path", "content").mapInArrow(read, "path string, title string, author string, ordinal int, html string, error string")
 
 
 def paragraphs_html(lines: Column) -> Column:
@@ -182,7 +197,8 @@ def blocks(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*keys.columns, *columns], [*key, "at", "kind", "anchor", "text"])
 
     raw = pages.select(*key, html).mapInArrow(parse, f"{schema}, at int, kind string, anchor string, text string")
-    clean = raw.withColumn("text", F.btrim(X.normalized(F.col("text")), F.lit(" \t\n\r\f\x0b")))
+    whole = raw.withColumn("text", X.composed(F.coalesce("text", F.lit(""))))
+    clean = X.settled(whole, *key, "at", "kind", "anchor", value=F.btrim(X.reduced(F.col("text")), F.lit(" \t\n\r\f\x0b")), name="text")
     return clean.where((F.col("text") != "") & ((F.col("kind") == "title") | F.col("text").rlike(r"[\p{L}\p{N}]")))
 
 

@@ -101,3 +101,10 @@ def test_written_books_are_read_back(spark, tmp_path):
     assert read == [("a.epub", "T & <t>", "Au", 1, rows[0][3][0]), ("a.epub", "T & <t>", "Au", 2, None), ("c.epub", "only", None, 1, "<p>x</p>")]
     lines = spark.createDataFrame([(["a < b", "c & d > e"],)], "lines array<string>").select(B.paragraphs_html(F.col("lines"))).first()[0]
     assert [t for _, _, t in blocks_of(lines)] == ["a < b", "c & d > e"]
+
+
+def test_texts_of_blocks_are_normalised_once(spark):
+    pages = spark.createDataFrame([(1, "<p>a b</p><p> </p>")], "page_id int, html string")
+    found = B.blocks(pages, ["page_id"])
+    assert [(r.page_id, r.text) for r in found.collect()] == [(1, "a b")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
