@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain as chain_of
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.anchors import anchors, gram_hashes
-from lectern.llm.common import group_starts, passing, small_batches, sorted_groups, stored
+from lectern.llm.common import group_starts, passing, small_batches, sorted_groups, split_groups, stored
 from lectern.llm.order_minhash import aligned_length
 from lectern.llm.words import M1, mix, word_hashes, word_spans
 
@@ -20,8 +21,12 @@ from lectern.llm.words import M1, mix, word_hashes, word_spans
 SEED, EACH = 4, 4
 #: Words of a long seed (a power of two); every run of LONG + LONG_SPREAD - 1 words has one. Few places share a long seed, however frequent its lines are.
 LONG, LONG_SPREAD = 32, 19
-#: Places before it in the seed's list that a place is matched with besides the first one: of a seed, of a long seed.
+#: Places before it in the seed's list that a place is matched with at first besides the first one: of a seed, of a long seed. Places of longer lists that no passage covers then are compared with all others.
 BEFORE, LONG_BEFORE = 1, 4
+#: Words on each side of a place that are compared, and pairs of neighbouring words that two places of one passage of 50 words share there: 40 aligned words in 21 runs at most.
+AROUND, SHARED = 50, 19
+#: Places of one seed that are compared at once with as many others; places that a pair of words leads to one by one; classes that pairs of words of more places are counted in.
+BLOCK, FEW, CLASSES = 8192, 16, 512
 #: Places of one seed within a batch that are listed together; a seed with more is listed in pieces.
 PIECE = 64
 #: Matches that a chain has at least; a long seed counts as that many.
@@ -200,11 +205,11 @@ def _sown(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(texts), np.concatenate(places)
 
 
-def _in_pieces(h: np.ndarray, rank: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, row numbers): rows of seeds, where a seed with more than PIECE places is dealt into pieces of so many.
+def _in_pieces(h: np.ndarray, rank: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, row numbers, seeds): rows of seeds, where a seed with more than PIECE places is dealt into pieces of so many.
 
     A piece has a hash of its own. Its first place, the one of least rank, is
-    also listed under the seed itself, so the seed's list ties the pieces together.
+    also listed under the seed itself, so the seed's list ties the pieces together; there bit 1 of the seed tells that it has pieces.
     """
     order = np.lexsort((rank, h))
     same = h[order]
@@ -215,7 +220,85 @@ def _in_pieces(h: np.ndarray, rank: np.ndarray, salt: int) -> tuple[np.ndarray,
     piece = (nth // PIECE).astype(np.uint64)
     own = mix(same ^ mix(piece + np.array([salt], np.uint64) * M1)) & ~np.uint64(3) | same & np.uint64(3)
     again = many & (nth % PIECE == 0)
-    return np.concatenate((np.where(many, own, same), same[again])), np.concatenate((order, order[again]))
+    return np.concatenate((np.where(many, own, same), same[again])), np.concatenate((order, order[again])), np.concatenate((same, same[again] | np.uint64(2)))
+
+
+def _contexts(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (32 bits) of the pairs of neighbouring words around places, and how many each place has."""
+    lo, hi = np.maximum(places - AROUND, 0), np.minimum(places + SEED + AROUND, len(words)) - 1
+    counts = hi - lo
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - lo, counts)
+    return ((words[at] * M1 ^ words[at + 1]) * M1 >> np.uint64(32)).astype(np.uint32), counts
+
+
+def _since(words: np.ndarray, places: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """For each of ascending places a hash of the words from the usable place before it up to it, 0 where that is more than AROUND words off."""
+    out = np.zeros(len(places), np.uint64)
+    last = np.maximum.accumulate(np.where(usable, places, -1))
+    # Of several rows of one place none is before another.
+    first = np.searchsorted(places, places)
+    before = np.where(first > 0, last[first - 1], -1)
+    near = np.flatnonzero((before >= 0) & (places - before <= AROUND))
+    if len(near):
+        lengths = places[near] - before[near]
+        starts = np.cumsum(lengths) - lengths
+        within = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+        values = mix(words[np.repeat(before[near], lengths) + within] + (within.astype(np.uint64) + np.uint64(1)) * M1)
+        out[near] = mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64)) | np.uint64(1)
+    return out.view(np.int64)
+
+
+def _alike(values: np.ndarray, counts: np.ndarray, least: int = SHARED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j: all pairs of bags that share ``least`` values or more, and some that share fewer; a bag has ``counts`` of the values (32 bits).
+
+    A value that few bags hold is counted pair by pair. Of the others a pair
+    shares no more than either bag holds, nor more than their counts by class allow, so no pair is missed.
+    """
+    n = len(counts)
+    key = np.sort(values.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(n, dtype=np.uint64), counts))
+    place = np.arange(len(key))
+    nth = place - np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), place, 0))
+    if nth.any():  # the second of equal values in a bag is another value
+        other = mix((key >> np.uint64(32)) + nth.astype(np.uint64) * M1) >> np.uint64(32)
+        key = np.sort(np.where(nth > 0, other << np.uint64(32) | key & np.uint64(0xFFFFFFFF), key))
+    value, bag = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    held = np.diff(np.append(starts, len(value)))
+    of_many = np.repeat(held > FEW, held)
+    many = np.bincount(bag[of_many], minlength=n)
+    single = np.repeat((held > 1) & (held <= FEW), held)
+    v, b = value[single], bag[single]
+    i, pairs = np.arange(len(v)), []
+    for step in range(1, FEW):
+        i = i[i + step < len(v)]
+        i = i[v[i] == v[i + step]]
+        if not len(i):
+            break
+        pairs.append(np.minimum(b[i], b[i + step]) * n + np.maximum(b[i], b[i + step]))
+    found, shared = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
+    one, two = found // n, found % n
+    enough = (one != two) & (shared + np.minimum(many[one], many[two]) >= least)
+    # Where both bags hold enough of the values of many, all pairs are counted by class below.
+    full = many >= least
+    sparse = enough & ~(full[one] & full[two])
+    yield one[sparse], two[sparse]
+    rows = np.flatnonzero(full)
+    if len(rows) < 2:
+        return
+    slot = np.cumsum(full) - 1
+    of_many &= full[bag]
+    classes = (mix(value[of_many]) % np.uint64(CLASSES)).astype(np.int64)
+    grid = np.bincount(slot[bag[of_many]] * CLASSES + classes, minlength=len(rows) * CLASSES).astype(np.float32).reshape(len(rows), CLASSES)
+    dense = (one != two) & full[one] & full[two]
+    one, two, shared = slot[one[dense]], slot[two[dense]], shared[dense]
+    for lo in range(0, len(rows), 256):
+        hi = min(lo + 256, len(rows))
+        most = grid[lo:hi] @ grid[lo:].T
+        own = slice(*np.searchsorted(one, (lo, hi)))
+        most[one[own] - lo, two[own] - lo] += shared[own]
+        i, j = np.nonzero(most > least - 0.5)
+        later = j > i
+        yield rows[i[later] + lo], rows[j[later] + lo]
 
 
 def find_passages(docs: DataFrame, least_words: int = LEAST_WORDS, like: float = LIKE) -> DataFrame:
@@ -225,8 +308,9 @@ def find_passages(docs: DataFrame, least_words: int = LEAST_WORDS, like: float =
     words and of LONG words. Every place of a seed is matched with the seed's
     first place, the one of least (id, place), and with a few places before it
     in that order. A seed that is frequent in a batch of texts is listed in
-    pieces, whose first places stand for them in the seed's own list. So matches
-    grow with the places, never with pairs of places, and no task gets all places of a hot seed.
+    pieces, whose first places stand for them in the seed's own list, so no task gets all places of a hot seed.
+    Where that isn't all pairs of a list, each place that no passage covers
+    afterwards is compared with all earlier ones (see _compared), so none is left out.
     """
     small_batches(docs.sparkSession)
     texts = docs.select("id", "text").where(F.octet_length("text") >= 2 * least_words - 1)
@@ -246,22 +330,39 @@ def find_passages(docs: DataFrame, least_words: int = LEAST_WORDS, like: float =
                 h, number, places = _sown(words)
                 own_ids = np.array(ids)[number]
                 rank = np.lexsort((places, own_ids)).argsort()
-                h, rows = _in_pieces(h, rank, ids[0] & 0xFFFFFFFF)
-                columns = (h.view(np.int64), own_ids[rows], places[rows].astype(np.int32))
-                yield from pa.table([pa.array(c) for c in columns], ["h", "id", "place"]).to_batches(100_000)
+                h, rows, seeds = _in_pieces(h, rank, ids[0] & 0xFFFFFFFF)
+                columns = (h.view(np.int64), own_ids[rows], places[rows].astype(np.int32), seeds.view(np.int64))
+                yield from pa.table([pa.array(c) for c in columns], ["h", "id", "place", "seed"]).to_batches(100_000)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Matches of each place of a seed's list (sorted by h, id, place) with the first place and with those just before it; a list need not be held at once."""
+        """Matches of each place of a seed's list (sorted by h, id, place) with the first place and with those just before it; a list need not be held at once.
+
+        Places of lists that aren't matched in full this way are also given by themselves, with their seed; ``long`` is then 1 for those that may not have met all before them.
+        """
         first = None  # (id, place) of the first place of the list that goes on
-        tail = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # last places of that list
-        for batch in batches:
-            if not batch.num_rows:
+        kinds = [np.int64, np.int64, np.int32, np.int64]
+        tail = [np.zeros(0, k) for k in kinds]  # last places of that list, which has more than are matched in full
+        held = [np.zeros(0, k) for k in kinds]  # a short list that may go on
+        for batch in chain_of(batches, (None,)):
+            if batch is not None and not batch.num_rows:
                 continue
             known = len(tail[0])
-            h, ids, places = (np.concatenate((t, batch[c].to_numpy())) for t, c in zip(tail, ("h", "id", "place")))
+            new = [np.zeros(0, k) for k in kinds] if batch is None else [batch[c].to_numpy() for c in ("h", "id", "place", "seed")]
+            h, ids, places, seeds = (np.concatenate(c) for c in zip(tail, held, new))
+            if len(h) == known:
+                continue
             # Copies in several tasks sow equal rows.
             fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])))
-            h, ids, places = h[fresh], ids[fresh], places[fresh]
+            h, ids, places, seeds = h[fresh], ids[fresh], places[fresh], seeds[fresh]
+            held = [c[len(h) :] for c in (h, ids, places, seeds)]
+            goes_on = known > 0 and h[-1] == tail[0][0]
+            if batch is not None and not goes_on and (short := int((h == h[-1]).sum())) <= LONG_BEFORE + 2:
+                held = [c[len(h) - short :] for c in (h, ids, places, seeds)]
+                h, ids, places, seeds = (c[: len(h) - short] for c in (h, ids, places, seeds))
+            if len(h) <= known:
+                if len(h) and len(held[0]):
+                    tail = [c[:0] for c in tail]
+                continue
             new = np.concatenate(([True], h[1:] != h[:-1]))
             starts = np.flatnonzero(new)
             group = np.cumsum(new) - 1
@@ -277,29 +378,116 @@ def find_passages(docs: DataFrame, least_words: int = LEAST_WORDS, like: float =
                 i = np.flatnonzero(own[step:] & (h[step:] == h[:-step]) & (long[step:] | (step <= BEFORE))) + step
                 i = i[(ids[i - step] != of[i]) | (places[i - step] != of_place[i])]
                 out.append((ids[i], ids[i - step], places[i], places[i - step], long[i]))
+            matched = np.where(long[starts], LONG_BEFORE, BEFORE) + 2
+            parted = np.bitwise_or.reduceat(seeds ^ h, starts) != 0  # a piece, or a seed with pieces
+            parted[0] |= known > 0
+            rest = np.flatnonzero(own & (parted | (np.bincount(group) > matched))[group])
+            late = (parted[group] | (np.arange(len(h)) - starts[group] >= matched[group]))[rest].astype(np.int32)
             last = np.flatnonzero(h == h[-1])[-LONG_BEFORE:]
-            first, tail = (of[-1], of_place[-1]), [h[last], ids[last], places[last]]
-            columns = [np.concatenate(c) for c in zip(*out)]
+            if len(held[0]) or batch is None:
+                last = last[:0]
+            first, tail = (of[-1], of_place[-1]), [h[last], ids[last], places[last], seeds[last]]
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out)]
             if len(columns[0]):
-                yield from pa.table([pa.array(c) for c in columns], ["id", "of", "place", "of_place", "long"]).to_batches(50_000)
-
-    sown = texts.mapInArrow(sow, "h long, id long, place int").repartition("h").sortWithinPartitions("h", "id", "place")
-    spans = _aligned(texts, sown.mapInArrow(match, "id long, of long, place int, of_place int, long boolean"), least_words, like)
+                yield from pa.table([*columns[:4], columns[4].cast(pa.int32()), pa.nulls(len(columns[0]), pa.int64())], names).to_batches(50_000)
+            if len(rest):
+                none = pa.nulls(len(rest), pa.int64())
+                columns = [pa.array(ids[rest]), none, pa.array(places[rest]), none.cast(pa.int32()), pa.array(late), pa.array(seeds[rest] & ~2)]
+                yield from pa.table(columns, names).to_batches(50_000)
+
+    names = ["id", "of", "place", "of_place", "long", "seed"]
+    sown = texts.mapInArrow(sow, "h long, id long, place int, seed long").repartition("h").sortWithinPartitions("h", "id", "place", F.desc("seed"))
+    matched = stored(sown.mapInArrow(match, "id long, of long, place int, of_place int, long int, seed long"))
+    links = matched.where("seed IS NULL").drop("seed")
+    packed = stored(_packed(texts))
+    spans = stored(_aligned(packed, links, least_words, like))
+    rest = _compared(packed, matched.where("seed IS NOT NULL").select("seed", "id", "place", (F.col("long") == 1).alias("late")), spans)
+    rest = stored(rest)
+    # Whatever else the two texts share goes into the same chains.
+    again = links.join(rest.select("id", "of").distinct(), ["id", "of"], "left_semi")
+    spans = spans.union(_aligned(packed, rest.union(again.select(rest.columns)), least_words, like))
     before = Window.partitionBy("id").orderBy("start", F.desc("end"), "of", "of_start").rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("_reach", F.max("end").over(before)).where("_reach IS NULL OR end > _reach").drop("_reach")
 
 
-def _aligned(texts: DataFrame, links: DataFrame, least_words: int, like: float) -> DataFrame:
-    """Passages, as find_passages returns them, of matches (id, of, place, of_place, long); some lie within others."""
+def _packed(texts: DataFrame) -> DataFrame:
+    """(id, z): each text once, compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = [i for i, t in enumerate(batch["id"].to_pylist()) if not (t in seen or seen.add(t))]
+            some = batch.take(pa.array(fresh, pa.int64()))
+            yield pa.record_batch([some["id"], pa.array([squeeze.compress(t.as_buffer()) for t in some["text"]], pa.binary())], ["id", "z"])
+
+    return texts.mapInArrow(pack, "id long, z binary").groupBy("id").agg(F.first("z").alias("z"))
+
+
+def _compared(packed: DataFrame, places: DataFrame, spans: DataFrame) -> DataFrame:
+    """Matches (id, of, place, of_place, long) of late places (seed, id, place, late) that no passage covers with all earlier places of their seed whose surroundings may be alike.
+
+    Places are compared in blocks of BLOCK by BLOCK, by the pairs of words
+    around them. Where equal words lead up to both from an equal seed before them, the two are compared there.
+    """
+    covered = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + SEED <= s["end"])), F.lit(False))
+    known = stored(places.distinct().join(covered, "id", "left").select("seed", "id", "place", (F.col("late") & ~inside).alias("open")))
+    lists = known.groupBy("seed").agg(F.max("open").alias("open")).where("open").select("seed")
+    wanted = known.join(lists, "seed", "left_semi").withColumn("row", F.xxhash64("id", "place"))
+    columns = ["place", "seed", "open", "bi", "bj", "side"]
+    # Dealt into blocks before their surroundings are cut, which so are shuffled once.
+    wanted = split_groups(wanted, "seed", "row", BLOCK).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("at"))
+
+    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for t, z, at in zip(batch["id"].to_pylist(), batch["z"], batch["at"]):
+                words = words_of(expand.decompress(z.as_buffer()))
+                place, seed, open_, bi, bj, side = (at.values.field(c).to_numpy(zero_copy_only=False) for c in columns)
+                since = _since(words, place.astype(np.int64), (seed & 3 == 0) & open_)
+                for lo in range(0, len(place), 2000):
+                    some = slice(lo, lo + 2000)
+                    values, counts = _contexts(words, place[some].astype(np.int64))
+                    grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.view(np.int32)))
+                    cut = [pa.array(c[some]) for c in (seed, bi, bj, side, place, open_, since)]
+                    yield pa.record_batch([*cut, pa.array(np.full(len(counts), t)), grams], ["seed", "bi", "bj", "side", "place", "open", "since", "id", "grams"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, ["seed", "bi", "bj"], 20_000):
+            starts = np.append(group_starts(table, ["seed", "bi", "bj"]), table.num_rows)
+            ids, places, since, bi, bj, side, open_ = (table[c].to_numpy() for c in ("id", "place", "since", "bi", "bj", "side", "open"))
+            grams = table["grams"].combine_chunks()
+            edges, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint32)
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if hi - lo < 2 or not open_[lo:hi].any() or (since[lo] and (since[lo:hi] == since[lo]).all()):
+                    continue
+                for i, j in _alike(values[edges[lo] : edges[hi]], np.diff(edges[lo : hi + 1])):
+                    i, j = i + lo, j + lo
+                    swap = (ids[i] < ids[j]) | (ids[i] == ids[j]) & (places[i] < places[j])
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    kept = open_[i] & ((since[i] == 0) | (since[i] != since[j])) & ((bi[i] == bj[i]) | (side[i] != side[j]))
+                    i, j = i[kept], j[kept]
+                    if len(i):
+                        columns = [pa.array(c) for c in (ids[i], ids[j], places[i], places[j], np.full(len(i), 2, np.int32))]
+                        yield from pa.table(columns, ["id", "of", "place", "of_place", "long"]).to_batches(50_000)
+
+    rows = wanted.join(packed, "id").select("id", "z", "at").mapInArrow(surround, "seed long, bi int, bj int, side int, place int, open boolean, since long, id long, grams array<int>")
+    rows = rows.repartition("seed", "bi", "bj").sortWithinPartitions("seed", "bi", "bj")
+    return rows.mapInArrow(compare, "id long, of long, place int, of_place int, long int")
+
+
+def _aligned(packed: DataFrame, links: DataFrame, least_words: int, like: float) -> DataFrame:
+    """Passages, as find_passages returns them, of matches (id, of, place, of_place, long: 1 for long seeds, 2 for places that were compared); some lie within others."""
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, ["id", "of"], 20_000):
             starts = np.append(group_starts(table, ["id", "of"]), table.num_rows)
             ids, ofs, xs, ys, long = (table[c].to_numpy() for c in ("id", "of", "place", "of_place", "long"))
             group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            counted = np.where(long, SUPPORT, 1)
+            counted = np.where(long > 0, SUPPORT, 1)
             enough = (np.bincount(group, counted) >= SUPPORT)[group]
-            ids, ofs, xs, ys, group, counted, long = (c[enough] for c in (ids, ofs, xs, ys, group, counted, long.astype(np.int64)))
+            ids, ofs, xs, ys, group, counted, long = (c[enough] for c in (ids, ofs, xs, ys, group, counted, (long == 1).astype(np.int64)))
             if not len(ids):
                 continue
             apart = xs.astype(np.int64) - ys
@@ -352,16 +540,6 @@ def _aligned(texts: DataFrame, links: DataFrame, least_words: int, like: float)
     blocks = asked.groupBy("text_id").agg(F.ceil(F.count(F.lit(1)) / SLICES).cast("int").alias("_blocks"))
     asked = asked.join(blocks, "text_id").groupBy("text_id", F.pmod(F.xxhash64("chain", "side"), F.col("_blocks")).alias("_block")).agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("slices"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        seen: set[int] = set()
-        for batch in batches:
-            fresh = [i for i, t in enumerate(batch["id"].to_pylist()) if not (t in seen or seen.add(t))]
-            some = batch.take(pa.array(fresh, pa.int64()))
-            yield pa.record_batch([some["id"], pa.array([squeeze.compress(t.as_buffer()) for t in some["text"]], pa.binary())], ["id", "z"])
-
-    packed = texts.mapInArrow(pack, "id long, z binary").groupBy("id").agg(F.first("z").alias("z"))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:

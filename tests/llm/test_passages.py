@@ -208,3 +208,32 @@ def test_ids_tell_texts_apart_that_share_bits(spark):
         ids.setdefault(r.text or "", set()).add(r.id)
     assert all(len(v) == 1 for v in ids.values()) and len(set.union(*ids.values())) == 601
     assert any(r.id < 0 for r in rows)
+
+
+def test_passages_whose_seeds_all_lead_elsewhere(spark):
+    """Pairs of frequent lines with one word between them that differs: no long seed, and each line's first place and the one before are other texts."""
+    rng = random.Random(17)
+    new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [new(26) for _ in range(12)]
+    texts = {i: new(60) + lines[i % 12] + new(60) for i in range(12 * 80)}
+    for k in range(6):
+        for i in (1000 + 2 * k, 1001 + 2 * k):
+            texts[i] = new(60) + lines[2 * k] + new(1) + lines[2 * k + 1] + new(60)
+    rows = P.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()
+    assert all(r.doc_id // 2 == r.match_doc_id // 2 and r.doc_id >= 1000 for r in rows)
+    assert len(rows) == 6 and all(r.aligned_words == 52 for r in rows)
+
+
+@pytest.mark.parametrize("vocabulary, shared", [(10**6, 30), (10**6, 12), (12, 0)])
+def test_alike_misses_no_pair(vocabulary, shared):
+    """Against all pairs: bags with a common line, with values that are said over and over, and of few values."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, vocabulary, shared)
+    bags = [np.concatenate((rng.integers(0, vocabulary, 60), common)) for _ in range(90)]
+    for k in range(0, 90, 9):
+        bags[k] = np.concatenate((bags[k][:20], bags[k + 1][20:]))
+    counted = [dict(zip(*np.unique(b, return_counts=True))) for b in bags]
+    truth = {(i, j) for i in range(90) for j in range(i + 1, 90) if sum(min(n, counted[j].get(v, 0)) for v, n in counted[i].items()) >= P.SHARED}
+    found = [(i, j) for a, b in P._alike(np.concatenate(bags).astype(np.uint32), np.array([len(b) for b in bags])) for i, j in zip(a.tolist(), b.tolist())]
+    assert len(found) == len(set(found)) and truth and truth <= set(found)
+    assert shared != 12 or set(found) == truth
