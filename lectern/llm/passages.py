@@ -8,12 +8,11 @@ from itertools import chain as chain_of
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.anchors import anchors, gram_hashes
-from lectern.llm.common import group_starts, passing, small_batches, sorted_groups, split_groups, stored
+from lectern.llm.common import group_starts, passing, small_batches, sorted_groups, stored
 from lectern.llm.order_minhash import aligned_length
 from lectern.llm.words import M1, mix, word_hashes, word_spans
 
@@ -27,6 +26,8 @@ BEFORE, LONG_BEFORE = 1, 4
 AROUND, SHARED = 50, 19
 #: Places of one seed that are compared at once with as many others; places that a pair of words leads to one by one; classes that pairs of words of more places are counted in.
 BLOCK, FEW, CLASSES = 8192, 16, 512
+#: Pairs of places that are aligned at once.
+ALIGNED = 8192
 #: Places of one seed within a batch that are listed together; a seed with more is listed in pieces.
 PIECE = 64
 #: Matches that a chain has at least; a long seed counts as that many.
@@ -50,8 +51,9 @@ MOST_CLASHES = 10_000
 
 
 def words_of(data: bytes | memoryview) -> np.ndarray:
+    """Hashes (32 bits, none of them 0) of a text's words."""
     array = np.frombuffer(data, np.uint8)
-    return word_hashes(array, *word_spans(array))
+    return np.maximum(word_hashes(array, *word_spans(array)).astype(np.uint32), 1)
 
 
 def chains(x: np.ndarray, y: np.ndarray, seed: int = SEED, most_gap: int = MOST_GAP, cost: float = GAP_COST) -> list[list[int]]:
@@ -223,12 +225,41 @@ def _in_pieces(h: np.ndarray, rank: np.ndarray, salt: int) -> tuple[np.ndarray,
     return np.concatenate((np.where(many, own, same), same[again])), np.concatenate((order, order[again])), np.concatenate((same, same[again] | np.uint64(2)))
 
 
-def _contexts(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits) of the pairs of neighbouring words around places, and how many each place has."""
-    lo, hi = np.maximum(places - AROUND, 0), np.minimum(places + SEED + AROUND, len(words)) - 1
-    counts = hi - lo
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - lo, counts)
-    return ((words[at] * M1 ^ words[at + 1]) * M1 >> np.uint64(32)).astype(np.uint32), counts
+def _windows(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The words around places and of their seeds, one row for each place; 0 beyond the text's ends."""
+    at = places[:, None] + np.arange(-AROUND, SEED + AROUND)
+    inside = (at >= 0) & (at < len(words))
+    return np.where(inside, words[np.where(inside, at, 0)], np.uint32(0))
+
+
+def _pairs_of_words(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (32 bits) of the pairs of neighbouring words of windows, and how many each window has."""
+    w = windows.astype(np.uint64)
+    there = (windows[:, :-1] > 0) & (windows[:, 1:] > 0)
+    return (((w[:, :-1] * M1 ^ w[:, 1:]) * M1 >> np.uint64(32)).astype(np.uint32))[there], there.sum(1)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of words a and b (64 at most) the longest common subsequence of b's row and the first k words of a's, k from 0; 0 matches nothing."""
+    rows, n = a.shape
+    out = np.zeros((rows, n + 1), np.int64)
+    equal = np.zeros((rows, 64), bool)
+    present = b > 0
+    left = np.full(rows, np.iinfo(np.uint64).max, np.uint64)  # a 0 for each word of b that ends a longer subsequence
+    for k in range(n):
+        equal[:, : b.shape[1]] = (b == a[:, k : k + 1]) & present
+        same = left & np.packbits(equal, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        left = (left + same) | (left - same)
+        out[:, k + 1] = np.bitwise_count(~left)
+    return out
+
+
+def _may_hold(a: np.ndarray, b: np.ndarray, least_words: int, aligned: int) -> np.ndarray:
+    """Whether ``least_words`` words of window a around its seed, or all that there are, may have ``aligned`` ones that stand in the same order in window b."""
+    most = max(0, min(least_words - SEED, AROUND))
+    before = _in_order(a[:, :AROUND][:, ::-1][:, :most], b[:, :AROUND][:, ::-1])
+    behind = _in_order(a[:, AROUND + SEED :][:, :most], b[:, AROUND + SEED :])
+    return (before + behind[:, ::-1]).max(1) + SEED >= aligned
 
 
 def _since(words: np.ndarray, places: np.ndarray, usable: np.ndarray) -> np.ndarray:
@@ -243,18 +274,19 @@ def _since(words: np.ndarray, places: np.ndarray, usable: np.ndarray) -> np.ndar
         lengths = places[near] - before[near]
         starts = np.cumsum(lengths) - lengths
         within = np.arange(lengths.sum()) - np.repeat(starts, lengths)
-        values = mix(words[np.repeat(before[near], lengths) + within] + (within.astype(np.uint64) + np.uint64(1)) * M1)
+        values = mix(words[np.repeat(before[near], lengths) + within].astype(np.uint64) + (within.astype(np.uint64) + np.uint64(1)) * M1)
         out[near] = mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64)) | np.uint64(1)
     return out.view(np.int64)
 
 
-def _alike(values: np.ndarray, counts: np.ndarray, least: int = SHARED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j), i < j: all pairs of bags that share ``least`` values or more, and some that share fewer; a bag has ``counts`` of the values (32 bits).
+def _alike(values: np.ndarray, counts: np.ndarray, least: int = SHARED, first: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j: all pairs of bags that share ``least`` values or more, and some that share fewer; a bag has ``counts`` of the values (32 bits). With ``first`` only pairs whose i is below it.
 
     A value that few bags hold is counted pair by pair. Of the others a pair
     shares no more than either bag holds, nor more than their counts by class allow, so no pair is missed.
     """
     n = len(counts)
+    first = n if first is None else first
     key = np.sort(values.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(n, dtype=np.uint64), counts))
     place = np.arange(len(key))
     nth = place - np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), place, 0))
@@ -277,7 +309,7 @@ def _alike(values: np.ndarray, counts: np.ndarray, least: int = SHARED) -> Itera
         pairs.append(np.minimum(b[i], b[i + step]) * n + np.maximum(b[i], b[i + step]))
     found, shared = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64),) * 2
     one, two = found // n, found % n
-    enough = (one != two) & (shared + np.minimum(many[one], many[two]) >= least)
+    enough = (one != two) & (one < first) & (shared + np.minimum(many[one], many[two]) >= least)
     # Where both bags hold enough of the values of many, all pairs are counted by class below.
     full = many >= least
     sparse = enough & ~(full[one] & full[two])
@@ -289,10 +321,11 @@ def _alike(values: np.ndarray, counts: np.ndarray, least: int = SHARED) -> Itera
     of_many &= full[bag]
     classes = (mix(value[of_many]) % np.uint64(CLASSES)).astype(np.int64)
     grid = np.bincount(slot[bag[of_many]] * CLASSES + classes, minlength=len(rows) * CLASSES).astype(np.float32).reshape(len(rows), CLASSES)
-    dense = (one != two) & full[one] & full[two]
+    dense = (one != two) & (one < first) & full[one] & full[two]
     one, two, shared = slot[one[dense]], slot[two[dense]], shared[dense]
-    for lo in range(0, len(rows), 256):
-        hi = min(lo + 256, len(rows))
+    asked = int(np.searchsorted(rows, first))
+    for lo in range(0, asked, 256):
+        hi = min(lo + 256, asked)
         most = grid[lo:hi] @ grid[lo:].T
         own = slice(*np.searchsorted(one, (lo, hi)))
         most[one[own] - lo, two[own] - lo] += shared[own]
@@ -313,24 +346,20 @@ def find_passages(docs: DataFrame, least_words: int = LEAST_WORDS, like: float =
     afterwards is compared with all earlier ones (see _compared), so none is left out.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select("id", "text").where(F.octet_length("text") >= 2 * least_words - 1)
+    return _found(stored(_hashed(docs.select("id", "text"), least_words)), least_words, like)
+
+
+def _found(hashed: DataFrame, least_words: int = LEAST_WORDS, like: float = LIKE) -> DataFrame:
+    """find_passages, of hashed words."""
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies of a text are sown once in each task
         for batch in batches:
-            ids, words = [], []
-            for t, text in zip(batch["id"].to_pylist(), batch["text"]):
-                if t not in seen:
-                    seen.add(t)
-                    own = words_of(text.as_buffer())
-                    if len(own) >= least_words:
-                        ids.append(t)
-                        words.append(own)
-            if ids:
-                h, number, places = _sown(words)
-                own_ids = np.array(ids)[number]
+            if batch.num_rows:
+                ids = batch["id"].to_numpy()
+                h, number, places = _sown([np.frombuffer(w.as_buffer(), np.uint32) for w in batch["w"]])
+                own_ids = ids[number]
                 rank = np.lexsort((places, own_ids)).argsort()
-                h, rows, seeds = _in_pieces(h, rank, ids[0] & 0xFFFFFFFF)
+                h, rows, seeds = _in_pieces(h, rank, int(ids[0]) & 0xFFFFFFFF)
                 columns = (h.view(np.int64), own_ids[rows], places[rows].astype(np.int32), seeds.view(np.int64))
                 yield from pa.table([pa.array(c) for c in columns], ["h", "id", "place", "seed"]).to_batches(100_000)
 
@@ -396,88 +425,141 @@ def find_passages(docs: DataFrame, least_words: int = LEAST_WORDS, like: float =
                 yield from pa.table(columns, names).to_batches(50_000)
 
     names = ["id", "of", "place", "of_place", "long", "seed"]
-    sown = texts.mapInArrow(sow, "h long, id long, place int, seed long").repartition("h").sortWithinPartitions("h", "id", "place", F.desc("seed"))
+    sown = hashed.mapInArrow(sow, "h long, id long, place int, seed long").repartition("h").sortWithinPartitions("h", "id", "place", F.desc("seed"))
     matched = stored(sown.mapInArrow(match, "id long, of long, place int, of_place int, long int, seed long"))
     links = matched.where("seed IS NULL").drop("seed")
-    packed = stored(_packed(texts))
-    spans = stored(_aligned(packed, links, least_words, like))
-    rest = _compared(packed, matched.where("seed IS NOT NULL").select("seed", "id", "place", (F.col("long") == 1).alias("late")), spans)
-    rest = stored(rest)
+    spans = stored(_aligned(hashed, links, least_words, like))
+    rest = stored(_compared(hashed, matched.where("seed IS NOT NULL").select("seed", "id", "place", (F.col("long") == 1).alias("late")), spans, least_words, like))
     # Whatever else the two texts share goes into the same chains.
     again = links.join(rest.select("id", "of").distinct(), ["id", "of"], "left_semi")
-    spans = spans.union(_aligned(packed, rest.union(again.select(rest.columns)), least_words, like))
+    spans = spans.union(_aligned(hashed, rest.union(again.select(rest.columns)), least_words, like))
     before = Window.partitionBy("id").orderBy("start", F.desc("end"), "of", "of_start").rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("_reach", F.max("end").over(before)).where("_reach IS NULL OR end > _reach").drop("_reach")
 
 
-def _packed(texts: DataFrame) -> DataFrame:
-    """(id, z): each text once, compressed."""
+def _hashed(texts: DataFrame, least_words: int) -> DataFrame:
+    """(id, n, w): how many words each text of ``least_words`` words or more has, and their hashes (see words_of); each id once."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            fresh = [i for i, t in enumerate(batch["id"].to_pylist()) if not (t in seen or seen.add(t))]
-            some = batch.take(pa.array(fresh, pa.int64()))
-            yield pa.record_batch([some["id"], pa.array([squeeze.compress(t.as_buffer()) for t in some["text"]], pa.binary())], ["id", "z"])
+            ids, words = [], []
+            for t, text in zip(batch["id"].to_pylist(), batch["text"]):
+                if t not in seen:
+                    seen.add(t)
+                    own = words_of(text.as_buffer())
+                    if len(own) >= least_words:
+                        ids.append(t)
+                        words.append(own.tobytes())
+            counts = [len(w) // 4 for w in words]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts, pa.int32()), pa.array(words, pa.binary())], ["id", "n", "w"])
 
-    return texts.mapInArrow(pack, "id long, z binary").groupBy("id").agg(F.first("z").alias("z"))
+    long = texts.where(F.octet_length("text") >= 2 * least_words - 1)
+    return long.mapInArrow(hashes, "id long, n int, w binary").groupBy("id").agg(F.first("n").alias("n"), F.first("w").alias("w"))
 
 
-def _compared(packed: DataFrame, places: DataFrame, spans: DataFrame) -> DataFrame:
-    """Matches (id, of, place, of_place, long) of late places (seed, id, place, late) that no passage covers with all earlier places of their seed whose surroundings may be alike.
+def _in_blocks(known: DataFrame) -> DataFrame:
+    """Places (seed, id, place, open) of seeds with an open place, dealt into pairs of blocks ``bi <= bj`` in which each open place meets all others of its seed once.
 
-    Places are compared in blocks of BLOCK by BLOCK, by the pairs of words
-    around them. Where equal words lead up to both from an equal seed before them, the two are compared there.
+    ``side`` tells of which of the two blocks a row is. Open places and others have blocks of their own, of about BLOCK
+    places. An open one is in as many pairs as its seed has blocks, another one in as many as its seed has blocks of open ones: once, where few are open.
+    """
+    sizes = known.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("o")).where("o > 0 AND n > 1")
+    blocks = sizes.select("seed", F.ceil(F.col("o") / BLOCK).cast("int").alias("_ob"), F.ceil((F.col("n") - F.col("o")) / BLOCK).cast("int").alias("_cb"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
+    dealt = F.xxhash64("id", "place")
+    dealt = known.withColumn("_salt", F.pmod(dealt, F.lit(16)).cast("int")).join(blocks, ["seed", "_salt"])
+    own = F.when(F.col("open"), F.pmod(F.xxhash64("place", "id"), F.col("_ob"))).otherwise(F.col("_ob") + F.pmod(F.xxhash64("place", "id"), F.greatest("_cb", F.lit(1)))).cast("int")
+    met = F.when(F.col("open"), F.col("_ob") + F.col("_cb")).otherwise(F.col("_ob"))
+    pairs = dealt.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), met - 1)))
+    return pairs.select("seed", "id", "place", "open", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), (F.col("_b") > F.col("_o")).cast("int").alias("side"))
+
+
+def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_words: int, like: float) -> DataFrame:
+    """Matches (id, of, place, of_place, long) of late places (seed, id, place, late) that no passage covers with all earlier places of their seed that may be of one passage with them.
+
+    Places are compared in pairs of blocks (see _in_blocks): by the pairs of
+    words around them, then by the words that stand there in the same order.
+    Where equal words lead up to both from an equal seed before them, the two are
+    compared there. Of places of one text with equal surroundings the first stands for those that aren't late.
     """
     covered = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + SEED <= s["end"])), F.lit(False))
-    known = stored(places.distinct().join(covered, "id", "left").select("seed", "id", "place", (F.col("late") & ~inside).alias("open")))
-    lists = known.groupBy("seed").agg(F.max("open").alias("open")).where("open").select("seed")
-    wanted = known.join(lists, "seed", "left_semi").withColumn("row", F.xxhash64("id", "place"))
+    known = stored(places.join(covered, "id", "left").select("seed", "id", "place", (F.col("late") & ~inside).alias("open")))
     columns = ["place", "seed", "open", "bi", "bj", "side"]
     # Dealt into blocks before their surroundings are cut, which so are shuffled once.
-    wanted = split_groups(wanted, "seed", "row", BLOCK).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("at"))
+    wanted = _in_blocks(known).groupBy("id").agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("at"))
+    aligned = int(np.ceil(like * least_words))
+    shared = max(1, aligned - 2 * (least_words - aligned) - 1)
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
+        width, pad = 2 * AROUND + SEED, np.zeros(AROUND + SEED, np.uint32)
+        odd = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
-            for t, z, at in zip(batch["id"].to_pylist(), batch["z"], batch["at"]):
-                words = words_of(expand.decompress(z.as_buffer()))
-                place, seed, open_, bi, bj, side = (at.values.field(c).to_numpy(zero_copy_only=False) for c in columns)
-                since = _since(words, place.astype(np.int64), (seed & 3 == 0) & open_)
-                for lo in range(0, len(place), 2000):
-                    some = slice(lo, lo + 2000)
-                    values, counts = _contexts(words, place[some].astype(np.int64))
-                    grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.view(np.int32)))
-                    cut = [pa.array(c[some]) for c in (seed, bi, bj, side, place, open_, since)]
-                    yield pa.record_batch([*cut, pa.array(np.full(len(counts), t)), grams], ["seed", "bi", "bj", "side", "place", "open", "since", "id", "grams"])
+            if not batch.num_rows:
+                continue
+            # Texts one behind the other, with more than AROUND zeros between them.
+            texts = [np.frombuffer(w.as_buffer(), np.uint32) for w in batch["w"]]
+            words = np.concatenate([pad, *(p for t in texts for p in (t, pad))])
+            begins = len(pad) + np.cumsum([0, *(len(t) + len(pad) for t in texts[:-1])])
+            number = np.repeat(np.arange(len(texts)), np.diff(batch["at"].offsets.to_numpy()))
+            given = batch["at"].flatten()
+            place, seed, open_, bi, bj, side = (given.field(c).to_numpy(zero_copy_only=False) for c in columns)
+            ids, at = batch["id"].to_numpy()[number], begins[number] + place
+            since = _since(words, at, (seed & 3 == 0) & open_)
+            around = np.lib.stride_tricks.sliding_window_view(words, width)
+            for lo in range(0, len(at), 8192):
+                some = np.arange(lo, min(lo + 8192, len(at)))
+                windows = around[at[some] - AROUND]
+                same = mix(mix((windows * odd).sum(1, dtype=np.uint64) + seed[some].view(np.uint64)) + number[some].astype(np.uint64) * M1 + bi[some].astype(np.uint64))
+                fresh = open_[some]
+                rest = np.flatnonzero(~fresh)
+                fresh[rest[np.unique(same[rest], return_index=True)[1]]] = True
+                some, windows = some[fresh], np.ascontiguousarray(windows[fresh])
+                cut = [pa.array(c[some]) for c in (seed, bi, bj, side, place, open_, since, ids)]
+                cut.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * width), len(some), [None, pa.py_buffer(windows)]).cast(pa.binary()))
+                yield pa.record_batch(cut, ["seed", "bi", "bj", "side", "place", "open", "since", "id", "around"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, ["seed", "bi", "bj"], 20_000):
             starts = np.append(group_starts(table, ["seed", "bi", "bj"]), table.num_rows)
             ids, places, since, bi, bj, side, open_ = (table[c].to_numpy() for c in ("id", "place", "since", "bi", "bj", "side", "open"))
-            grams = table["grams"].combine_chunks()
-            edges, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint32)
+            windows = np.frombuffer(b"".join(table["around"].to_pylist()), np.uint32).reshape(-1, 2 * AROUND + SEED)
+            values, counts = _pairs_of_words(windows)
+            edges = np.concatenate(([0], np.cumsum(counts)))
+            asked: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def those_alike() -> Iterator[pa.RecordBatch]:
+                i, j = (np.concatenate(c) for c in zip(*asked)) if asked else (np.zeros(0, np.int64),) * 2
+                asked.clear()
+                for at in range(0, len(i), ALIGNED):
+                    x, y = i[at : at + ALIGNED], j[at : at + ALIGNED]
+                    alike = _may_hold(windows[x], windows[y], least_words, aligned)
+                    x, y = x[alike], y[alike]
+                    yield pa.record_batch([pa.array(c) for c in (ids[x], ids[y], places[x], places[y], np.full(len(x), 2, np.int32))], ["id", "of", "place", "of_place", "long"])
+
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if hi - lo < 2 or not open_[lo:hi].any() or (since[lo] and (since[lo:hi] == since[lo]).all()):
+                first = int(open_[lo:hi].sum())  # open places are sorted before others
+                if hi - lo < 2 or not first or (since[lo] and (since[lo:hi] == since[lo]).all()):
                     continue
-                for i, j in _alike(values[edges[lo] : edges[hi]], np.diff(edges[lo : hi + 1])):
+                some = np.arange(hi - lo)
+                # Of a few places all pairs are aligned straight away.
+                few = (hi - lo) * first <= 4 * (hi - lo + 12)
+                for i, j in [np.nonzero((some[:first, None] < some))] if few else _alike(values[edges[lo] : edges[hi]], counts[lo:hi], shared, first):
                     i, j = i + lo, j + lo
                     swap = (ids[i] < ids[j]) | (ids[i] == ids[j]) & (places[i] < places[j])
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     kept = open_[i] & ((since[i] == 0) | (since[i] != since[j])) & ((bi[i] == bj[i]) | (side[i] != side[j]))
-                    i, j = i[kept], j[kept]
-                    if len(i):
-                        columns = [pa.array(c) for c in (ids[i], ids[j], places[i], places[j], np.full(len(i), 2, np.int32))]
-                        yield from pa.table(columns, ["id", "of", "place", "of_place", "long"]).to_batches(50_000)
+                    asked.append((i[kept], j[kept]))
+                    if sum(len(i) for i, _ in asked) >= ALIGNED:
+                        yield from those_alike()
+            yield from those_alike()
 
-    rows = wanted.join(packed, "id").select("id", "z", "at").mapInArrow(surround, "seed long, bi int, bj int, side int, place int, open boolean, since long, id long, grams array<int>")
-    rows = rows.repartition("seed", "bi", "bj").sortWithinPartitions("seed", "bi", "bj")
+    rows = wanted.join(hashed, "id").select("id", "w", "at").mapInArrow(surround, "seed long, bi int, bj int, side int, place int, open boolean, since long, id long, around binary")
+    rows = rows.repartition("seed", "bi", "bj").sortWithinPartitions("seed", "bi", "bj", F.desc("open"))
     return rows.mapInArrow(compare, "id long, of long, place int, of_place int, long int")
 
 
-def _aligned(packed: DataFrame, links: DataFrame, least_words: int, like: float) -> DataFrame:
+def _aligned(hashed: DataFrame, links: DataFrame, least_words: int, like: float) -> DataFrame:
     """Passages, as find_passages returns them, of matches (id, of, place, of_place, long: 1 for long seeds, 2 for places that were compared); some lie within others."""
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -541,18 +623,22 @@ def _aligned(packed: DataFrame, links: DataFrame, least_words: int, like: float)
     asked = asked.join(blocks, "text_id").groupBy("text_id", F.pmod(F.xxhash64("chain", "side"), F.col("_blocks")).alias("_block")).agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("slices"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for z, slices in zip(batch["z"], batch["slices"]):
-                words = words_of(expand.decompress(z.as_buffer())).astype(np.uint32)  # 32 bits of each word's hash: what is compared is already alike
-                chain, side, lo, hi = (slices.values.field(c).to_numpy() for c in ("chain", "side", "lo", "hi"))
-                for at in range(0, len(lo), 200):
-                    out = [words[a:b] for a, b in zip(lo[at : at + 200].tolist(), hi[at : at + 200].tolist())]
-                    offsets = np.concatenate(([0], np.cumsum([len(w) for w in out]))).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).view(np.int32)))
-                    yield pa.record_batch([pa.array(chain[at : at + 200]), pa.array(side[at : at + 200]), lists], ["chain", "side", "w"])
-
-    wanted = asked.join(packed.withColumnRenamed("id", "text_id"), "text_id").select("z", "slices")
+            if not batch.num_rows:
+                continue
+            given = batch["slices"].flatten()
+            edges = batch["slices"].offsets.to_numpy()
+            edges = (edges - edges[0]).tolist()
+            chain, side, lo, hi = (given.field(c).to_numpy() for c in ("chain", "side", "lo", "hi"))
+            texts = [np.frombuffer(w.as_buffer(), np.uint32) for w in batch["w"]]
+            number = np.repeat(np.arange(len(texts)), np.diff(edges)).tolist()
+            for at in range(0, len(lo), 2000):
+                out = [texts[t][a:b] for t, a, b in zip(number[at : at + 2000], lo[at : at + 2000].tolist(), hi[at : at + 2000].tolist())]
+                offsets = np.concatenate(([0], np.cumsum([len(w) for w in out]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).view(np.int32)))
+                yield pa.record_batch([pa.array(chain[at : at + 2000]), pa.array(side[at : at + 2000]), lists], ["chain", "side", "w"])
+
+    wanted = asked.join(hashed.withColumnRenamed("id", "text_id"), "text_id").select("w", "slices")
     slices = wanted.mapInArrow(cut, "chain long, side int, w array<int>")
     both = slices.groupBy("chain").agg(F.max(F.when(F.col("side") == 0, F.col("w"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("w"))).alias("b"))
     ready = chained.join(both, "chain").select("id", "of", "xs", "ys", "a", "b")
@@ -608,17 +694,18 @@ def with_text_ids(docs: DataFrame, name: str, digits: int = 15) -> DataFrame:
 
 
 def _repeats(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Passages of distinct texts (see find_passages), rows (id, doc_id, n, c) of equal text and doc_id, and the first one of each text.
+    """Passages of distinct texts (see find_passages), rows (id, doc_id, c) of equal text and doc_id, and the first one of each text.
 
     docs: id (with_text_ids), doc_id, text. A null doc_id is after all others. firsts:
-    id, first_id, copies (all rows of the text), c (those with first_id), n (words).
+    id, first_id, copies (all rows of the text), c (those with first_id), n (words; 0 of texts that are too short for a passage).
     """
-    found = stored(find_passages(docs.select("id", "text"), **options))
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = stored(docs.select("id", F.col("doc_id").cast("long").alias("doc_id"), words.alias("n")).groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")))
+    small_batches(docs.sparkSession)
+    hashed = stored(_hashed(docs.select("id", "text"), options.get("least_words", LEAST_WORDS)))
+    found = stored(_found(hashed, **options))
+    rows = stored(docs.select("id", F.col("doc_id").cast("long").alias("doc_id")).groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("c")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c")).alias("f")
-    firsts = rows.groupBy("id").agg(least, F.sum("c").alias("copies"), F.first("n").alias("n"))
-    return found, rows, firsts.select("id", F.col("f.doc_id").alias("first_id"), "copies", F.col("f.c").alias("c"), "n")
+    firsts = rows.groupBy("id").agg(least, F.sum("c").alias("copies")).join(hashed.select("id", "n"), "id", "left")
+    return found, rows, firsts.select("id", F.col("f.doc_id").alias("first_id"), "copies", F.col("f.c").alias("c"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def repeated_passages(docs: DataFrame, **options) -> DataFrame:
@@ -637,7 +724,7 @@ def repeated_passages(docs: DataFrame, **options) -> DataFrame:
     spans = found.join(firsts.select("id", F.col("first_id").alias("doc_id")), "id").join(firsts.select(F.col("id").alias("of"), F.col("first_id").alias("match_doc_id")), "of")
     passages = spans.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "match_doc_id", F.col("of_start").alias("match_start"), F.col("of_end").alias("match_end"), F.col("words").alias("aligned_words"))
     least = options.get("least_words", LEAST_WORDS)
-    many = firsts.where((F.col("copies") > 1) & (F.col("n") >= least)).select("id", "first_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s"))
+    many = firsts.where((F.col("copies") > 1) & (F.col("n") >= least)).select("id", "first_id", "n", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s"))
     copies = rows.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")).join(many, ["id", "_s"])
     # All rows of a text but one repeat it.
     times = F.col("c") - F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.lit(1)).otherwise(F.lit(0))

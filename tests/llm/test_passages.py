@@ -237,3 +237,46 @@ def test_alike_misses_no_pair(vocabulary, shared):
     found = [(i, j) for a, b in P._alike(np.concatenate(bags).astype(np.uint32), np.array([len(b) for b in bags])) for i, j in zip(a.tolist(), b.tolist())]
     assert len(found) == len(set(found)) and truth and truth <= set(found)
     assert shared != 12 or set(found) == truth
+
+
+def test_open_places_meet_all_others_once_and_others_are_not_copied(spark, monkeypatch):
+    """Rows grow with places, and with open places by the blocks of their seed: one open place among many others doesn't make copies of those."""
+    monkeypatch.setattr(P, "BLOCK", 50)
+    given = [(1, i, 0, i < 3) for i in range(1003)] + [(2, i, 5, i < 300) for i in range(400)] + [(3, i, 1, False) for i in range(200)]
+    rows = P._in_blocks(spark.createDataFrame(given, "seed long, id long, place int, open boolean")).collect()
+    assert sum(r.seed == 1 for r in rows) == 1000 + 3 * 21 and not any(r.seed == 3 for r in rows)
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.seed, r.bi, r.bj), []).append(r)
+    met = [(a.seed, *sorted((a.id, b.id))) for (_, bi, bj), g in groups.items() for a in g for b in g if a.id != b.id and a.open and (a.id < b.id or not b.open) and (bi == bj or a.side != b.side)]
+    wanted = {(s, *sorted((a, b))) for s, a, _, o in given if o for t, b, _, _ in given if s == t and a != b}
+    assert len(met) == len(set(met)) and set(met) == wanted
+
+
+def test_bounds_of_aligned_words_miss_nothing():
+    """Against the longest common subsequence, word by word; windows that a text's end cuts hold zeros."""
+    rng = np.random.default_rng(3)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y and x else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    a, b = rng.integers(1, 9, (20, 50)).astype(np.uint32), rng.integers(1, 9, (20, 50)).astype(np.uint32)
+    a[:5, 30:], b[3:9, 20:] = 0, 0
+    found = P._in_order(a, b)
+    assert all(found[i, k] == longest(a[i, :k], b[i]) for i in range(20) for k in range(0, 51, 10))
+    one = rng.integers(1, 2**32, (4, 104), dtype=np.uint64).astype(np.uint32)
+    other = rng.integers(1, 2**32, (4, 104), dtype=np.uint64).astype(np.uint32)
+    other[0, 40:90] = one[0, 40:90]
+    other[0, [41, 45, 60, 63, 66, 70, 75, 80, 85, 89]] = 1  # 40 of 50 words left
+    other[1, 40:90] = one[1, 40:90]
+    other[1, [41, 45, 48, 60, 63, 66, 70, 75, 80, 85, 89]] = 1  # 39
+    other[2, 20:70] = one[2, 23:73]  # 47 words, three places apart, but for those before the seed
+    other[3, :54] = one[3, :54]
+    other[3, 54:] = one[3, 54:] = 0  # cut behind the seed: 54 words
+    assert P._may_hold(one, other, 50, 40).tolist()[:2] == [True, False] and P._may_hold(one, other, 50, 40)[3]
