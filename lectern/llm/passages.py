@@ -8,11 +8,13 @@ from itertools import chain as chain_of
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.anchors import anchors, gram_hashes
 from lectern.llm.common import group_starts, passing, small_batches, sorted_groups, stored
+from lectern.llm.exact_dedup import BITS, _bit, _in_set, _key_set
 from lectern.llm.order_minhash import aligned_length
 from lectern.llm.words import M1, mix, word_hashes, word_spans
 
@@ -56,6 +58,12 @@ def words_of(data: bytes | memoryview) -> np.ndarray:
     return np.maximum(word_hashes(array, *word_spans(array)).astype(np.uint32), 1)
 
 
+def _unpacked(packed: pa.BinaryArray) -> list[np.ndarray]:
+    """Hashes of the words of several texts, as _hashed packs them."""
+    expand = zstandard.ZstdDecompressor()
+    return [np.frombuffer(expand.decompress(w.as_buffer()), np.uint32) for w in packed]
+
+
 def chains(x: np.ndarray, y: np.ndarray, seed: int = SEED, most_gap: int = MOST_GAP, cost: float = GAP_COST) -> list[list[int]]:
     """Collinear chains of matches (x, y), x strictly ascending: lists of match numbers, best chain first.
 
@@ -356,7 +364,7 @@ def _found(hashed: DataFrame, least_words: int = LEAST_WORDS, like: float = LIKE
         for batch in batches:
             if batch.num_rows:
                 ids = batch["id"].to_numpy()
-                h, number, places = _sown([np.frombuffer(w.as_buffer(), np.uint32) for w in batch["w"]])
+                h, number, places = _sown(_unpacked(batch["w"]))
                 own_ids = ids[number]
                 rank = np.lexsort((places, own_ids)).argsort()
                 h, rows, seeds = _in_pieces(h, rank, int(ids[0]) & 0xFFFFFFFF)
@@ -438,26 +446,33 @@ def _found(hashed: DataFrame, least_words: int = LEAST_WORDS, like: float = LIKE
 
 
 def _hashed(texts: DataFrame, least_words: int) -> DataFrame:
-    """(id, n, w): how many words each text of ``least_words`` words or more has, and their hashes (see words_of); each id once."""
+    """(id, n, w): how many words each text of ``least_words`` words or more has, and their hashes (see words_of), compressed; each id once."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids, words = [], []
+            ids, counts, words = [], [], []
             for t, text in zip(batch["id"].to_pylist(), batch["text"]):
                 if t not in seen:
                     seen.add(t)
                     own = words_of(text.as_buffer())
                     if len(own) >= least_words:
                         ids.append(t)
-                        words.append(own.tobytes())
-            counts = [len(w) // 4 for w in words]
+                        counts.append(len(own))
+                        words.append(squeeze.compress(own.tobytes()))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts, pa.int32()), pa.array(words, pa.binary())], ["id", "n", "w"])
 
     long = texts.where(F.octet_length("text") >= 2 * least_words - 1)
     return long.mapInArrow(hashes, "id long, n int, w binary").groupBy("id").agg(F.first("n").alias("n"), F.first("w").alias("w"))
 
 
+def _those(hashed: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, w) of the texts of ids, and of some others: most of the others aren't shuffled. The set of ids that is broadcast has 2^BITS bits, whatever the table."""
+    bits = _key_set(ids.select(_bit(F.col("id"), BITS).alias("bit")), BITS)
+    return _in_set(hashed.select("id", "w"), _bit(F.col("id"), BITS), bits, "_asked").where("_asked").drop("_asked")
+
+
 def _in_blocks(known: DataFrame) -> DataFrame:
     """Places (seed, id, place, open) of seeds with an open place, dealt into pairs of blocks ``bi <= bj`` in which each open place meets all others of its seed once.
 
@@ -487,7 +502,7 @@ def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_word
     known = stored(places.join(covered, "id", "left").select("seed", "id", "place", (F.col("late") & ~inside).alias("open")))
     columns = ["place", "seed", "open", "bi", "bj", "side"]
     # Dealt into blocks before their surroundings are cut, which so are shuffled once.
-    wanted = _in_blocks(known).groupBy("id").agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("at"))
+    wanted = stored(_in_blocks(known).groupBy("id").agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("at")))
     aligned = int(np.ceil(like * least_words))
     shared = max(1, aligned - 2 * (least_words - aligned) - 1)
 
@@ -498,7 +513,7 @@ def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_word
             if not batch.num_rows:
                 continue
             # Texts one behind the other, with more than AROUND zeros between them.
-            texts = [np.frombuffer(w.as_buffer(), np.uint32) for w in batch["w"]]
+            texts = _unpacked(batch["w"])
             words = np.concatenate([pad, *(p for t in texts for p in (t, pad))])
             begins = len(pad) + np.cumsum([0, *(len(t) + len(pad) for t in texts[:-1])])
             number = np.repeat(np.arange(len(texts)), np.diff(batch["at"].offsets.to_numpy()))
@@ -554,7 +569,7 @@ def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_word
                         yield from those_alike()
             yield from those_alike()
 
-    rows = wanted.join(hashed, "id").select("id", "w", "at").mapInArrow(surround, "seed long, bi int, bj int, side int, place int, open boolean, since long, id long, around binary")
+    rows = wanted.join(_those(hashed, wanted), "id").select("id", "w", "at").mapInArrow(surround, "seed long, bi int, bj int, side int, place int, open boolean, since long, id long, around binary")
     rows = rows.repartition("seed", "bi", "bj").sortWithinPartitions("seed", "bi", "bj", F.desc("open"))
     return rows.mapInArrow(compare, "id long, of long, place int, of_place int, long int")
 
@@ -630,7 +645,7 @@ def _aligned(hashed: DataFrame, links: DataFrame, least_words: int, like: float)
             edges = batch["slices"].offsets.to_numpy()
             edges = (edges - edges[0]).tolist()
             chain, side, lo, hi = (given.field(c).to_numpy() for c in ("chain", "side", "lo", "hi"))
-            texts = [np.frombuffer(w.as_buffer(), np.uint32) for w in batch["w"]]
+            texts = _unpacked(batch["w"])
             number = np.repeat(np.arange(len(texts)), np.diff(edges)).tolist()
             for at in range(0, len(lo), 2000):
                 out = [texts[t][a:b] for t, a, b in zip(number[at : at + 2000], lo[at : at + 2000].tolist(), hi[at : at + 2000].tolist())]
@@ -638,7 +653,8 @@ def _aligned(hashed: DataFrame, links: DataFrame, least_words: int, like: float)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).view(np.int32)))
                 yield pa.record_batch([pa.array(chain[at : at + 2000]), pa.array(side[at : at + 2000]), lists], ["chain", "side", "w"])
 
-    wanted = asked.join(hashed.withColumnRenamed("id", "text_id"), "text_id").select("w", "slices")
+    ids = chained.select("id").union(chained.select("of"))
+    wanted = asked.join(_those(hashed, ids).withColumnRenamed("id", "text_id"), "text_id").select("w", "slices")
     slices = wanted.mapInArrow(cut, "chain long, side int, w array<int>")
     both = slices.groupBy("chain").agg(F.max(F.when(F.col("side") == 0, F.col("w"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("w"))).alias("b"))
     ready = chained.join(both, "chain").select("id", "of", "xs", "ys", "a", "b")
