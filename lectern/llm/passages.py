@@ -27,7 +27,7 @@ BEFORE, LONG_BEFORE = 1, 4
 #: Words on each side of a place that are compared, and pairs of neighbouring words that two places of one passage of 50 words share there: 40 aligned words in 21 runs at most.
 AROUND, SHARED = 50, 19
 #: Places of one seed that are compared at once with as many others; places that a pair of words leads to one by one; classes that pairs of words of more places are counted in.
-BLOCK, FEW, CLASSES = 8192, 16, 512
+BLOCK, FEW, CLASSES = 16384, 64, 512
 #: Pairs of places that are aligned at once.
 ALIGNED = 8192
 #: Places of one seed within a batch that are listed together; a seed with more is listed in pieces.
@@ -240,6 +240,11 @@ def _windows(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.where(inside, words[np.where(inside, at, 0)], np.uint32(0))
 
 
+def _narrow(words: np.ndarray) -> np.ndarray:
+    """Words by 16 bits, none of them 0: equal words stay equal, so a bound on what two windows share holds for these as well."""
+    return np.where(words > 0, np.maximum(words >> np.uint32(16), 1), 0).astype(np.uint16)
+
+
 def _pairs_of_words(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (32 bits) of the pairs of neighbouring words of windows, and how many each window has."""
     w = windows.astype(np.uint64)
@@ -473,20 +478,45 @@ def _those(hashed: DataFrame, ids: DataFrame) -> DataFrame:
     return _in_set(hashed.select("id", "w"), _bit(F.col("id"), BITS), bits, "_asked").where("_asked").drop("_asked")
 
 
+def _with_back(known: DataFrame) -> DataFrame:
+    """Places known (seed, id, place, open) with ``back``: the seed that begins up to SEED words before a short seed, and how far, which settles the words between them; null without one.
+
+    Of open places it is an open one. Two places that have it in common are compared there, if the later one is open.
+    """
+    short = F.col("seed").bitwiseAND(3) == 0
+    near = Window.partitionBy("id").orderBy("place").rangeBetween(-SEED, -1)
+    before = lambda some: F.max(F.when(some, F.struct("place", "seed"))).over(near)
+    known = known.withColumn("_any", before(short)).withColumn("_open", before(short & F.col("open")))
+    known = known.withColumn("_back", F.when(short, F.when(F.col("open"), F.col("_open")).otherwise(F.col("_any"))))
+    return known.select("seed", "id", "place", "open", F.when(F.col("_back").isNotNull(), F.xxhash64("_back.seed", F.col("place") - F.col("_back.place"))).alias("back"))
+
+
 def _in_blocks(known: DataFrame) -> DataFrame:
-    """Places (seed, id, place, open) of seeds with an open place, dealt into pairs of blocks ``bi <= bj`` in which each open place meets all others of its seed once.
+    """Places (seed, id, place, open) of seeds with an open place, dealt into pairs of blocks ``bi <= bj`` in which each open place meets all others of its seed once, but for those that are compared at a seed before (see _with_back).
 
-    ``side`` tells of which of the two blocks a row is. Open places and others have blocks of their own, of about BLOCK
-    places. An open one is in as many pairs as its seed has blocks, another one in as many as its seed has blocks of open ones: once, where few are open.
+    ``side`` tells of which of the two blocks a row is. All places of a seed with BLOCK of them at most are one block. Of others those that
+    ask and the rest have blocks of their own, of about BLOCK places: one that asks is in as many pairs as its seed has blocks, another one in as many
+    as its seed has blocks of those: once, where few ask. Open places ask; where most places of a seed have one ``back`` and fewer have another one or none, these do: seeds of one frequent line are compared in full at its first seed only.
     """
+    columns = ["seed", "id", "place", "open", "asks", "bi", "bj", "side"]
     sizes = known.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("o")).where("o > 0 AND n > 1")
-    blocks = sizes.select("seed", F.ceil(F.col("o") / BLOCK).cast("int").alias("_ob"), F.ceil((F.col("n") - F.col("o")) / BLOCK).cast("int").alias("_cb"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
-    dealt = F.xxhash64("id", "place")
-    dealt = known.withColumn("_salt", F.pmod(dealt, F.lit(16)).cast("int")).join(blocks, ["seed", "_salt"])
-    own = F.when(F.col("open"), F.pmod(F.xxhash64("place", "id"), F.col("_ob"))).otherwise(F.col("_ob") + F.pmod(F.xxhash64("place", "id"), F.greatest("_cb", F.lit(1)))).cast("int")
-    met = F.when(F.col("open"), F.col("_ob") + F.col("_cb")).otherwise(F.col("_ob"))
+    sizes = stored(sizes)
+    some = sizes.where(F.col("n") <= BLOCK).select("seed", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
+    salted = known.withColumn("_salt", F.pmod(F.xxhash64("id", "place"), F.lit(16)).cast("int"))
+    small = salted.join(some, ["seed", "_salt"]).select("seed", "id", "place", "open", F.col("open").alias("asks"), *(F.lit(0).alias(c) for c in columns[5:]))
+    # A seed of BLOCK // 2 places or more is one of few: one in BLOCK // 2 of all places, at most.
+    many = _with_back(known.join(F.broadcast(sizes.where(F.col("n") > BLOCK // 2).select("seed")), "seed"))
+    led = many.where("back IS NOT NULL").groupBy("seed", "back").agg(F.count(F.lit(1)).alias("led"))
+    large = sizes.where(F.col("n") > BLOCK).join(led.groupBy("seed").agg(F.max(F.struct("led", "back")).alias("_most")), "seed", "left")
+    fewer = F.coalesce((F.col("_most.led") > F.col("n") / 2) & (F.col("n") - F.col("_most.led") < F.col("o")), F.lit(False))
+    large = large.select("seed", "n", F.when(fewer, F.col("n") - F.col("_most.led")).otherwise(F.col("o")).alias("_a"), F.when(fewer, F.col("_most.back")).alias("_lead"))
+    large = large.select("seed", "_lead", F.greatest(F.lit(1), F.ceil(F.col("_a") / BLOCK)).cast("int").alias("_ab"), F.ceil((F.col("n") - F.col("_a")) / BLOCK).cast("int").alias("_cb"))
+    dealt = many.join(F.broadcast(large), "seed").withColumn("asks", F.when(F.col("_lead").isNull(), F.col("open")).otherwise(~F.col("back").eqNullSafe(F.col("_lead"))))
+    nth = F.xxhash64("place", "id")
+    own = F.when(F.col("asks"), F.pmod(nth, F.col("_ab"))).otherwise(F.col("_ab") + F.pmod(nth, F.greatest(F.lit(1), F.col("_cb")))).cast("int")
+    met = F.when(F.col("asks"), F.col("_ab") + F.col("_cb")).otherwise(F.col("_ab"))
     pairs = dealt.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), met - 1)))
-    return pairs.select("seed", "id", "place", "open", F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), (F.col("_b") > F.col("_o")).cast("int").alias("side"))
+    return small.union(pairs.select(*columns[:5], F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), (F.col("_b") > F.col("_o")).cast("int").alias("side")))
 
 
 def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_words: int, like: float) -> DataFrame:
@@ -500,7 +530,7 @@ def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_word
     covered = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     inside = F.coalesce(F.exists("spans", lambda s: (s["start"] <= F.col("place")) & (F.col("place") + SEED <= s["end"])), F.lit(False))
     known = stored(places.join(covered, "id", "left").select("seed", "id", "place", (F.col("late") & ~inside).alias("open")))
-    columns = ["place", "seed", "open", "bi", "bj", "side"]
+    columns = ["place", "seed", "open", "asks", "bi", "bj", "side"]
     # Dealt into blocks before their surroundings are cut, which so are shuffled once.
     wanted = stored(_in_blocks(known).groupBy("id").agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("at")))
     aligned = int(np.ceil(like * least_words))
@@ -518,27 +548,28 @@ def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_word
             begins = len(pad) + np.cumsum([0, *(len(t) + len(pad) for t in texts[:-1])])
             number = np.repeat(np.arange(len(texts)), np.diff(batch["at"].offsets.to_numpy()))
             given = batch["at"].flatten()
-            place, seed, open_, bi, bj, side = (given.field(c).to_numpy(zero_copy_only=False) for c in columns)
+            place, seed, open_, asks, bi, bj, side = (given.field(c).to_numpy(zero_copy_only=False) for c in columns)
             ids, at = batch["id"].to_numpy()[number], begins[number] + place
             since = _since(words, at, (seed & 3 == 0) & open_)
-            around = np.lib.stride_tricks.sliding_window_view(words, width)
+            around, sent = (np.lib.stride_tricks.sliding_window_view(w, width) for w in (words, _narrow(words)))
             for lo in range(0, len(at), 8192):
                 some = np.arange(lo, min(lo + 8192, len(at)))
                 windows = around[at[some] - AROUND]
                 same = mix(mix((windows * odd).sum(1, dtype=np.uint64) + seed[some].view(np.uint64)) + number[some].astype(np.uint64) * M1 + bi[some].astype(np.uint64))
-                fresh = open_[some]
+                fresh = open_[some] | asks[some]
                 rest = np.flatnonzero(~fresh)
                 fresh[rest[np.unique(same[rest], return_index=True)[1]]] = True
-                some, windows = some[fresh], np.ascontiguousarray(windows[fresh])
-                cut = [pa.array(c[some]) for c in (seed, bi, bj, side, place, open_, since, ids)]
-                cut.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * width), len(some), [None, pa.py_buffer(windows)]).cast(pa.binary()))
-                yield pa.record_batch(cut, ["seed", "bi", "bj", "side", "place", "open", "since", "id", "around"])
+                some = some[fresh]
+                windows = np.ascontiguousarray(sent[at[some] - AROUND])
+                cut = [pa.array(c[some]) for c in (seed, bi, bj, side, place, open_, asks, since, ids)]
+                cut.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * width), len(some), [None, pa.py_buffer(windows)]).cast(pa.binary()))
+                yield pa.record_batch(cut, ["seed", "bi", "bj", "side", "place", "open", "asks", "since", "id", "around"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, ["seed", "bi", "bj"], 20_000):
             starts = np.append(group_starts(table, ["seed", "bi", "bj"]), table.num_rows)
-            ids, places, since, bi, bj, side, open_ = (table[c].to_numpy() for c in ("id", "place", "since", "bi", "bj", "side", "open"))
-            windows = np.frombuffer(b"".join(table["around"].to_pylist()), np.uint32).reshape(-1, 2 * AROUND + SEED)
+            ids, places, since, bi, bj, side, open_, asks = (table[c].to_numpy() for c in ("id", "place", "since", "bi", "bj", "side", "open", "asks"))
+            windows = np.frombuffer(b"".join(table["around"].to_pylist()), np.uint16).reshape(-1, 2 * AROUND + SEED)
             values, counts = _pairs_of_words(windows)
             edges = np.concatenate(([0], np.cumsum(counts)))
             asked: list[tuple[np.ndarray, np.ndarray]] = []
@@ -553,7 +584,7 @@ def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_word
                     yield pa.record_batch([pa.array(c) for c in (ids[x], ids[y], places[x], places[y], np.full(len(x), 2, np.int32))], ["id", "of", "place", "of_place", "long"])
 
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                first = int(open_[lo:hi].sum())  # open places are sorted before others
+                first = int(asks[lo:hi].sum())  # those that ask are sorted before others
                 if hi - lo < 2 or not first or (since[lo] and (since[lo:hi] == since[lo]).all()):
                     continue
                 some = np.arange(hi - lo)
@@ -569,8 +600,8 @@ def _compared(hashed: DataFrame, places: DataFrame, spans: DataFrame, least_word
                         yield from those_alike()
             yield from those_alike()
 
-    rows = wanted.join(_those(hashed, wanted), "id").select("id", "w", "at").mapInArrow(surround, "seed long, bi int, bj int, side int, place int, open boolean, since long, id long, around binary")
-    rows = rows.repartition("seed", "bi", "bj").sortWithinPartitions("seed", "bi", "bj", F.desc("open"))
+    rows = wanted.join(_those(hashed, wanted), "id").select("id", "w", "at").mapInArrow(surround, "seed long, bi int, bj int, side int, place int, open boolean, asks boolean, since long, id long, around binary")
+    rows = rows.repartition("seed", "bi", "bj").sortWithinPartitions("seed", "bi", "bj", F.desc("asks"))
     return rows.mapInArrow(compare, "id long, of long, place int, of_place int, long int")
 
 
