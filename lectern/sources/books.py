@@ -7,6 +7,7 @@ import posixpath
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import unquote
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.sources.markup import blocks_of
+from lectern.sources.tables import spread, stored
 
 SENTENCE = "struct<idx:int,text:string,words:array<string>>"
 PARAGRAPH = f"struct<idx:int,page:int,anchor:string,no_tts:boolean,sentences:array<{SENTENCE}>>"
@@ -29,6 +31,9 @@ MANIFEST = f"rule_version int, planner string, alignment string, sections array<
 
 #: Characters of documents that a task holds before it hands them on.
 MOST_HELD = 1 << 21
+#: Ends of the names of book files, and about how many of them, and of how many bytes, a task reads.
+BOOKS = (".pdf", ".epub")
+FILES, BYTES = 2000, 1 << 27
 
 
 # -- files ------------------------------------------------------------------------------
@@ -37,16 +42,71 @@ MOST_HELD = 1 << 21
 def scan_books(spark: SparkSession, root: str, depth: int = 4, content: bool = False) -> DataFrame:
     """(path, name, size) of the book files under a folder, ``depth`` folders down at most; nothing whose name begins with a dot.
 
-    Spark lists the files, so any store that it reads will do; contents are read only if asked for.
+    Tasks list the folders, one level after another, and read the files' contents, if asked for:
+    the driver holds no file's name. What one folder holds is listed by one task. Stores that pyarrow doesn't
+    know are listed by Spark's reader, whose driver holds all names.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,epub,PDF,EPUB,Pdf,Epub}").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(base).toString().rstrip("/")
-    inner = F.expr(f"substring(path, {len(base) + 2})")
-    made = found.withColumn("_parts", F.split(inner, "/"))
+    base = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(base)
+    uri, base = base.toUri().toString(), base.toString().rstrip("/")
+    try:
+        pa.fs.FileSystem.from_uri(uri)
+        made = _listed(spark, uri, base, depth, content)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        made = _listed_by_spark(spark, root, base, depth)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
+    return made.select("path", name.alias("name"), "size", *(["content"] if content else []))
+
+
+def _listed_by_spark(spark: SparkSession, root: str, base: str, depth: int) -> DataFrame:
+    """(path, size, content) of the book files under a folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,epub,PDF,EPUB,Pdf,Epub}").load(root)
+    made = found.withColumn("_parts", F.split(F.expr(f"substring(path, {len(base) + 2})"), "/"))
     made = made.where((F.size("_parts") <= depth + 1) & ~F.exists("_parts", lambda p: p.startswith(".")))
-    name = F.regexp_replace(F.element_at("_parts", -1), r"\.[^.]+$", "")
-    return made.select("path", name.alias("name"), F.col("length").alias("size"), *(["content"] if content else []))
+    return made.select("path", F.col("length").alias("size"), "content")
+
+
+def _listed(spark: SparkSession, uri: str, base: str, depth: int, content: bool) -> DataFrame:
+    """(path, size, and content if asked for) of the book files under a folder that pyarrow can open; names of a level are stored, not collected."""
+
+    def opened():
+        store, top = pa.fs.FileSystem.from_uri(uri)
+        return store, top.rstrip("/"), len(base)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top, cut = opened()
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                found = [i for i in store.get_file_info(pa.fs.FileSelector(top + folder[cut:])) if not i.base_name.startswith(".")]
+                for lo in range(0, len(found), 10_000):
+                    some = [i for i in found[lo : lo + 10_000] if not i.is_file or i.base_name.lower().endswith(BOOKS)]
+                    yield pa.record_batch([pa.array([f"{folder}/{i.base_name}" for i in some], pa.string()), pa.array([i.size if i.is_file else None for i in some], pa.int64())], ["path", "size"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top, cut = opened()
+        for batch in batches:
+            lo, contents, held = 0, [], 0
+            for at, path in enumerate(batch["path"].to_pylist(), 1):
+                with store.open_input_stream(top + path[cut:], compression=None) as f:
+                    contents.append(f.read())
+                held += len(contents[-1])
+                if held >= MOST_HELD or at == batch.num_rows:
+                    yield pa.record_batch([*batch.slice(lo, at - lo).columns, pa.array(contents, pa.binary())], ["path", "size", "content"])
+                    lo, contents, held = at, [], 0
+
+    folders, levels = spark.createDataFrame([(base,)], "path string"), []
+    for _ in range(depth + 1):
+        level = stored(folders.mapInArrow(look, "path string, size long"))
+        levels.append(level.where("size IS NOT NULL"))
+        folders = spread(level.where("size IS NULL").select("path"))
+        if folders.isEmpty():
+            break
+    files = reduce(DataFrame.union, levels)
+    if not content:
+        return files
+    n, held = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parts = max(spark.sparkContext.defaultParallelism, n // FILES + 1, held // BYTES + 1)
+    return files.repartition(parts, "path").mapInArrow(read, "path string, size long, content binary")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -134,7 +194,7 @@ def _packed(title: str | None, author: str | None, documents: list[str | None])
 
 
 def write_epubs(books: DataFrame, folder: str) -> DataFrame:
-    """Writes each row of books (name, title, author, documents: array of HTML) as ``name``.epub into a shared folder; (path, size) of the files.
+    """Writes each row of books (name, title, author, documents: array of HTML) as ``name``.epub into a shared folder; (path, size) of the files. A name may hold folders below it.
 
     Tasks write where an action on the result runs them. A file is written under
     another name and then moved, so a task that is run again, or twice at
@@ -143,11 +203,17 @@ def write_epubs(books: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = pa.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
+        made = {root}
         for batch in batches:
             rows = []
             for name, title, author, documents in zip(batch["name"], batch["title"], batch["author"], batch["documents"]):
                 content = _packed(title, author, list(documents))
-                path, part = f"{root}/{name}.epub", f"{root}/.{name}-{uuid.uuid4().hex}"
+                path = f"{root}/{name}.epub"
+                inner, _, own = path.rpartition("/")
+                if inner not in made:
+                    store.create_dir(inner, recursive=True)
+                    made.add(inner)
+                part = f"{inner}/.{own}-{uuid.uuid4().hex}"
                 with store.open_output_stream(part) as f:
                     f.write(content)
                 store.move(part, path)

@@ -65,6 +65,18 @@ def test_scan(spark, tmp_path):
     assert [r.content for r in B.scan_books(spark, str(tmp_path / "lib"), 0, True).collect()] == [bytearray(b"12345")]
 
 
+def test_a_scan_is_listed_and_read_by_tasks(spark, tmp_path):
+    """No plan holds a list of files, and a task reads many of them; a name that only Spark's reader leaves out is found."""
+    for k in range(90):
+        (tmp_path / "a b" / str(k % 3)).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "a b" / str(k % 3) / f"_{k}%20.ePub").write_bytes(b"x" * k)
+    files = B.scan_books(spark, str(tmp_path / "a b"), content=True)
+    assert sorted((r.name, r.size, bytes(r.content)) for r in files.collect()) == sorted((f"_{k}%20", k, b"x" * k) for k in range(90))
+    assert {r.path for r in files.collect()} == {f"file:{tmp_path}/a b/{k % 3}/_{k}%20.ePub" for k in range(90)}
+    assert not any(str(tmp_path) in f for f in files.inputFiles()) and files.rdd.getNumPartitions() <= 8
+    assert B.scan_books(spark, str(tmp_path / "a b"), depth=0).count() == 0
+
+
 def test_documents_and_manifests(spark, tmp_path):
     sent = lambda t: {"idx": 0, "text": t, "words": t.split()}
     doc = {"title": "T", "sections": [{"title": "One", "paragraphs": [{"idx": 4, "page": 2, "sentences": [sent("a b."), sent("c.")]}, {"no_tts": True, "sentences": []}]}, {"idx": 7, "paragraphs": [{"no_tts": True, "sentences": [sent("x")]}]}]}
