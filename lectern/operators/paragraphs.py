@@ -9,10 +9,14 @@ from lectern.functions import text as X
 from lectern.sources.tables import spread
 
 
-def paragraphs(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, para, text, and the columns in keep): one row per line, numbered from 0, normalised and cleaned."""
+def paragraphs(docs: DataFrame, keep: tuple[str, ...] = (), together: bool = False) -> DataFrame:
+    """(doc_id, para, text, and the columns in keep): one row per line, numbered from 0, normalised and cleaned.
+
+    With ``together`` whole documents are dealt by doc_id before they are cut, so what is grouped by doc_id afterwards needs no further shuffle.
+    """
     # Nothing composes across a newline, so whole texts are composed: a row of each document passes Python, not one of each line.
     whole = spread(docs.select("doc_id", *keep, "text")).withColumn("text", X.composed(F.coalesce("text", F.lit(""))))
+    whole = whole.repartition("doc_id") if together else whole
     lines = X.each(whole, "doc_id", *keep, value=F.split("text", "\n"), names=("para", "raw"))
     return X.settled(lines, "doc_id", *keep, "para", value=X.cleaned(X.reduced(F.col("raw"))), name="text")
 

@@ -11,12 +11,12 @@ from lectern.sources.tables import table
 
 def sections_of(spark, d):
     """A customer's orders are the sections of a book, numbered by order key."""
-    o = table(spark, d, "orders")
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = table(spark, d, "orders").withColumnsRenamed({"o_custkey": "book", "o_orderkey": "key"})
+    n = F.row_number().over(Window.partitionBy("book").orderBy("key")) - 1
     status = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
     return o.select(
-        F.col("o_custkey").alias("book"), n.alias("section"), status.alias("status"), F.floor("o_totalprice").cast("long").alias("duration_ms"),
-        F.when(F.col("o_orderkey") % 7 == 0, F.lit(500)).otherwise(0).alias("partial_ms"), F.col("o_orderkey").alias("key"),
+        "book", n.alias("section"), status.alias("status"), F.floor("o_totalprice").cast("long").alias("duration_ms"),
+        F.when(F.col("key") % 7 == 0, F.lit(500)).otherwise(0).alias("partial_ms"), "key",
     )
 
 

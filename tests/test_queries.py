@@ -40,3 +40,11 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs_without_twin(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_window_shuffles_documents_and_sections_once(spark):
+    """Of what is shuffled only texts before they are cut, and lists of whole sections, are long: no sentences, words or JSON."""
+    plan = registry.QUERIES["J5_window"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    collected = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning" in line and "collect_list" in below]
+    assert len(collected) == 1 and "book" in collected[0] and "words" not in collected[0].replace("n_words", "")
